@@ -33,21 +33,20 @@ AVATAR_HOSTS = (
 PROFILE_HOSTS = ("www.last.fm", "last.fm")
 
 # White space as the web platform trims it: ASCII, the no-break and wide spaces, the BOM.
-_SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-_EDGES = f"^{_SPACE}+|{_SPACE}+$"
+_SPACES = [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+_SPACE_RUN = "[" + "".join(f"\\x{{{code:X}}}" for code in _SPACES) + "]+"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit("".join(map(chr, _SPACES))))
 
 
 def bounded_text(c: Column, limit: int = 512) -> Column:
     """Trimmed text, or null when empty, over-long or holding a NUL."""
     text = strip(c)
-    # Characters outside the basic plane count twice, as in UTF-16.
-    wide = F.length(F.regexp_replace(text, r"[\x{0}-\x{FFFF}]", ""))
-    size = F.length(text) + wide
-    return F.when((size > 0) & (size <= limit) & ~text.contains("\x00"), text)
+    # Two bytes per UTF-16 unit: characters outside the basic plane count twice.
+    units = F.octet_length(F.encode(text, "UTF-16BE"))
+    return F.when((units > 0) & (units <= 2 * limit) & ~text.contains("\x00"), text)
 
 
 def or_default(c: Column, default: str) -> Column:
@@ -57,7 +56,7 @@ def or_default(c: Column, default: str) -> Column:
 
 def fold_name(c: Column) -> Column:
     """Case- and space-insensitive form of a name."""
-    return F.regexp_replace(strip(F.lower(c)), f"{_SPACE}+", " ")
+    return F.regexp_replace(strip(F.lower(c)), _SPACE_RUN, " ")
 
 
 def http_url(c: Column, limit: int = 2048) -> Column:
@@ -139,14 +138,14 @@ def with_normalized_alias(df: DataFrame, source: str, target: str) -> DataFrame:
     is_ascii = F.col(source).rlike(r"^[\x00-\x7F]*$")
     decomposed = (
         df.where(~is_ascii).select(F.col(source).alias("_name")).distinct()
-        .select("_name", decompose_alias("_name").alias("_alias"))
+        .select("_name", decompose_alias("_name").alias("_decomposed"))
     )
     return (
         # Null for ASCII names: they match nothing and stay where they are.
         df.withColumn("_key", F.when(~is_ascii, F.col(source)))
         .join(decomposed, F.col("_key") == F.col("_name"), "left")
-        .withColumn(target, F.when(is_ascii, ascii_alias(F.col(source))).otherwise(F.col("_alias")))
-        .drop("_key", "_name", "_alias")
+        .withColumn(target, F.when(is_ascii, ascii_alias(F.col(source))).otherwise(F.col("_decomposed")))
+        .drop("_key", "_name", "_decomposed")
     )
 
 

@@ -38,7 +38,7 @@ def judge_evidence(evidence: DataFrame, snapshot_version: str) -> DataFrame:
     relation = F.lower(or_default(F.col("relation_type"), "instrument"))
     name = F.trim("instrument_name")
     scope = or_default(F.col("scope"), "recording")
-    trimmed = F.filter(F.transform("attributes", F.trim), lambda a: a != "")
+    trimmed = F.filter(F.transform("attributes", lambda a: F.trim(a)), lambda a: a != "")
     attributes = F.array_union(F.coalesce(trimmed, F.array().cast("array<string>")), F.array(name))
     normalized = evidence.select(
         F.when(foreign, F.raise_error(F.concat(F.lit("snapshot mismatch: found "), F.col("snapshot_version"))).cast("string"))
@@ -75,14 +75,12 @@ def prefer_direct(evidence: DataFrame) -> DataFrame:
 
 
 def dedupe_credits(evidence: DataFrame) -> DataFrame:
-    """One credit per identity (nulls are equal), with its first source and the number of sources.
+    """One credit per identity (nulls are equal), with its first source.
 
-    The sources themselves stay rows (``credit_sources``): a popular credit may have
-    very many, and no single row has to hold them.
+    The other sources stay rows (``credit_sources``): a popular credit may have very
+    many, and no single row has to hold them.
     """
-    keys = ["recording_mbid", *CREDIT_IDENTITY]
-    per_source = evidence.groupBy(*keys, "source_url").agg(F.lit(1).alias("_one"))
-    return per_source.groupBy(*keys).agg(F.min("source_url").alias("source_url"), F.count("source_url").alias("source_count"))
+    return evidence.groupBy("recording_mbid", *CREDIT_IDENTITY).agg(F.min("source_url").alias("source_url"))
 
 
 def credit_sources(evidence: DataFrame) -> DataFrame:

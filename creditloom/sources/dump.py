@@ -96,21 +96,31 @@ def read_dump(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
 
 
-def read_json_rows(spark: SparkSession, path: str, table: DumpTable) -> DataFrame:
-    """Staging rows kept as one JSON array of nullable strings per line."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+def parse_json_rows(lines: DataFrame, table: DumpTable) -> DataFrame:
+    """Lines (column ``value``) that each hold a JSON array of nullable strings."""
     cells = F.from_json("value", "array<string>", {"mode": "FAILFAST"})
-    return lines.select(cells.alias("_cells")).select(
+    return lines.where(F.trim("value") != "").select(cells.alias("_cells")).select(
         *[F.get("_cells", i).alias(name) for i, (name, _) in enumerate(table.columns)]
     )
 
 
-def read_typed_json(spark: SparkSession, path: str, schema, defaults: dict[str, str] | None = None) -> DataFrame:
-    """JSON lines with a fixed schema; absent fields take their default."""
+def read_json_rows(spark: SparkSession, path: str, table: DumpTable) -> DataFrame:
+    return parse_json_rows(spark.read.text(path), table)
+
+
+def with_defaults(rows: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    return rows.withColumns({name: F.coalesce(F.col(name), F.lit(value)) for name, value in defaults.items()}) if defaults else rows
+
+
+def parse_typed_json(lines: DataFrame, schema: str, defaults: dict[str, str] | None = None) -> DataFrame:
+    """JSON lines (column ``value``) with a fixed schema; absent fields take their default."""
+    parsed = lines.where(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_r")).select("_r.*")
+    return with_defaults(parsed, defaults or {})
+
+
+def read_typed_json(spark: SparkSession, path: str, schema: str, defaults: dict[str, str] | None = None) -> DataFrame:
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    for name, value in (defaults or {}).items():
-        rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
-    return rows
+    return with_defaults(rows, defaults or {})
 
 
 # What an evidence row means when it leaves these fields out.

@@ -13,20 +13,26 @@ def _is_type(value: Column, name: str) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith(name), F.lit(False))
 
 
+def _as_text(value: Column, limit: int = 512) -> Column:
+    """Bounded text of a variant; a number or an object is not text."""
+    return F.when(_is_type(value, "STRING"), bounded_text(F.try_variant_get(value, "$", "string"), limit))
+
+
 def _text(value: Column, path: str, limit: int = 512) -> Column:
-    """Bounded text at a path; a number or object there is not text."""
-    field = F.try_variant_get(value, path, "variant")
-    return F.when(_is_type(field, "STRING"), bounded_text(F.try_variant_get(value, path, "string"), limit))
+    return _as_text(F.try_variant_get(value, path, "variant"), limit)
 
 
 def _play_count(value: Column) -> Column:
     """A whole number given as a number or as text; blank text counts as zero."""
-    text = F.trim(F.try_variant_get(value, "$.playcount", "string"))
+    text = F.trim(F.try_variant_get(value, "$", "string"))
     number = F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
     whole = (number >= 0) & (number <= MAX_SAFE_INTEGER) & (number == F.floor(number))
     return F.when(whole, number.cast("bigint"))
 
 
+_TRACK = "struct<name: variant, playcount: variant, mbid: variant, artist: variant, album: variant, url: variant>"
+
+
 def parse_pages(pages: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """Top-track pages to ranked rows.
 
@@ -49,19 +55,20 @@ def parse_pages(pages: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
         "page",
         F.posexplode(F.when(fault.isNull(), items).otherwise(F.raise_error(fault).cast("array<variant>"))).alias("_i", "_t"),
     )
-    track = F.col("_t")
-    artist_is_object = _is_type(F.try_variant_get(track, "$.artist", "variant"), "OBJECT")
+    rows = rows.withColumn("_t", F.try_variant_get("_t", "$", _TRACK))
+    artist = F.col("_t.artist")
+    artist_is_object = _is_type(artist, "OBJECT")
     shaped = rows.select(
         "listener",
         "period",
         ((F.col("page") - 1) * policy.page_size + F.col("_i") + 1).cast("bigint").alias("rank"),
-        _text(track, "$.name").alias("title"),
-        F.when(artist_is_object, _text(track, "$.artist.name", 256)).otherwise(_text(track, "$.artist", 256)).alias("artist"),
-        _play_count(track).alias("play_count"),
-        canonical_mbid(_text(track, "$.mbid"), strict=True).alias("mbid"),
-        F.when(artist_is_object, canonical_mbid(_text(track, "$.artist.mbid"), strict=True)).alias("artist_mbid"),
-        canonical_mbid(_text(track, "$.album.mbid"), strict=True).alias("release_mbid"),
-        http_url(_text(track, "$.url", 2048)).alias("url"),
+        _as_text(F.col("_t.name")).alias("title"),
+        F.when(artist_is_object, _text(artist, "$.name", 256)).otherwise(_as_text(artist, 256)).alias("artist"),
+        _play_count(F.col("_t.playcount")).alias("play_count"),
+        canonical_mbid(_as_text(F.col("_t.mbid")), strict=True).alias("mbid"),
+        F.when(artist_is_object, canonical_mbid(_text(artist, "$.mbid"), strict=True)).alias("artist_mbid"),
+        canonical_mbid(_text(F.col("_t.album"), "$.mbid"), strict=True).alias("release_mbid"),
+        http_url(_as_text(F.col("_t.url"), 2048)).alias("url"),
     )
     return shaped.where("title is not null and artist is not null and play_count is not null")
 

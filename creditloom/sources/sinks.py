@@ -43,8 +43,13 @@ def _finish(values: dict) -> TableStats:
     return TableStats(int(values["rows"]), int(values["bytes"] or 0), digest)
 
 
+def table_stats_frame(df: DataFrame) -> DataFrame:
+    """One row: rows, bytes and digest lanes."""
+    return df.agg(*_digest_parts(df))
+
+
 def table_stats(df: DataFrame) -> TableStats:
-    return _finish(df.agg(*_digest_parts(df)).first().asDict())
+    return _finish(table_stats_frame(df).first().asDict())
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> TableStats:
@@ -133,7 +138,7 @@ def shard_documents(rows: DataFrame, kind: str, snapshot_version: str, width: in
         F.when(F.col("_total") <= policy.max_shard_decoded_bytes, F.lit(True))
         .otherwise(F.raise_error(message).cast("boolean")).alias("_fits"),
     ).where("_fits")
-    entries = F.array_sort(F.collect_list(F.struct("key", "value")), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    entries = F.array_sort(F.collect_list(F.struct("key", "value")))
     return (
         sized.join(fits, "shard", "left_semi")
         .groupBy("shard")
