@@ -1,4 +1,4 @@
 """Stage builds and the registered queries."""
 
-from . import q_evidence, q_profile  # noqa: F401
+from . import q_evidence, q_operations, q_profile  # noqa: F401
 from .registry import REGISTRY  # noqa: F401

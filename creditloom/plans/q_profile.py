@@ -412,9 +412,7 @@ def _reports(t: Tables) -> DataFrame:
     LEFT JOIN (SELECT listener, period, CAST(count(*) AS BIGINT) AS n FROM o_presence GROUP BY 1, 2) p ON p.listener = g.listener AND p.period = g.period
     LEFT JOIN o_temper m ON m.listener = g.listener AND m.period = g.period AND g.ready""")
 def report(t: Tables) -> DataFrame:
-    reports = _reports(t)
-    broken = rp.report_violations(reports)
-    return reports.join(broken, ls.KEYS).select(
+    return rp.with_violations(_reports(t)).select(
         "listener", "period", "analysis.status", F.col("tracks_analyzed").alias("tracks"), F.size("families").cast("bigint").alias("families"), "temperament.rule",
         F.col("vocabulary.status").alias("vocabulary"), F.array_join("violations", ",").alias("violations"), "default_view",
     )

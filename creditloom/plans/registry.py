@@ -31,9 +31,12 @@ def with_ctes(body: str) -> str:
         new = (words & texts.keys()) - wanted
         wanted |= new
         todo.extend(texts[name] for name in new)
-    plain = {name: text.replace("{", "").replace("}", "") for name, text in texts.items()}
-    ctes = [f"{name} AS ({plain[name]})" for name in texts if name in wanted]
-    return f"WITH {', '.join(ctes)} {body}" if ctes else body
+    # A braced name is a driver table.
+    ctes = [f"{name} AS ({re.sub(r'{([a-z]+)}', r'\1', texts[name])})" for name in texts if name in wanted]
+    if not ctes:
+        return body
+    rest = f", {body[5:]}" if body.startswith("WITH ") else f" {body}"
+    return f"WITH {', '.join(ctes)}{rest}"
 
 
 def query(name: str, sql: str | None = None):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Only runtime SQL settings: a cluster's own memory and executor settings stay as they are.
@@ -37,15 +39,17 @@ def local_session(cores: int | str = 8, app: str = "creditloom") -> SparkSession
     return tune(spark)
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder the cluster names; it survives lost executors.
 
-    ``fallback_dir`` is used only where the session names no folder, as in tests.
+    A folder of our own is made only in local mode, where the machine is the cluster.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or fallback_dir
+        folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            raise ValueError("spark.checkpoint.dir is unset and no fallback folder is given")
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is unset")
+            folder = tempfile.mkdtemp(prefix="creditloom-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
