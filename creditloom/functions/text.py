@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -110,17 +109,25 @@ def ascii_alias(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
-_NOT_WORD = re.compile(r"[^\w]+|_+")
+class _Classes(dict):
+    """A translation table that classifies each character once."""
 
+    def __init__(self, classify) -> None:
+        super().__init__()
+        self.classify = classify
 
-def _decompose(text: str | None) -> str | None:
-    if text is None:
-        return None
-    plain = "".join(
-        ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.category(ch).startswith("M")
-    ).lower()
-    kept = "".join(ch if unicodedata.category(ch)[0] in "LN" else " " for ch in plain)
-    return " ".join(kept.split(" ")).strip() if "  " not in kept else re.sub(" +", " ", kept).strip()
+    def __missing__(self, code: int):
+        self[code] = value = self.classify(code, unicodedata.category(chr(code))[0])
+        return value
+
+
+_WITHOUT_MARKS = _Classes(lambda code, group: None if group == "M" else code)
+_WORDS_ONLY = _Classes(lambda code, group: code if group in "LN" else " ")
+
+
+def _decompose(text: str) -> str:
+    plain = unicodedata.normalize("NFKD", text).translate(_WITHOUT_MARKS).lower()
+    return " ".join(plain.translate(_WORDS_ONLY).split())
 
 
 @F.pandas_udf(T.StringType())

@@ -24,8 +24,10 @@ def epoch_seconds_iso(seconds: Column) -> Column:
 
 def registered_iso(unixtime: Column, text: Column) -> Column:
     """Registration time from epoch seconds, else from text; null when neither parses."""
-    seconds = F.expr("null").cast("bigint") if unixtime is None else unixtime.try_cast("bigint")
-    from_text = F.date_format(F.try_to_timestamp(F.trim(text)), _ISO)
+    seconds = unixtime.try_cast("bigint")
+    # Words such as "yesterday" parse as timestamps too, so a date must lead.
+    dated = F.when(F.trim(text).rlike(r"^[0-9]{4}-"), F.trim(text))
+    from_text = F.date_format(F.try_to_timestamp(dated), _ISO)
     return F.when(seconds >= 0, epoch_seconds_iso(seconds)).otherwise(from_text)
 
 

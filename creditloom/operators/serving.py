@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import DEFAULT, PLACEHOLDER_ARTIST_MBIDS, PLACEHOLDER_ARTIST_NAMES, Policy
+from ..config import PLACEHOLDER_ARTIST_MBIDS, PLACEHOLDER_ARTIST_NAMES
 from ..functions import canonical_mbid, or_default, performer_identity, source_url
 from ..sources.dump import union_all
 

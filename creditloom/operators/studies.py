@@ -86,17 +86,19 @@ def example_sample(
     two thirds of the target, the others a third, and either stands in for the other.
     Every window is trimmed by its rank bound before the shuffle.
     """
-    drawn = recordings.withColumn("_h", F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("recording_mbid"))))
+    # A recording enters once, whoever is named for it.
+    unique = recordings.groupBy("sample_id", "recording_mbid").agg(F.min("artist_id").alias("artist_id"), F.bool_or("direct").alias("direct"))
+    drawn = unique.withColumn("_h", F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("recording_mbid"))))
     marked = drawn.join(priority.select("artist_id").distinct().withColumn("_p", F.lit(True)), "artist_id", "left")
     marked = marked.withColumn("_p", F.coalesce("_p", F.lit(False)))
-    by_artist = Window.partitionBy("sample_id", "artist_id").orderBy(F.desc("direct"), "_h")
+    by_artist = Window.partitionBy("sample_id", "artist_id").orderBy(F.desc("direct"), "_h", "recording_mbid")
     capped = marked.withColumn("_a", F.row_number().over(by_artist)).where(F.col("_a") <= per_artist)
     first = F.col("_p") & (F.col("_a") == 1)
     firsts = capped.where(first)
     rest = capped.where(~first)
     # New artists come before repeated ones; a priority artist already has a recording.
     fresh = F.when(F.col("_p"), F.col("_a")).otherwise(F.col("_a") - 1)
-    in_stratum = Window.partitionBy("sample_id", "direct").orderBy(F.least(fresh, F.lit(1)), "_h")
+    in_stratum = Window.partitionBy("sample_id", "direct").orderBy(F.least(fresh, F.lit(1)), "_h", "recording_mbid")
     ranked = rest.withColumn("_s", F.row_number().over(in_stratum)).where(F.col("_s") <= target)
     taken = firsts.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_taken"))
     others = capped.where(~F.col("direct")).groupBy("sample_id").agg(F.least(F.count(F.lit(1)), F.lit(target // 3)).alias("_others"))

@@ -20,10 +20,6 @@ from .registry import query
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
-def _joined(name: str) -> "F.Column":
-    return F.array_join(F.array_sort(name), "|").alias(name)
-
-
 def _copy_escape(c):
     """COPY text of a value, as the database writes it."""
     out = F.replace(c, F.lit("\\"), F.lit("\\\\"))

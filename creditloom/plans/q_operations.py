@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from .. import functions as fn
-from ..config import FINISHED_STATUSES, PERIODS, RETRY_DELAYS, SERVING_SCHEMA
+from ..config import RETRY_DELAYS, SERVING_SCHEMA
 from ..operators import catalog as ca
 from ..operators import hydration as hy
 from ..operators import listening as ls
@@ -16,12 +16,10 @@ from ..operators import snapshots as sn
 from ..operators import studies as st
 from ..operators import tables as tb
 from .bridge import NOW, SNAPSHOT, Tables
-from .oracle import big, half_up
+from .oracle import half_up
 from .q_evidence import _claims, _served_aliases, _served_vocabulary
 from .registry import query
 
-_NOW = F.to_timestamp
-
 
 def _now():
     return F.to_timestamp(F.lit(NOW))
@@ -31,10 +29,6 @@ def _stamp(name: str):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
-def _text(*names: str) -> str:
-    return ", ".join(f"strftime({n}, '%Y-%m-%d %H:%M:%S') AS {n}" for n in names)
-
-
 # ---- scalars
 
 @query("g01_alias_form", r"SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}]+', ' ', 'g'))) AS alias_digest FROM documents")
@@ -152,10 +146,9 @@ def ranked_pages(t: Tables) -> DataFrame:
     )
 
 
-_AGES = {name: days for name, days in ls.PERIOD_DAYS.items()}
 _PERIOD_UNION = " UNION ALL ".join(
     f"SELECT user_id, k, '{name}' AS period FROM event WHERE ts < TIMESTAMP '2024-01-26' {'' if days is None else f'''AND date_diff('day', CAST(ts AS DATE), DATE '2024-01-25') < {days}'''}"
-    for name, days in _AGES.items()
+    for name, days in ls.PERIOD_DAYS.items()
 )
 
 
@@ -183,8 +176,8 @@ def request_log(t: Tables) -> DataFrame:
 
 
 @query("e12_example_sample", """
-    WITH drawn AS (SELECT c_mktsegment AS sample_id, mbid AS recording_mbid, artist_mbid AS artist_id, bool_or(mbid IN (SELECT recording_mbid FROM layer)) AS direct, md5('seed:' || mbid) AS h
-                   FROM history JOIN customer ON listener = c_custkey WHERE mbid IS NOT NULL AND artist_mbid IS NOT NULL AND rank <= 2 GROUP BY 1, 2, 3),
+    WITH drawn AS (SELECT c_mktsegment AS sample_id, mbid AS recording_mbid, min(artist_mbid) AS artist_id, bool_or(mbid IN (SELECT recording_mbid FROM layer)) AS direct, md5('seed:' || mbid) AS h
+                   FROM history JOIN customer ON listener = c_custkey WHERE mbid IS NOT NULL AND artist_mbid IS NOT NULL GROUP BY 1, 2),
     capped AS (SELECT * FROM (SELECT d.*, q.artist_mbid IS NOT NULL AS p, row_number() OVER (PARTITION BY sample_id, artist_id ORDER BY direct DESC, h, recording_mbid) AS a
                               FROM drawn d LEFT JOIN (SELECT DISTINCT artist_mbid FROM vocabulary_row WHERE distinct_recordings >= 8) q ON q.artist_mbid = d.artist_id) WHERE a <= 3),
     firsts AS (SELECT * FROM capped WHERE p AND a = 1),
@@ -196,7 +189,7 @@ def request_log(t: Tables) -> DataFrame:
     FROM (SELECT sample_id, recording_mbid, artist_id, direct, p, h FROM firsts UNION ALL SELECT sample_id, recording_mbid, artist_id, direct, p, h FROM filled)""")
 def sample(t: Tables) -> DataFrame:
     segments = t.table("customer").select(F.col("c_custkey").alias("listener"), F.col("c_mktsegment").alias("sample_id"))
-    played = t.view("history").where("mbid is not null and artist_mbid is not null and rank <= 2").join(segments, "listener")
+    played = t.view("history").where("mbid is not null and artist_mbid is not null").join(segments, "listener")
     direct = t.view("layer").select("recording_mbid").distinct().withColumn("d", F.lit(True))
     rows = played.select("sample_id", F.col("mbid").alias("recording_mbid"), F.col("artist_mbid").alias("artist_id")).distinct()
     rows = rows.join(direct, "recording_mbid", "left").withColumn("direct", F.coalesce("d", F.lit(False))).drop("d")
@@ -258,15 +251,15 @@ def all_statuses(t: Tables) -> DataFrame:
     return ls.all_recording_statuses(ls.known_statuses(t.view("recording_state")), jobs)
 
 
-_FRESH = "SELECT kind, target_mbid FROM request EXCEPT SELECT CASE WHEN k < 40 THEN 'recording' ELSE 'artist' END, target_mbid FROM (SELECT DISTINCT k, target_mbid FROM (SELECT k, e.target_mbid FROM event JOIN (SELECT ts, target_mbid, request_id FROM request) e USING (ts)))"
+_QUEUED = "SELECT DISTINCT kind, target_mbid FROM request WHERE ts < TIMESTAMP '2024-01-01 12:00:00'"
 
 
 def _queued(t: Tables) -> DataFrame:
-    rows = t.view("request").select("kind", "target_mbid").where("kind = 'recording'").distinct()
-    return rows.where(F.col("target_mbid") < "8")
+    """Targets asked for before the first noon are queued already."""
+    return t.view("request").where("ts < timestamp '2024-01-01 12:00:00'").select("kind", "target_mbid").distinct()
 
 
-@query("f06_fresh_targets", "SELECT DISTINCT kind, target_mbid FROM request WHERE NOT (kind = 'recording' AND target_mbid < '8')")
+@query("f06_fresh_targets", f"SELECT kind, target_mbid FROM request EXCEPT {_QUEUED}")
 def fresh(t: Tables) -> DataFrame:
     return tb.fresh(t.view("request").select("kind", "target_mbid"), _queued(t), ["kind", "target_mbid"])
 
@@ -278,10 +271,11 @@ def distinct_targets(t: Tables) -> DataFrame:
     return named.dropDuplicates(["request_id", "kind", "target_mbid"])
 
 
-@query("h01_request_units", """
-    WITH q AS (SELECT DISTINCT target_kind AS kind, target_mbid FROM (SELECT 'recording' AS target_kind, target_mbid FROM request WHERE kind = 'recording' AND target_mbid < '8')),
+@query("h01_request_units", f"""
+    WITH q AS ({_QUEUED}),
     firsts AS (SELECT kind, target_mbid, arg_min(request_id, (ts, request_id)) AS request_id FROM request r WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.kind = r.kind AND q.target_mbid = r.target_mbid) GROUP BY 1, 2)
-    SELECT a.request_id, strftime(a.ts, '%Y-%m-%d %H:%M:%S') AS ts, CAST(coalesce(f.u, 0) AS BIGINT) AS fresh_units, CAST((SELECT count(*) FROM q) AS BIGINT) AS backlog_units
+    SELECT a.request_id, strftime(a.ts, '%Y-%m-%d %H:%M:%S') AS ts, CAST(coalesce(f.u, 0) AS BIGINT) AS fresh_units,
+           CAST((SELECT sum(CASE WHEN kind = 'track' THEN 2 ELSE 1 END) FROM q) AS BIGINT) AS backlog_units
     FROM (SELECT request_id, min(ts) AS ts FROM request GROUP BY 1) a
     LEFT JOIN (SELECT request_id, sum(CASE WHEN kind = 'track' THEN 2 ELSE 1 END) AS u FROM firsts GROUP BY 1) f USING (request_id)""")
 def units(t: Tables) -> DataFrame:
@@ -360,7 +354,7 @@ def pinning(t: Tables) -> DataFrame:
 
 @query("d26_recordings_with_evidence", "SELECT CAST(count(DISTINCT recording_mbid) AS BIGINT) AS recordings_with_evidence FROM recording_state WHERE status = 'complete' AND mapped_credit_count > 0")
 def with_evidence(t: Tables) -> DataFrame:
-    rows = t.view("recording_state").withColumn("snapshot_version", F.when(F.col("recording_mbid") < "g", SNAPSHOT))
+    rows = t.view("recording_state").withColumn("snapshot_version", F.lit(SNAPSHOT))
     return ca.recordings_with_evidence(rows, _active(t))
 
 

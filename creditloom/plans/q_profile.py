@@ -16,8 +16,6 @@ from .oracle import big, div, half_up, weight
 from .q_evidence import _served_aliases
 from .registry import query
 
-SEP = "chr(0)"
-
 
 def _tracks(t: Tables) -> DataFrame:
     """Histories with keys; here a track's id already is its recording's."""
