@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 # Play multiplier of each listening period in the example history.
 PERIOD_MULTIPLIERS = {"7day": 1, "1month": 2, "3month": 5, "6month": 8, "12month": 14, "overall": 24}
 
@@ -75,6 +77,22 @@ def request_log_summary(log: DataFrame, accepted: Column) -> DataFrame:
     return per_code.withColumn("accepted_per_second", rate).drop("_micros").join(nearest_rank(log, "code", "latency"), "code", "left")
 
 
+def _take(candidates: DataFrame, selected: DataFrame, room: DataFrame, target: int, per_artist: int, order: list[Column]) -> DataFrame:
+    """Add candidates to a sample: artists without a recording first, none beyond its cap,
+    no more than the sample has room for. Both ranks are bounded, so Spark trims each
+    task's rows before it shuffles them."""
+    open_ = candidates.join(selected.select("sample_id", "recording_mbid"), ["sample_id", "recording_mbid"], "left_anti")
+    by_artist = Window.partitionBy("sample_id", "artist_id").orderBy(*order)
+    capped = open_.withColumn("_i", F.row_number().over(by_artist)).where(F.col("_i") <= per_artist)
+    held = selected.groupBy("sample_id", "artist_id").agg(F.count(F.lit(1)).alias("_n"))
+    counted = capped.join(held, ["sample_id", "artist_id"], "left").withColumn("_i", F.col("_i") + F.coalesce("_n", F.lit(0))).where(F.col("_i") <= per_artist)
+    by_sample = Window.partitionBy("sample_id").orderBy(F.col("_i") > 1, *order)
+    ranked = counted.withColumn("_r", F.row_number().over(by_sample)).where(F.col("_r") <= target)
+    taken = ranked.join(room, "sample_id", "left").where(F.col("_r") <= F.coalesce("_room", F.lit(target)))
+    # The next stage reads the small sample several times; its lineage ends here.
+    return cut_lineage(selected.unionByName(taken.select(*selected.columns)))
+
+
 def example_sample(
     recordings: DataFrame, priority: DataFrame, seed: str, period: str = "overall", target: int = 15, per_artist: int = 3
 ) -> DataFrame:
@@ -82,35 +100,30 @@ def example_sample(
 
     ``recordings`` holds sample_id, recording_mbid, artist_id and direct; ``priority``
     holds the artist ids to include first. Order within a stratum is a digest of seed
-    and id. A priority artist's first recording always enters; direct recordings fill
-    two thirds of the target, the others a third, and either stands in for the other.
-    Every window is trimmed by its rank bound before the shuffle.
+    and id. A priority artist's first recording always enters; direct recordings then
+    fill two thirds of the target, the others the rest, and what is left of either
+    stands in where the other falls short.
     """
+    target = max(5, target)
     # A recording enters once, whoever is named for it.
     unique = recordings.groupBy("sample_id", "recording_mbid").agg(F.min("artist_id").alias("artist_id"), F.bool_or("direct").alias("direct"))
     drawn = unique.withColumn("_h", F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("recording_mbid"))))
-    marked = drawn.join(priority.select("artist_id").distinct().withColumn("_p", F.lit(True)), "artist_id", "left")
-    marked = marked.withColumn("_p", F.coalesce("_p", F.lit(False)))
-    by_artist = Window.partitionBy("sample_id", "artist_id").orderBy(F.desc("direct"), "_h", "recording_mbid")
-    capped = marked.withColumn("_a", F.row_number().over(by_artist)).where(F.col("_a") <= per_artist)
-    first = F.col("_p") & (F.col("_a") == 1)
-    firsts = capped.where(first)
-    rest = capped.where(~first)
-    # New artists come before repeated ones; a priority artist already has a recording.
-    fresh = F.when(F.col("_p"), F.col("_a")).otherwise(F.col("_a") - 1)
-    in_stratum = Window.partitionBy("sample_id", "direct").orderBy(F.least(fresh, F.lit(1)), "_h", "recording_mbid")
-    ranked = rest.withColumn("_s", F.row_number().over(in_stratum)).where(F.col("_s") <= target)
-    taken = firsts.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_taken"))
-    others = capped.where(~F.col("direct")).groupBy("sample_id").agg(F.least(F.count(F.lit(1)), F.lit(target // 3)).alias("_others"))
-    quota = ranked.join(taken, "sample_id", "left").join(others, "sample_id", "left")
-    direct_quota = F.lit(target) - F.coalesce("_others", F.lit(0))
-    room = F.lit(target) - F.coalesce("_taken", F.lit(0))
-    # Direct within its quota goes first, then the others, then direct beyond its quota.
-    tier = F.when(F.col("direct") & (F.col("_s") <= direct_quota), 0).when(~F.col("direct"), 1).otherwise(2)
-    fill = Window.partitionBy("sample_id").orderBy("_tier", "_s")
-    filled = quota.withColumns({"_tier": tier, "_room": room}).withColumn("_f", F.row_number().over(fill)).where(F.col("_f") <= F.col("_room"))
-    columns = ["sample_id", "recording_mbid", "artist_id", "direct", "_p", "_h"]
-    chosen = firsts.select(*columns).unionByName(filled.select(*columns))
-    digit = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
-    plays = F.when(F.col("_p"), F.lit(12)).otherwise(digit % 11 + 2) * PERIOD_MULTIPLIERS[period]
-    return chosen.select("sample_id", "recording_mbid", "artist_id", "direct", plays.cast("bigint").alias("play_count"))
+    first = [F.desc("direct"), F.col("_h"), F.col("recording_mbid")]
+    preferred = drawn.join(priority.select("artist_id").distinct(), "artist_id", "left_semi")
+    by_artist = Window.partitionBy("sample_id", "artist_id").orderBy(*first)
+    columns = ["sample_id", "recording_mbid", "artist_id", "direct", "_h"]
+    selected = preferred.withColumn("_i", F.row_number().over(by_artist)).where(F.col("_i") <= 1).select(*columns)
+    selected = cut_lineage(selected)
+
+    def left(of: DataFrame) -> DataFrame:
+        return of.groupBy("sample_id").agg((F.lit(target) - F.count(F.lit(1))).alias("_room"))
+
+    others = drawn.where(~F.col("direct"))
+    quota = others.groupBy("sample_id").agg((F.lit(target) - F.least(F.count(F.lit(1)), F.lit(target // 3))).alias("_room"))
+    selected = _take(drawn.where("direct"), selected, quota, target, per_artist, first)
+    selected = _take(others, selected, left(selected), target, per_artist, first)
+    selected = _take(drawn, selected, left(selected), target, per_artist, first)
+    known = priority.select("artist_id").distinct().withColumn("_p", F.lit(True))
+    draw = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") % 11 + 2
+    plays = F.when(F.col("_p"), F.lit(12)).otherwise(draw) * PERIOD_MULTIPLIERS[period]
+    return selected.join(known, "artist_id", "left").select("sample_id", "recording_mbid", "artist_id", "direct", plays.cast("bigint").alias("play_count"))

@@ -175,18 +175,27 @@ def request_log(t: Tables) -> DataFrame:
     return rows.withColumn("accepted_per_second", fn.round_half_up(F.col("accepted_per_second"), 6))
 
 
-@query("e12_example_sample", """
+def _take_sql(name: str, pool: str, before: str, room: str) -> str:
+    order = "direct DESC, h, recording_mbid"
+    return f"""{name} AS (SELECT sample_id, recording_mbid, artist_id, direct, h FROM {before} UNION ALL SELECT sample_id, recording_mbid, artist_id, direct, h FROM (
+      SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY i > 1, {order}) AS r FROM (
+        SELECT c.*, row_number() OVER (PARTITION BY c.sample_id, c.artist_id ORDER BY {order}) + coalesce(n.n, 0) AS i
+        FROM (SELECT * FROM drawn d WHERE {pool} AND NOT EXISTS (SELECT 1 FROM {before} b WHERE b.sample_id = d.sample_id AND b.recording_mbid = d.recording_mbid)) c
+        LEFT JOIN (SELECT sample_id, artist_id, count(*) AS n FROM {before} GROUP BY 1, 2) n ON n.sample_id = c.sample_id AND n.artist_id = c.artist_id)
+      WHERE i <= 3) x WHERE r <= coalesce((SELECT {room} AND y.sample_id = x.sample_id), 15))"""
+
+
+@query("e12_example_sample", f"""
     WITH drawn AS (SELECT c_mktsegment AS sample_id, mbid AS recording_mbid, min(artist_mbid) AS artist_id, bool_or(mbid IN (SELECT recording_mbid FROM layer)) AS direct, md5('seed:' || mbid) AS h
                    FROM history JOIN customer ON listener = c_custkey WHERE mbid IS NOT NULL AND artist_mbid IS NOT NULL GROUP BY 1, 2),
-    capped AS (SELECT * FROM (SELECT d.*, q.artist_mbid IS NOT NULL AS p, row_number() OVER (PARTITION BY sample_id, artist_id ORDER BY direct DESC, h, recording_mbid) AS a
-                              FROM drawn d LEFT JOIN (SELECT DISTINCT artist_mbid FROM vocabulary_row WHERE distinct_recordings >= 8) q ON q.artist_mbid = d.artist_id) WHERE a <= 3),
-    firsts AS (SELECT * FROM capped WHERE p AND a = 1),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id, direct ORDER BY least(CASE WHEN p THEN a ELSE a - 1 END, 1), h, recording_mbid) AS s FROM capped WHERE NOT (p AND a = 1)),
-    quota AS (SELECT r.*, 15 - coalesce(f.n, 0) AS room, 15 - coalesce(o.n, 0) AS direct_quota FROM ranked r LEFT JOIN (SELECT sample_id, count(*) AS n FROM firsts GROUP BY 1) f USING (sample_id)
-              LEFT JOIN (SELECT sample_id, least(count(*), 5) AS n FROM capped WHERE NOT direct GROUP BY 1) o USING (sample_id) WHERE s <= 15),
-    filled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY CASE WHEN direct AND s <= direct_quota THEN 0 WHEN NOT direct THEN 1 ELSE 2 END, s) AS f FROM quota) WHERE f <= room)
-    SELECT sample_id, recording_mbid, artist_id, direct, CAST(CASE WHEN p THEN 12 ELSE CAST('0x' || substr(h, 1, 8) AS BIGINT) % 11 + 2 END * 24 AS BIGINT) AS play_count
-    FROM (SELECT sample_id, recording_mbid, artist_id, direct, p, h FROM firsts UNION ALL SELECT sample_id, recording_mbid, artist_id, direct, p, h FROM filled)""")
+    first_pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, artist_id ORDER BY direct DESC, h, recording_mbid) AS i FROM drawn
+                              WHERE artist_id IN (SELECT artist_mbid FROM vocabulary_row WHERE distinct_recordings >= 8)) WHERE i = 1),
+    {_take_sql('stage_a', 'direct', 'first_pick', '15 - least(count(*), 5) FROM drawn y WHERE NOT y.direct')},
+    {_take_sql('stage_b', 'NOT direct', 'stage_a', '15 - count(*) FROM stage_a y WHERE true')},
+    {_take_sql('stage_c', 'true', 'stage_b', '15 - count(*) FROM stage_b y WHERE true')}
+    SELECT sample_id, recording_mbid, artist_id, direct,
+           CAST(CASE WHEN artist_id IN (SELECT artist_mbid FROM vocabulary_row WHERE distinct_recordings >= 8) THEN 12 ELSE CAST('0x' || substr(h, 1, 8) AS BIGINT) % 11 + 2 END * 24 AS BIGINT) AS play_count
+    FROM stage_c""")
 def sample(t: Tables) -> DataFrame:
     segments = t.table("customer").select(F.col("c_custkey").alias("listener"), F.col("c_mktsegment").alias("sample_id"))
     played = t.view("history").where("mbid is not null and artist_mbid is not null").join(segments, "listener")
