@@ -33,11 +33,11 @@ PROFILE_HOSTS = ("www.last.fm", "last.fm")
 
 # White space as the web platform trims it: ASCII, the no-break and wide spaces, the BOM.
 _SPACES = [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
-_SPACE_RUN = "[" + "".join(f"\\x{{{code:X}}}" for code in _SPACES) + "]+"
+_SPACE_CHARS = "".join(map(chr, _SPACES))
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit("".join(map(chr, _SPACES))))
+    return F.btrim(c, F.lit(_SPACE_CHARS))
 
 
 def bounded_text(c: Column, limit: int = 512) -> Column:
@@ -55,7 +55,10 @@ def or_default(c: Column, default: str) -> Column:
 
 def fold_name(c: Column) -> Column:
     """Case- and space-insensitive form of a name."""
-    return F.regexp_replace(strip(F.lower(c)), _SPACE_RUN, " ")
+    # Every kind of space becomes a plain one; only names with a run of them meet a regex.
+    plain = F.translate(F.lower(c), _SPACE_CHARS, " " * len(_SPACE_CHARS))
+    single = F.when(plain.contains("  "), F.regexp_replace(plain, " +", " ")).otherwise(plain)
+    return F.trim(single)
 
 
 def http_url(c: Column, limit: int = 2048) -> Column:

@@ -21,7 +21,8 @@ _SLACK = 1e-9
 def strongest_layers(layers: DataFrame) -> DataFrame:
     """Strongest layer per recording and family: weight, then instrument level, then slug.
 
-    The weight each sound nature gathers in the family rides along.
+    The weight each sound nature gathers, the instruments and the voice mark of the
+    family ride along, so layers are grouped only once.
     """
     weight = F.col("prominence") * confidence_weight(F.col("confidence"))
     best = F.struct(
@@ -29,12 +30,18 @@ def strongest_layers(layers: DataFrame) -> DataFrame:
         confidence_weight(F.col("confidence")).alias("_c"),
     )
     by_nature = [F.sum(F.when(F.col("nature") == n, weight).otherwise(0.0)).alias(n) for n in NATURES]
+    is_instrument = F.col("claim_level") == "instrument"
+    voice = (F.col("family_slug") == "voice") & (F.col("claim_level") == "family") & (F.col("confidence") == "documented")
     return (
         layers.groupBy("recording_mbid", "family_slug")
-        .agg(F.min(best).alias("_b"), F.min("family_name").alias("family_name"), *by_nature)
+        .agg(
+            F.min(best).alias("_b"), F.min("family_name").alias("family_name"), *by_nature,
+            # Bounded by the instruments of one family.
+            F.collect_set(F.when(is_instrument, F.struct("slug", "name"))).alias("instruments"), F.bool_or(voice).alias("voice"),
+        )
         .select(
             "recording_mbid", "family_slug", "family_name", F.col("_b._slug").alias("slug"), (-F.col("_b._w")).alias("weight"),
-            F.col("_b._c").alias("confidence_weight"), *NATURES,
+            F.col("_b._c").alias("confidence_weight"), *NATURES, "instruments", "voice",
         )
     )
 
@@ -46,7 +53,8 @@ def recording_profiles(layers: DataFrame) -> DataFrame:
     known = sum((F.col(n) for n in NATURES), F.lit(0.0))
     family = F.struct("family_slug", "family_name", "weight", "confidence_weight", *NATURES, known.alias("known"))
     per_recording = strongest.groupBy("recording_mbid").agg(
-        F.array_sort(F.collect_list(family)).alias("_families"), F.sum("weight").alias("_total")
+        F.array_sort(F.collect_list(family)).alias("_families"), F.sum("weight").alias("_total"),
+        F.array_sort(F.flatten(F.collect_list("instruments"))).alias("instruments"), F.bool_or("voice").alias("voice"),
     ).where("_total > 0")
 
     def total(value) -> Column:
@@ -55,7 +63,7 @@ def recording_profiles(layers: DataFrame) -> DataFrame:
     shares = [
         total(lambda f, n=n: F.when(f["known"] > 0, f["weight"] * f[n] / f["known"]).otherwise(0.0)).alias(n) for n in NATURES
     ]
-    profile = per_recording.select(
+    return per_recording.select(
         "recording_mbid",
         F.transform(
             "_families",
@@ -66,13 +74,9 @@ def recording_profiles(layers: DataFrame) -> DataFrame:
         ).alias("families"),
         *shares,
         total(lambda f: F.when(f["known"] > 0, f["weight"]).otherwise(0.0)).alias("known"),
+        "instruments",
+        "voice",
     )
-    is_instrument = F.col("claim_level") == "instrument"
-    voice = (F.col("family_slug") == "voice") & (F.col("claim_level") == "family") & (F.col("confidence") == "documented")
-    details = layers.groupBy("recording_mbid").agg(
-        F.array_sort(F.collect_set(F.when(is_instrument, F.struct("slug", "name")))).alias("instruments"), F.bool_or(voice).alias("voice")
-    )
-    return profile.join(details, "recording_mbid")
 
 
 def profile_tracks(tracks: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -151,16 +155,17 @@ def gate(totals: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 
 def family_presence(profiled: DataFrame) -> DataFrame:
-    """Share, evidence count and confidence of each family, ranked by score then slug."""
+    """Share, evidence count and confidence of each family, ranked by score then slug.
+
+    A family has one name in the taxonomy, so the name is a key: as a text minimum it
+    would make Spark sort every played row instead of hashing it.
+    """
     rows = profiled.where("covered").select(*KEYS, "track_key", "play_count", F.inline("families"))
     score = F.col("play_count") * F.col("share")
+    family = [*KEYS, "family_slug", "family_name"]
     # Distinct tracks: rows of one track key merge before they are counted.
-    per_track = rows.groupBy(*KEYS, "family_slug", "track_key").agg(
-        F.sum(score).alias("s"), F.sum(score * F.col("confidence_weight")).alias("c"), F.min("family_name").alias("n")
-    )
-    scores = per_track.groupBy(*KEYS, "family_slug").agg(
-        F.sum("s").alias("score"), F.sum("c").alias("_confident"), F.min("n").alias("family_name"), F.count(F.lit(1)).alias("evidence_count")
-    )
+    per_track = rows.groupBy(*family, "track_key").agg(F.sum(score).alias("s"), F.sum(score * F.col("confidence_weight")).alias("c"))
+    scores = per_track.groupBy(*family).agg(F.sum("s").alias("score"), F.sum("c").alias("_confident"), F.count(F.lit(1)).alias("evidence_count"))
     listener = Window.partitionBy(*KEYS)
     order = listener.orderBy(F.desc(round_half_up(F.col("score"), _TIE)), "family_slug")
     return scores.select(
@@ -205,12 +210,11 @@ def discovery(profiled: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     covered = profiled.where("covered")
     totals = covered.groupBy(*KEYS).agg(F.sum("play_count").alias("_all"))
     rows = covered.select(*KEYS, "artist_key", "track_key", "play_count", F.inline("instruments"))
-    # A track key contains its artist, so counts add up level by level.
-    per_track = rows.groupBy(*KEYS, "slug", "artist_key", "track_key").agg(F.sum("play_count").alias("p"), F.min("name").alias("n"))
-    per_artist = per_track.groupBy(*KEYS, "slug", "artist_key").agg(F.count(F.lit(1)).alias("t"), F.sum("p").alias("p"), F.min("n").alias("n"))
-    counted = per_artist.groupBy(*KEYS, "slug").agg(
-        F.sum("t").alias("tracks"), F.count(F.lit(1)).alias("artists"), F.sum("p").alias("plays"), F.min("n").alias("name")
-    )
+    # A track key contains its artist, so counts add up level by level. A slug has one
+    # name in the taxonomy; as a key it costs no sort.
+    per_track = rows.groupBy(*KEYS, "slug", "name", "artist_key", "track_key").agg(F.sum("play_count").alias("p"))
+    per_artist = per_track.groupBy(*KEYS, "slug", "name", "artist_key").agg(F.count(F.lit(1)).alias("t"), F.sum("p").alias("p"))
+    counted = per_artist.groupBy(*KEYS, "slug", "name").agg(F.sum("t").alias("tracks"), F.count(F.lit(1)).alias("artists"), F.sum("p").alias("plays"))
     share = ratio(F.col("plays"), F.col("_all"))
     eligible = counted.join(totals, KEYS).withColumn("_share", share).where(
         (F.col("tracks") >= policy.discovery_tracks) & (F.col("artists") >= policy.discovery_artists) & (F.col("_share") <= policy.discovery_share)
