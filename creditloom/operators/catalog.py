@@ -102,11 +102,8 @@ def select_translations(requests: DataFrame, publications: DataFrame, translatio
     text = F.struct("locale", "source_revision", "content_revision", "publication_revision", "asset_id", approved.alias("approved"))
     versioned = live.groupBy(*keys).agg(F.max(F.when(F.col("locale") == SOURCE_LOCALE, text)).alias("_source"))
     localized = live.select(*keys, F.col("locale").alias("requested_locale"), text.alias("_wanted"))
-    schema = active.agg(F.max("content_schema_version").alias("_schema")).withColumn("_k", F.lit(1))
-    joined = (
-        requests.join(versioned, keys, "left").join(localized, [*keys, "requested_locale"], "left")
-        .withColumn("_k", F.lit(1)).join(schema, "_k", "left")
-    )
+    schema = active.agg(F.max("content_schema_version"))
+    joined = requests.join(versioned, keys, "left").join(localized, [*keys, "requested_locale"], "left").withColumn("_schema", schema.scalar())
     source_ok = F.coalesce(F.col("_source.approved"), F.lit(False))
     image_ok = F.col("asset_id").isNull() | F.col("_wanted.asset_id").eqNullSafe(F.col("asset_id"))
     wanted_ok = F.coalesce(F.col("_wanted.approved") & (F.col("_wanted.source_revision") == F.col("_source.source_revision")), F.lit(False)) & image_ok
@@ -144,5 +141,5 @@ def translation_coverage(sheets: DataFrame, locales: DataFrame) -> DataFrame:
     sources = good.where(F.col("locale") == SOURCE_LOCALE).select("slug", F.col("source_revision").alias("_current"))
     current = good.join(sources, "slug").where(F.col("source_revision") == F.col("_current"))
     counts = current.groupBy("locale").agg(F.count(F.lit(1)).alias("translated"))
-    total = sources.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
-    return locales.join(counts, "locale", "left").withColumn("_k", F.lit(1)).join(total, "_k").select("locale", F.coalesce("translated", F.lit(0)).alias("translated"), "total")
+    total = sources.agg(F.count(F.lit(1))).scalar().alias("total")
+    return locales.join(counts, "locale", "left").select("locale", F.coalesce("translated", F.lit(0)).alias("translated"), total)

@@ -190,11 +190,9 @@ def request_units(requests: DataFrame, jobs: DataFrame, policy: Policy = DEFAULT
     backlog = jobs.agg(F.coalesce(F.sum(waiting), F.lit(0)).alias("_backlog"))
     used = jobs.groupBy(day_key(F.col("created_at")).alias("day")).agg(F.sum(units(F.col("target_kind"))).alias("_used"))
     rows = asked.join(per_request, "request_id", "left").withColumn("day", day_key(F.col("ts"))).join(used, "day", "left")
-    # One-row frames meet on a constant key.
-    rows = rows.withColumn("_k", F.lit(1)).join(backlog.withColumn("_k", F.lit(1)), "_k").drop("_k")
     return rows.select(
         "request_id", "ts", "day", F.coalesce("fresh_units", F.lit(0)).alias("fresh_units"),
-        F.col("_backlog").alias("backlog_units"), F.coalesce("_used", F.lit(0)).alias("used_units"),
+        backlog.scalar().alias("backlog_units"), F.coalesce("_used", F.lit(0)).alias("used_units"),
     )
 
 

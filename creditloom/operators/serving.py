@@ -254,8 +254,6 @@ def stage_counters(s: Serving) -> DataFrame:
         F.count_if(kept & F.col("qualifying")).alias("qualifying_vocabulary_entries"),
         *_reasons(s.judged_vocabulary, "invalid_vocabulary", "special_artist"),
     )
-    # One-row frames, so a constant key joins them without a cross join.
-    out = evidence.withColumn("_k", F.lit(1))
-    for part in (recordings, aliases, orphans, bad_aliases, vocabulary):
-        out = out.join(part.withColumn("_k", F.lit(1)), "_k")
-    return out.drop("_k")
+    # One row per part, stacked; each count has its one value.
+    stacked = union_all([evidence, recordings, aliases, orphans, bad_aliases, vocabulary])
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
