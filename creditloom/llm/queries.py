@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compression, langid, licenses, mixing, sketch, sql, toxicity
+from . import anchors, bpe, compression, langid, licenses, mixing, sketch, sql, toxicity
 
 
 @dataclass(frozen=True)
@@ -34,5 +34,6 @@ REGISTRY: dict[str, Query] = {
     "op6_toxicity": Query(lambda spark, sf_dir: toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))),
     "op7_quality_rules": Query(documents(compression.judge)),
     "op8_source_mix": Query(documents(mixing.mix), sql.MIX),
+    "op9_substring_dedup": Query(documents(anchors.digests), sql.WINDOWS_13),
     "op10_license_scan": Query(documents(licenses.scan), sql.LICENSES),
 }

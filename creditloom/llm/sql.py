@@ -63,3 +63,20 @@ whole AS (SELECT doc_id, sha256({_canonical('text')}) AS text_digest FROM docume
 SELECT w.doc_id, w.text_digest, k.license_id, coalesce(n.n_notices, 0) AS n_notices, coalesce(n.notices, '') AS notices
 FROM whole w LEFT JOIN known k ON w.text_digest = k.digest LEFT JOIN notices n ON w.doc_id = n.doc_id
 """
+
+WINDOWS_13 = """
+WITH worded AS (
+    SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents
+),
+windows AS (
+    SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS w
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 11, 1))) AS pos FROM worded)
+),
+firsts AS (SELECT w, min(doc_id) AS first_doc FROM windows GROUP BY w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM windows JOIN firsts USING (w) WHERE first_doc < doc_id),
+lost AS (SELECT doc_id, list(pos) AS places FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(w.words) AS n_words, coalesce(len(l.places), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN l.places IS NULL THEN w.words
+              ELSE list_filter(w.words, lambda x, i: NOT list_contains(l.places, i)) END, ' ')) AS kept_sha256
+FROM worded w LEFT JOIN lost l USING (doc_id)
+"""
