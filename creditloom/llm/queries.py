@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, bpe, compression, langid, licenses, mixing, sketch, sql, toxicity
+from . import anchors, bpe, compression, langid, licenses, mixing, sketch, sql, suffixes, toxicity
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,7 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 REGISTRY: dict[str, Query] = {
     "op2_fingerprints": Query(documents(sketch.fingerprint)),
+    "op3_suffix_dedup": Query(documents(suffixes.digests)),
     "op4_language": Query(documents(langid.identify)),
     "op5_byte_bpe": Query(documents(lambda docs: bpe.digests(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN))),
     "op6_toxicity": Query(lambda spark, sf_dir: toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))),
