@@ -117,9 +117,14 @@ class Distinct:
         cuts = np.append(cuts, len(self.keys))
         packed = self.keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
         for bucket, a, b in zip(named.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            out.append((bucket + offset, block, packed[a:b].tobytes(), b"" if owners is None else owners[a:b].astype("<i8").tobytes(), np.packbits(many[a:b]).tobytes()))
+            out.append((bucket + offset, block, packed[a:b].tobytes(), b"" if owners is None else owners[a:b].astype("<i8").tobytes(), (np.packbits(many[a:b]) if many.dtype == bool else many[a:b]).tobytes()))
         return out
 
+    def counted(self, answers: dict[int, bytes]) -> np.ndarray:
+        """The byte told of every distinct key by ``count_answer``."""
+        named = np.unique(self.buckets).tolist()
+        return np.frombuffer(b"".join(answers[b] for b in named), np.uint8) if named else np.zeros(0, np.uint8)
+
     def answered(self, answers: dict[int, bytes], offset: int = 0) -> np.ndarray:
         """The answer to every distinct key."""
         out = np.zeros(len(self.keys), bool)
@@ -130,6 +135,27 @@ class Distinct:
         return out
 
 
+def count_answer(width: int) -> Callable[[pa.Table], pa.Table]:
+    """How many holders each key has over all blocks, up to 255: one byte per key sent.
+
+    The flags of a block are its own counts here, a byte per key.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        blobs, counts = table.column("keys").to_pylist(), table.column("many").to_pylist()
+        sizes = [len(b) // width for b in blobs]
+        keys = np.zeros((sum(sizes), 8), np.uint8)
+        keys[:, :width] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
+        found, group = np.unique(keys.reshape(-1).view("<u8"), return_inverse=True)
+        total = np.bincount(group, np.frombuffer(b"".join(counts), np.uint8), len(found))
+        told = np.minimum(total, 255).astype(np.uint8)[group]
+        cuts = np.cumsum([0, *sizes])
+        bits = [told[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"block": table.column("block").combine_chunks(), "bucket": table.column("bucket").combine_chunks(), "bits": pa.array(bits, pa.binary())})
+
+    return run
+
+
 def answer(width: int, owned: Callable[[int], bool]) -> Callable[[pa.Table], pa.Table]:
     """What a bucket says of each key sent to it.
 

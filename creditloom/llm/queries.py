@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, bpe, compression, langid, licenses, mixing, sketch, sql, suffixes, toxicity
+from . import anchors, bpe, compression, jaccard, langid, licenses, mixing, sketch, sql, suffixes, toxicity
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,7 @@ def documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 REGISTRY: dict[str, Query] = {
+    "op1_jaccard_join": Query(documents(jaccard.match), sql.JACCARD),
     "op2_fingerprints": Query(documents(sketch.fingerprint)),
     "op3_suffix_dedup": Query(documents(suffixes.digests)),
     "op4_language": Query(documents(langid.identify)),

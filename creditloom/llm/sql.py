@@ -80,3 +80,30 @@ SELECT w.doc_id, len(w.words) AS n_words, coalesce(len(l.places), 0) AS n_remove
               ELSE list_filter(w.words, lambda x, i: NOT list_contains(l.places, i)) END, ' ')) AS kept_sha256
 FROM worded w LEFT JOIN lost l USING (doc_id)
 """
+
+JACCARD = """
+WITH RECURSIVE worded AS (
+    SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS words
+    FROM documents
+),
+shingled AS (
+    SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 4], ' ') AS shingle
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS pos FROM worded WHERE len(words) > 0)
+),
+sized AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+    FROM shingled a JOIN shingled b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+),
+links AS (
+    SELECT c.a, c.b FROM common c JOIN sized x ON c.a = x.doc_id JOIN sized y ON c.b = y.doc_id
+    WHERE 100 * c.both >= 75 * (x.n + y.n - c.both)
+),
+reached (doc_id, other) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sized s USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) r USING (doc_id)
+"""
