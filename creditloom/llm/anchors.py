@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .blocks import ANSWERS, BUCKET_KEYS, KEYS, U, Distinct, Rolling, Texts, answer, byte_values, keys_table, lay_out, mix, size_of
+from .blocks import ANSWERS, BLOCK_BYTES, BUCKET_KEYS, KEYS, U, Distinct, Rolling, Texts, answer, byte_values, keys_table, lay_out, mix, size_of
 
 WINDOW = 13
 PERIOD = 7
@@ -87,14 +88,18 @@ def _answers(table: pa.Table, offset: int) -> dict[int, bytes]:
     return {bucket: bits for bucket, bits in pairs if (bucket >= WINDOWS) == (offset > 0)}
 
 
-def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """The carried columns as ``row``, n_words, n_removed and kept_text of every document."""
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, keep_untouched: bool = False, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """The carried columns as ``row``, n_words, n_removed and kept_text of every document.
+
+    Kept words are joined by one space; with ``keep_untouched`` a document that loses no word
+    keeps its text to the letter.
+    """
     carry = docs.columns if carry is None else carry
     carry = [c for c in carry if c != "text"]
     n_bytes = size_of(docs)
-    laid = lay_out(docs, n_bytes, carry)
+    laid = lay_out(docs, n_bytes, carry, block_bytes)
     # A word takes some six bytes; three anchors in seven words.
-    buckets = max(1, n_bytes * 3 // (7 * 6 * BUCKET_KEYS))
+    buckets = max(1, n_bytes * 3 // (7 * 6 * bucket_keys))
 
     def send_anchors(block: pa.Table) -> pa.Table:
         words = Words(Texts(block))
@@ -133,7 +138,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
                 pairs = zip((words.begin[span][keep] - base).tolist(), (words.end[span][keep] - base).tolist(), strict=True)
                 kept.append(b" ".join(raw[a:b] for a, b in pairs).decode())
             else:
-                kept.append(b" ".join(raw.split()).decode())
+                kept.append((raw if keep_untouched else b" ".join(raw.split())).decode())
         return pa.table({"row": texts.row(block), "n_words": pa.array(words.counts), "n_removed": pa.array(lost), "kept_text": pa.array(kept, pa.string())})
 
     def by_block(df: DataFrame):
@@ -143,8 +148,8 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     live = sent.groupBy("bucket").applyInArrow(answer(ANCHOR_BYTES, lambda bucket: False), ANSWERS)
     windows = by_block(laid).cogroup(by_block(live)).applyInArrow(send_windows, KEYS)
     gone = windows.groupBy("bucket").applyInArrow(answer(8, lambda bucket: True), ANSWERS)
-    row = laid.schema["row"].dataType.simpleString()
-    return by_block(laid).cogroup(by_block(live.unionByName(gone))).applyInArrow(cut, f"row {row}, n_words long, n_removed long, kept_text string")
+    schema = T.StructType([laid.schema["row"], *T.StructType.fromDDL("n_words long, n_removed long, kept_text string").fields])
+    return by_block(laid).cogroup(by_block(live.unionByName(gone))).applyInArrow(cut, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -155,17 +160,17 @@ def digests(docs: DataFrame) -> DataFrame:
 def shortened(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with repeated words removed from text, and n_chars counted anew.
 
-    Documents that lose nothing keep their text as it is; documents that lose all words go.
+    Documents that lose nothing keep their text as it is (null becomes empty); one that loses
+    all its words stays, with an empty text.
     """
-    kept = remove_repeats(docs.withColumn("__text", F.col("text")))
-    changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("row.__text"))
-    columns = []
-    for name in docs.columns:
+    cut = remove_repeats(docs, keep_untouched=True)
+
+    def column(name: str):
         if name == "text":
-            columns.append(text.alias("text"))
-        elif name == "n_chars":
-            columns.append(F.when(changed, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-        else:
-            columns.append(F.col(f"row.`{name}`").alias(name))
-    return kept.where(~changed | (F.col("kept_text") != "")).select(*columns)
+            return F.col("kept_text").alias("text")
+        if name == "n_chars":
+            counted = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("row.n_chars"))
+            return counted.cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        return F.col(f"row.`{name}`").alias(name)
+
+    return cut.select(*map(column, docs.columns))

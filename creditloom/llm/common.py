@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A word is a run of anything but space, tab, line feed, vertical tab, form feed, carriage
 # return. ``bytes.split()`` without arguments cuts at exactly these.
@@ -65,7 +66,7 @@ def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int, strata: int,
     return sorted(drawn.collect(), key=lambda r: (str(r[stratum]), *map(str, r)))
 
 
-ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
 
 def map_texts(docs: DataFrame, make: Callable[[], Callable], out: str, carry: tuple[str, ...] = ("doc_id",), texts: tuple[str, ...] = ("text",), rows: int = 1024) -> DataFrame:
@@ -77,8 +78,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable], out: str, carry: tu
     empty ones unless ``fn`` asks for nulls by an attribute ``nulls = True``.
     """
     fields = [tuple(f.split()) for f in out.split(", ")]
-    kept = [docs.schema[c] for c in carry]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` {t}" for n, t in fields])
+    schema = T.StructType([docs.schema[c] for c in carry] + T.StructType.fromDDL(out).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
@@ -88,7 +88,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable], out: str, carry: tu
                 batch = whole.slice(start, rows)
                 lists = [batch.column(t).to_pylist() for t in texts]
                 made = fn(*(lists if nulls else [[x or "" for x in values] for values in lists]))
-                arrays = [batch.column(c) for c in carry] + [pa.array(v, ARROW[t]) for v, (_, t) in zip(made, fields, strict=True)]
+                arrays = [batch.column(c) for c in carry] + [v if isinstance(v, pa.Array) else pa.array(v, ARROW[t]) for v, (_, t) in zip(made, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carry, *(n for n, _ in fields)])
 
     return docs.select(*dict.fromkeys([*carry, *texts])).mapInArrow(run, schema)

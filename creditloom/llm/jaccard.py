@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Words
-from .blocks import ANSWERS, BUCKET_KEYS, KEYS, U, Distinct, Texts, count_answer, keys_table, lay_out, mix, size_of
+from .blocks import ANSWERS, BLOCK_BYTES, BUCKET_KEYS, KEYS, U, Distinct, Texts, count_answer, keys_table, lay_out, mix, size_of
 from .common import checkpoint
 from .graph import components
 
@@ -232,11 +232,11 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """``SETS``: one row per document."""
     n_bytes = size_of(docs)
-    laid = lay_out(docs, n_bytes, ["doc_id"])
-    buckets = max(1, n_bytes // (6 * BUCKET_KEYS))
+    laid = lay_out(docs, n_bytes, ["doc_id"], block_bytes)
+    buckets = max(1, n_bytes // (6 * bucket_keys))
 
     def send(block: pa.Table) -> pa.Table:
         distinct = Sets(block, buckets).distinct
@@ -251,13 +251,13 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return laid.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(judge, SETS)
 
 
-def group_links(sets: DataFrame) -> DataFrame:
+def group_links(sets: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
     """``LINKS`` that connect all linked sets."""
     firsts = sets.where("set_id IS NOT NULL").groupBy(F.col("set_id").alias("first_set")).agg(F.min(F.coalesce("id", F.lit((1 << 63) - 1))).alias("first_id"))
     able = sets.where("tokens IS NOT NULL").select("set_id", "n_shingles", "tokens", "prefix", "home", F.coalesce("id", F.lit((1 << 63) - 1)).alias("first_id"))
     # Of the blocks' first documents, the class's own; equal ids leave equal rows.
     able = able.join(firsts, (F.col("set_id") == F.col("first_set")) & (able["first_id"] == firsts["first_id"]), "left_semi").dropDuplicates(["set_id"])
-    parts = able.groupBy(F.col("home").alias("of")).agg(F.ceil(F.sum("n_shingles") / PART_TOKENS).alias("parts"))
+    parts = able.groupBy(F.col("home").alias("of")).agg(F.ceil(F.sum("n_shingles") / part_tokens).alias("parts"))
     placed = able.join(parts, F.col("home") == F.col("of")).select("set_id", "tokens", "prefix", "home", F.pmod(F.xxhash64("set_id"), F.col("parts")).alias("part"))
     groups = checkpoint(placed.groupBy("home", "part").applyInArrow(split_part, GROUPS))
     star = groups.select(F.explode(F.sequence(F.lit(0), (F.length("set_ids") / 16 - 1).cast("int"))).alias("k"), "set_ids", "star")
@@ -278,10 +278,10 @@ def group_links(sets: DataFrame) -> DataFrame:
     return star.union(bridges).union(between)
 
 
-def match(docs: DataFrame) -> DataFrame:
+def match(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS, part_tokens: int = PART_TOKENS) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    sets = checkpoint(shingle_sets(docs))
-    roots = components(group_links(sets)).withColumnRenamed("root", "found_root")
+    sets = checkpoint(shingle_sets(docs, block_bytes, bucket_keys))
+    roots = components(group_links(sets, part_tokens)).withColumnRenamed("root", "found_root")
     keyed = sets.select("set_id", "id", "n_shingles").join(roots, F.col("set_id") == F.col("node"), "left")
     keyed = keyed.select("id", "n_shingles", F.coalesce("found_root", "set_id").alias("key"))
     least = keyed.where("key IS NOT NULL").groupBy(F.col("key").alias("of")).agg(F.min("id").alias("least_id"))
@@ -296,4 +296,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = match(docs).where("doc_id IS NOT NULL")
     gone = found.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("stays")).where("stays = 0")
-    return docs.join(gone.select("gone_id"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

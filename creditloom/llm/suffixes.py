@@ -31,8 +31,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .blocks import ANSWERS, BUCKET_KEYS, KEYS, U, Distinct, Rolling, Texts, answer, byte_values, keys_table, lay_out, mix, size_of
+from .blocks import ANSWERS, BLOCK_BYTES, BUCKET_KEYS, KEYS, U, Distinct, Rolling, Texts, answer, byte_values, keys_table, lay_out, mix, size_of
 
 LENGTH = 400
 PERIOD = 133
@@ -97,12 +98,12 @@ def _answers(table: pa.Table) -> dict[int, bytes]:
     return dict(zip(table.column("bucket").to_pylist(), table.column("bits").to_pylist(), strict=True))
 
 
-def remove_ties(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def remove_ties(docs: DataFrame, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """The carried columns as ``row``, n_bytes, n_removed, n_spans and kept of every document."""
     carry = [c for c in (docs.columns if carry is None else carry) if c != "text"]
     n_bytes = size_of(docs)
-    laid = lay_out(docs, n_bytes, carry)
-    buckets = max(1, n_bytes * len(COVER) // (PERIOD * BUCKET_KEYS))
+    laid = lay_out(docs, n_bytes, carry, block_bytes)
+    buckets = max(1, n_bytes * len(COVER) // (PERIOD * bucket_keys))
 
     def send_samples(block: pa.Table) -> pa.Table:
         number = block.column("block")[0].as_py()
@@ -150,8 +151,8 @@ def remove_ties(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     ranks = sent.groupBy("bucket").applyInArrow(answer_samples, ANSWERS)
     sorted_ = by_block(laid).cogroup(by_block(ranks)).applyInArrow(send_suffixes, KEYS)
     ties = sorted_.groupBy("bucket").applyInArrow(answer(8, lambda b: False), ANSWERS)
-    row = laid.schema["row"].dataType.simpleString()
-    return by_block(laid).cogroup(by_block(ranks.unionByName(ties))).applyInArrow(cut, f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = T.StructType([laid.schema["row"], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary").fields])
+    return by_block(laid).cogroup(by_block(ranks.unionByName(ties))).applyInArrow(cut, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
