@@ -22,18 +22,20 @@ from array import array
 from hashlib import sha256
 from heapq import heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-CACHE_BYTES = 120_000_000
+CACHE_BYTES = 240_000_000
 PAIRS = 1 << 19
 
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-_BIT = [1 << i for i in range(256)]
+_BIT = [1 << i for i in range(4096)]
 
 
 class Bpe:
@@ -44,6 +46,7 @@ class Bpe:
         self.bytes = {v: k for k, v in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.pairs: dict[int, int] = {}
+        self.words = max(ranks.values()) // 256 + 1
 
     @classmethod
     def load(cls, path: str) -> Bpe:
@@ -72,38 +75,46 @@ class Bpe:
         if known is not None:
             return [known]
         n = len(piece)
-        pairs, bit = self.pairs, _BIT
+        pairs, bit, pair_rank = self.pairs, _BIT, self.pair_rank
         ids = [self.single[b] for b in piece]
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         waiting: list[int] = []  # by position: the rank of the pair that starts there, or -1
-        buckets: dict[int, list[int]] = {}
-        low: dict[int, int] = {}
+        buckets: dict[int, int | list[int]] = {}  # one position, or a heap of them
+        low = [0] * self.words
         top = 0
+        left = ids[0]
         for i in range(n - 1):
-            left, right = ids[i], ids[i + 1]
+            right = ids[i + 1]
             rank = pairs.get(left << 24 | right)
             if rank is None:
-                rank = self.pair_rank(left, right)
+                rank = pair_rank(left, right)
+            left = right
             waiting.append(rank)
-            if rank in buckets:
-                buckets[rank].append(i)  # in order, so each bucket is a heap
-            elif rank >= 0:
-                buckets[rank] = [i]
-                word = rank >> 8
-                low[word] = low.get(word, 0) | bit[rank & 255]
-                top |= 1 << word
+            if rank >= 0:
+                if rank in buckets:
+                    held = buckets[rank]
+                    if type(held) is int:
+                        buckets[rank] = [held, i]
+                    else:
+                        held.append(i)  # in order, so it stays a heap
+                else:
+                    buckets[rank] = i
+                    word = rank >> 8
+                    low[word] |= bit[rank & 255]
+                    top |= bit[word]
         waiting.append(-1)
         while top:
             # Find-first-set on both levels gives the least rank, its heap the leftmost position.
             word = (top & -top).bit_length() - 1
             bits = low[word]
             rank = word << 8 | (bits & -bits).bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
+            i = buckets[rank]
+            if type(i) is not int and len(i) > 1:
+                i = heappop(i)
             else:
-                i = bucket[0]
+                if type(i) is not int:
+                    i = i[0]
                 del buckets[rank]
                 low[word] = bits = bits & (bits - 1)
                 if not bits:
@@ -113,27 +124,36 @@ class Bpe:
             j = after[i]
             ids[i], ids[j], waiting[j] = rank, -1, -1
             k = after[i] = after[j]
-            h = before[i]
-            changed = []
+            waiting[i] = -1
+            # The two pairs that hold the new token wait at i and at h.
+            at, h = i, before[i]
             if k < n:
                 before[k] = i
-                changed.append((i, rank, ids[k]))
+                left, right = rank, ids[k]
+            elif h >= 0:
+                at, left, right, h = h, ids[h], rank, -1
             else:
-                waiting[i] = -1
-            if h >= 0:
-                changed.append((h, ids[h], rank))
-            for at, left, right in changed:
+                break
+            while True:
                 found = pairs.get(left << 24 | right)
                 if found is None:
-                    found = self.pair_rank(left, right)
+                    found = pair_rank(left, right)
                 waiting[at] = found
-                if found in buckets:
-                    heappush(buckets[found], at)
-                elif found >= 0:
-                    buckets[found] = [at]
-                    word = found >> 8
-                    low[word] = low.get(word, 0) | bit[found & 255]
-                    top |= 1 << word
+                if found >= 0:
+                    if found in buckets:
+                        held = buckets[found]
+                        if type(held) is int:
+                            buckets[found] = [held, at] if held < at else [at, held]
+                        else:
+                            heappush(held, at)
+                    else:
+                        buckets[found] = at
+                        word = found >> 8
+                        low[word] |= bit[found & 255]
+                        top |= bit[word]
+                if h < 0:
+                    break
+                at, left, right, h = h, ids[h], rank, -1
         return [t for t in ids if t >= 0]
 
 
@@ -180,18 +200,25 @@ def coder(path: str, pattern: str, limit: int = CACHE_BYTES):
     return encode, decode
 
 
-def encode_table(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and the ids of every text."""
+def encode_table(docs: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, n_tokens and the ids of every text."""
 
     def make():
         encode, _ = coder(path, pattern)
-        return lambda texts: [[encode(text) for text in texts]]
 
-    return map_texts(docs, make, "ids array<long>", rows=256)
+        def run(texts: list[str]):
+            rows = [encode(text) for text in texts]
+            sizes = [len(ids) for ids in rows]
+            values = np.frombuffer(b"".join(ids.tobytes() for ids in rows), np.int32)
+            return [sizes, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values))]
+
+        return run
+
+    return map_texts(docs, make, "n_tokens long, ids array<int>", carry=carry, rows=256)
 
 
-def decode_table(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id and the text of every row of ids; bytes that are no UTF-8 become U+FFFD."""
+def decode_table(encoded: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns and the text of every row of ids; bytes that are no UTF-8 become U+FFFD."""
 
     def make():
         vocabulary = Bpe.load(path).bytes
@@ -201,7 +228,7 @@ def decode_table(encoded: DataFrame, path: str) -> DataFrame:
 
         return run
 
-    return map_texts(encoded, make, "text string", texts=("ids",), rows=256)
+    return map_texts(encoded, make, "text string", carry=carry, texts=("ids",), rows=256)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -209,10 +236,11 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make():
         encode, decode = coder(path, pattern)
+        decimal = {rank: str(rank) for rank in Bpe.load(path).bytes}.__getitem__
 
         def row(text: str):
             ids = encode(text)
-            return len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(decode(ids)).hexdigest()
+            return len(ids), sha256(",".join(map(decimal, ids)).encode()).hexdigest(), sha256(decode(ids)).hexdigest()
 
         return lambda texts: list(zip(*map(row, texts), strict=True))
 
