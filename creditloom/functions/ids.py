@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import strip
+
 __all__ = [
     "canonical_mbid",
     "valid_slug",
@@ -26,12 +28,12 @@ _SLUG = "^[a-z0-9]+(-[a-z0-9]+)*$"
 
 def canonical_mbid(c: Column, strict: bool = False) -> Column:
     """Trimmed lower-case id, or null. ``strict`` also checks version and variant."""
-    text = F.lower(F.trim(c))
+    text = F.lower(strip(c))
     return F.when(text.rlike(_STRICT if strict else _LOOSE), text)
 
 
 def valid_slug(c: Column, limit: int = 80) -> Column:
-    text = F.trim(c)
+    text = strip(c)
     return F.when((F.length(text) <= limit) & text.rlike(_SLUG), text)
 
 
@@ -39,12 +41,12 @@ def shard_width(shards: int) -> int:
     """Hex digits of a shard name; the count must be a power of sixteen."""
     width = (shards.bit_length() - 1) // 4
     if not 1 <= width <= 8 or 16**width != shards:
-        raise ValueError("shard count must be a power of sixteen between 16 and 4294967296")
+        raise ValueError(f"{shards} shards do not make a whole number of hex digits (1 to 8)")
     return width
 
 
 def shard_key(mbid: Column, width: int) -> Column:
-    return F.substring(F.lower(F.trim(mbid)), 1, width)
+    return F.substring(F.lower(strip(mbid)), 1, width)
 
 
 def shard_number(mbid: Column, width: int) -> Column:
@@ -52,7 +54,7 @@ def shard_number(mbid: Column, width: int) -> Column:
 
 
 def performer_identity(artist_mbid: Column, performer: Column) -> Column:
-    by_name = F.concat(F.lit("name:"), F.lower(F.trim(performer)))
+    by_name = F.concat(F.lit("name:"), F.lower(strip(performer)))
     return F.coalesce(F.concat(F.lit("mbid:"), artist_mbid), by_name)
 
 
@@ -83,8 +85,8 @@ def uuid_of(text: Column) -> Column:
 
 def sorted_sources(urls: Column) -> Column:
     """Sorted distinct non-blank URLs."""
-    return F.array_sort(F.array_distinct(F.filter(urls, lambda u: F.trim(u) != "")))
+    return F.array_sort(F.array_distinct(F.filter(urls, lambda u: strip(u) != "")))
 
 
 def first_source(urls: Column) -> Column:
-    return F.array_min(F.filter(urls, lambda u: F.trim(u) != ""))
+    return F.array_min(F.filter(urls, lambda u: strip(u) != ""))

@@ -50,7 +50,7 @@ def bounded_text(c: Column, limit: int = 512) -> Column:
 
 def or_default(c: Column, default: str) -> Column:
     """Trimmed text, or the default when null or blank."""
-    return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(default))
+    return F.coalesce(F.nullif(strip(c), F.lit("")), F.lit(default))
 
 
 def fold_name(c: Column) -> Column:
@@ -135,35 +135,28 @@ def _decompose(text: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def decompose_alias(names: pd.Series) -> pd.Series:
-    """Alias form of any text; Spark has no Unicode decomposition, hence Arrow batches."""
-    return names.map(_decompose, na_action="ignore")
+    """Alias form of any text; Spark has no Unicode decomposition, hence Arrow batches.
+
+    A name that repeats within a batch is decomposed once.
+    """
+    known: dict[str | None, str | None] = {None: None} | {name: _decompose(name) for name in names.dropna().unique()}
+    return pd.Series([known[name] for name in names], dtype=object)
 
 
 def with_normalized_alias(df: DataFrame, source: str, target: str) -> DataFrame:
-    """Add the alias form of a name column.
+    """Add the alias form of a name column: a plain projection, without a join or a shuffle.
 
-    ASCII names never leave the JVM. The others are decomposed once per
-    distinct name and joined back, so a popular name costs one call.
+    ASCII names are normalized in the JVM; Python sees nulls in their place.
     """
     is_ascii = F.col(source).rlike(r"^[\x00-\x7F]*$")
-    decomposed = (
-        df.where(~is_ascii).select(F.col(source).alias("_name")).distinct()
-        .select("_name", decompose_alias("_name").alias("_decomposed"))
-    )
-    return (
-        # Null for ASCII names: they match nothing and stay where they are.
-        df.withColumn("_key", F.when(~is_ascii, F.col(source)))
-        .join(decomposed, F.col("_key") == F.col("_name"), "left")
-        .withColumn(target, F.when(is_ascii, ascii_alias(F.col(source))).otherwise(F.col("_decomposed")))
-        .drop("_key", "_name", "_decomposed")
-    )
+    return df.withColumn(target, F.when(is_ascii, ascii_alias(F.col(source))).otherwise(decompose_alias(F.when(~is_ascii, F.col(source)))))
 
 
 def match_locale(c: Column, supported: tuple[str, ...], fallbacks: dict[str, str]) -> Column:
     """Canonical tag when supported, else the language's fallback, else null."""
-    parts = F.split(F.trim(c), "-")
+    parts = F.split(strip(c), "-")
     tail = F.transform(
-        F.slice(parts, 2, 8),
+        F.slice(parts, F.lit(2), F.size(parts)),
         lambda p: F.when(F.length(p) == 4, F.initcap(p)).when(F.length(p) == 2, F.upper(p)).otherwise(F.lower(p)),
     )
     tag = F.concat_ws("-", F.array(F.lower(F.get(parts, 0))), tail)

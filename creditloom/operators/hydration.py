@@ -69,7 +69,7 @@ def fail_jobs(jobs: DataFrame, now: Column, error: Column, terminal: Column, pol
             "next_attempt_at": F.when(~F.col("_ended"), now + delay),
             "attempts": F.when(F.col("_ended"), F.lit(policy.max_attempts)).otherwise(F.col("attempts")),
             "status": F.lit("failed"),
-            "last_error": F.substring(error, 1, 500),
+            "last_error": error,
             "updated_at": now,
         }
     ).withColumnRenamed("_ended", "terminal")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, FINISHED_STATUSES, PROJECTION_STATUSES, Policy
-from ..functions import canonical_mbid, fold_name
+from ..functions import canonical_mbid, fold_name, strip
 
 KEYS = ["listener", "period"]
 
@@ -13,14 +13,14 @@ KEYS = ["listener", "period"]
 PERIOD_DAYS = {"7day": 7, "1month": 30, "3month": 90, "6month": 180, "12month": 365, "overall": None}
 
 
-def rank_history(plays: DataFrame, tie: str = "mbid", policy: Policy = DEFAULT) -> DataFrame:
-    """Rank by plays and keep the pages a report reads.
+def rank_history(plays: DataFrame, top: int, tie: str = "mbid", policy: Policy = DEFAULT) -> DataFrame:
+    """The ``top`` rows of each listener and period by plays, with rank and page.
 
     The bound on the rank lets Spark trim each listener before the shuffle, so a
     listener with a third of all rows sends at most that many rows per task.
     """
     order = Window.partitionBy(*KEYS).orderBy(F.desc("play_count"), F.asc(tie))
-    ranked = plays.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= policy.max_tracks)
+    ranked = plays.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.withColumn("page", F.ceil(F.col("rank") / policy.page_size).cast("bigint"))
 
 
@@ -102,7 +102,7 @@ def recording_status(has_layers: Column, mbid: Column, status: Column) -> Column
 
 def first_artist_names(tracks: DataFrame) -> DataFrame:
     """Per listener and artist id, the name as spelled on the best-ranked track."""
-    named = tracks.where("artist_mbid is not null").withColumn("artist_mbid", F.lower(F.trim("artist_mbid")))
+    named = tracks.where("artist_mbid is not null").withColumn("artist_mbid", F.lower(strip(F.col("artist_mbid"))))
     return named.groupBy(*KEYS, "artist_mbid").agg(F.min_by("artist", "rank").alias("name"))
 
 

@@ -198,7 +198,9 @@ def split_sheets(sheets: DataFrame) -> dict[str, DataFrame]:
         F.transform("sections", lambda b: F.struct(b["id"].alias("id"), b["kind"].alias("kind"), b["content_type"].alias("content_type"), b["citations"].alias("citations"))).alias("blocks"),
         F.col("image.asset_id").alias("asset_id"),
     )
-    sources = base.select(F.inline("sources")).dropDuplicates(["id"])
+    # Of sheets that describe a source differently, the least description by content.
+    described = base.select(F.inline("sources"))
+    sources = described.groupBy("id").agg(F.min(F.struct(*[c for c in described.columns if c != "id"])).alias("_least")).select("id", "_least.*")
     texts = sheets.select(
         "slug", "locale", "name", "description", "sound_production", "common_roles", "image", "review", "status", "source_revision",
         F.transform("sections", lambda b: F.struct(b["id"].alias("id"), b["text"].alias("text"), b["status"].alias("status"), b["review"].alias("review"))).alias("texts"),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import PLACEHOLDER_ARTIST_MBIDS, PLACEHOLDER_ARTIST_NAMES
-from ..functions import canonical_mbid, or_default, performer_identity, source_url
+from ..functions import canonical_mbid, or_default, performer_identity, source_url, strip
 from ..sources.dump import union_all
 
 CREDIT_IDENTITY = [
@@ -19,11 +19,11 @@ CLAIM_IDENTITY = ["instrument_mbid", "instrument_name", "attributes", "scope", "
 
 def _filled(c: Column) -> Column:
     """Null for blank text."""
-    return F.when(F.trim(c) != "", c)
+    return F.when(strip(c) != "", c)
 
 
 def is_placeholder(artist_mbid: Column, artist_name: Column) -> Column:
-    name = F.coalesce(F.lower(F.trim(artist_name)), F.lit(""))
+    name = F.coalesce(F.lower(strip(artist_name)), F.lit(""))
     return artist_mbid.isin(*PLACEHOLDER_ARTIST_MBIDS) | name.isin(*PLACEHOLDER_ARTIST_NAMES)
 
 
@@ -36,9 +36,9 @@ def judge_evidence(evidence: DataFrame, snapshot_version: str) -> DataFrame:
     foreign = F.coalesce(F.col("snapshot_version"), F.lit("")) != ""
     foreign = foreign & (F.col("snapshot_version") != snapshot_version)
     relation = F.lower(or_default(F.col("relation_type"), "instrument"))
-    name = F.trim("instrument_name")
+    name = strip(F.col("instrument_name"))
     scope = or_default(F.col("scope"), "recording")
-    trimmed = F.filter(F.transform("attributes", lambda a: F.trim(a)), lambda a: a != "")
+    trimmed = F.filter(F.transform("attributes", lambda a: strip(a)), lambda a: a != "")
     attributes = F.array_union(F.coalesce(trimmed, F.array().cast("array<string>")), F.array(name))
     normalized = evidence.select(
         F.when(foreign, F.raise_error(F.concat(F.lit("snapshot mismatch: found "), F.col("snapshot_version"))).cast("string"))
@@ -126,7 +126,7 @@ def servable_aliases(aliases: DataFrame, servable: DataFrame) -> DataFrame:
 
 def unique_aliases(aliases: DataFrame) -> DataFrame:
     """One recording per track; a track with two fails the build."""
-    clash = F.raise_error(F.concat(F.lit("track alias maps to multiple recordings: "), F.col("track_mbid"))).cast("string")
+    clash = F.raise_error(F.concat(F.lit("more than one recording claims track "), F.col("track_mbid"))).cast("string")
     return (
         aliases.groupBy("track_mbid")
         .agg(F.min("recording_mbid").alias("_low"), F.max("recording_mbid").alias("_high"))

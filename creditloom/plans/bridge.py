@@ -154,21 +154,21 @@ BRIDGE: dict[str, str] = {
         FROM event""",
     # Requests: one per user and hour, its targets named by the property.
     "request": f"""
-        SELECT CAST(user_id AS STRING) || ':' || CAST(date_trunc('hour', ts) AS STRING) AS request_id, ts,
+        SELECT CAST(user_id AS STRING) || ':' || CAST(date_trunc('hour', ts) AS STRING) AS request_id, user_id, ts,
                CASE event_type WHEN 'click' THEN 'track' WHEN 'purchase' THEN 'artist' ELSE 'recording' END AS kind,
                {_id('target', 'k')} AS target_mbid
         FROM event""",
     # Evidence as it may arrive: stray case and blanks, missing and unknown values.
     "raw_evidence": f"""
-        SELECT CASE WHEN l_tax > 0.075 THEN 'no-id' ELSE '  ' || upper({_id('recording', 'l_partkey')}) || ' ' END AS recording_mbid,
+        SELECT CASE WHEN l_tax > 0.075 THEN 'no-id' ELSE chr(9) || ' ' || upper({_id('recording', 'l_partkey')}) || chr(160) END AS recording_mbid,
                {_id('artist', 'l_suppkey')} AS artist_mbid,
                CASE WHEN l_linenumber = 7 THEN '' ELSE {_id('instrument', 'l_linenumber')} END AS instrument_mbid,
-               CASE WHEN l_tax > 0.065 THEN '  ' ELSE ' part ' || CAST(l_linenumber AS STRING) END AS instrument_name,
-               CASE WHEN l_quantity > 40 THEN 'solo | guest || solo' ELSE 'solo' END AS attribute_text,
-               CASE l_returnflag WHEN 'A' THEN ' Instrument ' WHEN 'N' THEN '' ELSE 'Vocal' END AS relation_type,
-               CASE l_linenumber WHEN 1 THEN ' release ' WHEN 2 THEN '' WHEN 3 THEN 'track' ELSE 'recording' END AS scope,
-               CASE WHEN l_quantity < 10 THEN ' ' ELSE 'programmed ' END AS production_method,
-               CASE WHEN l_quantity < 5 THEN ' ' ELSE 'Player' END AS performer, 'x' AS original_credit,
+               CASE WHEN l_tax > 0.065 THEN chr(160) || chr(9) ELSE chr(160) || 'part ' || CAST(l_linenumber AS STRING) END AS instrument_name,
+               CASE WHEN l_quantity > 40 THEN 'solo |' || chr(9) || 'guest ||' || chr(160) || ' solo' ELSE 'solo' END AS attribute_text,
+               CASE l_returnflag WHEN 'A' THEN chr(9) || 'Instrument' || chr(160) WHEN 'N' THEN '' ELSE 'Vocal' END AS relation_type,
+               CASE l_linenumber WHEN 1 THEN chr(160) || 'release' || chr(9) WHEN 2 THEN '' WHEN 3 THEN 'track' ELSE 'recording' END AS scope,
+               CASE WHEN l_quantity < 10 THEN chr(9) ELSE 'programmed' || chr(160) END AS production_method,
+               CASE WHEN l_quantity < 5 THEN chr(160) ELSE 'Player' END AS performer, 'x' AS original_credit,
                CASE WHEN l_quantity < 3 THEN '' ELSE 'https://example.org/' || CAST(l_orderkey AS STRING) END AS source_url,
                CASE WHEN l_quantity < 20 THEN '' ELSE '2024-a' END AS snapshot_version
         FROM line""",
@@ -179,8 +179,8 @@ BRIDGE: dict[str, str] = {
                coalesce(l.quality, 0) = 1 AS claim_support_verified
         FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     "citation": """
-        SELECT CAST(doc_id AS STRING) AS block_id, source AS source_id, CAST(NULL AS STRING) AS locator, CAST(NULL AS STRING) AS citation_note
-        FROM {documents} WHERE n_chars > 100""",
+        SELECT CAST(d.doc_id AS STRING) AS block_id, d.source AS source_id, CAST(NULL AS STRING) AS locator, CAST(NULL AS STRING) AS citation_note
+        FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.toxic = 0""",
     "editorial_source": """
         SELECT source AS id, min(lang) AS title, source NOT IN ('src3', 'src8') AS metadata_verified,
                '["A. Writer"]' AS contributors_json

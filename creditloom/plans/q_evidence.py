@@ -145,7 +145,7 @@ def supported(t: Tables) -> DataFrame:
 @query("b02_canonical_ids", """
     SELECT id, CASE WHEN regexp_full_match(u, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') THEN u END AS loose,
            CASE WHEN regexp_full_match(u, '[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}') THEN u END AS strict
-    FROM (SELECT recording_mbid AS id, lower(trim(recording_mbid)) AS u FROM raw_evidence)""")
+    FROM (SELECT recording_mbid AS id, lower(trim(recording_mbid, ' ' || chr(9) || chr(160))) AS u FROM raw_evidence)""")
 def canonical(t: Tables) -> DataFrame:
     c = F.col("id")
     return t.view("raw_evidence").select(F.col("recording_mbid").alias("id")).select("id", fn.canonical_mbid(c).alias("loose"), fn.canonical_mbid(c, True).alias("strict"))
@@ -172,12 +172,12 @@ _JUDGED = """
     SELECT CASE WHEN recording_mbid IS NULL THEN 'invalid_evidence' WHEN relation_type = 'instrument' AND instrument_mbid = '' THEN 'unresolved_instrument'
                 WHEN instrument_name = '' THEN 'invalid_evidence' WHEN scope NOT IN ('recording', 'release') THEN 'invalid_evidence' ELSE 'accepted' END AS outcome,
            relation_type, scope, production_method,
-           array_to_string(list_sort(list_distinct(list_append(list_filter(list_transform(string_split(attribute_text, '|'), lambda x: trim(x)), lambda x: x <> ''), instrument_name))), '|') AS attributes,
-           CAST(count(*) AS BIGINT) AS credits, CAST(count(nullif(trim(performer), '')) AS BIGINT) AS performers, CAST(count(nullif(source_url, '')) AS BIGINT) AS sources
-    FROM (SELECT CASE WHEN trim(recording_mbid) <> 'no-id' THEN lower(trim(recording_mbid)) END AS recording_mbid, instrument_mbid, trim(instrument_name) AS instrument_name, attribute_text,
-                 CASE WHEN trim(relation_type) = '' THEN 'instrument' ELSE lower(trim(relation_type)) END AS relation_type,
-                 CASE WHEN trim(scope) = '' THEN 'recording' ELSE trim(scope) END AS scope,
-                 CASE WHEN trim(production_method) = '' THEN 'performed' ELSE trim(production_method) END AS production_method, performer, source_url FROM raw_evidence)
+           array_to_string(list_sort(list_distinct(list_append(list_filter(list_transform(string_split(attribute_text, '|'), lambda x: trim(x, ' ' || chr(9) || chr(160))), lambda x: x <> ''), instrument_name))), '|') AS attributes,
+           CAST(count(*) AS BIGINT) AS credits, CAST(count(nullif(trim(performer, ' ' || chr(9) || chr(160)), '')) AS BIGINT) AS performers, CAST(count(nullif(source_url, '')) AS BIGINT) AS sources
+    FROM (SELECT CASE WHEN trim(recording_mbid, ' ' || chr(9) || chr(160)) <> 'no-id' THEN lower(trim(recording_mbid, ' ' || chr(9) || chr(160))) END AS recording_mbid, instrument_mbid, trim(instrument_name, ' ' || chr(9) || chr(160)) AS instrument_name, attribute_text,
+                 CASE WHEN trim(relation_type, ' ' || chr(9) || chr(160)) = '' THEN 'instrument' ELSE lower(trim(relation_type, ' ' || chr(9) || chr(160))) END AS relation_type,
+                 CASE WHEN trim(scope, ' ' || chr(9) || chr(160)) = '' THEN 'recording' ELSE trim(scope, ' ' || chr(9) || chr(160)) END AS scope,
+                 CASE WHEN trim(production_method, ' ' || chr(9) || chr(160)) = '' THEN 'performed' ELSE trim(production_method, ' ' || chr(9) || chr(160)) END AS production_method, performer, source_url FROM raw_evidence)
     GROUP BY ALL"""
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from .. import functions as fn
-from ..config import RETRY_DELAYS, SERVING_SCHEMA
+from ..config import DEFAULT, RETRY_DELAYS, SERVING_SCHEMA
 from ..operators import catalog as ca
 from ..operators import hydration as hy
 from ..operators import listening as ls
@@ -141,13 +141,13 @@ def reading_ids(t: Tables) -> DataFrame:
 def ranked_pages(t: Tables) -> DataFrame:
     segments = t.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("listener"))
     plays = t.view("play").join(segments, "o_custkey").groupBy("listener", F.col("l_partkey").alias("item")).agg(F.sum("play_count").alias("play_count"))
-    return ls.rank_history(plays.withColumn("period", F.lit("overall")), tie="item").select(
+    return ls.rank_history(plays.withColumn("period", F.lit("overall")), DEFAULT.max_tracks, tie="item").select(
         "listener", "period", "item", "play_count", F.col("rank").cast("bigint").alias("rank"), "page"
     )
 
 
 _PERIOD_UNION = " UNION ALL ".join(
-    f"SELECT user_id, k, '{name}' AS period FROM event WHERE ts < TIMESTAMP '2024-01-26' {'' if days is None else f'''AND date_diff('day', CAST(ts AS DATE), DATE '2024-01-25') < {days}'''}"
+    f"SELECT user_id, k, '{name}' AS period FROM event {'' if days is None else f'''WHERE date_diff('day', CAST(ts AS DATE), (SELECT max(CAST(ts AS DATE)) FROM event)) < {days}'''}"
     for name, days in ls.PERIOD_DAYS.items()
 )
 
@@ -158,8 +158,9 @@ _PERIOD_UNION = " UNION ALL ".join(
         SELECT user_id AS listener, period, k AS item, CAST(count(*) AS BIGINT) AS play_count FROM ({_PERIOD_UNION}) GROUP BY 1, 2, 3)) WHERE rank <= 200""")
 def top_tracks(t: Tables) -> DataFrame:
     log = t.view("event").select(F.col("user_id").alias("listener"), F.col("k").alias("item"), "ts")
-    plays = ls.plays_in_periods(log, F.to_date(F.lit("2024-01-25")))
-    return ls.rank_history(plays, tie="item").select("listener", "period", "item", "play_count", F.col("rank").cast("bigint").alias("rank"))
+    last_day = t.view("event").agg(F.max(F.to_date("ts"))).scalar()
+    plays = ls.plays_in_periods(log, last_day)
+    return ls.rank_history(plays, DEFAULT.max_tracks, tie="item").select("listener", "period", "item", "play_count", F.col("rank").cast("bigint").alias("rank"))
 
 
 _RANKS = ", ".join(f"list_sort(list(value))[CAST(greatest(1, ceil(count(*) * {p}::DOUBLE)) AS BIGINT)] AS p{round(p * 100)}" for p in (0.5, 0.95, 0.99))
@@ -273,10 +274,9 @@ def fresh(t: Tables) -> DataFrame:
     return tb.fresh(t.view("request").select("kind", "target_mbid"), _queued(t), ["kind", "target_mbid"])
 
 
-@query("f07_distinct_targets", "SELECT DISTINCT request_id, kind, target_mbid FROM (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS request_id, kind, target_mbid FROM (SELECT user_id, e.ts, kind, target_mbid FROM event e JOIN request r ON e.ts = r.ts))")
+@query("f07_distinct_targets", "SELECT DISTINCT user_id || ':' || strftime(ts, '%Y-%m-%d') AS request_id, kind, target_mbid FROM request")
 def distinct_targets(t: Tables) -> DataFrame:
-    rows = t.view("event").select("user_id", "ts").join(t.view("request").select("ts", "kind", "target_mbid"), "ts")
-    named = rows.select(F.concat(F.col("user_id").cast("string"), F.lit(":"), fn.day_key(F.col("ts"))).alias("request_id"), "kind", "target_mbid")
+    named = t.view("request").select(F.concat(F.col("user_id").cast("string"), F.lit(":"), fn.day_key(F.col("ts"))).alias("request_id"), "kind", "target_mbid")
     return named.dropDuplicates(["request_id", "kind", "target_mbid"])
 
 
@@ -423,26 +423,30 @@ def slug_resolution(t: Tables) -> DataFrame:
     return ca.resolve_slugs(t.table("documents").select("doc_id", slug.alias("slug")), t.taxonomy)
 
 
+def _pair():
+    return F.concat_ws("-", "conv_id", F.floor(F.col("turn") / 2).cast("string"))
+
+
 def _translations(t: Tables) -> DataFrame:
-    """A text per conversation turn: the first turn is the source, the second its translation."""
+    """A text per conversation turn: of each pair of turns the first is the source, the second its translation."""
     turns = t.table("conversations")
     good = F.length("text") > 40
-    return turns.where("turn <= 1").select(
-        F.lit("instrument").alias("resource_type"), F.col("conv_id").cast("string").alias("resource_slug"), F.when(F.col("turn") == 0, "pt-BR").otherwise("en-US").alias("locale"),
+    return turns.select(
+        F.lit("instrument").alias("resource_type"), _pair().alias("resource_slug"), F.when(F.col("turn") % 2 == 0, "pt-BR").otherwise("en-US").alias("locale"),
         F.when(F.length("text") > 400, "r2").otherwise("r1").alias("source_revision"), F.md5("text").alias("content_revision"), F.lit("rev").alias("publication_revision"),
         F.when(good, "published").otherwise("draft").alias("status"), F.lit("someone").alias("reviewer"), F.lit("2024-01-01").alias("reviewed_at"), F.lit(None).cast("string").alias("asset_id"),
     )
 
 
 @query("c21_translation_selection", """
-    WITH x AS (SELECT conv_id, turn, md5(text) AS content, CASE WHEN length(text) > 400 THEN 'r2' ELSE 'r1' END AS rev, length(text) > 40 AS ok FROM conversations WHERE turn <= 1)
-    SELECT CAST(c.conv_id AS STRING) AS resource_slug, NOT coalesce(s.ok, false) AS withheld,
+    WITH x AS (SELECT conv_id || '-' || turn // 2 AS slug, turn % 2 AS side, md5(text) AS content, CASE WHEN length(text) > 400 THEN 'r2' ELSE 'r1' END AS rev, length(text) > 40 AS ok FROM conversations)
+    SELECT c.slug AS resource_slug, NOT coalesce(s.ok, false) AS withheld,
            CASE WHEN NOT coalesce(s.ok, false) THEN NULL WHEN coalesce(w.ok AND w.rev = s.rev, false) THEN 'en-US' ELSE 'pt-BR' END AS locale,
            CASE WHEN NOT coalesce(s.ok, false) THEN NULL WHEN coalesce(w.ok AND w.rev = s.rev, false) THEN w.content ELSE s.content END AS content_revision
-    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN x s ON s.conv_id = c.conv_id AND s.turn = 0 LEFT JOIN x w ON w.conv_id = c.conv_id AND w.turn = 1""")
+    FROM (SELECT DISTINCT slug FROM x) c LEFT JOIN x s ON s.slug = c.slug AND s.side = 0 LEFT JOIN x w ON w.slug = c.slug AND w.side = 1""")
 def translations(t: Tables) -> DataFrame:
     requests = t.table("conversations").select(
-        F.lit("instrument").alias("resource_type"), F.col("conv_id").cast("string").alias("resource_slug"), F.lit("en-US").alias("requested_locale"), F.lit(None).cast("string").alias("asset_id")
+        F.lit("instrument").alias("resource_type"), _pair().alias("resource_slug"), F.lit("en-US").alias("requested_locale"), F.lit(None).cast("string").alias("asset_id")
     ).distinct()
     published = t.spark.createDataFrame([("rev", "active", 2)], "revision string, status string, content_schema_version int")
     return ca.select_translations(requests, published, _translations(t)).select("resource_slug", "withheld", "locale", "content_revision")
@@ -453,10 +457,10 @@ def _review(ok) -> F.Column:
 
 
 @query("d27_translation_coverage", """
-    WITH x AS (SELECT conv_id, turn, CASE WHEN length(text) > 400 THEN 'r2' ELSE 'r1' END AS rev FROM conversations WHERE turn <= 1 AND length(text) > 40)
-    SELECT locale, CAST(translated AS BIGINT) AS translated, CAST((SELECT count(*) FROM x WHERE turn = 0) AS BIGINT) AS total FROM (
-      SELECT 'pt-BR' AS locale, (SELECT count(*) FROM x WHERE turn = 0) AS translated
-      UNION ALL SELECT 'en-US', (SELECT count(*) FROM x s JOIN x w ON s.conv_id = w.conv_id AND s.turn = 0 AND w.turn = 1 AND s.rev = w.rev))""")
+    WITH x AS (SELECT conv_id || '-' || turn // 2 AS slug, turn % 2 AS side, CASE WHEN length(text) > 400 THEN 'r2' ELSE 'r1' END AS rev FROM conversations WHERE length(text) > 40)
+    SELECT locale, CAST(translated AS BIGINT) AS translated, CAST((SELECT count(*) FROM x WHERE side = 0) AS BIGINT) AS total FROM (
+      SELECT 'pt-BR' AS locale, (SELECT count(*) FROM x WHERE side = 0) AS translated
+      UNION ALL SELECT 'en-US', (SELECT count(*) FROM x s JOIN x w ON s.slug = w.slug AND s.side = 0 AND w.side = 1 AND s.rev = w.rev))""")
 def coverage(t: Tables) -> DataFrame:
     sheets = _translations(t).select(F.col("resource_slug").alias("slug"), "locale", "status", "source_revision", _review(F.lit(True)).alias("review"))
     locales = t.spark.createDataFrame([("pt-BR",), ("en-US",)], "locale string")
@@ -469,10 +473,10 @@ def latest(t: Tables) -> DataFrame:
 
 
 @query("c22_dangling_and_duplicates", """
-    SELECT 'dangling' AS fault, CAST(count(*) AS BIGINT) AS rows_seen FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 100)
+    SELECT 'dangling' AS fault, CAST(count(*) AS BIGINT) AS rows_seen FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
     UNION ALL SELECT 'duplicate', CAST(count(*) AS BIGINT) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)""")
 def dangling(t: Tables) -> DataFrame:
-    loose = tb.dangling(t.table("labels"), t.table("documents").where("n_chars > 100"), "doc_id", "doc_id").agg(F.count(F.lit(1)).alias("rows_seen"))
+    loose = tb.dangling(t.table("documents").select("doc_id"), t.table("labels"), "doc_id", "doc_id").agg(F.count(F.lit(1)).alias("rows_seen"))
     twice = tb.duplicate_keys(t.table("lineitem"), ["l_orderkey", "l_linenumber"]).agg(F.count(F.lit(1)).alias("rows_seen"))
     return loose.select(F.lit("dangling").alias("fault"), "rows_seen").unionByName(twice.select(F.lit("duplicate").alias("fault"), "rows_seen"))
 

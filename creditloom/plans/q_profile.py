@@ -381,25 +381,36 @@ def views(t: Tables) -> DataFrame:
     return rp.select_views(_coverage(t), _sections(t), _gates(t)).withColumn("available_views", F.array_join("available_views", ","))
 
 
-@query("e09_hydration_targets", f"SELECT listener, period, kind, target_mbid, {big('rank', 'position')} FROM o_targets WHERE position <= 50")
+@query("e09_hydration_targets", f"SELECT listener, period, kind, target_mbid, {big('rank', 'position')} FROM o_targets")
 def targets(t: Tables) -> DataFrame:
     rows = rp.hydration_targets(_with_status(t), _states(t))
     return rows.select("listener", "period", "kind", "target_mbid", F.col("rank").cast("bigint").alias("rank"), F.col("position").cast("bigint").alias("position"))
 
 
+@query("e09_artist_targets", """
+    SELECT listener, period, artist_mbid, rank, row_number() OVER (PARTITION BY listener, period ORDER BY rank, artist_mbid) AS position FROM (
+      SELECT p.listener, p.period, p.artist_mbid, CAST(min(h.rank) AS BIGINT) AS rank FROM o_pending p JOIN history h ON h.listener = p.listener AND h.period = p.period AND h.artist_mbid = p.artist_mbid
+      GROUP BY 1, 2, 3)""")
+def artist_targets(t: Tables) -> DataFrame:
+    rows = rp.artist_targets(t.view("history"), t.view("artist_state"))
+    return rows.select("listener", "period", "artist_mbid", F.col("rank").cast("bigint").alias("rank"), F.col("position").cast("bigint").alias("position"))
+
+
 @query("d25_hydration_summary", """
     SELECT h.listener, h.period, CAST(coalesce(r.n, 0) AS BIGINT) AS pending_recordings, CAST(coalesce(a.n, 0) AS BIGINT) AS pending_artists, CAST(coalesce(r.tracks, 0) AS BIGINT) AS pending_aliases,
            CASE WHEN coalesce(r.n, 0) > 0 OR coalesce(a.n, 0) > 0 THEN 'pending' ELSE 'complete' END AS hydration_status
     FROM (SELECT DISTINCT listener, period FROM history) h
-    LEFT JOIN (SELECT listener, period, count(*) AS n, count(*) FILTER (kind = 'track') AS tracks FROM o_targets WHERE position <= 50 GROUP BY 1, 2) r ON r.listener = h.listener AND r.period = h.period
+    LEFT JOIN (SELECT listener, period, count(*) AS n, count(*) FILTER (kind = 'track') AS tracks FROM o_targets GROUP BY 1, 2) r ON r.listener = h.listener AND r.period = h.period
     LEFT JOIN (SELECT listener, period, count(*) AS n FROM o_pending GROUP BY 1, 2) a ON a.listener = h.listener AND a.period = h.period""")
 def summary(t: Tables) -> DataFrame:
     return rp.hydration_summary(ls.profile_totals(t.view("history")), rp.hydration_targets(_with_status(t), _states(t)), _pending(t))
 
 
 def _reports(t: Tables) -> DataFrame:
-    history = t.view("history").where("rank <= 200")
-    aliases = t.view("history").select(F.lit(None).cast("string").alias("track_mbid"), F.lit(None).cast("string").alias("recording_mbid")).where("false")
+    # A third of the plays name a track; its alias leads to the recording.
+    named = F.when(F.col("mbid").isNotNull() & (F.col("rank") % 3 == 0), F.col("track_mbid")).otherwise(F.col("mbid"))
+    history = t.view("history").withColumn("mbid", named)
+    aliases = t.view("history").where("mbid is not null").select("track_mbid", F.col("mbid").alias("recording_mbid")).distinct()
     evidence = rp.Evidence(aliases, t.view("layer"), _states(t), t.view("artist_state"), t.view("vocabulary_row"))
     return rp.build_reports(history, evidence, SNAPSHOT)
 

@@ -43,7 +43,7 @@ def start_top_tracks(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         per_window = batch.withColumn("period", F.date_format("as_of", "yyyy-MM-dd"))
-        rank_history(per_window, tie=item, policy=policy).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rank_history(per_window, policy.max_tracks, tie=item, policy=policy).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     writer = plays.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 minutes")).start()
