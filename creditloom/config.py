@@ -94,8 +94,9 @@ class Policy:
     max_pending_units: int = 720
     daily_new_units: int = 360
 
-    max_shard_bytes: int = 262_144
-    max_shard_decoded_bytes: int = 1_048_576
+    # Sizes a document and a nested list aim at. Beyond them they go on in numbered parts.
+    shard_part_bytes: int = 1_048_576
+    list_part_rows: int = 1_000
 
     @property
     def max_tracks(self) -> int:

@@ -200,17 +200,25 @@ def budget_ledger(usage: DataFrame, key: Column, limit: int, order: tuple[str, .
     """Running usage per period and whether each reservation still fits its limit.
 
     ``usage`` holds ts, an order column and units. Refused reservations stay charged,
-    so the running sum is one prefix sum. It is taken in two levels, hours then rows
-    within an hour, so a busy day does not fall to a single task.
+    so the running sum is one prefix sum. It is taken in three levels: hours of a period,
+    seconds of an hour, rows of a second. The first two are summed before they are shuffled,
+    so a task holds no more than one second's rows of a busy hour.
     """
-    keyed = usage.withColumns({"period": key, "_hour": F.date_trunc("hour", "ts")})
-    hours = keyed.groupBy("period", "_hour").agg(F.sum("units").alias("_u"))
-    before = Window.partitionBy("period").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hours.select("period", "_hour", F.coalesce(F.sum("_u").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("period", "_hour").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = keyed.withColumn("_within", F.sum("units").over(within)).join(offsets, ["period", "_hour"])
+    keyed = usage.withColumns({"period": key, "_hour": F.date_trunc("hour", "ts"), "_second": F.date_trunc("second", "ts")})
+    seconds = keyed.groupBy("period", "_hour", "_second").agg(F.sum("units").alias("_u"))
+    hours = seconds.groupBy("period", "_hour").agg(F.sum("_u").alias("_h"))
+
+    def earlier(value: str, within: list[str], by: str) -> Column:
+        before = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(before), F.lit(0))
+
+    hours = hours.select("period", "_hour", earlier("_h", ["period"], "_hour").alias("_hours"))
+    seconds = seconds.select("period", "_hour", "_second", earlier("_u", ["period", "_hour"], "_second").alias("_seconds"))
+    offsets = seconds.join(hours, ["period", "_hour"]).select("period", "_second", (F.col("_hours") + F.col("_seconds")).alias("_before"))
+    within = Window.partitionBy("period", "_second").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = keyed.withColumn("_within", F.sum("units").over(within)).join(offsets, ["period", "_second"])
     total = F.col("_before") + F.col("_within")
-    return running.withColumns({"charged": total, "admitted": total <= F.lit(limit)}).drop("_hour", "_before", "_within")
+    return running.withColumns({"charged": total, "admitted": total <= F.lit(limit)}).drop("_hour", "_second", "_before", "_within")
 
 
 def budget_summary(usage: DataFrame, key: Column, limit: int) -> DataFrame:

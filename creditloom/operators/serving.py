@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import PLACEHOLDER_ARTIST_MBIDS, PLACEHOLDER_ARTIST_NAMES
-from ..functions import canonical_mbid, or_default, performer_identity, source_url, strip
+from ..config import DEFAULT, PLACEHOLDER_ARTIST_MBIDS, PLACEHOLDER_ARTIST_NAMES, Policy
+from ..functions import canonical_mbid, content_digest, or_default, performer_identity, source_url, strip
 from ..sources.dump import union_all
 
 CREDIT_IDENTITY = [
@@ -158,27 +158,34 @@ def dedupe_vocabulary(vocabulary: DataFrame) -> DataFrame:
     return best.select("artist_mbid", "instrument_mbid", "_best.*")
 
 
-def recording_documents(claims: DataFrame, sources: DataFrame) -> DataFrame:
-    """(key, value) rows for the recording shards; sizes are capped by the shard writer."""
-    keys = ["recording_mbid", *CLAIM_IDENTITY]
-    # Claim keys hold nulls, so the list is built by grouping rather than by a join.
-    merged = union_all([claims.select(*keys, "credit_count", "performer_count"), sources.select(*keys, F.col("source_url").alias("_source"))])
-    claim = merged.groupBy(*keys).agg(
-        F.max("credit_count").alias("credit_count"),
-        F.max("performer_count").alias("performer_count"),
-        F.array_sort(F.collect_set("_source")).alias("_sources"),
-    ).where("credit_count is not null")
+def recording_documents(claims: DataFrame, sources: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """(key, value) rows for the recording shards, each with lists of bounded length.
+
+    Sources and claims are counted while they are flat. A claim with very many sources is
+    listed once per part of them; a recording with very many claims goes on under its id, a
+    hash sign and the number of the part. Readers put parts together again.
+    """
+    identity = ["recording_mbid", *CLAIM_IDENTITY]
+    keyed = claims.withColumn("_k", content_digest(*identity))
+    loose = sources.select(content_digest(*identity).alias("_k"), "source_url").distinct()
+    lists = F.ceil(F.count(F.lit(1)) / policy.list_part_rows).cast("bigint")
+    loose = loose.join(loose.groupBy("_k").agg(lists.alias("_lists")), "_k").withColumn("_list", F.pmod(F.xxhash64("source_url"), F.col("_lists")))
+    listed = loose.groupBy("_k", "_list").agg(F.array_sort(F.collect_list("source_url")).alias("_sources"))
+    flat = keyed.join(listed, "_k", "left")
+    pieces = flat.groupBy("recording_mbid").agg(lists.alias("_pieces"))
+    flat = flat.join(pieces, "recording_mbid").withColumn("_piece", F.pmod(F.xxhash64("_k", "_list"), F.col("_pieces")))
     value = F.struct(
         "instrument_mbid", "instrument_name", "attributes", "scope",
-        F.get("_sources", 0).alias("source_url"),
+        F.get("_sources", F.lit(0)).alias("source_url"),
         F.when(F.size("_sources") > 1, F.col("_sources")).alias("source_urls"),
         "relation_type", "production_method", "credit_count", "performer_count",
     )
-    order = ["instrument_mbid", "instrument_name", "scope", "relation_type", "production_method", "attributes"]
-    keyed = claim.select("recording_mbid", F.struct(*order, value.alias("claim")).alias("_c"))
-    lists = keyed.groupBy("recording_mbid").agg(F.transform(F.array_sort(F.collect_list("_c")), lambda c: c["claim"]).alias("claims"))
+    order = ["instrument_mbid", "instrument_name", "scope", "relation_type", "production_method", "attributes", "_list"]
+    gathered = flat.select("recording_mbid", "_piece", F.struct(*order, value.alias("claim")).alias("_c")).groupBy("recording_mbid", "_piece")
+    documents = gathered.agg(F.transform(F.array_sort(F.collect_list("_c")), lambda c: c["claim"]).alias("claims"))
     url = source_url("recording", F.col("recording_mbid")).alias("source_url")
-    return lists.select(F.col("recording_mbid").alias("key"), F.struct("recording_mbid", url, "claims").alias("value"))
+    name = F.when(F.col("_piece") == 0, F.col("recording_mbid")).otherwise(F.concat_ws("#", "recording_mbid", "_piece"))
+    return documents.select(name.alias("key"), F.struct("recording_mbid", url, "claims").alias("value"))
 
 
 def artist_documents(vocabulary: DataFrame) -> DataFrame:

@@ -40,24 +40,35 @@ def layer_reach(tracks: DataFrame, direct: DataFrame, release: DataFrame, recurr
     return flagged.rollup(cohort).agg(*measures)
 
 
-def nearest_rank(rows: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99), width: float = 1.0) -> DataFrame:
+def nearest_rank(rows: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99), fanout: int = 1024, levels: int = 2) -> DataFrame:
     """Exact nearest-rank percentiles per group.
 
-    Values are counted, then buckets; only the bucket that holds a rank is ordered
-    value by value. No task sees all values of a group.
+    Values are counted first. Each level cuts the range that holds a rank into ``fanout``
+    buckets of equal width and keeps the one bucket with the rank, so a window sees at most
+    ``fanout`` rows per rank, whatever the range of the values. The last window orders the
+    distinct values of a bucket whose width is the range over ``fanout ** levels``.
     """
+    v = F.col("_v")
     counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    bucketed = counts.withColumn("_b", F.floor(F.col("_v") / width))
-    buckets = bucketed.groupBy(group, "_b").agg(F.sum("_n").alias("_n"))
-    listing = Window.partitionBy(group)
-    through = F.sum("_n").over(listing.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sized = buckets.select(group, "_b", through.alias("_through"), F.sum("_n").over(listing).alias("_all"), "_n")
+    whole = counts.groupBy(group).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"))
     ranks = F.array(*[F.struct(F.lit(p).alias("_p"), F.greatest(F.lit(1), F.ceil(F.col("_all") * F.lit(p))).alias("_rank")) for p in shares])
-    hit = sized.select(group, "_b", (F.col("_through") - F.col("_n")).alias("_before"), "_through", F.inline(ranks)).where("_rank > _before and _rank <= _through")
-    inside = bucketed.join(hit, [group, "_b"])
-    run = F.sum("_n").over(Window.partitionBy(group, "_b", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = inside.withColumn("_run", run + F.col("_before")).where("_run >= _rank").groupBy(group, "_p").agg(F.min("_v").alias("_v"))
-    named = [F.max(F.when(F.col("_p") == p, F.col("_v"))).alias(f"p{round(p * 100)}") for p in shares]
+    sought = whole.select(group, "_low", "_high", F.lit(0).cast("bigint").alias("_before"), F.inline(ranks))
+    held = counts
+    for _ in range(levels):
+        step = (F.col("_high") - F.col("_low")) / F.lit(float(fanout))
+        at = F.when(step > 0, F.least(F.floor((v - F.col("_low")) / step), F.lit(fanout - 1))).otherwise(0)
+        keys = [group] + [c for c in ("_p",) if c in held.columns]
+        placed = held.join(sought, keys).withColumn("_b", at)
+        buckets = placed.groupBy(group, "_p", "_rank", "_before", "_b").agg(F.sum("_n").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        through = F.sum("_n").over(Window.partitionBy(group, "_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_before")
+        summed = buckets.withColumn("_through", through).where("_rank > _through - _n and _rank <= _through")
+        sought = summed.select(group, "_p", "_rank", "_low", "_high", (F.col("_through") - F.col("_n")).alias("_before"))
+        bounds = sought.select(group, "_p", F.col("_low").alias("_from"), F.col("_high").alias("_to"))
+        held = held.join(bounds, keys).where("_v between _from and _to").select(group, "_p", "_v", "_n")
+    run = F.sum("_n").over(Window.partitionBy(group, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = held.join(sought.select(group, "_p", "_rank", "_before"), [group, "_p"])
+    found = last.withColumn("_run", run + F.col("_before")).where("_run >= _rank").groupBy(group, "_p").agg(F.min("_v").alias("_v"))
+    named = [F.max(F.when(F.col("_p") == p, v)).alias(f"p{round(p * 100)}") for p in shares]
     return found.groupBy(group).agg(*named)
 
 

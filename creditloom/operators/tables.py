@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``new`` insert or replace rows of ``old`` with the same key.
+    """Rows of ``new`` insert or replace rows of ``old`` with the same key, by one full join.
 
     Columns named in ``keep`` retain the old value on replacement, as a created_at
     does. ``new`` must be unique on its keys. Upserting twice changes nothing.
     """
-    rest = old.join(new.select(*keys), keys, "left_anti")
-    if keep:
-        prior = old.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in keep])
-        new = new.join(prior, keys, "left").select(
-            *[F.coalesce(f"_old_{c}", c).alias(c) if c in keep else F.col(c) for c in new.columns]
-        )
-    return rest.unionByName(new, allowMissingColumns=True)
+    before = old.select(*[F.col(c).alias(f"_old_{c}") for c in old.columns], F.lit(True).alias("_was"))
+    after = new.select("*", F.lit(True).alias("_is"))
+    same = [after[k] == before[f"_old_{k}"] for k in keys]
+    joined = before.join(after, same, "full")
+
+    def value(c: str) -> Column:
+        ours = F.col(c) if c in new.columns else F.lit(None)
+        theirs = F.col(f"_old_{c}") if c in old.columns else F.lit(None)
+        return F.when(F.col("_is"), F.coalesce(theirs, ours) if c in keep else ours).otherwise(theirs).alias(c)
+
+    return joined.select(*map(value, [*old.columns, *(c for c in new.columns if c not in old.columns)]))
 
 
 def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

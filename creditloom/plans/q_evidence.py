@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import functions as fn
-from ..config import DEFAULT
+from ..config import DEFAULT, SERVING_SCHEMA
 from ..operators import evidence as ev
 from ..operators import mapping as mp
 from ..operators import serving as sv
-from ..schemas import DUMP_TABLES
+from ..schemas import DUMP_TABLES, SHARDS
 from ..sources import dump as dp
 from ..sources import history as hi
-from ..sources.sinks import shard_documents, table_stats_frame
+from ..sources.sinks import manifest_gate, open_documents, shard_documents, table_stats_frame
 from .bridge import SNAPSHOT, Tables
 from .oracle import _method
 from .registry import query
@@ -99,7 +99,58 @@ def digest(t: Tables) -> DataFrame:
 def shards(t: Tables) -> DataFrame:
     docs = shard_documents(sv.alias_documents(_served_aliases(t)), "track", SNAPSHOT, 3)
     keys = F.map_keys("aliases")
-    return docs.select("shard", F.size("aliases").cast("bigint").alias("aliases"), F.array_min(keys).alias("first_track"), F.array_max(keys).alias("last_track"))
+    return docs.groupBy("shard").agg(
+        F.sum(F.size("aliases")).alias("aliases"), F.min(F.array_min(keys)).alias("first_track"), F.max(F.array_max(keys)).alias("last_track")
+    )
+
+
+@query("a09_shard_read", """
+    SELECT 'track' AS kind, track_mbid AS key, min(recording_mbid) AS value FROM o_alias WHERE recording_mbid IN (SELECT recording_mbid FROM o_evidence) GROUP BY track_mbid
+    UNION ALL SELECT 'recording', recording_mbid, CAST(count(*) AS STRING) FROM o_claims GROUP BY recording_mbid""")
+def shard_read(t: Tables) -> DataFrame:
+    """Documents as text, parsed and opened again."""
+    def reopened(rows: DataFrame, kind: str) -> DataFrame:
+        text = shard_documents(rows, kind, SNAPSHOT, 2).select("shard", F.to_json(F.struct("*")).alias("line"))
+        docs = text.select(F.col("shard").alias("_folder"), F.from_json("line", SHARDS[kind]).alias("d")).select("_folder", "d.*")
+        return open_documents(docs, kind, SNAPSHOT)
+
+    tracks = reopened(sv.alias_documents(_served_aliases(t)), "track").select(F.lit("track").alias("kind"), "key", "value")
+    recordings = reopened(sv.recording_documents(_claims(t), sv.claim_sources(_evidence(t))), "recording")
+    claims = F.size("value.claims").cast("string").alias("value")
+    return tracks.unionByName(recordings.select(F.lit("recording").alias("kind"), "key", claims))
+
+
+@query("a03_dump_discovery", r"""
+    SELECT regexp_replace(regexp_extract(url, '[^/]*$'), '\.(bz2|gz|tsv|txt)$', '') AS name, min(url) AS path FROM (
+      SELECT url || CASE WHEN length(html) > 4000 THEN '.gz' WHEN length(html) > 3000 THEN '.tsv' ELSE '' END AS url FROM pages) GROUP BY 1""")
+def discovery(t: Tables) -> DataFrame:
+    size = F.length("html")
+    ending = F.when(size > 4000, ".gz").when(size > 3000, ".tsv").otherwise("")
+    return dp.least_paths(t.table("pages").select(F.concat("url", ending).alias("path")))
+
+
+@query("a10_manifest_gate", f"""
+    SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'unsupported schema: old' WHEN o_orderpriority LIKE '1%' THEN 'snapshot mismatch: found 2023-z, requested {SNAPSHOT}' END AS fault FROM orders""")
+def manifest(t: Tables) -> DataFrame:
+    rows = t.table("orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "O", "old").otherwise(SERVING_SCHEMA).alias("schema_version"),
+        F.when(F.col("o_orderpriority").startswith("1"), "2023-z").otherwise(SNAPSHOT).alias("snapshot_version"),
+    )
+    return manifest_gate(rows, SERVING_SCHEMA, SNAPSHOT).select("o_orderkey", "fault")
+
+
+@query("a13_reference_dimensions", """
+    SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'drums' WHEN 1 THEN 'cello' WHEN 2 THEN 'cello' END AS instrument_slug,
+           CASE p_size % 4 WHEN 0 THEN 'percussion' WHEN 1 THEN 'bowed-strings' WHEN 2 THEN 'bowed-strings' END AS family_slug,
+           CASE p_size % 4 WHEN 0 THEN 'acoustic' WHEN 1 THEN 'acoustic' WHEN 2 THEN 'acoustic' END AS family_nature FROM part""")
+def dimensions(t: Tables) -> DataFrame:
+    """Parts named by alias, by external id, by both and by neither."""
+    kind = F.col("p_size") % 4
+    rows = t.table("part").select(
+        "p_partkey", F.when(kind == 0, "Drums (drum set)").when(kind == 2, "Drum kit").otherwise("kazoo").alias("instrument_name"),
+        F.when(kind.isin(1, 2), "e0000004-0000-4000-8000-000000000004").alias("instrument_mbid"),
+    )
+    return mp.resolve(rows, t.taxonomy).join(t.taxonomy.families, "family_slug", "left").select("p_partkey", "instrument_slug", "family_slug", "family_nature")
 
 
 @query("a11_history_pages", """

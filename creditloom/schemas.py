@@ -91,7 +91,7 @@ ARTIST_ENTRY = (
     "instrument_mbid string, instrument_name string, distinct_recordings bigint, "
     "documented_recordings bigint, prevalence double, qualifying boolean"
 )
-_ENVELOPE = "schema_version string, snapshot_version string, shard string, "
+_ENVELOPE = "schema_version string, snapshot_version string, shard string, part bigint, parts bigint, "
 SHARDS = {
     "recording": (
         _ENVELOPE + "records map<string, struct<recording_mbid: string, source_url: string, "

@@ -79,8 +79,12 @@ def table_name(path: Column) -> Column:
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """(name, path) of the dump tables under a folder; the least path wins."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    named = files.select(table_name(F.col("path")).alias("name"), "path")
-    return named.where(F.col("name").isin(*DUMP_TABLES)).groupBy("name").agg(F.min("path").alias("path"))
+    return least_paths(files).where(F.col("name").isin(*DUMP_TABLES))
+
+
+def least_paths(files: DataFrame) -> DataFrame:
+    """(name, path): of the files that bear a table's name, the least path."""
+    return files.select(table_name(F.col("path")).alias("name"), "path").groupBy("name").agg(F.min("path").alias("path"))
 
 
 def read_dump(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -104,15 +104,25 @@ def write_manifest(
     return digest
 
 
+def manifest_gate(manifests: DataFrame, schema_version: str, snapshot_version: str) -> DataFrame:
+    """Manifests with the fault that keeps each from being used; null for none."""
+    fault = F.when(
+        ~F.col("schema_version").eqNullSafe(schema_version), F.concat(F.lit("unsupported schema: "), F.coalesce("schema_version", F.lit("none")))
+    ).when(
+        ~F.col("snapshot_version").eqNullSafe(snapshot_version),
+        F.concat(F.lit("snapshot mismatch: found "), F.coalesce("snapshot_version", F.lit("none")), F.lit(f", requested {snapshot_version}")),
+    )
+    return manifests.withColumn("fault", fault)
+
+
 def read_manifest(spark: SparkSession, path: str, schema_version: str, snapshot_version: str) -> dict:
     """The manifest, or an error when its schema or snapshot is another one."""
-    row = spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(path).first()
+    manifests = spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(path)
+    row = manifest_gate(manifests, schema_version, snapshot_version).first()
     if row is None:
         raise ValueError(f"no manifest in {path}")
-    if row["schema_version"] != schema_version:
-        raise ValueError(f"unsupported schema: {row['schema_version']}")
-    if row["snapshot_version"] != snapshot_version:
-        raise ValueError(f"snapshot mismatch: found {row['snapshot_version']}, requested {snapshot_version}")
+    if row["fault"] is not None:
+        raise ValueError(row["fault"])
     return row.asDict(recursive=True)
 
 
@@ -121,42 +131,29 @@ _MAPS = {"recording": "records", "track": "aliases", "artist": "artists"}
 
 
 def shard_documents(rows: DataFrame, kind: str, snapshot_version: str, width: int, policy: Policy = DEFAULT) -> DataFrame:
-    """Keyed rows (key, value) to one document per hex prefix.
+    """Keyed rows (key, value) to documents per hex prefix, in numbered parts.
 
-    A document is a unit readers load whole, so its size is capped. The sizes are
-    summed first and joined back: an oversized shard fails before any of its rows
-    is gathered, and the remedy is a wider prefix.
+    A document is a unit readers load whole. The flat rows are sized first; a shard above
+    the size of one part is dealt out to as many parts as it needs, by key, before any row
+    is gathered. No shard is too large.
     """
     sized = rows.select(
         shard_key(F.col("key"), width).alias("shard"), "key", "value",
         F.octet_length(F.to_json(F.struct("key", "value"))).cast("bigint").alias("_bytes"),
     )
-    totals = sized.groupBy("shard").agg(F.sum("_bytes").alias("_total"))
-    message = F.concat(F.lit("shard over the decoded size cap: "), F.col("shard"))
-    fits = totals.select(
-        "shard",
-        F.when(F.col("_total") <= policy.max_shard_decoded_bytes, F.lit(True))
-        .otherwise(F.raise_error(message).cast("boolean")).alias("_fits"),
-    ).where("_fits")
+    totals = sized.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum("_bytes") / F.lit(policy.shard_part_bytes))).cast("bigint").alias("parts"))
+    placed = sized.drop("_bytes").join(totals, "shard").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
     entries = F.array_sort(F.collect_list(F.struct("key", "value")))
-    return (
-        sized.join(fits, "shard", "left_semi")
-        .groupBy("shard")
-        .agg(F.map_from_entries(entries).alias(_MAPS[kind]))
-        .select(
-            F.lit(SERVING_SCHEMA).alias("schema_version"),
-            F.lit(snapshot_version).alias("snapshot_version"),
-            "shard",
-            _MAPS[kind],
-        )
+    return placed.groupBy("shard", "part", "parts").agg(F.map_from_entries(entries).alias(_MAPS[kind])).select(
+        F.lit(SERVING_SCHEMA).alias("schema_version"), F.lit(snapshot_version).alias("snapshot_version"), "shard", "part", "parts", _MAPS[kind]
     )
 
 
 def write_shards(documents: DataFrame, path: str) -> None:
-    """One gzip JSON file per shard under ``key=<shard>`` folders."""
+    """Gzip JSON documents, one line each, under ``key=<shard>`` folders; parts spread over tasks."""
     (
         documents.withColumn("key", F.col("shard"))
-        .repartition("key")
+        .repartition("key", "part")
         .write.mode("errorifexists")
         .partitionBy("key")
         .option("compression", "gzip")
@@ -199,18 +196,14 @@ def valid_value(kind: str, value: Column) -> Column:
     return F.coalesce(key.isNotNull() & rows.isNotNull() & F.forall(rows, check), F.lit(False))
 
 
-def read_shards(
-    spark: SparkSession, path: str, kind: str, snapshot_version: str, shards: list[str] | None = None, policy: Policy = DEFAULT
-) -> DataFrame:
-    """(key, value) rows of the named shards (all when none are named), every envelope checked."""
-    docs = spark.read.schema(SHARDS[kind]).option("mode", "FAILFAST").json(path)
-    docs = docs.select("*", F.element_at(F.split(F.regexp_extract("_metadata.file_path", "key=([^/]+)/", 1), "/"), 1).alias("_folder"),
-                       F.col("_metadata.file_size").alias("_size"))
-    if shards is not None:
-        docs = docs.where(F.col("_folder").isin(*shards))
+def open_documents(docs: DataFrame, kind: str, snapshot_version: str) -> DataFrame:
+    """(key, value) rows of parsed documents; ``_folder`` names the shard they were found under.
+
+    A document of another schema, snapshot or folder, or with an invalid row, fails the read.
+    Documents of any size are read.
+    """
     fault = (
-        F.when(F.col("_size") > policy.max_shard_bytes, "shard over the compressed size cap")
-        .when(~F.col("schema_version").eqNullSafe(SERVING_SCHEMA), "unsupported schema")
+        F.when(~F.col("schema_version").eqNullSafe(SERVING_SCHEMA), "unsupported schema")
         .when(~F.col("snapshot_version").eqNullSafe(snapshot_version), "snapshot mismatch")
         .when(~F.col("shard").eqNullSafe(F.col("_folder")), "shard name mismatch")
         .when(F.col(_MAPS[kind]).isNull(), "no map of rows")
@@ -221,3 +214,12 @@ def read_shards(
     ok = F.col("key").startswith(F.col("shard")) & valid_value(kind, F.col("value"))
     bad = F.raise_error(F.concat(F.lit("invalid row in shard "), F.col("shard"))).cast("string")
     return rows.withColumn("key", F.when(ok, F.col("key")).otherwise(bad)).drop("shard")
+
+
+def read_shards(spark: SparkSession, path: str, kind: str, snapshot_version: str, shards: list[str] | None = None) -> DataFrame:
+    """(key, value) rows of the named shards (all when none are named), every envelope checked."""
+    docs = spark.read.schema(SHARDS[kind]).option("mode", "FAILFAST").json(path)
+    docs = docs.select("*", F.element_at(F.split(F.regexp_extract("_metadata.file_path", "key=([^/]+)/", 1), "/"), 1).alias("_folder"))
+    if shards is not None:
+        docs = docs.where(F.col("_folder").isin(*shards))
+    return open_documents(docs, kind, snapshot_version)

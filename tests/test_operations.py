@@ -53,7 +53,7 @@ def test_eligible_jobs(spark):
 def test_failures_and_deferral(spark):
     df = jobs(spark, job(1, "processing", 1), job(2, "processing", 5), job(3, "processing", 3, kind="artist"))
     got = {r["id"]: r for r in hy.fail_jobs(df, now(), F.lit("x" * 900), F.col("target_kind") == "artist").collect()}
-    assert got[1]["next_attempt_at"] == NOW + timedelta(seconds=60) and not got[1]["terminal"] and len(got[1]["last_error"]) == 500
+    assert got[1]["next_attempt_at"] == NOW + timedelta(seconds=60) and not got[1]["terminal"] and len(got[1]["last_error"]) == 900
     assert got[2]["terminal"] and got[2]["next_attempt_at"] is None and got[3]["terminal"] and got[3]["attempts"] == 5
     back = {r["id"]: (r["status"], r["attempts"], r["next_attempt_at"]) for r in hy.defer_jobs(df, now(), "budget").collect()}
     assert back[1] == ("pending", 0, NOW + timedelta(minutes=2))
@@ -291,3 +291,25 @@ def test_translation_needs_current_source_and_image(spark):
     asks = spark.createDataFrame([("instrument", s, "en-US", "i") for s in "abcde"], "resource_type string, resource_slug string, requested_locale string, asset_id string")
     got = {r["resource_slug"]: (r["withheld"], r["locale"]) for r in ca.select_translations(asks, pubs, texts).collect()}
     assert got == {"a": (False, "en-US"), "b": (False, "pt-BR"), "c": (True, None), "d": (False, "pt-BR"), "e": (True, None)}
+
+
+def test_all_rows_in_one_hour_and_one_bucket(spark):
+    import random
+
+    from creditloom.operators import studies as st
+
+    rng = random.Random(5)
+    rows = [(k, datetime(2024, 1, 3, 7, rng.randrange(60), rng.randrange(60)), rng.randrange(9), 1e6 + rng.random() * 1e-3) for k in range(3000)]
+    usage = spark.createDataFrame(rows, "event_id long, ts timestamp, units long, value double")
+    charged, total = {}, 0
+    for k, _, units, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        total += units
+        charged[k] = total
+    got = hy.budget_ledger(usage, F.date_format("ts", "yyyy-MM"), total // 2)
+    assert {r["event_id"]: r["charged"] for r in got.collect()} == charged
+    assert "_hour" not in got.columns
+    values = sorted(r[3] for r in rows)
+    picked = st.nearest_rank(usage.withColumn("g", F.lit("all")), "g", "value").first()
+    assert [picked["p50"], picked["p95"], picked["p99"]] == [values[1499], values[2849], values[2969]]
+    same = st.nearest_rank(usage.select(F.lit("g").alias("g"), F.lit(4.0).alias("value")), "g", "value").first()
+    assert [same["p50"], same["p99"]] == [4.0, 4.0]

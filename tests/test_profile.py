@@ -135,9 +135,9 @@ def test_pairs_against_brute_force(spark):
 
 def test_rank_history_pages(spark):
     plays = spark.createDataFrame([("u", "overall", i // 2, f"m{i:03d}") for i in range(230)], "listener string, period string, play_count bigint, mbid string")
-    got = ls.rank_history(plays).orderBy("rank").collect()
+    got = ls.rank_history(plays, 200).orderBy("rank").collect()
     assert len(got) == 200 and got[0]["mbid"] == "m228" and [got[i]["page"] for i in (0, 49, 50, 199)] == [1, 1, 2, 4]
-    plan = ls.rank_history(plays)._jdf.queryExecution().executedPlan().toString()
+    plan = ls.rank_history(plays, 200)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
@@ -218,6 +218,7 @@ def test_hydration_targets_are_unique_ordered_and_capped(spark):
     h = [("u", "overall", i + 1, f"t{i}", "A", 1, ident(i % 60), None, None, None, ident(i % 60), "pending_enrichment") for i in range(61)]
     tracks = spark.createDataFrame(h, HISTORY + ", recording_mbid string, recording_status string")
     statuses = spark.createDataFrame([(ident(1), "pending")], "recording_mbid string, status string")
-    got = rp.hydration_targets(tracks, statuses).orderBy("position").collect()
+    assert rp.hydration_targets(tracks, statuses).count() == 60
+    got = rp.hydration_targets(tracks, statuses, 50).orderBy("position").collect()
     assert [r["target_mbid"] for r in got] == [ident(i) for i in range(50)]
     assert [r["kind"] for r in got[:3]] == ["track", "recording", "track"]

@@ -130,14 +130,35 @@ def test_build_end_to_end(spark, tmp_path):
         sk.read_shards(spark, f"{at['serving']}/shards/tracks", "track", "v2").collect()
 
 
-def test_shard_size_cap(spark):
+def test_shards_of_any_size(spark, tmp_path):
     from creditloom.config import Policy
 
     rows = spark.createDataFrame([("ab1", "x" * 50), ("ab2", "y" * 50)], "key string, value string")
     assert sk.shard_documents(rows, "track", "v", 2).count() == 1
-    with pytest.raises(Exception, match="decoded size cap"):
-        sk.shard_documents(rows, "track", "v", 2, Policy(max_shard_decoded_bytes=100)).collect()
-    assert sk.shard_documents(rows, "track", "v", 3, Policy(max_shard_decoded_bytes=100)).count() == 2
+    assert {r["parts"] for r in sk.shard_documents(rows, "track", "v", 2, Policy(shard_part_bytes=100)).collect()} == {2}
+    many = spark.range(50_000).select(F.concat(F.lit("ab"), F.md5(F.col("id").cast("string"))).alias("key"), F.lit("z" * 40).alias("value"))
+    docs = sk.shard_documents(many, "track", "v", 2)
+    parts = docs.select("part", "parts", F.size("aliases").alias("n")).collect()
+    assert len(parts) == parts[0]["parts"] > 3 and sum(r["n"] for r in parts) == 50_000
+    path = str(tmp_path / "shards")
+    sk.write_shards(docs, path)
+    assert sk.read_shards(spark, path, "track", "v", ["ab"]).select("key").distinct().count() == 50_000
+
+
+def test_recording_documents_go_on_in_parts(spark):
+    from creditloom.config import Policy
+    from creditloom.operators import serving as sv
+
+    claim = (ident(2), "Piano", ["Piano"], "recording", "instrument", "performed")
+    names = "recording_mbid string, instrument_mbid string, instrument_name string, attributes array<string>, scope string, relation_type string, production_method string"
+    claims = spark.createDataFrame([(ident(1), *claim, 3, 2), (ident(1), None, *claim[1:], 1, 1)], names + ", credit_count bigint, performer_count bigint")
+    sources = spark.createDataFrame([(ident(1), *claim, f"https://example.org/{k}") for k in range(95)], names + ", source_url string")
+    whole = sv.recording_documents(claims, sources).collect()
+    assert len(whole) == 1 and [len(c["source_urls"] or []) for c in whole[0]["value"]["claims"]] == [0, 95]
+    got = sv.recording_documents(claims, sources, Policy(list_part_rows=10)).collect()
+    urls = [u for r in got for c in r["value"]["claims"] for u in (c["source_urls"] or [c["source_url"]]) if u]
+    assert len(got) > 1 and sorted(urls) == sorted(f"https://example.org/{k}" for k in range(95))
+    assert len({r["key"] for r in got}) == len(got) and {r["key"].split("#")[0] for r in got} == {ident(1)}
 
 
 def test_digest_ignores_order_and_partitions(spark):
