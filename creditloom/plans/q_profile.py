@@ -260,7 +260,7 @@ def _pending(t: Tables) -> DataFrame:
 
 
 def _gates(t: Tables) -> DataFrame:
-    return t.built("gates", lambda t: vo.vocabulary_gate(_plays(t), _rows(t), _pending(t), _scores(t)))
+    return t.built("gates", lambda t: vo.vocabulary_gate(_plays(t), _rows(t), t.view("artist_state")))
 
 
 @query("b10_valid_vocabulary", """
@@ -314,13 +314,17 @@ def reach(t: Tables) -> DataFrame:
 @query("d20_family_scores", f"""
     SELECT f.listener, f.period, CAST(row_number() OVER (PARTITION BY f.listener, f.period ORDER BY {half_up('f.s', 9)} DESC, f.family_slug) AS BIGINT) AS family_rank, f.family_slug, i.family_name,
            {half_up('f.s', 6)} AS score, {half_up(div('f.s', 'sum(f.s) OVER (PARTITION BY f.listener, f.period)'), 6)} AS share, {half_up('i.p', 4)} AS prevalence,
-           f.supporting_artists, i.unique_instruments
+           f.supporting_artists, i.unique_instruments, i.instruments
     FROM (SELECT listener, period, family_slug, sum(score) AS s, count(*) AS supporting_artists FROM o_scores GROUP BY 1, 2, 3) f
-    JOIN (SELECT s.listener, s.period, s.family_slug, max(r.prevalence) AS p, count(DISTINCT r.instrument_slug) AS unique_instruments, min(r.family_name) AS family_name
-          FROM o_scores s JOIN o_rows r ON r.artist_mbid = s.artist_mbid AND r.family_slug = s.family_slug GROUP BY 1, 2, 3) i
+    JOIN (SELECT listener, period, family_slug, max(p) AS p, count(*) AS unique_instruments, min(family_name) AS family_name,
+                 string_agg(instrument_slug || ':' || documented, ',' ORDER BY instrument_slug) AS instruments
+          FROM (SELECT s.listener, s.period, s.family_slug, r.instrument_slug, max(r.prevalence) AS p, min(r.family_name) AS family_name,
+                       arg_min(r.documented_recordings, (-r.prevalence, r.artist_mbid)) AS documented
+                FROM o_scores s JOIN o_rows r ON r.artist_mbid = s.artist_mbid AND r.family_slug = s.family_slug GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) i
       ON i.listener = f.listener AND i.period = f.period AND i.family_slug = f.family_slug""")
 def family_scores(t: Tables) -> DataFrame:
-    return vo.family_scores(_scores(t), _rows(t)).withColumn("family_rank", F.col("family_rank").cast("bigint"))
+    listed = F.array_join(F.transform("instruments", lambda i: F.concat_ws(":", i["instrument_slug"], i["documented_recordings"])), ",")
+    return vo.family_scores(_scores(t), _rows(t)).withColumns({"family_rank": F.col("family_rank").cast("bigint"), "instruments": listed})
 
 
 @query("d21_concentration", f"SELECT listener, period, {half_up('concentration', 6)} AS concentration FROM o_concentration")

@@ -184,10 +184,11 @@ def test_vocabulary_scores(spark):
     ],
 )
 def test_vocabulary_gate(spark, listens, qualified, pending, status, reason):
-    rows = vocabulary(spark, *[(a, "piano", "keys", 3, 1.0, 1.0) for a in qualified])
-    plays = vo.artist_plays(history(spark, *[("u", *x) for x in listens]))
-    waiting = spark.createDataFrame([("u", "overall", a) for a in pending], "listener string, period string, artist_mbid string")
-    got = vo.vocabulary_gate(plays, rows, waiting, vo.contributions(plays, rows)).first()
+    rows = vocabulary(spark, *[(ident(ord(a)), "piano", "keys", 3, 1.0, 1.0) for a in qualified])
+    plays = vo.artist_plays(history(spark, *[("u", name, n, a and ident(ord(a))) for name, n, a in listens]))
+    ended = [(ident(ord(a)), "complete") for _, _, a in listens if a and a not in pending]
+    statuses = spark.createDataFrame(ended, "artist_mbid string, status string")
+    got = vo.vocabulary_gate(plays, rows, statuses).first()
     assert (got["status"], got["reason"], got["pending_artists"]) == (status, reason, len(pending))
 
 
