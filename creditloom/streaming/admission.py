@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import DEFAULT, Policy
 from ..functions import canonical_mbid, day_key
 from ..operators.hydration import units
+from ..sources.dump import union_all
 
 TARGET = ["kind", "target_mbid"]
 
@@ -140,12 +141,15 @@ def start_admission(
             bad = batch.where(~F.col("ok")).select("request_id").distinct()
             good = batch.join(bad, "request_id", "left_anti")
             jobs = read_jobs(batch.sparkSession)
-            # A micro-batch spans few days.
+            # A micro-batch spans few days. Its jobs are appended once, under its one id.
+            added: list[DataFrame] = []
             for row in good.select(day_key(F.col("ts")).alias("day")).distinct().orderBy("day").collect():
                 admitted = admit(good, jobs, row["day"], policy)
                 if admitted:
-                    append_jobs(admitted_jobs(good, jobs, admitted, snapshot_version), batch_id)
-                    jobs = read_jobs(batch.sparkSession)
+                    added.append(admitted_jobs(good, jobs, admitted, snapshot_version))
+                    jobs = jobs.unionByName(added[-1], allowMissingColumns=True)
+            if added:
+                append_jobs(union_all(added), batch_id)
         finally:
             batch.unpersist()
 

@@ -125,13 +125,17 @@ def test_admission_stream(spark, tmp_path):
     given = [("a", NOW, "track", ident(2)), ("a", NOW, "track", ident(2)), ("b", NOW, "recording", "bad"), ("b", NOW, "recording", ident(3)), ("c", NOW, "recording", ident(1)), ("d", NOW + timedelta(1), "artist", ident(4))]
     spark.createDataFrame(given, schema).write.parquet(source)
 
+    appended = []
+
     def append(new, batch_id):
+        appended.append(batch_id)
         new.write.mode("append").parquet(table)
 
     query = ad.start_admission(spark.readStream.schema(schema).parquet(source), lambda s: s.read.schema(JOB).parquet(table), append, "v", str(tmp_path / "cp"), once=True)
     query.awaitTermination()
     got = {(r["target_kind"], r["target_mbid"], r["shard_key"]) for r in spark.read.parquet(table).where("id <> 1").collect()}
     assert got == {("track", ident(2), "0000"), ("artist", ident(4), "000")}
+    assert len(appended) == len(set(appended))  # two days, one append
 
 
 def test_budget_ledger_is_a_running_sum(spark):
