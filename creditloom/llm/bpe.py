@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 from array import array
+from functools import lru_cache
 from hashlib import sha256
 from heapq import heappop, heappush
 
@@ -29,13 +30,15 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-CACHE_BYTES = 240_000_000
+CACHE_BYTES = 400_000_000
 PAIRS = 1 << 19
 
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+NONE = 1 << 40  # above every rank
 _BIT = [1 << i for i in range(4096)]
+_COUNT, _BACK = list(range(65)), list(range(-1, 64))
 
 
 class Bpe:
@@ -46,7 +49,7 @@ class Bpe:
         self.bytes = {v: k for k, v in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.pairs: dict[int, int] = {}
-        self.words = max(ranks.values()) // 256 + 1
+        self.of_bytes = [ranks.get(bytes((a, b)), NONE) for a in range(256) for b in range(256)]
 
     @classmethod
     def load(cls, path: str) -> Bpe:
@@ -59,8 +62,8 @@ class Bpe:
         return cls(ranks)
 
     def pair_rank(self, left: int, right: int) -> int:
-        """Rank of the token two neighbours make, -1 for none."""
-        rank = self.ranks.get(self.bytes[left] + self.bytes[right], -1)
+        """Rank of the token two neighbours make, NONE for none."""
+        rank = self.ranks.get(self.bytes[left] + self.bytes[right], NONE)
         if len(self.pairs) < PAIRS:
             self.pairs[left << 24 | right] = rank
         return rank
@@ -69,91 +72,88 @@ class Bpe:
         """Ids of one pre-token.
 
         The queue: ``buckets`` holds list positions by rank. Bit ``rank % 256`` of
-        ``low[rank // 256]`` marks a filled bucket, a bit of ``top`` a word that has bits.
+        ``low[rank // 256]`` marks a filled bucket, a bit of ``top`` a word that has bits. A
+        pair waits in it only while no neighbour pair would be merged before it; the next
+        merge is always such a pair, and a merge lets at most four others in.
         """
         known = self.ranks.get(piece)
         if known is not None:
             return [known]
         n = len(piece)
         pairs, bit, pair_rank = self.pairs, _BIT, self.pair_rank
-        ids = [self.single[b] for b in piece]
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        waiting: list[int] = []  # by position: the rank of the pair that starts there, or -1
-        buckets: dict[int, int | list[int]] = {}  # one position, or a heap of them
-        low = [0] * self.words
+        single = self.single
+        ids = [single[b] for b in piece]
+        after = _COUNT[1 : n + 1] if n < 64 else list(range(1, n + 1))
+        before = _BACK[:n] if n < 64 else list(range(-1, n - 1))
+        # By position: the rank of the pair that starts there, or NONE.
+        of_bytes = self.of_bytes
+        waiting = [of_bytes[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        waiting.append(NONE)
+        entering = [i for i, (a, b, c) in enumerate(zip([NONE, *waiting], waiting, waiting[1:], strict=False)) if a > b <= c]
+        buckets: dict[int, list[int]] = {}  # heaps of positions
+        low: dict[int, int] = {}
         top = 0
-        left = ids[0]
-        for i in range(n - 1):
-            right = ids[i + 1]
-            rank = pairs.get(left << 24 | right)
-            if rank is None:
-                rank = pair_rank(left, right)
-            left = right
-            waiting.append(rank)
-            if rank >= 0:
+        while True:
+            for i in entering:
+                rank = waiting[i]
                 if rank in buckets:
-                    held = buckets[rank]
-                    if type(held) is int:
-                        buckets[rank] = [held, i]
-                    else:
-                        held.append(i)  # in order, so it stays a heap
+                    heappush(buckets[rank], i)
                 else:
-                    buckets[rank] = i
+                    buckets[rank] = [i]
                     word = rank >> 8
-                    low[word] |= bit[rank & 255]
-                    top |= bit[word]
-        waiting.append(-1)
-        while top:
+                    if word in low:
+                        low[word] |= bit[rank & 255]
+                    else:
+                        low[word] = bit[rank & 255]
+                        top |= bit[word]
+            if not top:
+                break
             # Find-first-set on both levels gives the least rank, its heap the leftmost position.
             word = (top & -top).bit_length() - 1
             bits = low[word]
             rank = word << 8 | (bits & -bits).bit_length() - 1
-            i = buckets[rank]
-            if type(i) is not int and len(i) > 1:
-                i = heappop(i)
-            else:
-                if type(i) is not int:
-                    i = i[0]
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
                 del buckets[rank]
-                low[word] = bits = bits & (bits - 1)
-                if not bits:
+                bits &= bits - 1
+                if bits:
+                    low[word] = bits
+                else:
+                    del low[word]
                     top &= top - 1
+            entering = []
             if waiting[i] != rank:
                 continue  # stale: the pair at i has changed since
             j = after[i]
-            ids[i], ids[j], waiting[j] = rank, -1, -1
             k = after[i] = after[j]
-            waiting[i] = -1
-            # The two pairs that hold the new token wait at i and at h.
-            at, h = i, before[i]
+            ids[i], ids[j], waiting[j] = rank, -1, NONE
+            h = before[i]
+            at_k = at_h = NONE
             if k < n:
                 before[k] = i
-                left, right = rank, ids[k]
-            elif h >= 0:
-                at, left, right, h = h, ids[h], rank, -1
+                found = pairs.get(rank << 24 | ids[k])
+                at_i = waiting[i] = pair_rank(rank, ids[k]) if found is None else found
+                at_k = waiting[k]
+                if at_k < at_i and at_k <= waiting[after[k]] if after[k] < n else at_k < at_i:
+                    entering.append(k)
             else:
-                break
-            while True:
-                found = pairs.get(left << 24 | right)
-                if found is None:
-                    found = pair_rank(left, right)
-                waiting[at] = found
-                if found >= 0:
-                    if found in buckets:
-                        held = buckets[found]
-                        if type(held) is int:
-                            buckets[found] = [held, at] if held < at else [at, held]
-                        else:
-                            heappush(held, at)
-                    else:
-                        buckets[found] = at
-                        word = found >> 8
-                        low[word] |= bit[found & 255]
-                        top |= bit[word]
-                if h < 0:
-                    break
-                at, left, right, h = h, ids[h], rank, -1
+                at_i = waiting[i] = NONE
+            if h >= 0:
+                found = pairs.get(ids[h] << 24 | rank)
+                at_h = waiting[h] = pair_rank(ids[h], rank) if found is None else found
+                g = before[h]
+                if g >= 0:
+                    at_g = waiting[g]
+                    if at_h < at_g:
+                        if at_h <= at_i and at_h < NONE:
+                            entering.append(h)
+                    elif at_g < NONE and (before[g] < 0 or at_g < waiting[before[g]]):
+                        entering.append(g)
+                elif at_h <= at_i and at_h < NONE:
+                    entering.append(h)
+            if at_i < at_h and at_i <= at_k:
+                entering.append(i)
         return [t for t in ids if t >= 0]
 
 
@@ -184,10 +184,16 @@ class Memory(dict):
         return packed
 
 
+def by_rank(values: dict) -> list:
+    """A list indexed by rank; ranks not in use hold None."""
+    return [values.get(rank) for rank in range(max(values) + 1)]
+
+
+@lru_cache(maxsize=1)
 def coder(path: str, pattern: str, limit: int = CACHE_BYTES):
-    """encode(text) -> ids, decode(ids) -> bytes."""
+    """encode(text) -> ids, decode(ids) -> bytes. The tasks of a Python worker share one."""
     bpe = Bpe.load(path)
-    memory, pieces, vocabulary = Memory(bpe, limit), regex.compile(pattern), bpe.bytes
+    memory, pieces, vocabulary = Memory(bpe, limit), regex.compile(pattern), by_rank(bpe.bytes)
 
     def encode(text: str) -> array:
         ids = array("i")
@@ -236,7 +242,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make():
         encode, decode = coder(path, pattern)
-        decimal = {rank: str(rank) for rank in Bpe.load(path).bytes}.__getitem__
+        decimal = by_rank({rank: str(rank) for rank in Bpe.load(path).bytes}).__getitem__
 
         def row(text: str):
             ids = encode(text)
