@@ -221,26 +221,19 @@ def recurrence_vocabulary(direct: DataFrame, snapshot_version: str, policy: Poli
     """Per artist and instrument: distinct recordings, their share of the artist's
     documented recordings, and whether the count qualifies.
 
-    Both counts come from one pre-aggregated (artist, recording, instrument) set.
+    Both counts come from one distinct set of (artist, recording, instrument) ids. Texts are
+    joined to the small result: their spellings are made distinct by hashing first, so the
+    greatest spelling is taken of a few rows per artist and instrument.
     """
-    seen = direct.select(
-        "artist", "recording", "artist_mbid", "performer", "instrument_mbid", "instrument_name"
-    ).groupBy("artist", "recording", "instrument_mbid").agg(
-        F.max("artist_mbid").alias("artist_mbid"),
-        F.max("performer").alias("artist_name"),
-        F.max("instrument_name").alias("instrument_name"),
-    )
+    seen = direct.select("artist", "recording", "instrument_mbid").distinct()
     # A null-instrument row documents the recording without adding to any instrument.
-    documented = (
-        seen.groupBy("artist", "recording").agg(F.lit(1).alias("one"))
-        .groupBy("artist").agg(F.count(F.lit(1)).alias("documented_recordings"))
-    )
-    counted = seen.where("instrument_mbid is not null").groupBy("artist", "instrument_mbid").agg(
-        F.count(F.lit(1)).alias("distinct_recordings"),
-        F.max("artist_mbid").alias("artist_mbid"),
-        F.max("artist_name").alias("artist_name"),
-        F.max("instrument_name").alias("instrument_name"),
-    )
+    documented = seen.select("artist", "recording").distinct().groupBy("artist").agg(F.count(F.lit(1)).alias("documented_recordings"))
+    counts = seen.where("instrument_mbid is not null").groupBy("artist", "instrument_mbid").agg(F.count(F.lit(1)).alias("distinct_recordings"))
+    who = direct.select("artist", "artist_mbid", F.col("performer").alias("artist_name")).distinct()
+    who = who.groupBy("artist").agg(F.max("artist_mbid").alias("artist_mbid"), F.max("artist_name").alias("artist_name"))
+    what = direct.where("instrument_mbid is not null").select("instrument_mbid", "instrument_name").distinct()
+    what = what.groupBy("instrument_mbid").agg(F.max("instrument_name").alias("instrument_name"))
+    counted = counts.join(who, "artist").join(what, "instrument_mbid")
     return counted.join(documented, "artist").select(
         "artist_mbid",
         "artist_name",

@@ -18,6 +18,22 @@ _TIE = 6
 _SLACK = 1e-9
 
 
+def with_one_name(layers: DataFrame) -> DataFrame:
+    """Layers with one name per slug, the least of its spellings.
+
+    The pairs of slug and name are made distinct first, so the text minimum sees only as
+    many rows as there are spellings.
+    """
+    def least(slug: str, name: str) -> DataFrame:
+        spellings = layers.select(F.col(slug).alias(f"_{slug}"), F.col(name).alias(f"_{name}")).distinct()
+        return spellings.groupBy(f"_{slug}").agg(F.min(f"_{name}").alias(f"_{name}"))
+
+    named = layers
+    for slug, name in (("family_slug", "family_name"), ("slug", "name")):
+        named = named.join(least(slug, name), F.col(slug) == F.col(f"_{slug}"), "left")
+    return named.withColumns({"family_name": F.coalesce("_family_name", "family_name"), "name": F.coalesce("_name", "name")}).select(*layers.columns)
+
+
 def strongest_layers(layers: DataFrame) -> DataFrame:
     """Strongest layer per recording and family: weight, then instrument level, then slug.
 
@@ -49,7 +65,7 @@ def strongest_layers(layers: DataFrame) -> DataFrame:
 def recording_profiles(layers: DataFrame) -> DataFrame:
     """One row per recording: its families with normalized shares, its share of each
     nature, its instruments. The arrays are bounded by the taxonomy."""
-    strongest = strongest_layers(layers)
+    strongest = strongest_layers(with_one_name(layers))
     known = sum((F.col(n) for n in NATURES), F.lit(0.0))
     family = F.struct("family_slug", "family_name", "weight", "confidence_weight", *NATURES, known.alias("known"))
     per_recording = strongest.groupBy("recording_mbid").agg(
@@ -157,8 +173,8 @@ def gate(totals: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 def family_presence(profiled: DataFrame) -> DataFrame:
     """Share, evidence count and confidence of each family, ranked by score then slug.
 
-    A family has one name in the taxonomy, so the name is a key: as a text minimum it
-    would make Spark sort every played row instead of hashing it.
+    Profiles give a family one name, so the name is a key: as a text minimum it would make
+    Spark sort every played row instead of hashing it.
     """
     rows = profiled.where("covered").select(*KEYS, "track_key", "play_count", F.inline("families"))
     score = F.col("play_count") * F.col("share")
@@ -210,8 +226,8 @@ def discovery(profiled: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     covered = profiled.where("covered")
     totals = covered.groupBy(*KEYS).agg(F.sum("play_count").alias("_all"))
     rows = covered.select(*KEYS, "artist_key", "track_key", "play_count", F.inline("instruments"))
-    # A track key contains its artist, so counts add up level by level. A slug has one
-    # name in the taxonomy; as a key it costs no sort.
+    # A track key contains its artist, so counts add up level by level. Profiles give a
+    # slug one name; as a key it costs no sort.
     per_track = rows.groupBy(*KEYS, "slug", "name", "artist_key", "track_key").agg(F.sum("play_count").alias("p"))
     per_artist = per_track.groupBy(*KEYS, "slug", "name", "artist_key").agg(F.count(F.lit(1)).alias("t"), F.sum("p").alias("p"))
     counted = per_artist.groupBy(*KEYS, "slug", "name").agg(F.sum("t").alias("tracks"), F.count(F.lit(1)).alias("artists"), F.sum("p").alias("plays"))

@@ -196,7 +196,7 @@ def ident(n):
     return f"{n:08d}-1111-4111-8111-111111111111"
 
 
-def test_full_report(spark):
+def test_full_report(spark, tmp_path):
     h = [("u", "overall", i + 1, f"t{i}", f"A{i % 4}", 10 - i, ident(i) if i != 7 else None, ident(100 + i % 4), None, None) for i in range(9)]
     aliases = spark.createDataFrame([(ident(0), ident(50))], "track_mbid string, recording_mbid string")
     layers = [(ident(50 if i == 0 else i), *layer("piano", "acoustic-keys")) for i in range(6)]
@@ -205,12 +205,15 @@ def test_full_report(spark):
     vocab = vocabulary(spark, *[(ident(100 + i), "piano", "acoustic-keys", 3, 1.0, 1.0) for i in range(4)])
     reports = rp.build_reports(spark.createDataFrame(h, HISTORY), rp.Evidence(aliases, spark.createDataFrame(layers, LAYER), statuses, artists, vocab), "v")
     r = rp.with_violations(reports).first()
+    assert r["methodology_version"] and [i["instrument_slug"] for f in r["vocabulary_families"] for i in f["instruments"]] == ["piano"]
     assert r["violations"] == [] and r["tracks_analyzed"] == 9 and r["analysis"]["status"] == "ready"
     c = r["recording_status_counts"]
     assert (c["resolved"], c["unresolved_identity"], c["resolved_without_evidence"], c["pending_enrichment"]) == (6, 1, 1, 1)
     assert r["available_views"] == ["track_palette", "artist_vocabulary"] and r["default_view"] == "track_palette"
     assert (r["hydration"]["pending_recordings"], r["hydration"]["pending_aliases"], r["hydration"]["pending_artists"]) == (1, 1, 1)
     assert [f["name"] for f in r["featured_artists"]] == ["A0", "A1", "A2"] and len(r["recordings"]) == 9
+    stored = rp.build_reports(spark.createDataFrame(h, HISTORY), rp.Evidence(aliases, spark.createDataFrame(layers, LAYER), statuses, artists, vocab), "v", path=str(tmp_path))
+    assert stored.collect() == reports.collect()
     broken = reports.withColumn("period", F.lit("2day"))
     assert rp.with_violations(broken).first()["violations"] == ["period"]
 
@@ -223,3 +226,12 @@ def test_hydration_targets_are_unique_ordered_and_capped(spark):
     got = rp.hydration_targets(tracks, statuses, 50).orderBy("position").collect()
     assert [r["target_mbid"] for r in got] == [ident(i) for i in range(50)]
     assert [r["kind"] for r in got[:3]] == ["track", "recording", "track"]
+
+
+def test_two_spellings_of_a_name_are_one_family(spark):
+    rows = [(ident(i), "piano", "Piano" if i % 2 else "A Piano", "keys", "Keys" if i % 2 else "Clavier", "acoustic", "instrument", "documented", 1.0) for i in range(4)]
+    layers = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4], r[5], r[7], r[8], r[6]) for r in rows], LAYER)
+    h = [("u", "overall", i + 1, f"t{i}", f"A{i}", 10, ident(i), None, None, None) for i in range(4)]
+    tracks = ls.with_keys(spark.createDataFrame(h, HISTORY)).withColumn("recording_mbid", F.col("mbid"))
+    got = fa.family_presence(fa.profile_tracks(tracks, fa.recording_profiles(layers))).collect()
+    assert [(r["family_slug"], r["family_name"], r["evidence_count"], r["share"]) for r in got] == [("keys", "Clavier", 4, 1.0)]
