@@ -257,7 +257,8 @@ def group_links(sets: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
     able = sets.where("tokens IS NOT NULL").select("set_id", "n_shingles", "tokens", "prefix", "home", F.coalesce("id", F.lit((1 << 63) - 1)).alias("first_id"))
     # Of the blocks' first documents, the class's own; equal ids leave equal rows.
     able = able.join(firsts, (F.col("set_id") == F.col("first_set")) & (able["first_id"] == firsts["first_id"]), "left_semi").dropDuplicates(["set_id"])
-    parts = able.groupBy(F.col("home").alias("of")).agg(F.ceil(F.sum("n_shingles") / part_tokens).alias("parts"))
+    # Written, so that Spark can split a home with very many sets in the join.
+    parts = checkpoint(able.groupBy(F.col("home").alias("of")).agg(F.ceil(F.sum("n_shingles") / part_tokens).alias("parts")))
     placed = able.join(parts, F.col("home") == F.col("of")).select("set_id", "tokens", "prefix", "home", F.pmod(F.xxhash64("set_id"), F.col("parts")).alias("part"))
     groups = checkpoint(placed.groupBy("home", "part").applyInArrow(split_part, GROUPS))
     star = groups.select(F.explode(F.sequence(F.lit(0), (F.length("set_ids") / 16 - 1).cast("int"))).alias("k"), "set_ids", "star")
@@ -282,11 +283,14 @@ def match(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BU
     """doc_id, n_shingles, component_id of every document."""
     sets = checkpoint(shingle_sets(docs, block_bytes, bucket_keys))
     roots = components(group_links(sets, part_tokens)).withColumnRenamed("root", "found_root")
-    keyed = sets.select("set_id", "id", "n_shingles").join(roots, F.col("set_id") == F.col("node"), "left")
-    keyed = keyed.select("id", "n_shingles", F.coalesce("found_root", "set_id").alias("key"))
-    least = keyed.where("key IS NOT NULL").groupBy(F.col("key").alias("of")).agg(F.min("id").alias("least_id"))
-    named = keyed.join(least, F.col("key") == F.col("of"), "left")
-    return named.select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("least_id")).alias("component_id"))
+    # Classes first: a set that a third of all documents share is one row here.
+    classes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("id").alias("least_id"))
+    keyed = classes.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least_id", F.coalesce("found_root", "set_id").alias("key"))
+    lowest = keyed.groupBy("key").agg(F.min("least_id").alias("component_id"))
+    # Written, so that the last join is between plain rows and Spark can split a hot set.
+    named = checkpoint(keyed.join(lowest, "key").select(F.col("set_id").alias("of"), "component_id"))
+    labelled = sets.select("set_id", "id", "n_shingles").join(named, F.col("set_id") == F.col("of"), "left")
+    return labelled.select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
