@@ -1,10 +1,14 @@
 """Document fingerprints by invertible Bloom lookup sketches.
 
-A text is cut into paragraphs (at line ends, and long ones at sentence ends). Every paragraph
-digest is added to three cells of a sketch; a cell holds a count, the sum of digests and the
+A text is cut into paragraphs: at line ends and at sentence ends. Those of ``LONG`` words or more
+are cut further, after every word whose hash is less than both neighbours' (some three words
+apiece), and words over ``LONG_WORD`` characters, as of scripts without spaces, after every
+character whose hash is the least within ``REACH``. These places depend on the words around
+them alone, so an edit changes the pieces near it and no others. Every digest of a piece, called
+paragraph below, is added to three cells of a sketch; a cell holds a count, the sum of digests and the
 sum of their check values, all modulo 2**64. Subtracting the sketches of two versions leaves
 only the paragraphs in which they differ, and peeling cells that hold a single digest recovers
-these one by one. Where peeling gets stuck, both sketches are built again at twice the size.
+these one by one. Where peeling gets stuck, both sketches are built again at four times the size.
 Likeness is the Jaccard index of the two multisets of paragraphs, from their sizes and the
 number of digests recovered.
 
@@ -15,7 +19,11 @@ bucket. Everything else runs in Arrow batches.
 
 Edge cases: a null text counts as empty; an empty text has no paragraphs, and two such are
 alike (1). Documents of one doc_id are ordered by text. Null ids come first. A single document
-is its own next. An empty table gives no rows. Other columns are not read.
+is its own next. An empty table gives no rows. Other columns are not read. A paragraph of fewer
+than ``LONG`` words is one piece. A run of one word and a long word that repeats within ``REACH``
+characters have no such place and are one piece in the fingerprints, ``near_edited`` and
+``near_next``; ``runs_edited`` and ``runs_next`` are the same likenesses with runs cut every
+``RUN`` words, and such words every ``LONG_WORD`` characters, from where they begin.
 """
 
 from __future__ import annotations
@@ -23,6 +31,7 @@ from __future__ import annotations
 import base64
 import re
 from hashlib import sha256
+from itertools import pairwise
 
 import numpy as np
 import xxhash
@@ -35,9 +44,15 @@ CELLS = 18
 NEIGHBOURS = 256  # ids of a bucket
 BUCKETS_TOGETHER = 4096
 
-OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, runs_edited double, runs_next double"
 
-_CUT = re.compile(r"\n|(?<=[.!?]) ")
+LONG = 12  # words of a paragraph that is cut further
+LONG_WORD = 24  # characters of a word that is not cut
+RUN = 3
+REACH = 3
+
+_CUT = re.compile(r"\n|(?<=[.!?]) |(?<=[。！？｡])")
+_WORD = re.compile(r"\s*\S+|\s+$")
 _U = np.uint64
 _SALTS = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
 
@@ -48,10 +63,66 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def digests(text: str) -> np.ndarray:
-    """One digest per paragraph that is not blank; repeats of a paragraph differ by their number."""
-    parts = [p for p in _CUT.split(text) if p.strip()]
-    plain = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in parts), _U, len(parts))
+def _word_parts(word: str, runs: bool) -> list[str]:
+    """A long word, cut where a character pair hashes lower than all others within ``REACH``."""
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
+    hashes = _mix(codes[:-1] * _SALTS[0] + codes[1:] * _SALTS[1])
+    padded = np.r_[np.full(REACH, ~_U(0)), hashes, np.full(REACH, _U(0))]  # no cut where the word ends within reach
+    least = np.ones(len(hashes), bool)
+    for k in range(2 * REACH + 1):
+        if k != REACH:
+            least &= hashes < padded[k : k + len(hashes)]
+    cuts = [0, *(np.flatnonzero(least) + 1).tolist(), len(word)]
+    parts = [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [p[k : k + LONG_WORD] for p in parts for k in range(0, len(p), LONG_WORD)] if runs else parts
+
+
+def pieces(paragraph: str, runs: bool = False) -> list[str]:
+    """A paragraph, cut further if it is long; the pieces together are the paragraph."""
+    if len(paragraph) < 2 * LONG - 1:
+        return [paragraph]
+    words = _WORD.findall(paragraph)
+    if len(words) < LONG and max(map(len, words)) <= LONG_WORD:
+        return [paragraph]
+    bare = list(map(str.strip, words))
+    cuts: list[int] = []
+    if len(words) >= LONG:
+        # The word before the first counts as greater than any.
+        hashes = [1 << 64, *map(xxhash.xxh3_64_intdigest, bare)]
+        cuts = [k for k, (a, b, c) in enumerate(zip(hashes, hashes[1:], hashes[2:]), 1) if a > b < c]
+        if runs:
+            same, found = 0, set(cuts)
+            for k, (a, b) in enumerate(pairwise(hashes)):
+                same = same + 1 if a == b else 0
+                if same and same % RUN == 0:
+                    found.add(k)
+            cuts = sorted(found)
+    if max(map(len, bare)) <= LONG_WORD:
+        return ["".join(words[a:b]) for a, b in zip([0, *cuts], [*cuts, len(words)], strict=True)]
+    out, ends = [""], set(cuts)
+    for k, (word, plain) in enumerate(zip(words, bare, strict=True), 1):
+        first, *rest = _word_parts(word, runs) if len(plain) > LONG_WORD else [word]
+        out[-1] += first
+        out += rest
+        if k in ends:
+            out.append("")
+    return [p for p in out if p]
+
+
+def digests(text: str, runs: bool = False, known: dict[str, list[int]] | None = None) -> np.ndarray:
+    """One digest per piece that is not blank; repeats of a piece differ by their number.
+
+    With ``runs``, what has no place to cut is cut every ``RUN`` words or ``LONG_WORD`` characters.
+    ``known`` keeps the digests of paragraphs between calls with equal ``runs``.
+    """
+    known = {} if known is None else known
+    parts: list[int] = []
+    for p in _CUT.split(text):
+        if p.strip():
+            if p not in known:
+                known[p] = list(map(xxhash.xxh3_64_intdigest, pieces(p, runs)))
+            parts += known[p]
+    plain = np.array(parts, _U)
     if len(plain) < 2:
         return plain
     plain.sort()
@@ -136,7 +207,7 @@ def differing(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELL
         for row in np.flatnonzero(empty):
             out[waiting[row]] = keys[cuts[row] : cuts[row + 1]]
         waiting = waiting[~empty]
-        cells *= 2
+        cells *= 4
         # At eight cells a digest only digests that share all their cells fail, and always would.
         for i in [i for i in waiting if cells > 16 * (len(left[i]) + len(right[i])) + 64]:
             out[i] = np.setxor1d(left[i], right[i])
@@ -158,21 +229,34 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def may_run(text: str) -> bool:
+    """Whether ``runs`` may cut a piece of the text."""
+    words = text.split()
+    return b"\1" * RUN in bytes(map(str.__eq__, words, words[1:])) or max(map(len, words), default=0) > LONG_WORD
+
+
 def compare_rows(texts: list[str], following: list[str]) -> list[list]:
     """The columns of ``OUT``."""
     edited = [edited_text(t, f) for t, f in zip(texts, following, strict=True)]
     once: dict[str, np.ndarray] = {}
+    known: dict[str, list[int]] = {}
     for t in (*texts, *edited, *following):
         if t not in once:
-            once[t] = digests(t)
+            once[t] = digests(t, known=known)
     own, new, others = ([once[t] for t in column] for column in (texts, edited, following))
+    near = [likeness(own, new), likeness(own, others)]
+    # Few texts hold a piece that only ``runs`` cuts.
+    finer = {t: digests(t, runs=True) for t in once if may_run(t)}
+    for right, values in ((edited, near[0]), (following, near[1])):
+        at = [k for k, (t, r) in enumerate(zip(texts, right, strict=True)) if t in finer or r in finer]
+        cut = likeness([finer.get(texts[k], once[texts[k]]) for k in at], [finer.get(right[k], once[right[k]]) for k in at])
+        near.append([*map(dict(zip(at, cut, strict=True)).get, range(len(texts)), values)])
     return [
         [len(t) for t in texts],
         [sha256(t.encode()).hexdigest() for t in edited],
         Sketches(own, CELLS).serialized(),
         Sketches(new, CELLS).serialized(),
-        likeness(own, new),
-        likeness(own, others),
+        *near,
     ]
 
 

@@ -86,6 +86,27 @@ def test_fingerprints(frame, odd):
     assert sketch.fingerprint(frame([])).count() == 0
 
 
+def test_fingerprints_of_texts_without_marks():
+    """Half of each text is kept, so its edited text shares pieces; an unrelated text shares none."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmno") for _ in range(7)) for _ in range(5000)]
+    words = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (16, 40, 400, 3000)]
+    signs = ["".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n)) for n in (60, 300, 9000)]
+    stops = ["".join(x + "。" * (k % 9 == 8) for k, x in enumerate(signs[1]))]
+    codes = ["".join(rng.choice("ABCDEFGHIJabcdefghij0123456789+/") for _ in range(n)) for n in (80, 18_000)]
+    tables = ["\t".join(str(rng.randrange(10**6)) for _ in range(200)), " | ".join(rng.choice(vocabulary) for _ in range(90))]
+    for text in [*words, *map(str.upper, words), *signs, *stops, *codes, *tables]:
+        after = " ".join("".join(rng.choice("pqrstuvwxyz") for _ in range(6)) for _ in range(len(text) // 7 + 1))
+        _, _, _, _, (near,), (other,), (runs,), (runs_other,) = sketch.compare_rows([text], [after])
+        assert 0 < near < 0.7 and other == 0 and 0 < runs < 0.7 and runs_other == 0, text[:40]
+        if len(text) > 1000:
+            assert near > 0.25
+        assert "".join(sketch.pieces(text)) == "".join(sketch.pieces(text, True)) == text
+    for text in ("lang " * 3000, "x\t" * 24, "=" * 4000, "字" * 60, "ab" * 300, "so it goes " + "on " * 90):
+        found = sketch.compare_rows([text], ["pqr stuv " * (len(text) // 8)])
+        assert 0.1 < found[6][0] < 0.7 and found[7] == [0], text[:40]
+
+
 def test_peeling_recovers_what_differs():
     rng = np.random.default_rng(5)
     left, right = [], []
