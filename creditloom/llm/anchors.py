@@ -66,21 +66,21 @@ def _anchors(words: Words, rolling: Rolling, buckets: int) -> tuple[np.ndarray,
     return at, Distinct(hashes >> U(64 - 8 * ANCHOR_BYTES), (mix(hashes ^ U(0x5851F42D4C957F2D)) % U(buckets)).astype(np.int64))
 
 
-def _windows(words: Words, rolling: Rolling, at: np.ndarray, live: np.ndarray, owners: np.ndarray, buckets: int) -> tuple[np.ndarray, Distinct]:
+def _windows(words: Words, rolling: Rolling, at: np.ndarray, live: np.ndarray, given: np.ndarray, buckets: int) -> tuple[np.ndarray, Distinct]:
     """Windows that hold a live anchor within their first ``PERIOD`` words."""
     reach = np.zeros(len(words.begin) + 1, np.int64)
     hit = at[live]
     np.add.at(reach, np.maximum(hit - PERIOD + 1, words.first[words.doc[hit]]), 1)
     np.add.at(reach, hit + 1, -1)
     starts = np.flatnonzero((np.cumsum(reach[:-1]) > 0) & (words.left >= WINDOW))
-    starts = starts[owners[words.doc[starts]] >= 0] if len(starts) else starts
+    starts = starts[given[words.doc[starts]]] if len(starts) else starts
     second = words.rolling(1).spans(starts, starts + WINDOW) if len(starts) else np.zeros(0, U)
     return starts, Distinct(rolling.spans(starts, starts + WINDOW), (second % U(buckets)).astype(np.int64))
 
 
-def _ranks(ids: list) -> np.ndarray:
-    """Ids as numbers from 0, -1 for null; shifted so that negative ids keep their order."""
-    return np.array([-1 if i is None else i + (1 << 62) for i in ids], np.int64)
+def _owners(ids: list) -> tuple[np.ndarray, np.ndarray]:
+    """Ids as numbers, and which of them are given (null counts as 0 in the first)."""
+    return np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], bool)
 
 
 def _answers(table: pa.Table, offset: int) -> dict[int, bytes]:
@@ -110,19 +110,19 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, keep_untouch
         if not block.num_rows:
             return keys_table([])
         texts = Texts(block)
-        words, owners = Words(texts), _ranks(texts.ids)
+        words, (owners, given) = Words(texts), _owners(texts.ids)
         rolling = words.rolling(0)
         at, anchors = _anchors(words, rolling, buckets)
-        starts, windows = _windows(words, rolling, at, anchors.answered(_answers(answers, 0))[anchors.of], owners, buckets)
+        starts, windows = _windows(words, rolling, at, anchors.answered(_answers(answers, 0))[anchors.of], given, buckets)
         least = windows.least(owners[words.doc[starts]])
         return keys_table(windows.sent(block.column("block")[0].as_py(), windows.counts > 1, owners=least, offset=WINDOWS))
 
     def cut(block: pa.Table, answers: pa.Table) -> pa.Table:
         texts = Texts(block)
-        words, owners = Words(texts), _ranks(texts.ids)
+        words, (owners, given) = Words(texts), _owners(texts.ids)
         rolling = words.rolling(0)
         at, anchors = _anchors(words, rolling, buckets)
-        starts, windows = _windows(words, rolling, at, anchors.answered(_answers(answers, 0))[anchors.of], owners, buckets)
+        starts, windows = _windows(words, rolling, at, anchors.answered(_answers(answers, 0))[anchors.of], given, buckets)
         own = owners[words.doc[starts]]
         gone = windows.answered(_answers(answers, WINDOWS), WINDOWS)[windows.of] | (own > windows.least(own)[windows.of])
         cover = np.zeros(len(words.begin) + 1, np.int64)

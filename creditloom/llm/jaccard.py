@@ -253,10 +253,11 @@ def shingle_sets(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys: i
 
 def group_links(sets: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
     """``LINKS`` that connect all linked sets."""
-    firsts = sets.where("set_id IS NOT NULL").groupBy(F.col("set_id").alias("first_set")).agg(F.min(F.coalesce("id", F.lit((1 << 63) - 1))).alias("first_id"))
     able = sets.where("tokens IS NOT NULL").select("set_id", "n_shingles", "tokens", "prefix", "home", F.coalesce("id", F.lit((1 << 63) - 1)).alias("first_id"))
-    # Of the blocks' first documents, the class's own; equal ids leave equal rows.
-    able = able.join(firsts, (F.col("set_id") == F.col("first_set")) & (able["first_id"] == firsts["first_id"]), "left_semi").dropDuplicates(["set_id"])
+    # Of the blocks' first documents, the class's own; equal ids leave equal rows. The class's
+    # least id may be of no such document, as null ids come first in a block.
+    firsts = able.groupBy(F.col("set_id").alias("first_set")).agg(F.min("first_id").alias("least_first"))
+    able = able.join(firsts, (F.col("set_id") == F.col("first_set")) & (F.col("first_id") == F.col("least_first")), "left_semi").dropDuplicates(["set_id"])
     # Written, so that Spark can split a home with very many sets in the join.
     parts = checkpoint(able.groupBy(F.col("home").alias("of")).agg(F.ceil(F.sum("n_shingles") / part_tokens).alias("parts")))
     placed = able.join(parts, F.col("home") == F.col("of")).select("set_id", "tokens", "prefix", "home", F.pmod(F.xxhash64("set_id"), F.col("parts")).alias("part"))

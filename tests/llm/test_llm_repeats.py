@@ -123,6 +123,24 @@ def test_many_near_copies(frame):
     assert sorted(map(tuple, got)) == sorted(classes(rows))
 
 
+@pytest.mark.parametrize("block_bytes", [1500, 1 << 20])
+def test_null_id_beside_copies(frame, block_bytes):
+    """A null id comes first of its copies in a block; the copies still link to near ones."""
+    words = [f"n{k}" for k in range(100)]
+    near = " ".join(words[:99])
+    rows = [(None, " ".join(words)), (5, " ".join(words)), (7, near), (8, " ".join(words[:98])), (None, "other text")]
+    got = jaccard.match(frame(rows), block_bytes=block_bytes).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, classes(rows)))
+    assert {r.doc_id for r in jaccard.keep_one(frame(rows)).collect()} == {None, 5}
+
+
+def test_passages_of_any_id(frame, corpus):
+    ids = [(1 << 63) - 1, 1 << 62, (1 << 62) - 1, 0, -1, -(1 << 62), -(1 << 62) - 1, -(1 << 63), None]
+    rows = [(i, corpus[5][1] + f" tail{k} " + corpus[k][1]) for k, i in enumerate(ids)]
+    got = anchors.remove_repeats(frame(rows), ["doc_id"], **SMALL).select("row.doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, windows_removed(rows)))
+
+
 def test_keep_one(frame, corpus, odd):
     docs = frame(corpus + [(r[0] if r[0] is None else r[0] - 1000, r[1]) for r in odd]).withColumn("gone_id", anchors.F.lit(3))
     kept = jaccard.keep_one(docs)
