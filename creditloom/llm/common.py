@@ -50,19 +50,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int, strata: int, seed: str) -> list:
+def share(full: int, strata: int, found: int, least: int) -> int:
+    """What each of ``found`` strata gets of a bound of ``full`` for each of ``strata``."""
+    return min(full, max(least, full * strata // max(1, found)))
+
+
+def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int, strata: int, seed: str, least: int = 20) -> list:
     """At most about ``per_stratum`` rows of each value of ``stratum``, for fitting a model.
 
     ``rows`` has doc_id and the stratum. The counts cover all rows; each stratum is then
     thinned to its share by a draw on the id, so the sample repeats from run to run and no
-    group meets in one task. Only the ``strata`` most frequent values are sampled, which
-    bounds what reaches the driver by ``per_stratum * strata`` rows (within the draw's noise).
+    group meets in one task. Every value is sampled: where there are more than ``strata``, they
+    share what so many would get, but each gets ``least``. So what reaches the driver is bounded
+    by ``per_stratum * strata`` rows or ``least`` a value (within the draw's noise).
     """
-    counts = rows.groupBy(stratum).count().orderBy(F.desc("count"), F.asc(stratum)).limit(strata).collect()
-    keep = F.lit(False)
-    for value, count in ((r[0], r[1]) for r in counts):
-        keep = keep | ((F.col(stratum) == value) & (F.col("draw") < per_stratum / count))
-    drawn = rows.withColumn("draw", unit_draw(F.col("doc_id"), seed)).where(keep).drop("draw")
+    counts = rows.where(F.col(stratum).isNotNull()).groupBy(stratum).count().collect()
+    if not counts:
+        return []
+    each = share(per_stratum, strata, len(counts), least)
+    # An Arrow table becomes a local relation, whose size the join knows.
+    rates = pa.table({"of": pa.array([r[0] for r in counts]), "rate": pa.array([each / r[1] for r in counts], pa.float64())})
+    rates = rows.sparkSession.createDataFrame(rates)
+    drawn = rows.withColumn("draw", unit_draw(F.col("doc_id"), seed)).join(rates, F.col(stratum) == F.col("of")).where("draw < rate").select(rows.columns)
     return sorted(drawn.collect(), key=lambda r: (str(r[stratum]), *map(str, r)))
 
 

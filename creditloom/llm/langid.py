@@ -10,8 +10,9 @@ The first depends only on the landmarks' fixed matrix, so both are folded into o
 matrix before it goes to the executors; its size is ``4 * BUCKETS`` by languages, whatever
 the input.
 
-Training uses at most ``PER_LANGUAGE`` documents of each of the ``LANGUAGES`` most frequent
-languages, none of a held-out fold. Scoring is one pass over the rows, without a shuffle.
+Training uses about ``PER_LANGUAGE`` documents and ``LANDMARKS`` landmarks of every language,
+none of a held-out fold. More than ``LANGUAGES`` languages share what so many would get, but
+each has ``LEAST_DOCUMENTS`` and ``LEAST_LANDMARKS`` where there are so many; none is left out. Scoring is one pass over the rows, without a shuffle.
 
 Edge cases: a null text or one without letters is ``und`` with score 0. Without any labelled
 document every text is ``und``. Repeated rows get equal rows. Ties go to the first language
@@ -26,13 +27,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, map_texts
+from .common import bounded_sample, held_out, map_texts, share
 
 LENGTHS = (1, 2, 3, 4)
 BUCKETS = 1 << 13
 PER_LANGUAGE = 400
-LANGUAGES = 64
+LANGUAGES = 64  # with a full share of documents and landmarks
 LANDMARKS = 100  # per language
+LEAST_DOCUMENTS = 20
+LEAST_LANDMARKS = 4
 RIDGE = 1e-3
 SHARPNESS = 8.0
 
@@ -82,11 +85,11 @@ class Model:
         if not found:
             return cls([], np.zeros((len(LENGTHS) * BUCKETS, 0), np.float32))
         rows = blended([p for p, _ in found])
-        truth = np.array([[1.0 if y == name else -1.0 for name in languages] for _, y in found])
-        chosen: list[int] = []
-        for name in languages:
-            chosen += [i for i, (_, y) in enumerate(found) if y == name][:LANDMARKS]
-        marks = rows[chosen]
+        at = {name: k for k, name in enumerate(languages)}
+        column = np.array([at[y] for _, y in found])
+        truth = np.where(column[:, None] == np.arange(len(languages)), 1.0, -1.0)
+        each = share(LANDMARKS, LANGUAGES, len(languages), LEAST_LANDMARKS)
+        marks = rows[np.concatenate([np.flatnonzero(column == k)[:each] for k in range(len(languages))])]
         # Nystroem: features are kernels to the landmarks, whitened by the landmarks' own kernel.
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         usable = values > 1e-7 * values[-1]
@@ -94,8 +97,7 @@ class Model:
         features = (rows @ marks.T).astype(np.float64) @ whiten
         features = np.hstack([features, np.ones((len(rows), 1))])
         # Languages weigh alike, however many documents each has.
-        share = np.array([1.0 / sum(1 for _, y in found if y == name) for name in languages])
-        weight = np.array([share[languages.index(y)] for _, y in found])
+        weight = 1.0 / np.bincount(column)[column]
         gram = (features.T * weight) @ features + RIDGE * len(languages) / max(1, len(found)) * np.eye(features.shape[1])
         solved = np.linalg.solve(gram, (features.T * weight) @ truth)
         return cls(languages, np.vstack([marks.T @ (whiten @ solved[:-1]), solved[-1:]]).astype(np.float32))
@@ -119,7 +121,7 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Fit on text and lang of documents outside the held-out fold."""
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = bounded_sample(labelled, "lang", PER_LANGUAGE, LANGUAGES, "lang:")
+    sample = bounded_sample(labelled, "lang", PER_LANGUAGE, LANGUAGES, "lang:", LEAST_DOCUMENTS)
     return Model.fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 

@@ -157,6 +157,20 @@ def test_language(spark, frame, odd):
     assert langid.identify(frame([])).count() == 0
 
 
+def test_language_learns_every_language(frame):
+    """The 70 languages differ in their alphabets; the rarest have a few documents only."""
+    rng, rows = random.Random(6), []
+    for k in range(70):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(40)]
+        for _ in range(30 if k < 35 else 12):
+            text = " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(12))
+            rows.append((len(rows), text, f"l{k:02}", "s", 0))
+    truth = {r[0]: r[2] for r in rows}
+    got = langid.identify(frame(rows)).collect()
+    assert {r.lang_pred for r in got} == set(truth.values())
+    assert sum(truth[r.doc_id] == r.lang_pred for r in got) >= 0.99 * len(rows)
+
+
 def test_toxicity(spark, frame, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.toxic for r in labels.collect()}
