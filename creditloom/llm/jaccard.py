@@ -19,7 +19,10 @@ sets' Jaccard index is at least ``PERCENT`` hundredths; the result is each docum
 6. Links within and between parts are joined to components.
 
 Every link between different sets lies inside a part or is found when two groups are opened,
-so none is lost; links that join nothing new are not listed. Shingles are told apart by 64
+so no component is cut; ``match`` keeps only links enough for components. ``count_links`` also
+opens every group with itself and all groups that meet, and so has every link of every set:
+``n_links`` is exact, and ``set_pairs`` lists the pairs. Its work grows with the links, which in
+a group of near copies is the square of its sets. Shingles are told apart by 64
 bits when counted and by 48 bits when two groups are compared.
 
 Edge cases: words are runs without ASCII white space, A-Z lower-cased; a text with fewer words
@@ -51,8 +54,9 @@ TOKEN_BYTES = 6
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 SETS = "set_id binary, id long, n_shingles long, tokens binary, prefix array<long>, home long"
-GROUPS = "group long, part long, home long, bulk boolean, set_ids binary, sizes binary, tokens binary, union array<long>, star binary, lead binary"
+GROUPS = "group long, part long, home long, bulk boolean, set_ids binary, sizes binary, tokens binary, union array<long>, star binary, lead binary, weights binary"
 LINKS = "a binary, b binary"
+COUNTS = "a binary, n long"
 
 
 def needed(n: int) -> int:
@@ -172,8 +176,8 @@ class Forest:
 
 def split_part(table: pa.Table) -> pa.Table:
     """A part's sets as two groups: the largest component found inside, and the rest."""
-    rows = sorted(zip(table.column("set_id").to_pylist(), table.column("tokens").to_pylist(), table.column("prefix").to_pylist(), strict=True))
-    sets = [unpack(blob) for _, blob, _ in rows]
+    rows = sorted(zip(table.column("set_id").to_pylist(), table.column("tokens").to_pylist(), table.column("prefix").to_pylist(), table.column("n_rows").to_pylist(), strict=True))
+    sets = [unpack(row[1]) for row in rows]
     tokens, times = np.unique(np.concatenate(sets), return_counts=True)
     links = linked(sets, sets, tokens[times > 1])
     forest = Forest(len(rows))
@@ -191,9 +195,10 @@ def split_part(table: pa.Table) -> pa.Table:
                 xxhash.xxh3_64_intdigest(rows[members[0]][0]) - (1 << 63), part, home, bulk,
                 b"".join(rows[i][0] for i in members), np.array([len(sets[i]) for i in members], "<i8").tobytes(), b"".join(rows[i][1] for i in members),
                 np.unique(np.concatenate([np.asarray(rows[i][2], np.int64) for i in members])), b"".join(rows[roots[i]][0] for i in members), rows[members[0]][1],
+                np.array([rows[i][3] for i in members], "<i8").tobytes(),
             ))
     names = [f.split()[0] for f in GROUPS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
     return pa.table({n: pa.array(c, k) for n, c, k in zip(names, zip(*out, strict=True), kinds, strict=True)})
 
 
@@ -203,8 +208,8 @@ def members(set_ids: bytes, sizes: bytes, tokens: bytes) -> tuple[list[bytes], l
     return [set_ids[i : i + 16] for i in range(0, len(set_ids), 16)], [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def open_groups(left: tuple, right: tuple) -> list[tuple[bytes, bytes]]:
-    """Links between two groups that join something new, in both groups' members."""
+def compared(left: tuple, right: tuple) -> tuple[list[bytes], list[bytes], np.ndarray, list[int], list[int]]:
+    """Which members of two groups link, without those that can't; and the places of the members."""
     (ids_a, sets_a), (ids_b, sets_b) = members(*left), members(*right)
     union_a, union_b = np.unique(np.concatenate(sets_a)), np.unique(np.concatenate(sets_b))
     universe = np.intersect1d(union_a, union_b, assume_unique=True)
@@ -214,17 +219,46 @@ def open_groups(left: tuple, right: tuple) -> list[tuple[bytes, bytes]]:
         return [i for i, s in enumerate(sets) if np.isin(s, universe, assume_unique=True).sum() >= needed(len(s))]
 
     rows, columns = above(sets_a), above(sets_b)
-    if not rows or not columns:
-        return []
-    links = linked([sets_a[i] for i in rows], [sets_b[j] for j in columns], universe)
+    links = linked([sets_a[i] for i in rows], [sets_b[j] for j in columns], universe) if rows and columns else np.zeros((len(rows), len(columns)), bool)
+    return [ids_a[i] for i in rows], [ids_b[j] for j in columns], links, rows, columns
+
+
+def open_groups(left: tuple, right: tuple) -> list[tuple[bytes, bytes]]:
+    """Links between two groups that join something new, in both groups' members."""
+    rows, columns, links, *_ = compared(left, right)
     forest, out = Forest(len(rows) + len(columns)), []
     for i, row in enumerate(links):
         for j in np.flatnonzero(row).tolist():
             if forest.join(i, len(rows) + j):
-                out.append((ids_a[rows[i]], ids_b[columns[j]]))
+                out.append((rows[i], columns[j]))
     return out
 
 
+def _opened(batches):
+    """Of every pair of groups: members, links, and how many rows have each member's set."""
+    names = ("group_a", "group_b", "set_ids", "sizes", "tokens", "set_ids_b", "sizes_b", "tokens_b", "weights", "weights_b")
+    for batch in batches:
+        for group_a, group_b, *row, weights_a, weights_b in zip(*[batch.column(n).to_pylist() for n in names], strict=True):
+            ids_a, ids_b, links, at_a, at_b = compared(row[:3], row[3:])
+            if group_a == group_b:
+                np.fill_diagonal(links, False)
+            yield group_a == group_b, ids_a, ids_b, links, np.frombuffer(weights_a, "<i8")[at_a], np.frombuffer(weights_b, "<i8")[at_b]
+
+
+def _count(batches):
+    for same, ids_a, ids_b, links, weights_a, weights_b in _opened(batches):
+        sides = [(ids_a, links @ weights_b)] + ([] if same else [(ids_b, weights_a @ links)])
+        for ids, n in sides:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(n, pa.int64())], names=["a", "n"])
+
+
+def _pairs(batches):
+    for same, ids_a, ids_b, links, _, _ in _opened(batches):
+        at_a, at_b = np.nonzero(np.triu(links) if same else links)
+        ends = [sorted((ids_a[i], ids_b[j])) for i, j in zip(at_a.tolist(), at_b.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
 def _verify(batches):
     for batch in batches:
         columns = [batch.column(n).to_pylist() for n in ("set_ids", "sizes", "tokens", "set_ids_b", "sizes_b", "tokens_b")]
@@ -251,17 +285,31 @@ def shingle_sets(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys: i
     return laid.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(judge, SETS)
 
 
-def group_links(sets: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """``LINKS`` that connect all linked sets."""
+def grouped(sets: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """``GROUPS``: the sets that may link, in parts of a home."""
     able = sets.where("tokens IS NOT NULL").select("set_id", "n_shingles", "tokens", "prefix", "home", F.coalesce("id", F.lit((1 << 63) - 1)).alias("first_id"))
     # Of the blocks' first documents, the class's own; equal ids leave equal rows. The class's
     # least id may be of no such document, as null ids come first in a block.
     firsts = able.groupBy(F.col("set_id").alias("first_set")).agg(F.min("first_id").alias("least_first"))
     able = able.join(firsts, (F.col("set_id") == F.col("first_set")) & (F.col("first_id") == F.col("least_first")), "left_semi").dropDuplicates(["set_id"])
+    able = able.join(sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("n_rows")), "set_id")
     # Written, so that Spark can split a home with very many sets in the join.
     parts = checkpoint(able.groupBy(F.col("home").alias("of")).agg(F.ceil(F.sum("n_shingles") / part_tokens).alias("parts")))
-    placed = able.join(parts, F.col("home") == F.col("of")).select("set_id", "tokens", "prefix", "home", F.pmod(F.xxhash64("set_id"), F.col("parts")).alias("part"))
-    groups = checkpoint(placed.groupBy("home", "part").applyInArrow(split_part, GROUPS))
+    placed = able.join(parts, F.col("home") == F.col("of")).select("set_id", "tokens", "prefix", "n_rows", "home", F.pmod(F.xxhash64("set_id"), F.col("parts")).alias("part"))
+    return checkpoint(placed.groupBy("home", "part").applyInArrow(split_part, GROUPS))
+
+
+def joined_bodies(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members of every pair of groups in ``met`` (group_a, group_b)."""
+    names = ("set_ids", "sizes", "tokens", "weights")
+    bodies = groups.select("group", *names)
+    pairs = met.join(bodies.withColumnRenamed("group", "group_a"), "group_a").join(bodies.select(F.col("group").alias("group_b"), *[F.col(c).alias(f"{c}_b") for c in names]), "group_b")
+    return pairs.select("group_a", "group_b", *names, *[f"{c}_b" for c in names])
+
+
+def group_links(groups: DataFrame) -> DataFrame:
+    """``LINKS`` that connect all linked sets: enough for components, but not all links, and the
+    stars name members of one component that need not link themselves."""
     star = groups.select(F.explode(F.sequence(F.lit(0), (F.length("set_ids") / 16 - 1).cast("int"))).alias("k"), "set_ids", "star")
     star = star.select(F.expr("substring(set_ids, k * 16 + 1, 16)").alias("a"), F.expr("substring(star, k * 16 + 1, 16)").alias("b")).where("a <> b")
     # The largest components of a home's parts are one if their first sets link to that of part 0.
@@ -274,24 +322,58 @@ def group_links(sets: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
     rows = groups.select("group", "home", "part", F.explode("union").alias("token")).join(named, "group", "left")
     a, b = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("group", "home", "part", "name")]) for s in "ab")
     met = a.join(b, "token").where("group_a < group_b AND NOT (home_a = home_b AND part_a = part_b) AND coalesce(name_a <> name_b, true)").select("group_a", "group_b").distinct()
-    bodies = groups.select("group", "set_ids", "sizes", "tokens")
-    pairs = met.join(bodies.withColumnRenamed("group", "group_a"), "group_a").join(bodies.select(F.col("group").alias("group_b"), *[F.col(c).alias(f"{c}_b") for c in ("set_ids", "sizes", "tokens")]), "group_b")
-    between = pairs.select("set_ids", "sizes", "tokens", "set_ids_b", "sizes_b", "tokens_b").mapInArrow(_verify, LINKS)
+    between = joined_bodies(met, groups).mapInArrow(_verify, LINKS)
     return star.union(bridges).union(between)
 
 
+def meetings(groups: DataFrame) -> DataFrame:
+    """Bodies of all pairs of groups that may hold a link; every link is in just one of them.
+
+    A group is opened with itself and with every group that shares a row of the token-group
+    matrix, whatever is known of their components.
+    """
+    rows = groups.select("group", "home", "part", F.explode("union").alias("token"))
+    a, b = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("group", "home", "part")]) for s in "ab")
+    met = a.join(b, "token").where("group_a < group_b AND NOT (home_a = home_b AND part_a = part_b)").select("group_a", "group_b").distinct()
+    own = groups.select(F.col("group").alias("group_a"), F.col("group").alias("group_b"))
+    return joined_bodies(met.union(own), groups)
+
+
 def match(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS, part_tokens: int = PART_TOKENS) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     sets = checkpoint(shingle_sets(docs, block_bytes, bucket_keys))
-    roots = components(group_links(sets, part_tokens)).withColumnRenamed("root", "found_root")
+    return labelled(sets, grouped(sets, part_tokens)).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and set_id of every document."""
+    roots = components(group_links(groups)).withColumnRenamed("root", "found_root")
     # Classes first: a set that a third of all documents share is one row here.
     classes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("id").alias("least_id"))
     keyed = classes.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least_id", F.coalesce("found_root", "set_id").alias("key"))
     lowest = keyed.groupBy("key").agg(F.min("least_id").alias("component_id"))
     # Written, so that the last join is between plain rows and Spark can split a hot set.
     named = checkpoint(keyed.join(lowest, "key").select(F.col("set_id").alias("of"), "component_id"))
-    labelled = sets.select("set_id", "id", "n_shingles").join(named, F.col("set_id") == F.col("of"), "left")
-    return labelled.select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = sets.select("set_id", "id", "n_shingles").join(named, F.col("set_id") == F.col("of"), "left")
+    return rows.select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "set_id")
+
+
+def count_links(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links: the columns of ``match``, and to how many other
+    rows a document links, those with an equal set among them."""
+    sets = checkpoint(shingle_sets(docs, block_bytes, bucket_keys))
+    groups = grouped(sets, part_tokens)
+    found = meetings(groups).mapInArrow(_count, COUNTS).groupBy("a").agg(F.sum("n").alias("linked"))
+    sizes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("n_rows"))
+    counted = sizes.join(found, F.col("set_id") == F.col("a"), "left").select(F.col("set_id").alias("of"), (F.col("n_rows") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    rows = labelled(sets, groups).join(checkpoint(counted), F.col("set_id") == F.col("of"), "left")
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def set_pairs(sets: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """``LINKS`` of all pairs of different linked sets, a < b. The set_id of ``sets`` (as made by
+    ``shingle_sets``) names the documents of a set; rows of one set link too."""
+    return meetings(grouped(sets, part_tokens)).mapInArrow(_pairs, LINKS)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

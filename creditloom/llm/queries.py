@@ -29,6 +29,7 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 REGISTRY: dict[str, Query] = {
     "op1_jaccard_join": Query(documents(jaccard.match), sql.JACCARD),
+    "op1_jaccard_links": Query(documents(jaccard.count_links), sql.JACCARD_LINKS),
     "op2_fingerprints": Query(documents(sketch.fingerprint)),
     "op3_suffix_dedup": Query(documents(suffixes.digests)),
     "op4_language": Query(documents(langid.identify)),

@@ -107,3 +107,5 @@ reached (doc_id, other) AS (
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN sized s USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) r USING (doc_id)
 """
+
+JACCARD_LINKS = JACCARD.replace("r.component_id\n", "r.component_id, (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS n_links\n")

@@ -123,6 +123,26 @@ def test_many_near_copies(frame):
     assert sorted(map(tuple, got)) == sorted(classes(rows))
 
 
+@pytest.mark.parametrize("part_tokens", [1 << 16, 300])
+def test_links(frame, corpus, odd, part_tokens):
+    """Every link counts, also of three and more near copies whose component is known."""
+    rng, base = random.Random(13), [f"b{k}" for k in range(60)]
+    rows = corpus + [(r[0] if r[0] is None else r[0] - 1000, r[1]) for r in odd] + [(9000, corpus[5][1].upper()), (None, corpus[6][1])]
+    for k in range(50):
+        copy = list(base)
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            copy[rng.randrange(60)] = f"e{k}"
+        rows.append((10_000 + k, " ".join(copy)))
+    sets = [shingles(t) for _, t in rows]
+    want = [sum(1 for j, y in enumerate(sets) if j != i and x and y and 100 * len(x & y) >= 75 * len(x | y)) for i, x in enumerate(sets)]
+    got = jaccard.count_links(frame(rows), part_tokens=part_tokens, **SMALL).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((*c, n)) for c, n in zip(classes(rows), want, strict=True))
+    assert max(want) > 20
+    different = {frozenset((frozenset(x), frozenset(y))) for i, x in enumerate(sets) for y in sets[:i] if x and y and x != y and 100 * len(x & y) >= 75 * len(x | y)}
+    made = jaccard.shingle_sets(frame(rows), **SMALL)
+    assert jaccard.set_pairs(made, part_tokens).distinct().count() == jaccard.set_pairs(made, part_tokens).count() == len(different)
+
+
 @pytest.mark.parametrize("block_bytes", [1500, 1 << 20])
 def test_null_id_beside_copies(frame, block_bytes):
     """A null id comes first of its copies in a block; the copies still link to near ones."""
