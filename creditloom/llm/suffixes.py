@@ -1,20 +1,19 @@
-"""Substring deduplication by blockwise suffix sorting with a difference cover.
+"""Substring deduplication by hashed windows at the places of a difference cover.
 
 Bytes covered by a string of ``LENGTH`` bytes that also starts anywhere else are removed. In a
-suffix array these are the suffixes that tie with a neighbour for ``LENGTH`` bytes. The array
-is never held whole:
-
-- Sample suffixes start where the byte's number in its text, modulo ``PERIOD``, lies in a
-  difference cover. Any two positions reach the cover together within ``PERIOD - 1`` bytes, so
-  a tie of ``LENGTH`` bytes always holds a pair of sample suffixes that tie for ``SAMPLE``
-  bytes. The samples are ranked first, one bucket at a time: a rank that only one sample has
+suffix array these are the suffixes that tie with a neighbour for ``LENGTH`` bytes. No suffix
+array is built: suffixes are neither compared nor ordered, as removal needs only to know which
+windows of ``LENGTH`` bytes are equal, and hashed buckets stay even where many suffixes begin alike.
+
+- Samples start where the byte's number in its text, modulo ``PERIOD``, lies in a difference
+  cover. Any two positions reach the cover together within ``PERIOD - 1`` bytes, so a tie of
+  ``LENGTH`` bytes always holds a pair of samples that are equal for ``SAMPLE`` bytes. Hashes of
+  these windows (called ranks in the code) are looked up first; one that only one sample has
   ends every tie that would run through it.
-- Suffixes whose next samples all have ranks of their own can't be in a long tie and are left
-  out. The others are sorted one bucket at a time by a key of their ``LENGTH`` bytes; equal
-  neighbours are ties. Only ties matter for removal, not the order among different suffixes,
-  so buckets are cut by hash and stay even however common a beginning is.
+- Positions whose next samples all have hashes of their own can't be in a long tie and are left
+  out. For the others, hashes of their ``LENGTH`` bytes are looked up; equal ones are ties.
 
-Both sorts go through ``blocks``: every key is sent once per block and answered with one bit.
+Both lookups go through ``blocks``: every key is sent once per block and answered with one bit.
 Whole copies of a text are found by digest on the way; only one copy's suffixes are sorted.
 Ranks are a filter (40 bits and the bucket); a tie is 64 bits and the independent bucket.
 
