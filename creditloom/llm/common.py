@@ -75,6 +75,48 @@ def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int, strata: int,
     return sorted(drawn.collect(), key=lambda r: (str(r[stratum]), *map(str, r)))
 
 
+class _Generation(dict):
+    def __init__(self, of: Generations) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, key):
+        return self.of.fetch(key)
+
+
+class Generations:
+    """What ``make(key)`` gives, remembered in about ``limit`` bytes.
+
+    Keys are texts, values bytes. Two generations: when the young one is full it becomes the
+    old one, whose own predecessor goes; what is met again in the old one moves to the young
+    one, so frequent keys stay. A bound on memory alone; it changes no value.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], limit: int) -> None:
+        self.make, self.limit, self.held = make, limit // 2, 0
+        self.young, self.old = _Generation(self), {}
+
+    def get(self) -> Callable[[str], bytes]:
+        """A fast lookup. Ask for it anew from time to time: it knows the young generation of now."""
+        return self.young.__getitem__
+
+    def fetch(self, key: str) -> bytes:
+        young = self.young
+        if key in young:  # asked through a generation that is no longer the young one
+            return young[key]
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        # Two objects, their entry in the table with its free places, and up to 4 bytes a character.
+        size = 260 + (len(key) if key.isascii() else 4 * len(key)) + len(value)
+        if size < self.limit:
+            if self.held + size > self.limit:
+                self.old, self.young, self.held = young, _Generation(self), 0
+            self.held += size
+            self.young[key] = value
+        return value
+
+
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
 

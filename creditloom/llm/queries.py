@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, bpe, compression, jaccard, langid, licenses, mixing, sketch, sql, suffixes, toxicity
+from . import anchors, bpe, compression, jaccard, langid, licenses, mixing, pieces, sketch, sql, suffixes, toxicity
 
 
 @dataclass(frozen=True)
@@ -26,6 +26,7 @@ def documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 REGISTRY: dict[str, Query] = {
     "op1_jaccard_join": Query(documents(jaccard.match), sql.JACCARD),
@@ -39,4 +40,5 @@ REGISTRY: dict[str, Query] = {
     "op8_source_mix": Query(documents(mixing.mix), sql.MIX),
     "op9_substring_dedup": Query(documents(anchors.digests), sql.WINDOWS_13),
     "op10_license_scan": Query(documents(licenses.scan), sql.LICENSES),
+    "op11_sentencepiece": Query(documents(lambda docs: pieces.digests(docs, public_tokenizers.path(PIECES)))),
 }
