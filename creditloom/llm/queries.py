@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, bpe, compression, jaccard, langid, licenses, mixing, negatives, pieces, sketch, sql, suffixes, toxicity
+from . import anchors, bpe, compression, jaccard, langid, licenses, mixing, negatives, phrases, pieces, sketch, sql, suffixes, toxicity
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,7 @@ REGISTRY: dict[str, Query] = {
     "op8_source_mix": Query(documents(mixing.mix), sql.MIX),
     "op9_substring_dedup": Query(documents(anchors.digests), sql.WINDOWS_13),
     "op10_license_scan": Query(documents(licenses.scan), sql.LICENSES),
-    "op13_hard_negatives": Query(lambda spark, sf_dir: negatives.contract(table(spark, sf_dir, "embeddings")), sql.NEGATIVES),
     "op11_sentencepiece": Query(documents(lambda docs: pieces.digests(docs, public_tokenizers.path(PIECES)))),
+    "op12_collocations": Query(documents(phrases.collocations), sql.COLLOCATIONS),
+    "op13_hard_negatives": Query(lambda spark, sf_dir: negatives.contract(table(spark, sf_dir, "embeddings")), sql.NEGATIVES),
 }

@@ -133,3 +133,49 @@ WHERE 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positiv
 WINDOW best AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
 QUALIFY row_number() OVER best <= 10
 """
+
+
+def _collocations() -> str:
+    def whole(k: int) -> str:
+        return f"""SELECT lang, {k} AS size, [{", ".join(f"w{i}" for i in range(k))}] AS words, CAST(count(*) AS BIGINT) AS f
+    FROM spans WHERE w{k - 1} IS NOT NULL GROUP BY ALL HAVING count(*) >= 100"""
+
+    following = ", ".join(f"lead(word, {k}) OVER place AS w{k}" for k in range(1, 5))
+    return f"""
+WITH docs AS (
+    SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+),
+pieces AS (
+    SELECT lang, row_number() OVER () AS piece, regexp_extract_all(part, '[^\\x20\\x09]+') AS words
+    FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS part FROM docs)
+),
+spelled AS (SELECT lang, piece, unnest(words) AS word, unnest(range(len(words))) AS position FROM pieces),
+spans AS (SELECT lang, word AS w0, {following} FROM spelled WINDOW place AS (PARTITION BY piece ORDER BY position)),
+totals AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM spans GROUP BY lang),
+phrases AS MATERIALIZED (
+    {" UNION ALL ".join(map(whole, range(1, 6)))}
+),
+longer AS (
+    SELECT lang, words, max(f) AS within FROM (
+        SELECT lang, f, unnest([words[1:size - 1], words[2:size]]) AS words FROM phrases WHERE size > 2
+    ) GROUP BY ALL
+),
+kept AS (
+    SELECT p.* FROM phrases p LEFT JOIN longer USING (lang, words) WHERE size > 1 AND (within IS NULL OR 100 * within < 100 * f)
+),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM kept),
+scored AS (
+    SELECT c.lang, c.words, k, c.f AS a, l.f AS l, r.f AS r, n, CAST((1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+    FROM cuts c
+    JOIN phrases l ON l.lang = c.lang AND l.words = c.words[1:k]
+    JOIN phrases r ON r.lang = c.lang AND r.words = c.words[k + 1:c.size]
+    JOIN totals t ON t.lang = c.lang
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.words ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER best AS rank, array_to_string(words, ' ') AS phrase, a, l, r, n, score FROM scored
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' '))
+QUALIFY row_number() OVER best <= 2000
+"""
+
+
+COLLOCATIONS = _collocations()
