@@ -93,6 +93,7 @@ class Policy:
     defer_minutes: int = 2
     max_pending_units: int = 720
     daily_new_units: int = 360
+    daily_calls: int = 1_000
 
     # Sizes a document and a nested list aim at. Beyond them they go on in numbered parts.
     shard_part_bytes: int = 1_048_576

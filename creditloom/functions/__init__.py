@@ -4,3 +4,4 @@ from .ids import *  # noqa: F401,F403
 from .numbers import *  # noqa: F401,F403
 from .text import *  # noqa: F401,F403
 from .times import *  # noqa: F401,F403
+from .variants import *  # noqa: F401,F403

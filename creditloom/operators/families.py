@@ -7,6 +7,8 @@ that row, and every score is a sum that combines map-side.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, NATURES, RECORDING_STATUSES, Policy
@@ -18,20 +20,24 @@ _TIE = 6
 _SLACK = 1e-9
 
 
-def with_one_name(layers: DataFrame) -> DataFrame:
-    """Layers with one name per slug, the least of its spellings.
+@dataclass(frozen=True)
+class Names:
+    """One name per slug. Results join them last, on their few rows; profiles and plays carry slugs only."""
 
-    The pairs of slug and name are made distinct first, so the text minimum sees only as
-    many rows as there are spellings.
-    """
-    def least(slug: str, name: str) -> DataFrame:
-        spellings = layers.select(F.col(slug).alias(f"_{slug}"), F.col(name).alias(f"_{name}")).distinct()
-        return spellings.groupBy(f"_{slug}").agg(F.min(f"_{name}").alias(f"_{name}"))
+    families: DataFrame
+    instruments: DataFrame
+
+    @classmethod
+    def of(cls, layers: DataFrame) -> Names:
+        """The least spelling of each slug among the layers (or rows of a taxonomy with the same columns).
+
+        The pairs of slug and name are made distinct first, so the text minimum sees only as
+        many rows as there are spellings.
+        """
+        def least(slug: str, name: str) -> DataFrame:
+            return layers.select(slug, name).distinct().groupBy(slug).agg(F.min(name).alias(name))
 
-    named = layers
-    for slug, name in (("family_slug", "family_name"), ("slug", "name")):
-        named = named.join(least(slug, name), F.col(slug) == F.col(f"_{slug}"), "left")
-    return named.withColumns({"family_name": F.coalesce("_family_name", "family_name"), "name": F.coalesce("_name", "name")}).select(*layers.columns)
+        return cls(least("family_slug", "family_name"), least("slug", "name").select(F.col("slug").alias("instrument_slug"), F.col("name").alias("instrument_name")))
 
 
 def strongest_layers(layers: DataFrame) -> DataFrame:
@@ -51,12 +57,12 @@ def strongest_layers(layers: DataFrame) -> DataFrame:
     return (
         layers.groupBy("recording_mbid", "family_slug")
         .agg(
-            F.min(best).alias("_b"), F.min("family_name").alias("family_name"), *by_nature,
+            F.min(best).alias("_b"), *by_nature,
             # Bounded by the instruments of one family.
-            F.collect_set(F.when(is_instrument, F.struct("slug", "name"))).alias("instruments"), F.bool_or(voice).alias("voice"),
+            F.collect_set(F.when(is_instrument, F.col("slug"))).alias("instruments"), F.bool_or(voice).alias("voice"),
         )
         .select(
-            "recording_mbid", "family_slug", "family_name", F.col("_b._slug").alias("slug"), (-F.col("_b._w")).alias("weight"),
+            "recording_mbid", "family_slug", F.col("_b._slug").alias("slug"), (-F.col("_b._w")).alias("weight"),
             F.col("_b._c").alias("confidence_weight"), *NATURES, "instruments", "voice",
         )
     )
@@ -65,9 +71,9 @@ def strongest_layers(layers: DataFrame) -> DataFrame:
 def recording_profiles(layers: DataFrame) -> DataFrame:
     """One row per recording: its families with normalized shares, its share of each
     nature, its instruments. The arrays are bounded by the taxonomy."""
-    strongest = strongest_layers(with_one_name(layers))
+    strongest = strongest_layers(layers)
     known = sum((F.col(n) for n in NATURES), F.lit(0.0))
-    family = F.struct("family_slug", "family_name", "weight", "confidence_weight", *NATURES, known.alias("known"))
+    family = F.struct("family_slug", "weight", "confidence_weight", *NATURES, known.alias("known"))
     per_recording = strongest.groupBy("recording_mbid").agg(
         F.array_sort(F.collect_list(family)).alias("_families"), F.sum("weight").alias("_total"),
         F.array_sort(F.flatten(F.collect_list("instruments"))).alias("instruments"), F.bool_or("voice").alias("voice"),
@@ -84,8 +90,7 @@ def recording_profiles(layers: DataFrame) -> DataFrame:
         F.transform(
             "_families",
             lambda f: F.struct(
-                f["family_slug"].alias("family_slug"), f["family_name"].alias("family_name"),
-                (f["weight"] / F.col("_total")).alias("share"), f["confidence_weight"].alias("confidence_weight"),
+                f["family_slug"].alias("family_slug"), (f["weight"] / F.col("_total")).alias("share"), f["confidence_weight"].alias("confidence_weight"),
             ),
         ).alias("families"),
         *shares,
@@ -170,31 +175,27 @@ def gate(totals: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     )
 
 
-def family_presence(profiled: DataFrame) -> DataFrame:
-    """Share, evidence count and confidence of each family, ranked by score then slug.
-
-    Profiles give a family one name, so the name is a key: as a text minimum it would make
-    Spark sort every played row instead of hashing it.
-    """
+def family_presence(profiled: DataFrame, names: Names | None = None) -> DataFrame:
+    """Share, evidence count and confidence of each family, ranked by score then slug; its name, if names are given."""
     rows = profiled.where("covered").select(*KEYS, "track_key", "play_count", F.inline("families"))
     score = F.col("play_count") * F.col("share")
-    family = [*KEYS, "family_slug", "family_name"]
+    family = [*KEYS, "family_slug"]
     # Distinct tracks: rows of one track key merge before they are counted.
     per_track = rows.groupBy(*family, "track_key").agg(F.sum(score).alias("s"), F.sum(score * F.col("confidence_weight")).alias("c"))
     scores = per_track.groupBy(*family).agg(F.sum("s").alias("score"), F.sum("c").alias("_confident"), F.count(F.lit(1)).alias("evidence_count"))
     listener = Window.partitionBy(*KEYS)
     order = listener.orderBy(F.desc(round_half_up(F.col("score"), _TIE)), "family_slug")
-    return scores.select(
+    ranked = scores.select(
         *KEYS,
         F.row_number().over(order).alias("family_rank"),
         "family_slug",
-        "family_name",
         "score",
         ratio(F.col("score"), F.sum("score").over(listener), 4).alias("share"),
         "evidence_count",
         # A family that was never played scores nothing and has no mean to bucket.
         confidence_bucket(F.when(F.col("score") > 0, F.col("_confident") / F.col("score")).otherwise(0.0)).alias("confidence"),
     )
+    return ranked if names is None else ranked.join(names.families, "family_slug", "left")
 
 
 def top_families(presence: DataFrame, k: int = 3) -> DataFrame:
@@ -221,29 +222,28 @@ def sound_balance(profiled: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     )
 
 
-def discovery(profiled: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """The least-played recurring instrument of each listener."""
+def discovery(profiled: DataFrame, policy: Policy = DEFAULT, names: Names | None = None) -> DataFrame:
+    """The least-played recurring instrument of each listener; its name, if names are given."""
     covered = profiled.where("covered")
     totals = covered.groupBy(*KEYS).agg(F.sum("play_count").alias("_all"))
-    rows = covered.select(*KEYS, "artist_key", "track_key", "play_count", F.inline("instruments"))
-    # A track key contains its artist, so counts add up level by level. Profiles give a
-    # slug one name; as a key it costs no sort.
-    per_track = rows.groupBy(*KEYS, "slug", "name", "artist_key", "track_key").agg(F.sum("play_count").alias("p"))
-    per_artist = per_track.groupBy(*KEYS, "slug", "name", "artist_key").agg(F.count(F.lit(1)).alias("t"), F.sum("p").alias("p"))
-    counted = per_artist.groupBy(*KEYS, "slug", "name").agg(F.sum("t").alias("tracks"), F.count(F.lit(1)).alias("artists"), F.sum("p").alias("plays"))
+    rows = covered.select(*KEYS, "artist_key", "track_key", "play_count", F.explode("instruments").alias("slug"))
+    # A track key contains its artist, so counts add up level by level.
+    per_track = rows.groupBy(*KEYS, "slug", "artist_key", "track_key").agg(F.sum("play_count").alias("p"))
+    per_artist = per_track.groupBy(*KEYS, "slug", "artist_key").agg(F.count(F.lit(1)).alias("t"), F.sum("p").alias("p"))
+    counted = per_artist.groupBy(*KEYS, "slug").agg(F.sum("t").alias("tracks"), F.count(F.lit(1)).alias("artists"), F.sum("p").alias("plays"))
     share = ratio(F.col("plays"), F.col("_all"))
     eligible = counted.join(totals, KEYS).withColumn("_share", share).where(
         (F.col("tracks") >= policy.discovery_tracks) & (F.col("artists") >= policy.discovery_artists) & (F.col("_share") <= policy.discovery_share)
     )
-    best = F.min(F.struct("_share", (-F.col("tracks")).alias("_t"), (-F.col("artists")).alias("_a"), "slug", "name")).alias("_d")
-    return eligible.groupBy(*KEYS).agg(best).select(
+    best = F.min(F.struct("_share", (-F.col("tracks")).alias("_t"), (-F.col("artists")).alias("_a"), "slug")).alias("_d")
+    picked = eligible.groupBy(*KEYS).agg(best).select(
         *KEYS,
         F.col("_d.slug").alias("instrument_slug"),
-        F.col("_d.name").alias("instrument_name"),
         (-F.col("_d._t")).alias("tracks"),
         (-F.col("_d._a")).alias("artists"),
         round_half_up(F.col("_d._share"), 6).alias("play_share"),
     )
+    return picked if names is None else picked.join(names.instruments, "instrument_slug", "left")
 
 
 def _per_track_families(profiled: DataFrame) -> DataFrame:

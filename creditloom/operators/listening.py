@@ -25,19 +25,26 @@ def rank_history(plays: DataFrame, top: int, tie: str = "mbid", policy: Policy =
 
 
 def plays_in_periods(log: DataFrame, as_of: Column, item: str = "item") -> DataFrame:
-    """Play log (listener, item, ts) to play counts per listener, period and item.
+    """Play log (listener, item, ts) to play counts per listener, period and item."""
+    return plays_of_days(log.select("listener", item, F.to_date("ts").alias("day"), F.lit(1).alias("plays")), as_of, item)
 
-    The log is read and shuffled once: every event is first counted per day, and
-    a day then counts for each period that reaches back to it.
+
+def plays_of_days(panes: DataFrame, as_of: Column, item: str = "item") -> DataFrame:
+    """Plays of days (listener, item, day, plays) to play counts per listener, period and item.
+
+    ``as_of`` is the last day of every period; later days count in none. Each period holds
+    the shorter ones, so a day belongs to the shortest that reaches back to it. Days are
+    summed per such band first: however long the log, an item is copied into the periods as
+    one row a band.
     """
-    daily = log.groupBy("listener", item, F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("plays"))
     age = F.datediff(as_of, F.col("day"))
-    named = [
-        F.when(F.lit(True) if days is None else age < days, F.lit(name)) for name, days in PERIOD_DAYS.items()
-    ]
+    names = F.array(*map(F.lit, PERIOD_DAYS))
+    band = F.lit(len(PERIOD_DAYS))
+    for at, days in reversed(list(enumerate(PERIOD_DAYS.values(), 1))):
+        band = band if days is None else F.when(age < days, F.lit(at)).otherwise(band)
+    bands = panes.where(age >= 0).groupBy("listener", item, band.alias("_band")).agg(F.sum("plays").alias("plays"))
     return (
-        daily.where(age >= 0)
-        .select("listener", item, "plays", F.explode(F.array_compact(F.array(*named))).alias("period"))
+        bands.select("listener", item, "plays", F.explode(F.slice(names, F.col("_band"), F.lit(len(PERIOD_DAYS)))).alias("period"))
         .groupBy("listener", "period", item).agg(F.sum("plays").alias("play_count"))
     )
 
@@ -132,17 +139,22 @@ def lookup_counts(
     """Per request: how many ids were asked for and how many rows each lookup returns.
 
     ``requests`` holds (request_id, track_mbid) and ``artist_requests`` holds
-    (request_id, artist_mbid). The projections are counted per key first, so the
-    joins carry one row per id and all requests run as one job.
+    (request_id, artist_mbid). Each projection is first cut to the ids that are asked for, and
+    only these are counted per key; so the joins carry one row per id, all requests run as
+    one job, and a projection clustered by its id is read where the requests fall.
     """
+    def of(rows: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
+        """Rows per asked id."""
+        return rows.join(ids, key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias(name))
+
     asked = requests.distinct()
     resolved = (
         asked.join(aliases.select("track_mbid", F.col("recording_mbid").alias("_r")), "track_mbid", "left")
         .select("request_id", "track_mbid", F.col("_r").isNotNull().cast("int").alias("_hit"), F.coalesce("_r", "track_mbid").alias("recording_mbid"))
     )
     tracks = resolved.groupBy("request_id").agg(F.count(F.lit(1)).alias("tracks"), F.sum("_hit").alias("aliases"))
-    per_status = statuses.groupBy("recording_mbid").agg(F.count(F.lit(1)).alias("_s"))
-    per_claim = claims.groupBy("recording_mbid").agg(F.count(F.lit(1)).alias("_c"))
+    ids = resolved.select("recording_mbid").distinct()
+    per_status, per_claim = of(statuses, ids, "recording_mbid", "_s"), of(claims, ids, "recording_mbid", "_c")
     recordings = (
         resolved.select("request_id", "recording_mbid").distinct()
         .join(per_status, "recording_mbid", "left").join(per_claim, "recording_mbid", "left")
@@ -150,8 +162,8 @@ def lookup_counts(
             F.coalesce(F.sum("_s"), F.lit(0)).alias("recording_statuses"), F.coalesce(F.sum("_c"), F.lit(0)).alias("recording_claims")
         )
     )
-    per_artist = artist_statuses.groupBy("artist_mbid").agg(F.count(F.lit(1)).alias("_s"))
-    per_entry = vocabulary.groupBy("artist_mbid").agg(F.count(F.lit(1)).alias("_v"))
+    artist_ids = artist_requests.select("artist_mbid").distinct()
+    per_artist, per_entry = of(artist_statuses, artist_ids, "artist_mbid", "_s"), of(vocabulary, artist_ids, "artist_mbid", "_v")
     artists = (
         artist_requests.distinct()
         .join(per_artist, "artist_mbid", "left").join(per_entry, "artist_mbid", "left")

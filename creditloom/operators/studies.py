@@ -40,36 +40,43 @@ def layer_reach(tracks: DataFrame, direct: DataFrame, release: DataFrame, recurr
     return flagged.rollup(cohort).agg(*measures)
 
 
-def nearest_rank(rows: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99), fanout: int = 1024, levels: int = 2) -> DataFrame:
-    """Exact nearest-rank percentiles per group.
-
-    Values are counted first. Each level cuts the range that holds a rank into ``fanout``
-    buckets of equal width and keeps the one bucket with the rank, so a window sees at most
-    ``fanout`` rows per rank, whatever the range of the values. The last window orders the
-    distinct values of a bucket whose width is the range over ``fanout ** levels``.
+def nearest_rank(rows: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99), k: int = 8192, margin: float = 0.003) -> DataFrame:
+    """Exact nearest-rank percentiles per group, guided by a sketch.
+
+    A KLL sketch of each group gives two values around each percentile. One pass then counts
+    what lies below the lower one and, value by value, what lies between; all else falls into
+    one row per group before the shuffle. The last window orders only the distinct values
+    between the two, ``2 * margin`` of a group's ranks. ``margin`` is four times the error
+    that a sketch of this ``k`` keeps in 99 of 100 cases; should a rank ever lie outside, the
+    query fails instead of giving a near value.
     """
     v = F.col("_v")
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    whole = counts.groupBy(group).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"))
-    ranks = F.array(*[F.struct(F.lit(p).alias("_p"), F.greatest(F.lit(1), F.ceil(F.col("_all") * F.lit(p))).alias("_rank")) for p in shares])
-    sought = whole.select(group, "_low", "_high", F.lit(0).cast("bigint").alias("_before"), F.inline(ranks))
-    held = counts
-    for _ in range(levels):
-        step = (F.col("_high") - F.col("_low")) / F.lit(float(fanout))
-        at = F.when(step > 0, F.least(F.floor((v - F.col("_low")) / step), F.lit(fanout - 1))).otherwise(0)
-        keys = [group] + [c for c in ("_p",) if c in held.columns]
-        placed = held.join(sought, keys).withColumn("_b", at)
-        buckets = placed.groupBy(group, "_p", "_rank", "_before", "_b").agg(F.sum("_n").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-        through = F.sum("_n").over(Window.partitionBy(group, "_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_before")
-        summed = buckets.withColumn("_through", through).where("_rank > _through - _n and _rank <= _through")
-        sought = summed.select(group, "_p", "_rank", "_low", "_high", (F.col("_through") - F.col("_n")).alias("_before"))
-        bounds = sought.select(group, "_p", F.col("_low").alias("_from"), F.col("_high").alias("_to"))
-        held = held.join(bounds, keys).where("_v between _from and _to").select(group, "_p", "_v", "_n")
-    run = F.sum("_n").over(Window.partitionBy(group, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = held.join(sought.select(group, "_p", "_rank", "_before"), [group, "_p"])
-    found = last.withColumn("_run", run + F.col("_before")).where("_run >= _rank").groupBy(group, "_p").agg(F.min("_v").alias("_v"))
-    named = [F.max(F.when(F.col("_p") == p, v)).alias(f"p{round(p * 100)}") for p in shares]
-    return found.groupBy(group).agg(*named)
+    given = rows.where(F.col(value).isNotNull()).select(group, F.col(value).alias("_v"))
+    sketches = given.groupBy(group).agg(F.kll_sketch_agg_double(v.cast("double"), k).alias("_s"), F.count(F.lit(1)).alias("_all"))
+
+    def near(p: float) -> Column:
+        return F.struct(
+            F.lit(p).alias("_p"), F.greatest(F.lit(1), F.ceil(F.col("_all") * F.lit(p))).alias("_rank"),
+            F.kll_sketch_get_quantile_double("_s", F.lit(max(0.0, p - margin))).alias("_from"),
+            F.kll_sketch_get_quantile_double("_s", F.lit(min(1.0, p + margin))).alias("_to"),
+        )
+
+    bounds = sketches.select(group, F.array(*map(near, shares)).alias("_near"))
+    inside = F.exists("_near", lambda b: v.cast("double").between(b["_from"], b["_to"]))
+    lower = [F.when(v.cast("double") < F.get("_near", F.lit(i))["_from"], 1).otherwise(0).alias(f"_b{i}") for i in range(len(shares))]
+    placed = given.join(bounds, group).select(group, F.when(inside, v).alias("_at"), *lower)
+    counts = placed.groupBy(group, F.col("_at").alias("_v")).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_b{i}").alias(f"_b{i}") for i in range(len(shares))])
+    whole = Window.partitionBy(group)
+    lows = F.array(*[F.sum(f"_b{i}").over(whole) for i in range(len(shares))])
+    held = counts.select(group, "_v", "_n", lows.alias("_lows")).where("_v is not null").join(bounds, group)
+    each = held.select(group, "_v", "_n", "_lows", F.posexplode("_near").alias("_i", "_b")).select(group, "_v", "_n", F.get("_lows", F.col("_i")).alias("_below"), "_b.*")
+    each = each.where(v.cast("double").between(F.col("_from"), F.col("_to")))
+    run = F.sum("_n").over(Window.partitionBy(group, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_below")
+    found = each.withColumn("_run", run).groupBy(group, "_p", "_rank", "_below").agg(F.min(F.when(F.col("_run") >= F.col("_rank"), v)).alias("_v"))
+    missed = F.raise_error(F.lit("a percentile lies outside the sketch's bounds")).cast(found.schema["_v"].dataType)
+    sure = F.when((F.col("_below") < F.col("_rank")) & v.isNotNull(), v).otherwise(missed)
+    named = [F.max(F.when(F.col("_p") == p, F.col("_sure"))).alias(f"p{round(p * 100)}") for p in shares]
+    return found.withColumn("_sure", sure).groupBy(group).agg(*named)
 
 
 def request_log_summary(log: DataFrame, accepted: Column) -> DataFrame:

@@ -158,6 +158,15 @@ BRIDGE: dict[str, str] = {
                CASE event_type WHEN 'click' THEN 'track' WHEN 'purchase' THEN 'artist' ELSE 'recording' END AS kind,
                {_id('target', 'k')} AS target_mbid
         FROM event""",
+    # Requests of an admission log: one per user and hour, over more targets, some malformed.
+    "asked": f"""
+        SELECT CAST(user_id AS STRING) || ':' || CAST(date_trunc('hour', ts) AS STRING) AS request_id, ts,
+               CASE event_type WHEN 'click' THEN 'track' WHEN 'purchase' THEN 'artist' WHEN 'view' THEN 'recording' ELSE CASE WHEN k = 7 THEN 'album' ELSE 'recording' END END AS kind,
+               CASE WHEN k = 8 AND value < 20 THEN 'no-id' ELSE {_id('target', 'event_id % 4000')} END AS target_mbid
+        FROM event""",
+    "asked_queue": """
+        SELECT kind, target_mbid, min(ts) AS created_at FROM asked
+        WHERE ts < TIMESTAMP '2024-01-01 12:00:00' AND kind <> 'album' AND target_mbid <> 'no-id' GROUP BY kind, target_mbid""",
     # Evidence as it may arrive: stray case and blanks, missing and unknown values.
     "raw_evidence": f"""
         SELECT CASE WHEN l_tax > 0.075 THEN 'no-id' ELSE chr(9) || ' ' || upper({_id('recording', 'l_partkey')}) || chr(160) END AS recording_mbid,

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import functions as fn
 from ..config import DEFAULT, SERVING_SCHEMA
+from ..operators import counts as co
 from ..operators import evidence as ev
 from ..operators import mapping as mp
 from ..operators import serving as sv
 from ..schemas import DUMP_TABLES, SHARDS
 from ..sources import dump as dp
 from ..sources import history as hi
-from ..sources.sinks import manifest_gate, open_documents, shard_documents, table_stats_frame
+from ..sources.sinks import manifest_gate, open_documents, shard_documents, stats_after, table_stats_frame
 from .bridge import SNAPSHOT, Tables
 from .oracle import _method
 from .registry import query
@@ -93,6 +96,19 @@ def digest(t: Tables) -> DataFrame:
     return stats.select("rows", "bytes", *[F.col(f"lane{i}").cast("string").alias(f"lane{i}") for i in range(8)])
 
 
+@query("a07_digest_after_upsert", f"""
+    SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(strlen(j)) AS BIGINT) AS bytes, {_LANES} FROM (
+      SELECT j, sha256(j) AS h FROM (SELECT '{{"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || ',"l_partkey":' || l_partkey
+        || ',"l_returnflag":"' || CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE l_returnflag END || '"}}' AS j FROM lineitem WHERE l_linenumber < 7))""")
+def digest_after(t: Tables) -> DataFrame:
+    """The digest kept up: returned lines are replaced, seventh lines deleted; only these are read again."""
+    old = t.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    new = old.where("l_returnflag = 'R'").withColumn("l_returnflag", F.lit("returned"))
+    # These lines have no key of their own, so the change is told by its rows.
+    stats = stats_after(table_stats_frame(old), old.where("l_returnflag = 'R' or l_linenumber = 7"), new.where("l_linenumber < 7"))
+    return stats.select("rows", "bytes", *[F.col(f"lane{i}").cast("string").alias(f"lane{i}") for i in range(8)])
+
+
 @query("a08_shard_documents", """
     SELECT substr(track_mbid, 1, 3) AS shard, CAST(count(DISTINCT track_mbid) AS BIGINT) AS aliases, min(track_mbid) AS first_track, max(track_mbid) AS last_track
     FROM o_alias WHERE recording_mbid IN (SELECT recording_mbid FROM o_evidence) GROUP BY 1""")
@@ -170,6 +186,32 @@ def pages(t: Tables) -> DataFrame:
     )
 
 
+@query("a11_page_rejects", """
+    WITH tracks AS (
+      SELECT CAST(o_custkey AS STRING) AS listener, 'overall' AS period, o_orderkey,
+             CASE WHEN o_orderkey % 5 = 0 THEN 'page' ELSE CASE WHEN length(title) = 0 THEN 'missing_title' WHEN length(title) > 512 THEN 'title_too_long'
+                  WHEN length(artist) = 0 THEN 'missing_artist' WHEN length(artist) > 256 THEN 'artist_too_long' WHEN plays < 0 THEN 'invalid_play_count' END END AS reason
+      FROM (SELECT o_custkey, o_orderkey, repeat(o_orderpriority, o_orderkey % 90) AS title, repeat(o_orderstatus, o_orderkey % 300) AS artist,
+                   CASE WHEN o_orderpriority LIKE '1%' THEN -1 ELSE 1 END AS plays FROM orders))
+    SELECT listener, period, reason AS reject_reason, CAST(count(*) AS BIGINT) AS rows FROM tracks WHERE reason <> 'page' GROUP BY ALL
+    UNION ALL SELECT listener, period, 'not_a_history_page', CAST(count(*) AS BIGINT) FROM tracks WHERE reason = 'page' GROUP BY ALL
+    UNION ALL SELECT CAST(o_custkey AS STRING), 'all', 'page_too_large', CAST(1 AS BIGINT) FROM orders GROUP BY o_custkey HAVING count(*) > 15""")
+def rejects(t: Tables) -> DataFrame:
+    """One page an order; every fifth holds no history, and one more page lists all orders of a listener."""
+    orders = t.table("orders")
+    key, listener = F.col("o_orderkey"), F.col("o_custkey").cast("string").alias("listener")
+    plays = F.when(F.col("o_orderpriority").startswith("1"), -1).otherwise(1)
+    track = F.struct(F.expr("repeat(o_orderpriority, int(o_orderkey % 90))").alias("name"), plays.alias("playcount"), F.expr("repeat(o_orderstatus, int(o_orderkey % 300))").alias("artist"))
+    body = F.when(key % 5 == 0, F.lit('{"history": []}')).otherwise(F.to_json(F.struct(F.struct(track.alias("track")).alias("toptracks"))))
+    single = orders.select(listener, F.lit("overall").alias("period"), key.alias("page"), body.alias("payload"))
+    # Bounded by the orders of one customer.
+    short = F.struct(F.lit("x").alias("name"), F.lit(1).alias("playcount"), F.lit("y").alias("artist"))
+    whole = orders.groupBy("o_custkey").agg(F.collect_list(short).alias("ts")).select(
+        listener, F.lit("all").alias("period"), F.lit(1).cast("bigint").alias("page"), F.to_json(F.struct(F.struct(F.col("ts").alias("track")).alias("toptracks"))).alias("payload")
+    )
+    return hi.page_rejects(single.unionByName(whole), replace(DEFAULT, page_size=15))
+
+
 @query("a12_profiles", """
     SELECT CAST(c_custkey AS STRING) AS listener, c_name AS username, 'https://www.last.fm/user/' || replace(c_name, '#', '%23') AS profile_url,
            CASE WHEN c_nationkey < 12 THEN 'https://lastfm.freetls.fastly.net/i/u/' || c_nationkey || '.png' END AS avatar_url, c_mktsegment AS realname,
@@ -340,6 +382,19 @@ def vocabulary(t: Tables) -> DataFrame:
     return _vocabulary(t).drop("snapshot_version")
 
 
+@query("d02_mergeable_counts", """
+    SELECT l_suppkey AS artist, CAST(l_linenumber AS BIGINT) AS instrument, CAST(count(DISTINCT l_partkey) FILTER (l_linestatus = 'F') AS BIGINT) AS before,
+           CAST(count(DISTINCT l_partkey) AS BIGINT) AS recordings
+    FROM line WHERE type_id = 1 GROUP BY 1, 2""")
+def mergeable_counts(t: Tables) -> DataFrame:
+    """Distinct recordings per artist and instrument after a second snapshot, from the bitmaps of both."""
+    keys = ["artist", "instrument"]
+    rows = t.view("line").where("type_id = 1").select(F.col("l_suppkey").alias("artist"), F.col("l_linenumber").alias("instrument"), "l_linestatus", "l_partkey")
+    first, second = (co.distinct_bitmaps(rows.where(F.col("l_linestatus") == s), keys, F.col("l_partkey")) for s in ("F", "O"))
+    both = co.distinct_counts(co.unite(first, second), keys, "recordings")
+    return both.join(co.distinct_counts(first, keys, "before"), keys, "left").select(*keys, F.coalesce("before", F.lit(0)).cast("bigint").alias("before"), "recordings")
+
+
 # ---- serving
 
 def _relations(t: Tables) -> DataFrame:

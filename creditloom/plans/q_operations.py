@@ -7,14 +7,19 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from .. import functions as fn
-from ..config import DEFAULT, RETRY_DELAYS, SERVING_SCHEMA
+from ..config import DEFAULT, RETRY_DELAYS, SERVING_SCHEMA, Policy
+from ..operators import admission as ad
 from ..operators import catalog as ca
+from ..operators import counts as co
 from ..operators import hydration as hy
 from ..operators import listening as ls
 from ..operators import quality as qu
 from ..operators import snapshots as sn
 from ..operators import studies as st
 from ..operators import tables as tb
+from ..session import cut_lineage, shared_folder
+from ..sources import store
+from ..sources.dump import union_all
 from .bridge import NOW, SNAPSHOT, Tables
 from .oracle import half_up
 from .q_evidence import _claims, _served_aliases, _served_vocabulary
@@ -111,6 +116,23 @@ def json_extract(t: Tables) -> DataFrame:
     return t.table("events").select("event_id", k.alias("k"), F.inline(wrapped).alias("item")).withColumn("item", F.col("item") * 2)
 
 
+@query("g13_json_paths", """
+    WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, o_custkey, o_totalprice > 150000 AS large FROM orders)
+    SELECT o_orderkey, 'customer.id' AS path, 'id' AS key, CAST(0 AS INTEGER) AS position, 'number' AS kind, CAST(o_custkey AS VARCHAR) AS value FROM o
+    UNION ALL SELECT o_orderkey, 'customer.tags[0]', NULL, 0, 'string', o_orderstatus FROM o
+    UNION ALL SELECT o_orderkey, 'customer.tags[1]', NULL, 1, 'object', '{"text":"' || o_orderpriority || '"}' FROM o
+    UNION ALL SELECT o_orderkey, 'large', 'large', 2, 'boolean', CAST(large AS VARCHAR) FROM o
+    UNION ALL SELECT o_orderkey, 'deep.a.b', 'b', 0, 'object', '{"c":{"d":' || o_custkey || '}}' FROM o""")
+def json_paths(t: Tables) -> DataFrame:
+    tag = F.array(F.col("o_orderstatus"), F.to_json(F.struct(F.col("o_orderpriority").alias("text"))))
+    tags = F.concat(F.lit('["'), tag[0], F.lit('",'), tag[1], F.lit("]"))
+    body = F.concat(
+        F.lit('{"customer":{"id":'), F.col("o_custkey"), F.lit(',"tags":'), tags, F.lit('},"deep":{"a":{"b":{"c":{"d":'), F.col("o_custkey"),
+        F.lit('}}}},"large":'), (F.col("o_totalprice") > 150000).cast("string"), F.lit(',"none":{},"list":[]}'),
+    )
+    return fn.unnest_json(t.table("orders").select("o_orderkey", body.alias("payload")), "payload", depth=3).where("path not in ('none', 'list')")
+
+
 @query("g14_locales", """
     SELECT lang, CASE lang WHEN 'en' THEN 'en-US' ELSE 'en-US' END AS effective, CASE lang WHEN 'en' THEN 'en-US' END AS matched, CAST(count(*) AS BIGINT) AS documents FROM documents GROUP BY 1""")
 def locales(t: Tables) -> DataFrame:
@@ -284,13 +306,59 @@ def distinct_targets(t: Tables) -> DataFrame:
     WITH q AS ({_QUEUED}),
     firsts AS (SELECT kind, target_mbid, arg_min(request_id, (ts, request_id)) AS request_id FROM request r WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.kind = r.kind AND q.target_mbid = r.target_mbid) GROUP BY 1, 2)
     SELECT a.request_id, strftime(a.ts, '%Y-%m-%d %H:%M:%S') AS ts, CAST(coalesce(f.u, 0) AS BIGINT) AS fresh_units,
-           CAST((SELECT sum(CASE WHEN kind = 'track' THEN 2 ELSE 1 END) FROM q) AS BIGINT) AS backlog_units
+           CAST((SELECT sum(CASE WHEN kind = 'track' THEN 2 ELSE 1 END) FROM q) AS BIGINT) AS backlog_units,
+           CAST(coalesce((SELECT sum(CASE WHEN kind = 'track' THEN 2 ELSE 1 END) FROM (SELECT kind, target_mbid, min(ts) AS made FROM request WHERE ts < TIMESTAMP '2024-01-01 12:00:00' GROUP BY 1, 2) x
+                          WHERE CAST(x.made AS DATE) = CAST(a.ts AS DATE)), 0) AS BIGINT) AS used_units
     FROM (SELECT request_id, min(ts) AS ts FROM request GROUP BY 1) a
     LEFT JOIN (SELECT request_id, sum(CASE WHEN kind = 'track' THEN 2 ELSE 1 END) AS u FROM firsts GROUP BY 1) f USING (request_id)""")
 def units(t: Tables) -> DataFrame:
-    jobs = _queued(t).select(F.col("kind").alias("target_kind"), "target_mbid", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), _now().alias("created_at"))
+    made = t.view("request").where("ts < TIMESTAMP '2024-01-01 12:00:00'").groupBy("kind", "target_mbid").agg(F.min("ts").alias("created_at"))
+    jobs = made.select(F.col("kind").alias("target_kind"), "target_mbid", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), "created_at")
     rows = hy.request_units(t.view("request"), jobs)
-    return rows.select("request_id", _stamp("ts"), F.col("fresh_units").cast("bigint").alias("fresh_units"), F.col("backlog_units").cast("bigint").alias("backlog_units"))
+    return rows.select("request_id", _stamp("ts"), *(F.col(c).cast("bigint").alias(c) for c in ("fresh_units", "backlog_units", "used_units")))
+
+
+_ADMISSION = Policy(max_pending_units=5_000, daily_new_units=360)
+
+
+@query("h01_admission", f"""
+    WITH checked AS (SELECT *, kind <> 'album' AND target_mbid <> 'no-id' AS ok FROM asked),
+    requests AS (
+      SELECT *, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY ok, CAST(ts AS DATE) ORDER BY ts, request_id) AS call
+      FROM (SELECT request_id, min(ts) AS ts, bool_and(ok) AS ok, count(DISTINCT kind || target_mbid) AS targets FROM checked GROUP BY request_id)),
+    numbers AS (SELECT kind, target_mbid, row_number() OVER (ORDER BY kind, target_mbid) - 1 AS no FROM (SELECT DISTINCT kind, target_mbid FROM checked WHERE ok)),
+    bits AS (
+      SELECT request_id, coalesce(bitstring_agg(no, 0, 11999) FILTER (kind = 'track'), bitstring('0', 12000)) AS tracks,
+             coalesce(bitstring_agg(no, 0, 11999) FILTER (kind <> 'track'), bitstring('0', 12000)) AS others
+      FROM checked JOIN numbers USING (kind, target_mbid) WHERE ok GROUP BY request_id),
+    waiting AS (SELECT coalesce(sum(CASE WHEN kind = 'track' THEN 2 ELSE 1 END), 0) AS units, coalesce(bitstring_agg(no, 0, 11999), bitstring('0', 12000)) AS seen FROM asked_queue JOIN numbers USING (kind, target_mbid)),
+    spent AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, sum(CASE WHEN kind = 'track' THEN 2 ELSE 1 END) AS units FROM asked_queue GROUP BY 1),
+    called AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY ts, request_id) AS i, request_id, day, tracks, others, coalesce(s.units, 0) AS spent
+      FROM requests JOIN bits USING (request_id) LEFT JOIN spent s USING (day) WHERE ok AND call <= {_ADMISSION.daily_calls}),
+    decided AS (
+      WITH RECURSIVE step AS (
+        SELECT CAST(0 AS BIGINT) AS i, '' AS request_id, '' AS day, seen, CAST(0 AS BIGINT) AS today, CAST(units AS BIGINT) AS total,
+               CAST(0 AS BIGINT) AS fresh, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS backlog, false AS admitted FROM waiting
+        UNION ALL
+        SELECT i, request_id, day, CASE WHEN admitted THEN seen | tracks | others ELSE seen END, CASE WHEN admitted THEN used + fresh ELSE used END,
+               CASE WHEN admitted THEN backlog + fresh ELSE backlog END, fresh, used, backlog, admitted
+        FROM (SELECT *, fresh = 0 OR used + fresh <= {_ADMISSION.daily_new_units} AND backlog + fresh <= {_ADMISSION.max_pending_units} AS admitted
+              FROM (SELECT c.i, c.request_id, c.day, p.seen, c.tracks, c.others, CAST(2 * bit_count(c.tracks & ~p.seen) + bit_count(c.others & ~p.seen) AS BIGINT) AS fresh,
+                           CAST(CASE WHEN c.day = p.day THEN p.today ELSE c.spent END AS BIGINT) AS used, p.total AS backlog
+                    FROM step p JOIN called c ON c.i = p.i + 1)))
+      SELECT request_id, fresh, used, backlog, admitted FROM step WHERE i > 0)
+    SELECT request_id, day, coalesce(admitted, false) AS admitted,
+           CASE WHEN NOT ok THEN 'invalid_request' WHEN admitted THEN NULL WHEN admitted IS NULL OR used + fresh > {_ADMISSION.daily_new_units} THEN 'hydration_daily_budget' ELSE 'hydration_busy' END AS code,
+           CAST(CASE WHEN NOT ok OR admitted THEN NULL
+                     WHEN admitted IS NULL OR used + fresh > {_ADMISSION.daily_new_units} THEN greatest(1, 86400 - (epoch_us(ts) % 86400000000) // 1000000) ELSE 120 END AS BIGINT) AS retry_after,
+           CAST(CASE WHEN admitted THEN targets ELSE 0 END AS BIGINT) AS accepted, fresh AS fresh_units, backlog AS backlog_units, used AS used_units
+    FROM requests LEFT JOIN decided USING (request_id)""")
+def admission(t: Tables) -> DataFrame:
+    queue = t.view("asked_queue").select(
+        F.lit(SNAPSHOT).alias("snapshot_version"), F.col("kind").alias("target_kind"), "target_mbid", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), "created_at"
+    )
+    return ad.decide(t.view("asked"), queue, _ADMISSION, strict=False).drop("ts")
 
 
 @query("h03_materialized", """
@@ -322,6 +390,30 @@ def upserted(t: Tables) -> DataFrame:
     return tb.upsert(once, new, ["recording_mbid"], keep=("first_count",))
 
 
+@query("h05_sharded_upsert", """
+    SELECT substr(recording_mbid, 1, 2) AS shard, recording_mbid, coalesce(n.status, o.status) AS status, o.credit_count AS first_count FROM recording_state o
+    LEFT JOIN (SELECT recording_mbid, 'complete' AS status FROM recording_state WHERE status = 'pending') n USING (recording_mbid)""")
+def sharded_upsert(t: Tables) -> DataFrame:
+    """The same upsert into a table of 256 shard folders, twice; only folders with changes are rewritten."""
+    shard = fn.shard_key(F.col("recording_mbid"), 2).alias("shard")
+    old = t.view("recording_state").select("recording_mbid", "status", F.col("credit_count").alias("first_count"), shard)
+    new = old.where("status = 'pending'").select("recording_mbid", F.lit("complete").alias("status"), (F.col("first_count") + 1).alias("first_count"), "shard")
+    folder = shared_folder(t.spark, "recording-state")
+    store.write_sharded(old, folder, "shard")
+    for _ in range(2):
+        store.upsert_sharded(t.spark, folder, new, ["recording_mbid"], "shard", old.schema, keep=("first_count",))
+    return store.read_sharded(t.spark, folder, "shard", schema=old.schema).select("shard", "recording_mbid", "status", "first_count")
+
+
+@query("c12_clustered_lookup", """
+    SELECT recording_mbid, slug, confidence, prominence FROM layer WHERE recording_mbid IN (SELECT recording_mbid FROM recording_state WHERE status = 'pending')""")
+def clustered_lookup(t: Tables) -> DataFrame:
+    """Evidence of pending recordings, from a table in the order of its ids."""
+    folder = shared_folder(t.spark, "layers")
+    store.write_clustered(t.view("layer").select("recording_mbid", "slug", "confidence", "prominence"), folder, "recording_mbid")
+    return store.lookup(t.spark.read.parquet(folder), t.view("recording_state").where("status = 'pending'"), "recording_mbid")
+
+
 @query("h06_daily_budget", f"SELECT strftime(ts, '%Y-%m-%d') AS period, CAST(sum(k) AS BIGINT) AS units, sum(k) <= 16000 AS within_limit FROM event GROUP BY 1")
 def budget(t: Tables) -> DataFrame:
     return hy.budget_summary(t.view("event").withColumn("units", F.col("k")), fn.day_key(F.col("ts")), 16_000)
@@ -367,6 +459,20 @@ def with_evidence(t: Tables) -> DataFrame:
     return ca.recordings_with_evidence(rows, _active(t))
 
 
+@query("d26_mergeable_statistic", """
+    SELECT 'F' AS snapshot, CAST(count(DISTINCT l_partkey) AS BIGINT) AS recordings FROM line WHERE type_id < 5 AND l_linestatus = 'F'
+    UNION ALL SELECT 'O', CAST(count(DISTINCT l_partkey) AS BIGINT) FROM line WHERE type_id < 5 AND l_linestatus = 'O'
+    UNION ALL SELECT 'both', CAST(count(*) AS BIGINT) FROM (SELECT l_partkey FROM line WHERE type_id < 5 AND l_linestatus = 'F' INTERSECT SELECT l_partkey FROM line WHERE type_id < 5 AND l_linestatus = 'O')
+    UNION ALL SELECT 'any', CAST(count(DISTINCT l_partkey) AS BIGINT) FROM line WHERE type_id < 5""")
+def mergeable_statistic(t: Tables) -> DataFrame:
+    """Recordings with credits in two snapshots, in both and in either, from one bitmap a snapshot."""
+    rows = t.view("line").where("type_id < 5").select(F.col("l_linestatus").alias("snapshot"), "l_partkey")
+    bits = cut_lineage(co.distinct_bitmaps(rows, ["snapshot"], F.col("l_partkey")))
+    first, second = (bits.where(F.col("snapshot") == s).drop("snapshot") for s in ("F", "O"))
+    named = [co.distinct_counts(x, [], "recordings").select(F.lit(n).alias("snapshot"), "recordings") for n, x in (("both", co.common(first, second)), ("any", co.unite(first, second)))]
+    return union_all([co.distinct_counts(bits, ["snapshot"], "recordings"), *named])
+
+
 # ---- editorial
 
 @query("b14_eligible_blocks", "SELECT block_id, subject_slug, status, md5(text) AS digest FROM block WHERE length(trim(text)) > 0 AND status IN ('sourced', 'published') AND claim_support_verified")

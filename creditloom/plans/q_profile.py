@@ -42,8 +42,13 @@ def _coverage(t: Tables) -> DataFrame:
     return t.built("coverage", lambda t: fa.coverage(_profiled(t)))
 
 
+def _names(t: Tables) -> fa.Names:
+    """The taxonomy names its subjects; layers of a subject carry the same name."""
+    return fa.Names.of(t.view("subject"))
+
+
 def _presence(t: Tables) -> DataFrame:
-    return t.built("presence", lambda t: fa.family_presence(_profiled(t)))
+    return t.built("presence", lambda t: fa.family_presence(_profiled(t), _names(t)))
 
 
 def _balance(t: Tables) -> DataFrame:
@@ -51,7 +56,7 @@ def _balance(t: Tables) -> DataFrame:
 
 
 def _discovery(t: Tables) -> DataFrame:
-    return t.built("discovery", lambda t: fa.discovery(_profiled(t)))
+    return t.built("discovery", lambda t: fa.discovery(_profiled(t), names=_names(t)))
 
 
 def _temper(t: Tables) -> DataFrame:
@@ -78,9 +83,9 @@ def identity(t: Tables) -> DataFrame:
 
 
 @query("c12_evidence_lookup", f"""
-    WITH asked AS (SELECT DISTINCT listener AS request_id, track_mbid FROM history),
+    WITH wanted AS (SELECT DISTINCT listener AS request_id, track_mbid FROM history),
     found AS (SELECT DISTINCT track_mbid, recording_mbid FROM o_alias), hit AS (SELECT request_id, a.track_mbid, f.recording_mbid IS NOT NULL AS h,
-      coalesce(f.recording_mbid, a.track_mbid) AS recording_mbid FROM asked a LEFT JOIN found f ON f.track_mbid = a.track_mbid),
+      coalesce(f.recording_mbid, a.track_mbid) AS recording_mbid FROM wanted a LEFT JOIN found f ON f.track_mbid = a.track_mbid),
     rec AS (SELECT DISTINCT request_id, recording_mbid FROM hit), art AS (SELECT DISTINCT listener AS request_id, artist_mbid FROM history WHERE artist_mbid IS NOT NULL)
     SELECT x.request_id, CAST(x.tracks AS BIGINT) AS tracks, CAST(x.aliases AS BIGINT) AS aliases, CAST(coalesce(s.n, 0) AS BIGINT) AS recording_statuses,
            CAST(coalesce(c.n, 0) AS BIGINT) AS recording_claims, CAST(coalesce(r.artists, 0) AS BIGINT) AS artists, CAST(coalesce(r.states, 0) AS BIGINT) AS artist_statuses,
@@ -415,7 +420,7 @@ def _reports(t: Tables) -> DataFrame:
     named = F.when(F.col("mbid").isNotNull() & (F.col("rank") % 3 == 0), F.col("track_mbid")).otherwise(F.col("mbid"))
     history = t.view("history").withColumn("mbid", named)
     aliases = t.view("history").where("mbid is not null").select("track_mbid", F.col("mbid").alias("recording_mbid")).distinct()
-    evidence = rp.Evidence(aliases, t.view("layer"), _states(t), t.view("artist_state"), t.view("vocabulary_row"))
+    evidence = rp.Evidence(aliases, t.view("layer"), _states(t), t.view("artist_state"), t.view("vocabulary_row"), _names(t))
     return rp.build_reports(history, evidence, SNAPSHOT)
 
 

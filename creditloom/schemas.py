@@ -107,7 +107,7 @@ MANIFEST = (
     "schema_version string, snapshot_version string, generated_at string, source_url string, "
     "license string, attribution string, parent_hash string, object_prefix string, "
     "recording_count bigint, credit_count bigint, manifest_hash string, "
-    "tables map<string, struct<rows: bigint, bytes: bigint, digest: string>>, "
+    "tables map<string, struct<rows: bigint, bytes: bigint, digest: string, lanes: array<string>>>, "
     "counters map<string, bigint>"
 )
 HISTORY = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,12 +40,15 @@ def local_session(cores: int | str = 8, app: str = "creditloom") -> SparkSession
     return tune(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names; it survives lost executors.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, where every executor can read and write."""
+    use_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
 
-    A folder of our own is made only in local mode, where the machine is the cluster.
-    """
-    context = df.sparkSession.sparkContext
+def use_checkpoints(spark: SparkSession) -> None:
+    """Take the shared folder the cluster names; a folder of our own only in local mode, where the machine is the cluster."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -52,4 +56,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir is unset")
             folder = tempfile.mkdtemp(prefix="creditloom-checkpoint-")
         context.setCheckpointDir(folder)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder the cluster names; it survives lost executors."""
+    use_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)

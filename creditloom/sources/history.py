@@ -33,12 +33,12 @@ def _play_count(value: Column) -> Column:
 _TRACK = "struct<name: variant, playcount: variant, mbid: variant, artist: variant, album: variant, url: variant>"
 
 
-def parse_pages(pages: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """Top-track pages to ranked rows.
+def check_pages(pages: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """Every track of top-track pages, with the reason it is rejected for; null for none.
 
-    ``pages`` has listener, period, page (from 1) and payload (JSON text). One
-    payload holds at most one page of tracks, so the array it explodes is bounded;
-    a larger one fails. Rows without title, artist or play count are dropped.
+    ``pages`` has listener, period, page (from 1) and payload (JSON text). A payload that is
+    no history page, or holds more tracks than a page, is one row without a rank; so no page
+    fails the job, and the array that is exploded is bounded.
     """
     parsed = pages.withColumn("_v", F.try_parse_json("payload"))
     tracks = F.try_variant_get("_v", "$.toptracks.track", "variant")
@@ -46,31 +46,57 @@ def parse_pages(pages: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     items = F.when(_is_type(tracks, "ARRAY"), many).when(tracks.isNotNull(), F.array(tracks)).otherwise(
         F.array().cast("array<variant>")
     )
-    fault = F.when(~_is_type(F.try_variant_get("_v", "$.toptracks", "variant"), "OBJECT"), "not a history page").when(
-        F.size(items) > policy.page_size, "page holds too many tracks"
+    fault = F.when(~_is_type(F.try_variant_get("_v", "$.toptracks", "variant"), "OBJECT"), "not_a_history_page").when(
+        F.size(items) > policy.page_size, "page_too_large"
     )
     rows = parsed.select(
         F.coalesce(_text(F.col("_v"), "$.toptracks['@attr'].user", 64), F.col("listener")).alias("listener"),
         "period",
         "page",
-        F.posexplode(F.when(fault.isNull(), items).otherwise(F.raise_error(fault).cast("array<variant>"))).alias("_i", "_t"),
+        fault.alias("_fault"),
+        # A page with a fault goes on as one empty track.
+        F.posexplode(F.when(fault.isNull(), items).otherwise(F.array(F.lit(None).cast("variant")))).alias("_i", "_t"),
     )
     rows = rows.withColumn("_t", F.try_variant_get("_t", "$", _TRACK))
     artist = F.col("_t.artist")
     artist_is_object = _is_type(artist, "OBJECT")
+    artist_text = F.when(artist_is_object, F.try_variant_get(artist, "$.name", "variant")).otherwise(artist)
+
+    def lost(value: Column, name: str) -> Column:
+        """Why a text is missing: longer than its bound, or not there."""
+        given = _is_type(value, "STRING") & (F.trim(F.try_variant_get(value, "$", "string")) != "")
+        return F.when(given, f"{name}_too_long").otherwise(f"missing_{name}")
+
     shaped = rows.select(
         "listener",
         "period",
-        ((F.col("page") - 1) * policy.page_size + F.col("_i") + 1).cast("bigint").alias("rank"),
+        "page",
+        F.when(F.col("_fault").isNull(), (F.col("page") - 1) * policy.page_size + F.col("_i") + 1).cast("bigint").alias("rank"),
         _as_text(F.col("_t.name")).alias("title"),
-        F.when(artist_is_object, _text(artist, "$.name", 256)).otherwise(_as_text(artist, 256)).alias("artist"),
+        _as_text(artist_text, 256).alias("artist"),
         _play_count(F.col("_t.playcount")).alias("play_count"),
         canonical_mbid(_as_text(F.col("_t.mbid")), strict=True).alias("mbid"),
         F.when(artist_is_object, canonical_mbid(_text(artist, "$.mbid"), strict=True)).alias("artist_mbid"),
         canonical_mbid(_text(F.col("_t.album"), "$.mbid"), strict=True).alias("release_mbid"),
         http_url(_as_text(F.col("_t.url"), 2048)).alias("url"),
+        "_fault",
+        lost(F.col("_t.name"), "title").alias("_title"),
+        lost(artist_text, "artist").alias("_artist"),
+    )
+    reason = F.coalesce(
+        "_fault", F.when(F.col("title").isNull(), F.col("_title")), F.when(F.col("artist").isNull(), F.col("_artist")), F.when(F.col("play_count").isNull(), "invalid_play_count")
     )
-    return shaped.where("title is not null and artist is not null and play_count is not null")
+    return shaped.withColumn("reject_reason", reason).drop("_fault", "_title", "_artist")
+
+
+def parse_pages(pages: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """The ranked rows that ``check_pages`` accepts."""
+    return check_pages(pages, policy).where("reject_reason is null").drop("page", "reject_reason")
+
+
+def page_rejects(pages: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """Rejected rows per listener, period and reason."""
+    return check_pages(pages, policy).where("reject_reason is not null").groupBy("listener", "period", "reject_reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def parse_profiles(profiles: DataFrame) -> DataFrame:

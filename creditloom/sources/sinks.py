@@ -18,6 +18,8 @@ class TableStats:
     rows: int
     bytes: int
     digest: str
+    #: Sums of the row digests, from which a change goes on without a scan.
+    lanes: tuple[str, ...] = ()
 
 
 def _digest_parts(df: DataFrame) -> list[Column]:
@@ -38,9 +40,9 @@ def _digest_parts(df: DataFrame) -> list[Column]:
 def _finish(values: dict) -> TableStats:
     import hashlib
 
-    lanes = ":".join(str(int(values[f"lane{i}"] or 0)) for i in range(_LANES))
-    digest = hashlib.sha256(f"{values['rows']}:{lanes}".encode()).hexdigest()
-    return TableStats(int(values["rows"]), int(values["bytes"] or 0), digest)
+    lanes = tuple(str(int(values[f"lane{i}"] or 0)) for i in range(_LANES))
+    digest = hashlib.sha256(f"{values['rows']}:{':'.join(lanes)}".encode()).hexdigest()
+    return TableStats(int(values["rows"]), int(values["bytes"] or 0), digest, lanes)
 
 
 def table_stats_frame(df: DataFrame) -> DataFrame:
@@ -52,6 +54,36 @@ def table_stats(df: DataFrame) -> TableStats:
     return _finish(table_stats_frame(df).first().asDict())
 
 
+def stats_after(before: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """The row of ``table_stats_frame`` after a change, without the rows that stay.
+
+    ``removed`` holds the rows as they were, ``added`` as they are now; a replaced row is in
+    both. Sums of digests are taken back and added to, so only changed rows are read.
+    """
+    names = ["rows", "bytes", *(f"lane{i}" for i in range(_LANES))]
+
+    def signed(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(*[(F.coalesce(F.col(n), F.lit(0)).cast("decimal(38,0)") * sign).cast("decimal(38,0)").alias(n) for n in names])
+
+    parts = signed(before, 1).unionByName(signed(table_stats_frame(removed), -1)).unionByName(signed(table_stats_frame(added), 1))
+    return parts.agg(*[F.sum(n).cast("bigint" if n in ("rows", "bytes") else "decimal(38,0)").alias(n) for n in names])
+
+
+def change_of(old: DataFrame, new: DataFrame, keys: list[str], deleted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(removed, added) of an upsert of ``new`` into ``old`` and a deletion of the ``deleted`` keys after it."""
+    gone = new.select(*keys) if deleted is None else new.select(*keys).unionByName(deleted.select(*keys))
+    removed = old.join(gone.distinct(), keys, "left_semi").select(*old.columns)
+    added = new if deleted is None else new.join(deleted.select(*keys).distinct(), keys, "left_anti")
+    return removed, added.select(*old.columns)
+
+
+def table_stats_after(spark: SparkSession, before: TableStats, removed: DataFrame, added: DataFrame) -> TableStats:
+    """A table's counts and digest after a change, from those before it, as a manifest keeps them."""
+    fields = ["rows", "bytes", *(f"lane{i}" for i in range(_LANES))]
+    values = [F.lit(v).cast("decimal(38,0)").alias(n) for n, v in zip(fields, [before.rows, before.bytes, *before.lanes], strict=True)]
+    return _finish(stats_after(spark.range(1).select(*values), removed, added).first().asDict())
+
+
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> TableStats:
     """Write Parquet once; counts and digest are observed during that same pass."""
     seen = Observation()
@@ -95,7 +127,7 @@ def write_manifest(
         "recording_count": counters.get("recording_count"),
         "credit_count": counters.get("credit_count"),
         "manifest_hash": digest,
-        "tables": {name: (s.rows, s.bytes, s.digest) for name, s in tables.items()},
+        "tables": {name: (s.rows, s.bytes, s.digest, list(s.lanes)) for name, s in tables.items()},
         "counters": counters,
         **texts,
     }
@@ -126,6 +158,11 @@ def read_manifest(spark: SparkSession, path: str, schema_version: str, snapshot_
     return row.asDict(recursive=True)
 
 
+def manifest_tables(manifest: dict) -> dict[str, TableStats]:
+    """The tables of a manifest that was read, to go on from."""
+    return {name: TableStats(t["rows"], t["bytes"], t["digest"], tuple(t["lanes"] or ())) for name, t in (manifest["tables"] or {}).items()}
+
+
 # Map column of each shard kind.
 _MAPS = {"recording": "records", "track": "aliases", "artist": "artists"}
 
@@ -218,8 +255,9 @@ def open_documents(docs: DataFrame, kind: str, snapshot_version: str) -> DataFra
 
 def read_shards(spark: SparkSession, path: str, kind: str, snapshot_version: str, shards: list[str] | None = None) -> DataFrame:
     """(key, value) rows of the named shards (all when none are named), every envelope checked."""
-    docs = spark.read.schema(SHARDS[kind]).option("mode", "FAILFAST").json(path)
-    docs = docs.select("*", F.element_at(F.split(F.regexp_extract("_metadata.file_path", "key=([^/]+)/", 1), "/"), 1).alias("_folder"))
+    schema = T.StructType([*T.StructType.fromDDL(SHARDS[kind]).fields, T.StructField("key", T.StringType())])
+    docs = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     if shards is not None:
-        docs = docs.where(F.col("_folder").isin(*shards))
-    return open_documents(docs, kind, snapshot_version)
+        # A filter on the folder's own column: folders of other shards are not read.
+        docs = docs.where(F.col("key").isin(*shards))
+    return open_documents(docs.withColumnRenamed("key", "_folder"), kind, snapshot_version)

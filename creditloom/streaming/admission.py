@@ -2,117 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import DEFAULT, Policy
-from ..functions import canonical_mbid, day_key
-from ..operators.hydration import units
-from ..sources.dump import union_all
+from ..operators.admission import decide, new_jobs
 
-TARGET = ["kind", "target_mbid"]
+#: State with a time to live needs this store.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+_ROW = "request_id string, ts timestamp, kind string, target_mbid string"
 
-def valid_requests(raw: DataFrame) -> DataFrame:
-    """Rows of well-formed requests: known kinds, strict ids. One bad target refuses its
-    whole request, as a partial answer would."""
-    mbid = canonical_mbid(F.col("target_mbid"), strict=True)
-    ok = F.col("kind").isin("track", "recording", "artist") & mbid.isNotNull()
-    return raw.withColumns({"target_mbid": mbid, "ok": F.coalesce(ok, F.lit(False))})
 
+class SeenTargets(StatefulProcessor):
+    """Lets each target of a request pass once.
 
-@dataclass(frozen=True)
-class Room:
-    """Units left in the backlog and in a day's budget."""
-
-    backlog: int
-    day: int
+    A request's targets are kept as a map with a time to live, so that a client's repeats are
+    dropped for that long and the state then goes by itself, whatever the times in the rows.
+    """
 
-    @property
-    def units(self) -> int:
-        return max(0, min(self.backlog, self.day))
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "kind string, target_mbid string", "at timestamp", self.ttl_ms)
 
-def room_for(jobs: DataFrame, day: str, policy: Policy = DEFAULT) -> Room:
-    open_ = (F.col("status") != "complete") & ((F.col("status") == "processing") | (F.col("attempts") < policy.max_attempts))
-    size = units(F.col("target_kind"))
-    row = jobs.agg(
-        F.coalesce(F.sum(F.when(open_, size)), F.lit(0)).alias("backlog"),
-        F.coalesce(F.sum(F.when(day_key(F.col("created_at")) == day, size)), F.lit(0)).alias("used"),
-    ).first()
-    return Room(policy.max_pending_units - row["backlog"], policy.daily_new_units - row["used"])
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            fresh = []
+            for row in batch.itertuples(index=False):
+                # A null is no key of a map; such a target makes its request invalid, and passes.
+                target = (row.kind or "", row.target_mbid or "")
+                if not self.seen.containsKey(target):
+                    self.seen.updateValue(target, (row.ts.to_pydatetime(),))
+                    fresh.append(row)
+            if fresh:
+                yield pd.DataFrame(fresh, columns=list(batch.columns))[["request_id", "ts", "kind", "target_mbid"]]
 
+    def close(self) -> None:
+        pass
 
-def next_prefix(requests: DataFrame, room: int) -> DataFrame:
-    """Decisions for the longest run of next requests that all fit, plus the one after it.
 
-    ``requests`` holds the fresh targets of requests that fit by themselves. Each of
-    them takes at least one unit, so no more than ``room`` + 1 of them can matter in
-    one round: that many are taken by arrival, and only those meet in one task.
-    """
-    arrivals = requests.groupBy("request_id").agg(F.min("ts").alias("ts")).orderBy("ts", "request_id").limit(room + 1)
-    ours = requests.join(arrivals.select("request_id"), "request_id", "left_semi")
-    # A target counts for the first of these requests that brings it.
-    firsts = ours.groupBy(*TARGET).agg(F.min(F.struct("ts", "request_id")).alias("_f"))
-    sizes = firsts.groupBy(F.col("_f.request_id").alias("request_id")).agg(F.sum(units(F.col("kind"))).alias("units"))
-    order = Window.orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = arrivals.join(sizes, "request_id", "left").withColumn("charged", F.sum(F.coalesce("units", F.lit(0))).over(order))
-    return running.withColumn("admitted", F.col("charged") <= room)
-
-
-def admit(requests: DataFrame, jobs: DataFrame, day: str, policy: Policy = DEFAULT) -> list[str]:
-    """Ids of the requests admitted on a day, decided one by one in arrival order.
-
-    A request enters whole or not at all, and a refused one leaves its room to the
-    next. Each round settles the longest fitting run and the request that breaks it,
-    and drops requests larger than what is left: a request's fresh units shrink at
-    most as fast as the room, so it could never fit later. The admitted ids are
-    bounded by the budget; only they and one refused id per round reach the driver.
-    """
-    room = room_for(jobs, day, policy).units
-    asked = requests.where(day_key(F.col("ts")) == day)
-    queued = jobs.select(F.col("target_kind").alias("kind"), "target_mbid")
-    admitted: list[str] = []
-    refused: list[str] = []
-    while room > 0:
-        taken = asked.where(F.col("request_id").isin(admitted)) if admitted else asked.limit(0)
-        open_ = asked.where(~F.col("request_id").isin([*admitted, *refused])) if admitted or refused else asked
-        new = open_.dropDuplicates(["request_id", *TARGET]).join(queued.unionByName(taken.select(*TARGET)), TARGET, "left_anti")
-        sizes = new.groupBy("request_id").agg(F.sum(units(F.col("kind"))).alias("_u")).where(F.col("_u") <= room)
-        rows = next_prefix(new.join(sizes.select("request_id"), "request_id", "left_semi"), room).orderBy("ts", "request_id").collect()
-        if not rows:
-            break
-        for row in rows:
-            if not row["admitted"]:
-                refused.append(row["request_id"])
-                break
-            admitted.append(row["request_id"])
-            room -= row["units"] or 0
-    return admitted
-
-
-def admitted_jobs(requests: DataFrame, jobs: DataFrame, admitted: list[str], snapshot_version: str) -> DataFrame:
-    """New pending jobs for the targets of the admitted requests."""
-    targets = requests.where(F.col("request_id").isin(admitted)).select(
-        F.lit(snapshot_version).alias("snapshot_version"), F.col("kind").alias("target_kind"), "target_mbid", "ts"
-    )
-    firsts = targets.groupBy("snapshot_version", "target_kind", "target_mbid").agg(F.min("ts").alias("created_at"))
-    key = ["snapshot_version", "target_kind", "target_mbid"]
-    new = firsts.join(jobs.select(*key), key, "left_anti")
-    return new.select(
-        F.xxhash64(*key).alias("id"),
-        *key,
-        F.substring("target_mbid", 1, F.when(F.col("target_kind") == "artist", 3).otherwise(4)).alias("shard_key"),
-        F.lit("pending").alias("status"),
-        F.lit(0).cast("bigint").alias("attempts"),
-        F.lit(None).cast("string").alias("last_error"),
-        F.lit(None).cast("timestamp").alias("next_attempt_at"),
-        "created_at",
-        F.col("created_at").alias("updated_at"),
-    )
+def unseen(requests: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
+    """The stream without targets that their request named before, within the time to live."""
+    rows = requests.select("request_id", "ts", "kind", "target_mbid")
+    return rows.groupBy("request_id").transformWithStateInPandas(SeenTargets(ttl_ms), _ROW, "append", "processingTime")
 
 
 def start_admission(
@@ -121,37 +59,34 @@ def start_admission(
     append_jobs: Callable[[DataFrame, int], None],
     snapshot_version: str,
     checkpoint: str,
-    lateness: str = "10 minutes",
+    ttl_ms: int = 86_400_000,
     policy: Policy = DEFAULT,
     once: bool = False,
+    answer: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
     """Admit a stream of request targets (request_id, ts, kind, target_mbid).
 
-    Repeats within the watermark are dropped by the stream's state; the budget is
-    global, so it is applied per micro-batch against the job table. ``append_jobs``
-    gets the batch id, so that a replayed batch can be recognized.
+    Repeats are dropped by the stream's state. The budget is global, so a micro-batch is
+    decided against the job table, all its days in the same rounds. ``append_jobs`` and
+    ``answer`` get the batch id, so that a replayed batch can be recognized.
     """
-    deduped = (
-        valid_requests(requests).withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["request_id", "kind", "target_mbid"])
-    )
+    spark = requests.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            bad = batch.where(~F.col("ok")).select("request_id").distinct()
-            good = batch.join(bad, "request_id", "left_anti")
+            if batch.isEmpty():
+                return
             jobs = read_jobs(batch.sparkSession)
-            # A micro-batch spans few days. Its jobs are appended once, under its one id.
-            added: list[DataFrame] = []
-            for row in good.select(day_key(F.col("ts")).alias("day")).distinct().orderBy("day").collect():
-                admitted = admit(good, jobs, row["day"], policy)
-                if admitted:
-                    added.append(admitted_jobs(good, jobs, admitted, snapshot_version))
-                    jobs = jobs.unionByName(added[-1], allowMissingColumns=True)
-            if added:
-                append_jobs(union_all(added), batch_id)
+            decisions = decide(batch, jobs, policy).persist()
+            append_jobs(new_jobs(batch, decisions, jobs, snapshot_version), batch_id)
+            if answer is not None:
+                answer(decisions, batch_id)
+            decisions.unpersist()
         finally:
             batch.unpersist()
 
-    writer = deduped.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 minutes")).start()
+    writer = unseen(requests, ttl_ms).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    # State that expires by the clock asks for another batch for ever, so "what is there now" is one batch.
+    return (writer.trigger(once=True) if once else writer.trigger(processingTime="2 minutes")).start()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditloom.config import SERVING_SCHEMA, Policy
+from creditloom.operators import admission as ad
 from creditloom.operators import catalog as ca
 from creditloom.operators import hydration as hy
 from creditloom.operators import quality as qu
@@ -15,7 +16,7 @@ from creditloom.operators import studies as st
 from creditloom.operators import tables as tb
 from creditloom.schemas import JOB, SNAPSHOT
 from creditloom.sources.taxonomy import load_taxonomy
-from creditloom.streaming import admission as ad
+from creditloom.streaming import admission as st_admission
 from creditloom.streaming import usage as us
 
 NOW = datetime(2024, 1, 10, 12)
@@ -88,54 +89,91 @@ def test_upsert(spark, rows):
     assert rows(tb.insert_new(old, new, ["k"])) == [(1, "a", 10), (2, "b", 20), (3, "c", 30)]
 
 
-def brute_admission(requests, queued, room):
+def brute_admission(requests, queued, backlog, used, policy):
     """One request after the other, whole or not at all."""
-    order = sorted({(ts, r) for r, ts, _, _ in requests})
-    admitted, queued = [], set(queued)
-    for _, r in order:
-        mine = {(k, m) for q, _, k, m in requests if q == r} - queued
-        cost = sum(2 if k == "track" else 1 for k, _ in mine)
-        if cost and cost <= room:
-            admitted.append(r)
-            queued |= mine
-            room -= cost
-    return admitted
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_admission_against_brute_force(spark, seed):
+    first = {}
+    for r, ts, _, _ in requests:
+        first[r] = min(first.get(r, ts), ts)
+    queued, used, calls, out = set(queued), dict(used), {}, {}
+    for ts, r in sorted((ts, r) for r, ts in first.items()):
+        day = ts.strftime("%Y-%m-%d")
+        targets = {(k, m) for q, _, k, m in requests if q == r}
+        if any(k not in ("track", "recording", "artist") or len(m or "") != 36 for k, m in targets):
+            out[r] = (False, "invalid_request", 0, None, None, None)
+            continue
+        calls[day] = calls.get(day, 0) + 1
+        if calls[day] > policy.daily_calls:
+            out[r] = (False, "hydration_daily_budget", 0, None, None, None)
+            continue
+        cost = sum(2 if k == "track" else 1 for k, _ in targets - queued)
+        today = used.get(day, 0)
+        fits_day = today + cost <= policy.daily_new_units
+        taken = cost == 0 or fits_day and backlog + cost <= policy.max_pending_units
+        out[r] = (taken, None if taken else "hydration_busy" if fits_day else "hydration_daily_budget", len(targets) if taken else 0, cost, backlog, today)
+        if taken:
+            queued |= targets
+            backlog += cost
+            used[day] = today + cost
+    return out
+
+
+REQUESTS = "request_id string, ts timestamp, kind string, target_mbid string"
+
+
+def answers(decisions):
+    return {r.request_id: (r.admitted, r.code, r.accepted, r.fresh_units, r.backlog_units, r.used_units) for r in decisions.collect()}
+
+
+@pytest.mark.parametrize(("seed", "limits"), [(1, (40, 9, 8)), (2, (30, 14, 100)), (3, (1000, 6, 9))])
+def test_admission_against_brute_force(spark, seed, limits):
     rng = random.Random(seed)
     requests = []
-    for n in range(25):
-        ts = NOW + timedelta(seconds=n)
-        for _ in range(rng.randrange(1, 7)):
-            requests.append((f"r{n:02d}", ts, rng.choice(["track", "recording", "artist"]), ident(rng.randrange(12))))
-    df = spark.createDataFrame(requests, "request_id string, ts timestamp, kind string, target_mbid string")
-    queue = jobs(spark, job(1, created=NOW - timedelta(days=1)), job(2, "complete", created=NOW))
-    policy = Policy(max_pending_units=18, daily_new_units=20)
-    # One unit is pending and one was used today: 17 units are left.
-    want = brute_admission(requests, {("recording", ident(1)), ("recording", ident(2))}, 17)
-    assert ad.admit(df, queue, "2024-01-10", policy) == want and want
+    for n in range(48):
+        ts = NOW + timedelta(hours=n, seconds=rng.randrange(2))
+        for _ in range(rng.randrange(1, 5)):
+            requests.append((f"r{n:02d}", ts, rng.choice(["track", "recording", "artist"]), ident(rng.randrange(14)) if rng.random() > 0.02 else "bad"))
+        requests.append(requests[-1])
+    policy = Policy(max_pending_units=limits[0], daily_new_units=limits[1], daily_calls=limits[2])
+    queue = jobs(spark, job(1, created=NOW - timedelta(days=1)), job(2, "complete", created=NOW), job(3, "failed", 5, created=NOW + timedelta(days=1), kind="track"))
+    want = brute_admission(requests, {("recording", ident(1)), ("recording", ident(2)), ("track", ident(3))}, 1, {"2024-01-09": 1, "2024-01-10": 1, "2024-01-11": 2}, policy)
+    got = ad.decide(spark.createDataFrame(requests, REQUESTS), queue, policy)
+    assert answers(got) == want and len({v[:2] for v in want.values()}) >= 3
+    for row in got.collect():
+        assert (row.retry_after is None) == (row.code in (None, "invalid_request")) and (row.code != "hydration_busy" or row.retry_after == 120)
+
+
+def test_admission_of_nothing(spark):
+    assert ad.decide(spark.createDataFrame([], REQUESTS), jobs(spark, job(1))).count() == 0
+    assert answers(ad.decide(spark.createDataFrame([("a", NOW, "track", None), ("b", NOW, None, ident(1))], REQUESTS), jobs(spark, job(9)).limit(0))) == {"a": (False, "invalid_request", 0, None, None, None), "b": (False, "invalid_request", 0, None, None, None)}
 
 
 def test_admission_stream(spark, tmp_path):
-    source, table = str(tmp_path / "requests"), str(tmp_path / "jobs")
-    schema = "request_id string, ts timestamp, kind string, target_mbid string"
+    source, table = tmp_path / "requests", str(tmp_path / "jobs")
     jobs(spark, job(1, created=NOW)).write.parquet(table)
     given = [("a", NOW, "track", ident(2)), ("a", NOW, "track", ident(2)), ("b", NOW, "recording", "bad"), ("b", NOW, "recording", ident(3)), ("c", NOW, "recording", ident(1)), ("d", NOW + timedelta(1), "artist", ident(4))]
-    spark.createDataFrame(given, schema).write.parquet(source)
-
-    appended = []
+    spark.createDataFrame(given, REQUESTS).coalesce(1).write.parquet(str(source))
+    appended, told = [], []
 
     def append(new, batch_id):
         appended.append(batch_id)
         new.write.mode("append").parquet(table)
 
-    query = ad.start_admission(spark.readStream.schema(schema).parquet(source), lambda s: s.read.schema(JOB).parquet(table), append, "v", str(tmp_path / "cp"), once=True)
-    query.awaitTermination()
+    def run(ttl_ms):
+        st_admission.start_admission(
+            spark.readStream.schema(REQUESTS).parquet(str(source)), lambda s: s.read.schema(JOB).parquet(table), append, "v", str(tmp_path / "cp"), ttl_ms=ttl_ms, once=True,
+            answer=lambda decisions, _: told.append({r.request_id: r.code for r in decisions.collect()}),
+        ).awaitTermination()
+
+    run(3_600_000)
     got = {(r["target_kind"], r["target_mbid"], r["shard_key"]) for r in spark.read.parquet(table).where("id <> 1").collect()}
     assert got == {("track", ident(2), "0000"), ("artist", ident(4), "000")}
     assert len(appended) == len(set(appended))  # two days, one append
+    assert told == [{"a": None, "b": "invalid_request", "c": None, "d": None}]
+    # The state outlives the query: repeats are dropped, and what a request adds passes.
+    spark.createDataFrame([*given, ("a", NOW, "recording", ident(7))], REQUESTS).coalesce(1).write.mode("append").parquet(str(source))
+    run(3_600_000)
+    assert told[1:] == [{"a": None}]
+    assert spark.read.parquet(table).where(F.col("target_mbid") == ident(7)).count() == 1
 
 
 def test_budget_ledger_is_a_running_sum(spark):

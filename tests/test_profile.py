@@ -233,5 +233,5 @@ def test_two_spellings_of_a_name_are_one_family(spark):
     layers = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4], r[5], r[7], r[8], r[6]) for r in rows], LAYER)
     h = [("u", "overall", i + 1, f"t{i}", f"A{i}", 10, ident(i), None, None, None) for i in range(4)]
     tracks = ls.with_keys(spark.createDataFrame(h, HISTORY)).withColumn("recording_mbid", F.col("mbid"))
-    got = fa.family_presence(fa.profile_tracks(tracks, fa.recording_profiles(layers))).collect()
+    got = fa.family_presence(fa.profile_tracks(tracks, fa.recording_profiles(layers)), fa.Names.of(layers)).collect()
     assert [(r["family_slug"], r["family_name"], r["evidence_count"], r["share"]) for r in got] == [("keys", "Clavier", 4, 1.0)]

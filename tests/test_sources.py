@@ -189,12 +189,19 @@ def test_history_page_shapes(spark):
     ]
 
 
-def test_history_page_faults(spark):
-    schema = "listener string, period string, page bigint, payload string"
-    with pytest.raises(Exception, match="too many tracks"):
-        hi.parse_pages(spark.createDataFrame([("u", "overall", 1, page([{"name": "x"}] * 51))], schema)).collect()
-    with pytest.raises(Exception, match="not a history page"):
-        hi.parse_pages(spark.createDataFrame([("u", "overall", 1, "[]")], schema)).collect()
+def test_history_page_rejects(spark):
+    """Bad rows and bad pages are told, and fail nothing."""
+    good = {"name": "T", "playcount": 1, "artist": "A"}
+    bad = [good, {"name": "x" * 513, "playcount": 1, "artist": "A"}, {"name": " ", "playcount": 1, "artist": "A"}, {"name": "T", "playcount": 1, "artist": {"name": "y" * 257}}, {"name": "T", "playcount": 1}, {"name": "T", "playcount": "1.5", "artist": "A"}]
+    given = [("u", "overall", 2, page(bad)), ("v", "overall", 1, page([good] * 51)), ("w", "7day", 1, "[]"), ("w", "1month", 1, None), ("w", "overall", 1, "{")]
+    df = spark.createDataFrame(given, "listener string, period string, page bigint, payload string")
+    got = sorted((r.listener, r.period, r.rank or 0, r.reject_reason or "") for r in hi.check_pages(df).collect())
+    reasons = ["", "title_too_long", "missing_title", "artist_too_long", "missing_artist", "invalid_play_count"]
+    faults = [("w", p, 0, "not_a_history_page") for p in ("1month", "7day", "overall")]
+    assert got == sorted([*(("Ana", "overall", 51 + i, why) for i, why in enumerate(reasons)), ("Ana", "overall", 0, "page_too_large"), *faults])
+    assert [r["rank"] for r in hi.parse_pages(df).collect()] == [51]
+    counted = {(r.listener, r.period, r.reject_reason): r.rows for r in hi.page_rejects(df).collect()}
+    assert len(counted) == 9 and set(counted.values()) == {1}
 
 
 def test_profile_metadata(spark):
