@@ -91,9 +91,12 @@ def credit_sources(evidence: DataFrame) -> DataFrame:
 def aggregate_claims(credits: DataFrame) -> DataFrame:
     """Credits to claims: credit count, distinct performers, first source.
 
-    Performers are grouped first, so the count needs no set of performers.
+    Performers are grouped first, so the count needs no set of performers. Credits are
+    distinct already, so a claim has no more rows than performers and original credits.
     """
     keys = ["recording_mbid", *CLAIM_IDENTITY]
+    # Dealt once by part of a claim's key: both groupings then need no further shuffle.
+    credits = credits.repartition("recording_mbid", "instrument_mbid", "relation_type")
     per_performer = credits.withColumn("_who", performer_identity(F.col("artist_mbid"), F.col("performer")))
     per_performer = per_performer.groupBy(*keys, "_who").agg(
         F.count(F.lit(1)).alias("_credits"), F.min("source_url").alias("source_url")
@@ -237,23 +240,32 @@ def _reasons(judged: DataFrame, *reasons: str) -> list[Column]:
 
 
 def stage_counters(s: Serving) -> DataFrame:
-    """One row with every count of the serving stage."""
+    """One row with every count of the serving stage.
+
+    Claims and aliases become one row a recording each, stacked and grouped once: which
+    aliases are served, and which are orphans, follows from a recording's row. So claims, and
+    the evidence behind them, are evaluated once, and the evidence once more for its rejects.
+    """
     evidence = s.judged.agg(
         F.count(F.lit(1)).alias("input_evidence_rows"), *_reasons(s.judged, "unresolved_instrument", "invalid_evidence")
     )
-    per_recording = s.claims.groupBy("recording_mbid").agg(
-        F.sum("credit_count").alias("credits"), F.count(F.lit(1)).alias("claims"), F.max(F.col("scope") == "release").alias("fallback")
+    claimed = s.claims.groupBy("recording_mbid").agg(
+        F.sum("credit_count").alias("credits"), F.count(F.lit(1)).alias("claims"), F.bool_or(F.col("scope") == "release").alias("fallback")
+    )
+    named = accepted(s.judged_aliases).groupBy("recording_mbid", "track_mbid").agg(F.count(F.lit(1)).alias("rows"))
+    named = named.groupBy("recording_mbid").agg(F.count(F.lit(1)).alias("tracks"), F.sum("rows").alias("rows"))
+    both = claimed.unionByName(named, allowMissingColumns=True).groupBy("recording_mbid").agg(
+        *[F.sum(c).alias(c) for c in ("credits", "claims", "tracks", "rows")], F.bool_or("fallback").alias("fallback")
     )
-    recordings = per_recording.agg(
-        F.count(F.lit(1)).alias("recording_count"),
+    served = F.col("claims").isNotNull()
+    recordings = both.agg(
+        F.count_if(served).alias("recording_count"),
         F.coalesce(F.sum("credits"), F.lit(0)).alias("credit_count"),
         F.coalesce(F.sum("claims"), F.lit(0)).alias("claim_count"),
         F.count_if("fallback").alias("release_fallback_recordings"),
+        F.coalesce(F.sum(F.when(served, F.col("tracks"))), F.lit(0)).alias("alias_count"),
+        F.coalesce(F.sum(F.when(~served, F.col("rows"))), F.lit(0)).alias("orphan_alias_count"),
     )
-    servable = s.claims.select("recording_mbid").distinct()
-    valid = accepted(s.judged_aliases)
-    aliases = s.aliases.agg(F.count(F.lit(1)).alias("alias_count"))
-    orphans = valid.join(servable, "recording_mbid", "left_anti").agg(F.count(F.lit(1)).alias("orphan_alias_count"))
     bad_aliases = s.judged_aliases.agg(*_reasons(s.judged_aliases, "invalid_alias"))
     kept = F.col("reject_reason").isNull()
     vocabulary = s.judged_vocabulary.agg(
@@ -262,5 +274,5 @@ def stage_counters(s: Serving) -> DataFrame:
         *_reasons(s.judged_vocabulary, "invalid_vocabulary", "special_artist"),
     )
     # One row per part, stacked; each count has its one value.
-    stacked = union_all([evidence, recordings, aliases, orphans, bad_aliases, vocabulary])
+    stacked = union_all([evidence, recordings, bad_aliases, vocabulary])
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])

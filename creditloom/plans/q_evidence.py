@@ -443,13 +443,6 @@ def _served_aliases(t: Tables) -> DataFrame:
     return t.built("served_aliases", lambda t: sv.unique_aliases(sv.servable_aliases(valid, _evidence(t))))
 
 
-def _served(t: Tables) -> sv.Serving:
-    return sv.Serving(
-        evidence=_evidence(t), judged=_judged(t), credits=_credits(t), claims=_claims(t), judged_aliases=sv.judge_aliases(_aliases(t)),
-        aliases=_served_aliases(t), judged_vocabulary=sv.judge_vocabulary(_vocabulary(t)), vocabulary=_served_vocabulary(t),
-    )
-
-
 @query("f01_union_evidence", """
     SELECT scope, relation_type, CAST(count(*) AS BIGINT) AS credits, CAST(count(release_mbid) AS BIGINT) AS with_release FROM (
       SELECT scope, relation_type, NULL AS release_mbid FROM o_direct UNION ALL SELECT scope, relation_type, release_mbid FROM o_release) GROUP BY 1, 2""")
@@ -508,20 +501,43 @@ def vocabulary_dedupe(t: Tables) -> DataFrame:
 
 
 @query("d07_stage_counters", """
-    SELECT CAST((SELECT count(*) FROM o_direct) + (SELECT count(*) FROM o_release) AS BIGINT) AS input_evidence_rows,
-           CAST(0 AS BIGINT) AS discarded_unresolved_instrument_rows, CAST(0 AS BIGINT) AS discarded_invalid_evidence_rows,
-           CAST((SELECT count(DISTINCT recording_mbid) FROM o_claims) AS BIGINT) AS recording_count,
-           CAST((SELECT sum(credit_count) FROM o_claims) AS BIGINT) AS credit_count, CAST((SELECT count(*) FROM o_claims) AS BIGINT) AS claim_count,
-           CAST((SELECT count(DISTINCT recording_mbid) FROM o_claims WHERE scope = 'release') AS BIGINT) AS release_fallback_recordings,
-           CAST((SELECT count(*) FROM o_alias WHERE recording_mbid IN (SELECT recording_mbid FROM o_claims)) AS BIGINT) AS alias_count,
-           CAST((SELECT count(*) FROM o_alias WHERE recording_mbid NOT IN (SELECT recording_mbid FROM o_claims)) AS BIGINT) AS orphan_alias_count,
-           CAST(0 AS BIGINT) AS discarded_invalid_alias_rows,
-           CAST((SELECT count(*) FROM o_vocabulary WHERE artist_name <> 'Various Artists') AS BIGINT) AS vocabulary_entries,
-           CAST((SELECT count(*) FROM o_vocabulary WHERE artist_name <> 'Various Artists' AND qualifying) AS BIGINT) AS qualifying_vocabulary_entries,
-           CAST(0 AS BIGINT) AS discarded_invalid_vocabulary_rows,
-           CAST((SELECT count(*) FROM o_vocabulary WHERE artist_name = 'Various Artists') AS BIGINT) AS discarded_special_artist_rows""")
+    WITH arriving AS (
+      SELECT recording_mbid, artist_mbid, CASE WHEN performer LIKE '%1' THEN NULL ELSE instrument_mbid END AS instrument_mbid,
+             CASE WHEN performer LIKE '%2' AND relation_type <> 'instrument' THEN '' ELSE instrument_name END AS instrument_name,
+             attributes, scope, relation_type, production_method, performer, source_url
+      FROM (SELECT recording_mbid, artist_mbid, instrument_mbid, instrument_name, attributes, scope, relation_type, production_method, performer, source_url FROM o_direct
+            UNION ALL SELECT recording_mbid, artist_mbid, instrument_mbid, instrument_name, attributes, scope, relation_type, production_method, performer, source_url FROM o_release)),
+    judged AS (SELECT *, CASE WHEN relation_type = 'instrument' AND instrument_mbid IS NULL THEN 'unresolved' WHEN instrument_name = '' THEN 'invalid' END AS reason FROM arriving),
+    good AS (SELECT * FROM judged WHERE reason IS NULL),
+    shown AS (SELECT * FROM good WHERE scope <> 'release' OR recording_mbid NOT IN (SELECT recording_mbid FROM good WHERE scope <> 'release')),
+    credit AS (SELECT DISTINCT recording_mbid, artist_mbid, instrument_mbid, instrument_name, attributes, scope, relation_type, production_method, performer FROM shown),
+    claim AS (SELECT recording_mbid, scope, count(*) AS credits FROM credit GROUP BY recording_mbid, instrument_mbid, instrument_name, attributes, scope, relation_type, production_method),
+    alias AS (SELECT * FROM o_alias WHERE track_mbid NOT LIKE '0%'),
+    entry AS (SELECT artist_name = 'Various Artists' AS special, instrument_name = 'cello' AS bad, qualifying FROM o_vocabulary)
+    SELECT CAST((SELECT count(*) FROM judged) AS BIGINT) AS input_evidence_rows,
+           CAST((SELECT count(*) FROM judged WHERE reason = 'unresolved') AS BIGINT) AS discarded_unresolved_instrument_rows,
+           CAST((SELECT count(*) FROM judged WHERE reason = 'invalid') AS BIGINT) AS discarded_invalid_evidence_rows,
+           CAST((SELECT count(DISTINCT recording_mbid) FROM claim) AS BIGINT) AS recording_count,
+           CAST((SELECT coalesce(sum(credits), 0) FROM claim) AS BIGINT) AS credit_count, CAST((SELECT count(*) FROM claim) AS BIGINT) AS claim_count,
+           CAST((SELECT count(DISTINCT recording_mbid) FROM claim WHERE scope = 'release') AS BIGINT) AS release_fallback_recordings,
+           CAST((SELECT count(*) FROM alias WHERE recording_mbid IN (SELECT recording_mbid FROM claim)) AS BIGINT) AS alias_count,
+           CAST((SELECT count(*) FROM alias WHERE recording_mbid NOT IN (SELECT recording_mbid FROM claim)) AS BIGINT) AS orphan_alias_count,
+           CAST((SELECT count(*) FROM o_alias WHERE track_mbid LIKE '0%') AS BIGINT) AS discarded_invalid_alias_rows,
+           CAST((SELECT count(*) FROM entry WHERE NOT special AND NOT bad) AS BIGINT) AS vocabulary_entries,
+           CAST((SELECT count(*) FROM entry WHERE NOT special AND NOT bad AND qualifying) AS BIGINT) AS qualifying_vocabulary_entries,
+           CAST((SELECT count(*) FROM entry WHERE NOT special AND bad) AS BIGINT) AS discarded_invalid_vocabulary_rows,
+           CAST((SELECT count(*) FROM entry WHERE special) AS BIGINT) AS discarded_special_artist_rows""")
 def counters(t: Tables) -> DataFrame:
-    return sv.stage_counters(_served(t))
+    """Counters of a stage whose input has bad rows: instruments, names and ids are taken from some."""
+    def spoiled(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({
+            "instrument_mbid": F.when(~F.coalesce(F.col("performer").endswith("1"), F.lit(False)), F.col("instrument_mbid")),
+            "instrument_name": F.when(F.coalesce(F.col("performer").endswith("2"), F.lit(False)) & (F.col("relation_type") != "instrument"), F.lit("")).otherwise(F.col("instrument_name")),
+        })
+
+    aliases = _aliases(t).withColumn("recording_mbid", F.when(F.col("track_mbid").startswith("0"), F.lit("no-id")).otherwise(F.col("recording_mbid")))
+    vocabulary = _vocabulary(t).withColumn("instrument_mbid", F.when(F.col("instrument_name") != "cello", F.col("instrument_mbid")))
+    return sv.stage_counters(sv.serve(spoiled(_direct(t)), spoiled(_release(t)), aliases, vocabulary, SNAPSHOT))
 
 
 @query("b12_serving_documents", """
