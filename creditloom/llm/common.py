@@ -107,8 +107,8 @@ class Generations:
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        # Two objects, their entry in the table with its free places, and up to 4 bytes a character.
-        size = 260 + (len(key) if key.isascii() else 4 * len(key)) + len(value)
+        # Two objects and their entry in the table with its free places (measured: 145 bytes beside the content).
+        size = 160 + (len(key) if key.isascii() else 4 * len(key)) + len(value)
         if size < self.limit:
             if self.held + size > self.limit:
                 self.old, self.young, self.held = young, _Generation(self), 0

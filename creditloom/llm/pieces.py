@@ -15,8 +15,8 @@ on their own and remembered in about ``CACHE_BYTES`` a worker; what is forgotten
 again. A character without a piece becomes the pieces of its UTF-8 bytes.
 
 Encoding is one pass over the rows in Arrow batches, without a shuffle. Models with a
-character map, trimming of spaces, spaces at word ends, user-defined or unused pieces, or
-without byte pieces are refused, not approximated.
+character map, trimming of spaces, spaces at word ends, user-defined or unused pieces,
+without byte pieces, or with letters that are no pieces are refused, not approximated.
 
 Edge cases: null and empty texts have no tokens and the digests of the empty string; repeated
 rows get equal rows; an empty table gives no rows; other columns are not read. A text may be
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 
 from .common import Generations, map_texts
 
-CACHE_BYTES = 48_000_000
+CACHE_BYTES = 64_000_000
 PAIRS = 1 << 18
 
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -72,6 +72,9 @@ class Model:
             raise ValueError("the model normalizes its input")
         if any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in model.pieces):
             raise ValueError("the model has user-defined or unused pieces")
+        letters = {c for p in model.pieces if p.type == kind.NORMAL for c in p.piece}
+        if not letters <= {p.piece for p in model.pieces if p.type == kind.NORMAL}:
+            raise ValueError("the model joins characters that are no pieces")
         self.prefix = SPACE if normalizer.add_dummy_prefix else ""
         self.unknown = trainer.unk_surface
         self.texts = [p.piece for p in model.pieces]
@@ -135,7 +138,6 @@ class Coder:
                     self.shorter[i] = model.ids[text[:end]]
                     break
         self.pairs: dict[int, bool] = {}
-        self.own: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives, best score first, leftmost among equals; for short texts."""
@@ -152,60 +154,56 @@ class Coder:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether ``right`` may follow ``left``; -1 stands for the start."""
-        if left < 0:
-            known = self.own.get(right)
-            if known is None:
-                known = self.own[right] = len(self.merged(self.texts[right])) == 1
-            return known
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            a, b = self.texts[left], self.texts[right]
-            known = self.merged(a + b) == [a, b]
+            a, b = self.texts[left] if left >= 0 else "", self.texts[right]
+            known = self.merged(a + b) == ([a, b] if a else [b])
             if len(self.pairs) < PAIRS:
                 self.pairs[key] = known
         return known
 
     def encode(self, segment: str) -> list[int]:
         """Ids of a segment."""
-        n = len(segment)
+        n, sizes = len(segment), self.sizes
         longest = [-1] * n
-        sizes = self.sizes
+        # Of the matches that start at one place, a longer one ends, and so comes, later.
         for end, piece in self.automaton.iter(segment):
-            start = end + 1 - sizes[piece]
-            if longest[start] < 0 or sizes[longest[start]] < sizes[piece]:
-                longest[start] = piece
+            longest[end + 1 - sizes[piece]] = piece
+        if -1 not in longest:
+            return self.search(longest, 0, n)
+        # A character without a piece of its own joins nothing: what is before it ends there.
         out: list[int] = []
         stop = 0
         while stop < n:
-            # A character without a piece of its own joins nothing: what is before it ends there.
             start = stop
             while stop < n and longest[stop] >= 0:
                 stop += 1
-            self.search(longest, start, stop, out)
+            out += self.search(longest, start, stop)
             while stop < n and longest[stop] < 0:
                 out.extend(map(self.model.byte_ids.__getitem__, segment[stop].encode("utf-8", "surrogatepass")))
                 stop += 1
         return out
 
-    def search(self, longest: list[int], start: int, stop: int, out: list[int]) -> None:
-        """Append the ids of the characters from start to stop, which all have pieces."""
-        sizes, shorter, compatible = self.sizes, self.shorter, self.compatible
+    def search(self, longest: list[int], start: int, stop: int) -> list[int]:
+        """Ids of the characters from start to stop, which all have pieces."""
+        sizes, shorter, known, compatible = self.sizes, self.shorter, self.pairs.get, self.compatible
         failed = bytearray((stop - start >> 3) + 1)  # a bit per position
         path: list[int] = []
-        at = start
+        at, before = start, -1
         piece = longest[at] if at < stop else -1
         while at < stop:
-            before = path[-1] if path else -1
             while piece >= 0:
                 end = at + sizes[piece]
                 place = end - start
-                if end <= stop and not failed[place >> 3] >> (place & 7) & 1 and compatible(before, piece):
-                    break
+                if not failed[place >> 3] >> (place & 7) & 1:
+                    fits = known(before << 32 | piece)
+                    if compatible(before, piece) if fits is None else fits:
+                        break
                 piece = shorter[piece]
             if piece >= 0:
                 path.append(piece)
-                at = end
+                at, before = end, piece
                 if at < stop:
                     piece = longest[at]
             else:
@@ -213,7 +211,8 @@ class Coder:
                 failed[place >> 3] |= 1 << (place & 7)
                 piece = path.pop()
                 at -= sizes[piece]
-        out.extend(path)
+                before = path[-1] if path else -1
+        return path
 
 
 @lru_cache(maxsize=1)

@@ -82,11 +82,11 @@ def test_memory_stays_bounded_and_right():
         key = f"k{rng.randrange(30_000)}" if k % 3 else "frequent"
         assert memory.get()(key) == key.encode()
         largest = max(largest, len(memory.young) + len(memory.old))
-    assert largest <= 100_000 // 260 and made.count("frequent") == 1
+    assert largest <= 100_000 // 160 and made.count("frequent") == 1
     stale = memory.get()
     for k in range(5000):
         assert stale(f"late{k}") == f"late{k}".encode()
-    assert len(memory.young) + len(memory.old) <= 100_000 // 260
+    assert len(memory.young) + len(memory.old) <= 100_000 // 160
 
 
 def test_memory_of_a_worker():
