@@ -15,6 +15,8 @@ VOCABULARY_METHODOLOGY = "artist-vocabulary-candidate-2"
 CONTEXT_RELATIONS = ("vocal", "vocals", "programming", "samples", "sampled")
 DIRECT_SCOPES = ("recording", "track")
 NATURES = ("acoustic", "electric", "electronic", "sampled", "hybrid")
+# The rules a temperament may be read from.
+TEMPERAMENT_RULES = ("recurring-percussion-synthesizers", "electric-plucked-strings", "recurring-sampled", "recurring-electronic", *(f"dominant-{n}" for n in NATURES))
 PROJECTION_STATUSES = ("pending", "complete", "complete_empty", "failed")
 FINISHED_STATUSES = ("complete", "complete_empty", "failed")
 RECORDING_STATUSES = (

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut_lineage
-
 # Play multiplier of each listening period in the example history.
 PERIOD_MULTIPLIERS = {"7day": 1, "1month": 2, "3month": 5, "6month": 8, "12month": 14, "overall": 24}
 
@@ -95,20 +93,8 @@ def request_log_summary(log: DataFrame, accepted: Column) -> DataFrame:
     return per_code.withColumn("accepted_per_second", rate).drop("_micros").join(nearest_rank(log, "code", "latency"), "code", "left")
 
 
-def _take(candidates: DataFrame, selected: DataFrame, room: DataFrame, target: int, per_artist: int, order: list[Column]) -> DataFrame:
-    """Add candidates to a sample: artists without a recording first, none beyond its cap,
-    no more than the sample has room for. Both ranks are bounded, so Spark trims each
-    task's rows before it shuffles them."""
-    open_ = candidates.join(selected.select("sample_id", "recording_mbid"), ["sample_id", "recording_mbid"], "left_anti")
-    by_artist = Window.partitionBy("sample_id", "artist_id").orderBy(*order)
-    capped = open_.withColumn("_i", F.row_number().over(by_artist)).where(F.col("_i") <= per_artist)
-    held = selected.groupBy("sample_id", "artist_id").agg(F.count(F.lit(1)).alias("_n"))
-    counted = capped.join(held, ["sample_id", "artist_id"], "left").withColumn("_i", F.col("_i") + F.coalesce("_n", F.lit(0))).where(F.col("_i") <= per_artist)
-    by_sample = Window.partitionBy("sample_id").orderBy(F.col("_i") > 1, *order)
-    ranked = counted.withColumn("_r", F.row_number().over(by_sample)).where(F.col("_r") <= target)
-    taken = ranked.join(room, "sample_id", "left").where(F.col("_r") <= F.coalesce("_room", F.lit(target)))
-    # The next stage reads the small sample several times; its lineage ends here.
-    return cut_lineage(selected.unionByName(taken.select(*selected.columns)))
+#: Rows of a kind that are ranked for a sample, as a multiple of its size; see ``example_sample``.
+_KEPT = 20
 
 
 def example_sample(
@@ -120,28 +106,56 @@ def example_sample(
     holds the artist ids to include first. Order within a stratum is a digest of seed
     and id. A priority artist's first recording always enters; direct recordings then
     fill two thirds of the target, the others the rest, and what is left of either
-    stands in where the other falls short.
+    stands in where the other falls short. An artist without a recording goes first, and none
+    has more than ``per_artist``.
+
+    One pass: recordings are ranked per artist and stratum, then the three fillings follow as
+    marks on the same rows, by running ranks. Each kind of row (of a priority artist or not,
+    direct or not, an artist's first or not) is cut to ``_KEPT * target`` a sample before.
+    That loses nothing: a filling takes fewer than ``target`` rows, so it passes over the rows
+    of fewer than three times as many artists, of at most twice ``per_artist`` rows each; and
+    a later row of an artist is only wanted where all artists together are that few. So no
+    window holds more than a fixed number of rows, and calling this starts no job.
     """
-    target = max(5, target)
+    target, sample = max(5, target), Window.partitionBy("sample_id")
     # A recording enters once, whoever is named for it.
     unique = recordings.groupBy("sample_id", "recording_mbid").agg(F.min("artist_id").alias("artist_id"), F.bool_or("direct").alias("direct"))
-    drawn = unique.withColumn("_h", F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("recording_mbid"))))
-    first = [F.desc("direct"), F.col("_h"), F.col("recording_mbid")]
-    preferred = drawn.join(priority.select("artist_id").distinct(), "artist_id", "left_semi")
-    by_artist = Window.partitionBy("sample_id", "artist_id").orderBy(*first)
-    columns = ["sample_id", "recording_mbid", "artist_id", "direct", "_h"]
-    selected = preferred.withColumn("_i", F.row_number().over(by_artist)).where(F.col("_i") <= 1).select(*columns)
-    selected = cut_lineage(selected)
-
-    def left(of: DataFrame) -> DataFrame:
-        return of.groupBy("sample_id").agg((F.lit(target) - F.count(F.lit(1))).alias("_room"))
-
-    others = drawn.where(~F.col("direct"))
-    quota = others.groupBy("sample_id").agg((F.lit(target) - F.least(F.count(F.lit(1)), F.lit(target // 3))).alias("_room"))
-    selected = _take(drawn.where("direct"), selected, quota, target, per_artist, first)
-    selected = _take(others, selected, left(selected), target, per_artist, first)
-    selected = _take(drawn, selected, left(selected), target, per_artist, first)
     known = priority.select("artist_id").distinct().withColumn("_p", F.lit(True))
+    drawn = unique.withColumn("_h", F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("recording_mbid")))).join(known, "artist_id", "left")
+    drawn = drawn.withColumn("_p", F.coalesce("_p", F.lit(False)))
+    strata = drawn.groupBy("sample_id").agg((F.lit(target) - F.least(F.count_if(~F.col("direct")), F.lit(target // 3))).alias("_room"))
+
+    in_stratum = Window.partitionBy("sample_id", "artist_id", "direct").orderBy("_h", "recording_mbid")
+    rows = drawn.withColumn("_k", F.row_number().over(in_stratum)).where(F.col("_k") <= per_artist)
+    artist = Window.partitionBy("sample_id", "artist_id")
+    rows = rows.withColumn("_has", F.bool_or("direct").over(artist))
+    leads = (F.col("_k") == 1) & (F.col("direct") | ~F.col("_has"))
+    rows = rows.withColumns({"_leads": leads, "_first": F.col("_p") & leads})
+    firsts = rows.where("_first")
+    entered = firsts.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_entered"))
+    kind = Window.partitionBy("sample_id", "_p", "direct", F.col("_k") == 1, "_leads").orderBy("_h", "recording_mbid")
+    pool = rows.where(~F.col("_first")).withColumn("_n", F.row_number().over(kind)).where(F.col("_n") <= _KEPT * target)
+    pool = pool.join(strata, "sample_id").join(entered, "sample_id", "left").withColumns({"_held": F.col("_p").cast("int"), "_all": F.coalesce("_entered", F.lit(0))})
+
+    def fill(rows: DataFrame, able: Column, i: Column, room: Column) -> DataFrame:
+        """Mark what a filling takes, and count it for its artist and sample."""
+        rows = rows.withColumns({"_i": i}).withColumn("_able", able & ~F.col("_taken") & (F.col("_i") <= per_artist))
+        order = sample.orderBy(F.desc("_able"), F.col("_i") > 1, F.desc("direct"), "_h", "recording_mbid")
+        took = F.col("_able") & (F.row_number().over(order) <= room)
+        rows = rows.withColumn("_took", took).withColumns({"_taken": F.col("_taken") | F.col("_took")})
+        more = F.col("_took").cast("int")
+        return rows.withColumns({"_held": F.col("_held") + F.sum(more).over(artist), "_all": F.col("_all") + F.sum(more).over(sample)})
+
+    pool = pool.withColumn("_taken", F.lit(False))
+    # A priority artist's first recording is counted with the others, so ranks stay as they are.
+    pool = fill(pool, F.col("direct"), F.col("_k"), F.col("_room"))
+    lost = (F.col("_p") & ~F.col("_has")).cast("int")
+    pool = fill(pool, ~F.col("direct"), F.col("_k") - lost + F.col("_held"), F.lit(target) - F.col("_all"))
+    left = F.row_number().over(artist.orderBy("_taken", F.desc("direct"), "_h", "recording_mbid"))
+    pool = fill(pool, F.lit(True), left + F.col("_held"), F.lit(target) - F.col("_all"))
+
+    columns = ["sample_id", "recording_mbid", "artist_id", "direct", "_h", "_p"]
+    selected = firsts.select(*columns).unionByName(pool.where("_taken").select(*columns))
     draw = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") % 11 + 2
     plays = F.when(F.col("_p"), F.lit(12)).otherwise(draw) * PERIOD_MULTIPLIERS[period]
-    return selected.join(known, "artist_id", "left").select("sample_id", "recording_mbid", "artist_id", "direct", plays.cast("bigint").alias("play_count"))
+    return selected.select("sample_id", "recording_mbid", "artist_id", "direct", plays.cast("bigint").alias("play_count"))

@@ -11,6 +11,7 @@ from ..operators import listening as ls
 from ..operators import report as rp
 from ..operators import studies as st
 from ..operators import vocabulary as vo
+from ..session import shared_folder
 from .bridge import SNAPSHOT, Tables
 from .oracle import big, div, half_up, weight
 from .q_evidence import _served_aliases
@@ -415,13 +416,73 @@ def summary(t: Tables) -> DataFrame:
     return rp.hydration_summary(ls.profile_totals(t.view("history")), rp.hydration_targets(_with_status(t), _states(t)), _pending(t))
 
 
+_SOURCES = {"data_source": "catalog", "history_source": "lastfm", "instrumentation_source": "catalog", "image_catalog_version": "1"}
+
+
 def _reports(t: Tables) -> DataFrame:
     # A third of the plays name a track; its alias leads to the recording.
     named = F.when(F.col("mbid").isNotNull() & (F.col("rank") % 3 == 0), F.col("track_mbid")).otherwise(F.col("mbid"))
     history = t.view("history").withColumn("mbid", named)
     aliases = t.view("history").where("mbid is not null").select("track_mbid", F.col("mbid").alias("recording_mbid")).distinct()
     evidence = rp.Evidence(aliases, t.view("layer"), _states(t), t.view("artist_state"), t.view("vocabulary_row"), _names(t))
-    return rp.build_reports(history, evidence, SNAPSHOT)
+    # Tracks and scores are written once; all sections read them.
+    return rp.build_reports(history, evidence, SNAPSHOT, path=shared_folder(t.spark, "reports"), sources=_SOURCES)
+
+
+_BROKEN = [
+    "period", "tracks_analyzed", "total_plays", "status", "coverage_tracks", "coverage_plays", "vocal_track_ratio", "vocal_play_ratio", "vocal_counts", "sections", "families", "sound_balance",
+    "discovery", "temperament", "temperament_rule", "temperament_nature", "recordings", "reach", "reach_counts", "vocabulary_status", "vocabulary_reason", "concentration", "vocabulary_families",
+    "featured_artists", "views", "default_view", "hydration", "profile", "sources",
+]
+
+
+@query("b13_broken_reports", f"""
+    SELECT c_custkey AS listener, array_to_string(list_sort([x FOR x IN [CASE WHEN c_acctbal < 0 THEN 'total_plays' END,
+           {', '.join(f"CASE WHEN c_custkey % 32 = {i}{' AND c_acctbal >= 0' if name == 'total_plays' else ''} THEN '{name}' END" for i, name in enumerate(_BROKEN))}] IF x IS NOT NULL]), ',') AS violations
+    FROM customer""")
+def broken_reports(t: Tables) -> DataFrame:
+    """One report a customer; its number says which part is spoiled, a debt spoils the plays as well."""
+    customers = t.table("customer")
+    number = F.col("c_custkey") % 32
+
+    def unless(name: str, good, bad):
+        return F.when(number == _BROKEN.index(name), bad).otherwise(good)
+
+    lit, fraction = F.lit, F.lit(0.5)
+    family = F.struct(lit("keys").alias("family_slug"), unless("families", F.col("c_mktsegment"), F.repeat(F.col("c_mktsegment"), lit(60))).alias("family_name"), fraction.alias("share"), lit(1).alias("evidence_count"), lit("documented").alias("confidence"))
+    recording = F.struct(F.col("c_name").alias("title"), lit("a").alias("artist"), lit(3).alias("play_count"), unless("recordings", lit("resolved"), lit("lost")).alias("status"))
+    instrument = F.struct(lit("piano").alias("instrument_name"), lit(3).alias("distinct_recordings"), unless("vocabulary_families", lit("recording"), lit("release")).alias("source_scope"))
+    vocabulary_family = F.struct(lit("Keys").alias("family_name"), fraction.alias("share"), lit(2).alias("supporting_artists"), F.array(instrument).alias("instruments"))
+    featured = F.struct(lit("m").alias("artist_mbid"), F.col("c_name").alias("name"), F.array(F.struct(lit("keys").alias("slug"), lit("Keys").alias("name"), F.array(unless("featured_artists", lit("piano"), lit(None))).alias("instruments"))).alias("families"))
+    states = [unless("sections", lit("available"), lit("maybe")) if n == "discovery" else lit("available") for n in ("families", "sound_balance", "discovery", "temperament")]
+    counts = ["qualified_artists", "total_artists", "qualified_tracks", "total_tracks", "qualified_plays", "total_plays", "unresolved_artists", "unresolved_tracks"]
+    reports = customers.select(
+        F.col("c_custkey").alias("listener"),
+        unless("period", lit("overall"), lit("1week")).alias("period"),
+        unless("tracks_analyzed", lit(9), lit(201)).alias("tracks_analyzed"),
+        unless("total_plays", F.when(F.col("c_acctbal") < 0, lit(-1)).otherwise(lit(7)), lit(-1)).alias("total_plays"),
+        F.struct(
+            unless("status", lit("ready"), lit("done")).alias("status"), *[unless(n, fraction, lit(1.5)).alias(n) for n in ("coverage_tracks", "coverage_plays", "vocal_track_ratio", "vocal_play_ratio")],
+            lit(1).alias("vocal_tracks"), lit(1).alias("vocal_artists"), unless("vocal_counts", lit(1), lit(-1)).alias("vocal_plays"),
+        ).alias("analysis"),
+        F.struct(*[s.alias(n) for n, s in zip(("families", "sound_balance", "discovery", "temperament"), states, strict=True)]).alias("section_availability"),
+        F.array(family).alias("families"),
+        F.struct(*[(unless("sound_balance", lit(0.1), lit(-0.1)) if n == "hybrid" else lit(0.1)).alias(n) for n in ("acoustic", "electric", "electronic", "sampled", "hybrid", "unknown")]).alias("sound_balance"),
+        F.struct(unless("discovery", lit("piano"), lit(" ")).alias("instrument_slug"), lit("Piano").alias("instrument_name")).alias("discovery"),
+        F.struct(unless("temperament_rule", lit("dominant-electric"), lit("dominant-loud")).alias("rule"), unless("temperament", lit("keys"), lit("voice")).alias("primary_family_slug"), unless("temperament_nature", lit("electric"), lit("loud")).alias("primary_nature")).alias("temperament"),
+        F.array(recording).alias("recordings"),
+        F.struct(unless("reach", fraction, lit(None).cast("double")).alias("track_reach"), fraction.alias("play_reach"), *[(unless("reach_counts", lit(2), lit(-2)) if n == "unresolved_artists" else lit(2)).alias(n) for n in counts]).alias("reach"),
+        F.struct(unless("vocabulary_status", lit("available"), lit("ready")).alias("status"), unless("vocabulary_reason", lit("available"), lit(None)).alias("reason"), unless("concentration", fraction, lit(-0.5)).alias("concentration")).alias("vocabulary"),
+        F.array(vocabulary_family).alias("vocabulary_families"),
+        F.array(featured).alias("featured_artists"),
+        F.array(unless("views", lit("track_palette"), lit("all"))).alias("available_views"),
+        unless("default_view", lit("track_palette"), lit("all")).alias("default_view"),
+        F.struct(lit("pending").alias("hydration_status"), unless("hydration", lit(50), lit(51)).alias("pending_recordings"), lit(200).alias("pending_artists"), lit(0).alias("pending_aliases")).alias("hydration"),
+        lit(SNAPSHOT).alias("snapshot_version"), lit("m").alias("methodology_version"), lit("v").alias("vocabulary_methodology"),
+        F.struct(unless("profile", F.col("c_name"), F.repeat(F.col("c_name"), lit(9))).alias("username"), *[lit(None).cast("string").alias(n) for n in ("profile_url", "avatar_url", "realname", "registered")]).alias("profile"),
+        F.struct(lit("c").alias("catalog_version"), lit("catalog").alias("data_source"), unless("sources", lit("lastfm"), lit("radio")).alias("history_source"), lit("catalog").alias("instrumentation_source"), lit("1").alias("image_catalog_version")).alias("sources"),
+    )
+    return rp.with_violations(reports).select("listener", F.array_join(F.array_sort("violations"), ",").alias("violations"))
 
 
 @query("b13_report_contract", f"""

@@ -254,6 +254,50 @@ def test_example_sample(spark):
     assert sorted(map(tuple, one)) != sorted(map(tuple, other))
 
 
+def brute_sample(given, priority, seed, target=15, per_artist=3):
+    """The fillings one after the other, on lists."""
+    import hashlib
+
+    out = set()
+    for sample in {g[0] for g in given}:
+        rows = {}
+        for s, r, a, d in given:
+            if s == sample:
+                old = rows.get(r)
+                rows[r] = (min(a, old[0]), d or old[1]) if old else (a, d)
+        key = lambda r: (not rows[r][1], hashlib.md5(f"{seed}:{r}".encode()).hexdigest(), r)
+        taken = []
+        for artist in priority:
+            mine = sorted((r for r in rows if rows[r][0] == artist), key=key)
+            taken += mine[:1]
+
+        def fill(pool, room, rows=rows, key=key, taken=taken):
+            held = {a: sum(rows[r][0] == a for r in taken) for a in {v[0] for v in rows.values()}}
+            ranked, seen = [], {}
+            for r in sorted((r for r in rows if pool(rows[r]) and r not in taken), key=key):
+                a = rows[r][0]
+                seen[a] = seen.get(a, 0) + 1
+                if seen[a] + held[a] <= per_artist:
+                    ranked.append((seen[a] + held[a] > 1, *key(r)))
+            taken += [x[-1] for x in sorted(ranked)[: max(0, room)]]
+
+        fill(lambda v: v[1], target - min(sum(not v[1] for v in rows.values()), target // 3))
+        fill(lambda v: not v[1], target - len(taken))
+        fill(lambda v: True, target - len(taken))
+        out |= {(sample, r) for r in taken}
+    return out
+
+
+@pytest.mark.parametrize(("artists", "direct", "preferred"), [(400, 0.5, 3), (3, 0.5, 1), (12, 0.05, 2), (12, 0.95, 0), (60, 0.2, 30)])
+def test_example_sample_against_brute_force(spark, artists, direct, preferred):
+    rng = random.Random(artists)
+    given = [(rng.choice("st"), f"r{rng.randrange(900):03d}", f"a{rng.randrange(artists):03d}", rng.random() < direct) for _ in range(900)]
+    priority = [f"a{i:03d}" for i in range(preferred)]
+    df = spark.createDataFrame(given, "sample_id string, recording_mbid string, artist_id string, direct boolean")
+    got = st.example_sample(df, spark.createDataFrame([(a,) for a in priority], "artist_id string"), "seed").collect()
+    assert {(r.sample_id, r.recording_mbid) for r in got} == brute_sample(given, priority, "seed") and len(got) == len({(r.sample_id, r.recording_mbid) for r in got})
+
+
 def test_assets_and_slugs(spark):
     variants = "array<struct<name: string, url: string>>"
     images = spark.createDataFrame(
