@@ -28,16 +28,19 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import Generations, map_texts
 
-CACHE_BYTES = 400_000_000
+CACHE_BYTES = 160_000_000
+#: The same for tables of ids: as a stage of a pipeline it shares its worker with other stages,
+#: whose own memory the worker keeps.
+TABLE_CACHE_BYTES = 32_000_000
 PAIRS = 1 << 19
 
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 NONE = 1 << 40  # above every rank
-_BIT = [1 << i for i in range(4096)]
+_BIT = [1 << i for i in range(256)]
 _COUNT, _BACK = list(range(65)), list(range(-1, 64))
 
 
@@ -105,7 +108,7 @@ class Bpe:
                         low[word] |= bit[rank & 255]
                     else:
                         low[word] = bit[rank & 255]
-                        top |= bit[word]
+                        top |= 1 << word
             if not top:
                 break
             # Find-first-set on both levels gives the least rank, its heap the leftmost position.
@@ -157,33 +160,6 @@ class Bpe:
         return [t for t in ids if t >= 0]
 
 
-class Memory(dict):
-    """Pre-token to packed ids, for about ``limit`` bytes in two generations.
-
-    When the young generation is full it becomes the old one; what is met again in the old
-    one moves back, so frequent pre-tokens stay.
-    """
-
-    def __init__(self, bpe: Bpe, limit: int = CACHE_BYTES) -> None:
-        super().__init__()
-        self.bpe, self.limit, self.held = bpe, limit // 2, 0
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        packed = self.old.get(piece)
-        if packed is None:
-            packed = array("i", self.bpe.encode_piece(piece.encode())).tobytes()
-        size = 220 + 2 * len(piece) + len(packed)
-        if self.held + size > self.limit:
-            self.old = dict(self)
-            self.clear()
-            self.held = 0
-        if size < self.limit:
-            self.held += size
-            self[piece] = packed
-        return packed
-
-
 def by_rank(values: dict) -> list:
     """A list indexed by rank; ranks not in use hold None."""
     return [values.get(rank) for rank in range(max(values) + 1)]
@@ -193,11 +169,12 @@ def by_rank(values: dict) -> list:
 def coder(path: str, pattern: str, limit: int = CACHE_BYTES):
     """encode(text) -> ids, decode(ids) -> bytes. The tasks of a Python worker share one."""
     bpe = Bpe.load(path)
-    memory, pieces, vocabulary = Memory(bpe, limit), regex.compile(pattern), by_rank(bpe.bytes)
+    memory = Generations(lambda piece: array("i", bpe.encode_piece(piece.encode())).tobytes(), limit)
+    pieces, vocabulary = regex.compile(pattern), by_rank(bpe.bytes)
 
     def encode(text: str) -> array:
         ids = array("i")
-        ids.frombytes(b"".join(map(memory.__getitem__, pieces.findall(text))))
+        ids.frombytes(b"".join(map(memory.get(), pieces.findall(text))))
         return ids
 
     def decode(ids) -> bytes:
@@ -206,11 +183,11 @@ def coder(path: str, pattern: str, limit: int = CACHE_BYTES):
     return encode, decode
 
 
-def encode_table(docs: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, n_tokens and the ids of every text."""
+def encode_table(docs: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = ("doc_id",), remembered: int = TABLE_CACHE_BYTES) -> DataFrame:
+    """The carried columns, n_tokens and the ids of every text; a worker remembers ``remembered`` bytes of pre-tokens."""
 
     def make():
-        encode, _ = coder(path, pattern)
+        encode, _ = coder(path, pattern, remembered)
 
         def run(texts: list[str]):
             rows = [encode(text) for text in texts]
@@ -237,11 +214,11 @@ def decode_table(encoded: DataFrame, path: str, carry: tuple[str, ...] = ("doc_i
     return map_texts(encoded, make, "text string", carry=carry, texts=("ids",), rows=256)
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, remembered: int = CACHE_BYTES) -> DataFrame:
     """n_tokens and the digests of the ids and of the decoded bytes of every text."""
 
     def make():
-        encode, decode = coder(path, pattern)
+        encode, decode = coder(path, pattern, remembered)
         decimal = by_rank({rank: str(rank) for rank in Bpe.load(path).bytes}).__getitem__
 
         def row(text: str):
