@@ -5,8 +5,10 @@ positions into 64-bit keys and sends every distinct key once, in the bucket its
 a key that millions of documents hold costs one entry per block and no bucket grows hot. A
 bucket, about ``BUCKET_KEYS`` keys, is sorted in one task, which answers each block with one
 bit per key it sent. Blocks recompute their keys when the answer arrives; nothing else is
-kept. The numbers of blocks and buckets follow the measured size of the input, so memory per
-task stays the same at any size.
+kept. The numbers of blocks and buckets follow the measured size of the input. Two things grow
+all the same: a key that all blocks hold has an entry per block in its one bucket, and a text
+is never cut, so a block holds its longest text whole, with some eight arrays of eight bytes
+per byte.
 """
 
 from __future__ import annotations

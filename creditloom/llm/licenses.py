@@ -3,8 +3,9 @@
 A text's canonical form is lower case, without copyright lines, with equivalent spellings
 made one, punctuation turned to spaces and white space runs to one space. Two units of every
 document are looked up by the SHA-256 of their canonical form: the entire text, and each of
-its lines as an entire notice. The known digests are a fixed table of this module (a few
-dozen rows), so it is broadcast and no text is ever shuffled.
+its lines as an entire notice. The known texts are a table (license_id, text); by default one
+of this module, a few dozen rows. Its digests are broadcast up to ``BROADCAST_TEXTS`` rows and
+joined beyond; no text of a document is ever shuffled.
 
 Edge cases: a null text has a null digest and no license; an empty or blank text has the
 digest of the empty form, which is no license; lines that are blank in canonical form are
@@ -117,8 +118,11 @@ TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
 ]
 
-#: A line that only states who holds the copyright.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright[ \t]+(\(c\)|©|[0-9]{4})|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
+#: Known texts up to which their digests are broadcast; some hundred bytes each.
+BROADCAST_TEXTS = 20_000
+
+#: A line that only states who holds the copyright, also behind marks of a comment.
+COPYRIGHT_LINE = r"(?m)^[ \t#*/;%!<>\-]*(copyright[ \t]+(\(c\)|©|[0-9]{4})|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E©“”‘’–—…]+"
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -134,27 +138,32 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
-def known_licenses(spark: SparkSession) -> DataFrame:
-    """known_digest, license_id, known_length: one row per distinct canonical text."""
+def builtin_texts(spark: SparkSession) -> DataFrame:
+    """license_id, text: what this module knows."""
     rows = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in KNOWN])
-    texts = spark.range(1).select(F.inline(rows)).select("license_id", canonical(F.col("text")).alias("form"))
-    return texts.groupBy(F.sha2("form", 256).alias("known_digest")).agg(F.min("license_id").alias("license_id"), F.min(F.length("form")).alias("known_length"))
+    return spark.range(1).select(F.inline(rows)).select("license_id", "text")
 
 
-def known_lengths(spark: SparkSession) -> list[int]:
-    return sorted({r[0] for r in known_licenses(spark).select("known_length").collect()})
+def known_licenses(texts: DataFrame) -> DataFrame:
+    """known_digest, license_id, known_length: one row per distinct canonical text. Null and blank texts are none."""
+    forms = texts.select("license_id", canonical(F.col("text")).alias("form")).where(F.length("form") > 0)
+    return forms.groupBy(F.sha2("form", 256).alias("known_digest")).agg(F.min("license_id").alias("license_id"), F.min(F.length("form")).alias("known_length"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """doc_id, text_digest, license_id, n_notices, notices for every document.
 
     ``license_id`` names the license the entire text is, null for none. ``notices`` lists the
     licenses of which some line is an entire known notice, in order, between commas;
-    ``n_notices`` is their number.
+    ``n_notices`` is their number. ``texts`` (license_id, text) are the known licenses; texts
+    of one canonical form count as the least id.
     """
     spark = docs.sparkSession
-    known = F.broadcast(known_licenses(spark))
-    lengths = known_lengths(spark)
+    known = known_licenses(builtin_texts(spark) if texts is None else texts)
+    # One small row per known text; a length is a number, and there are no more of them than texts.
+    lengths = sorted({r[0] for r in known.select("known_length").distinct().collect()}) or [0]
+    if texts is None or known.count() <= BROADCAST_TEXTS:
+        known = F.broadcast(known)
     rows = docs.select("doc_id", F.sha2("text", 256).alias("raw_digest"), "text")
     # Lines as entire units. A form whose length no known text has can't match.
     line = rows.select("doc_id", "raw_digest", F.explode(F.split("text", "\n")).alias("line"))

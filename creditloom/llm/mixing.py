@@ -55,23 +55,26 @@ def copies(target, size, doc_id, cap: int = CAP):
     return F.floor(rate) + (unit_draw(doc_id, SEED) < rate - F.floor(rate)).cast("long")
 
 
-def _with_targets(rows: DataFrame, docs: DataFrame, cap: int) -> DataFrame:
+def _with_targets(rows: DataFrame, docs: DataFrame, cap: int, broadcast_sources: int) -> DataFrame:
     targets = checkpoint(source_targets(docs, cap).withColumnRenamed("source", "mix_source"))
-    if targets.count() <= BROADCAST_SOURCES:
+    if targets.count() <= broadcast_sources:
         targets = F.broadcast(targets)
     return rows.join(targets, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
 
 
-def mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document."""
+def mix(docs: DataFrame, cap: int = CAP, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every document.
+
+    Targets are broadcast up to ``broadcast_sources`` sources and joined by a shuffle beyond.
+    """
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    joined = _with_targets(rows, docs.select("text", "source"), cap)
+    joined = _with_targets(rows, docs.select("text", "source"), cap, broadcast_sources)
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("target"), F.col("source_size"), F.col("doc_id"), cap)).alias("taken"))
 
 
-def emit(docs: DataFrame, cap: int = CAP) -> DataFrame:
+def emit(docs: DataFrame, cap: int = CAP, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "source")
-    joined = _with_targets(rows, docs.select("text", "source"), cap)
+    joined = _with_targets(rows, docs.select("text", "source"), cap, broadcast_sources)
     times = copies(F.col("target"), F.col("source_size"), F.col("doc_id"), cap)
     return joined.select("row", F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("copy")).select("row.*")
