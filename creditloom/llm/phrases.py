@@ -5,16 +5,17 @@ words are frequent as well, so frequent phrases are found length by length:
 
 1. Words are counted per language; the frequent ones get numbers. Texts become arrays of
    numbers, 0 for a border or a rare word, kept in shards of about ``SHARD`` words.
-2. Candidates of length k + 1: places where a frequent phrase of length k starts, and another
-   one word later. A shard names those that it holds at least its share of the least count
-   times; a phrase that is frequent overall reaches its share somewhere, so none is missed.
+2. Candidates of length k + 1 stand at places where a frequent phrase of length k starts, and
+   another one word later. Their occurrences are counted by hash first: tasks send sums by
+   bucket, and only phrases in a bucket that reaches the least count are named. A phrase can't
+   be more frequent than its bucket, so none is missed, and few others are left.
 3. The candidates become a double-array trie, which is broadcast. From the places of the
    phrases of length k, numpy takes all places' states one word on at once; a bincount of the
    states reached counts all candidates of a task, and Spark sums the tasks' counts.
 
 A trie of frequent phrases, as deep as found yet, leads every pass to its places again. Each
-broadcast is bounded: the words by ``VOCABULARY``, a trie by ``TRANSITIONS``, and all that a
-pass walks through by ``SLOTS``. What is beyond is cut into parts by ranges of the phrases,
+broadcast is bounded: the words by ``VOCABULARY``, a trie by ``TRANSITIONS``, the
+buckets by ``BUCKETS``, and all that a pass walks through by ``SLOTS``. What is beyond is cut into parts by ranges of the phrases,
 each with a pass of its own, and places found so far are written in between; so any number of
 frequent phrases is counted exactly. Only parts within these bounds pass through the driver.
 
@@ -40,12 +41,17 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-SHARD = 1 << 21
+SHARD = 1 << 19
+#: A task sends its sums after so many words.
+UNIT = 1 << 23
 VOCABULARY = 1 << 18
 TRANSITIONS = 1 << 18
 SLOTS = 1 << 22
+BUCKETS = 1 << 22
 #: Distinct words a task counts before it sends what it has.
-HELD = 1 << 18
+HELD = 1 << 19
+#: Bits of the hash that sorts candidates into buckets.
+BUCKET_BITS = 30
 
 #: Marks the border of a piece among words; never a byte of UTF-8.
 BORDER = b"\xff"
@@ -102,20 +108,20 @@ class Trie:
         # The first and the last slot stay empty: they answer for all that lies outside.
         self.size = int(slots.max(initial=0)) + 2
         self.base = base.astype(np.int32)
-        self.check = np.full(self.size, -1, np.int64)
+        self.check = np.full(self.size, -1, np.int32)
         self.check[slots] = parents
 
     def step(self, at: np.ndarray, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places that have a transition, and the slots it leads to."""
         inside = (states >= self.low) & (states < self.low + len(self.base))
         at, states = at[inside], states[inside]
-        slots = np.clip(self.base[states - self.low].astype(np.int64) + words[at], 0, self.size - 1)
+        slots = np.clip(self.base[states - self.low] + words[at], 0, self.size - 1)
         found = self.check[slots] == states
         return at[found], slots[found]
 
     def keep(self, slots: np.ndarray) -> None:
         """Forget all transitions but those to ``slots``."""
-        kept = np.full(self.size, -1, np.int64)
+        kept = np.full(self.size, -1, np.int32)
         kept[slots] = self.check[slots]
         self.check = kept
 
@@ -127,34 +133,46 @@ class Trie:
 STATE = "words binary, reached int, at binary, state binary, next_at binary, next_state binary"
 
 
+def bucket_of(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 class Place:
     """The places of a shard while a pass leads them through the tries."""
 
     def __init__(self, words: bytes, reached: int | None = None, *saved: bytes) -> None:
         numbers = np.frombuffer(words, np.int32)
-        self.words = np.concatenate([numbers, np.zeros(8, np.int32)]).astype(np.int64)
+        self.size = len(numbers)
+        self.words = np.concatenate([numbers, np.zeros(8, np.int32)])
         self.reached = reached or 1
         if saved and saved[0] is not None:
-            self.at, self.states, self.next_at, self.next_states = (np.frombuffer(x, np.int64) for x in saved)
+            self.at, self.states, self.next_at, self.next_states = (np.frombuffer(x, np.int32) for x in saved)
         else:
-            self.at = np.flatnonzero(self.words)
+            self.at = np.flatnonzero(self.words).astype(np.int32)
             self.states = self.words[self.at]
-            self.next_at = self.next_states = np.zeros(0, np.int64)
+            self.next_at = self.next_states = np.zeros(0, np.int32)
 
     def through(self, trie: Trie | None) -> None:
         """One trie of the next length, or (None) on to that length."""
         if trie is None:
             order = np.argsort(self.next_at, kind="stable")
             self.at, self.states = self.next_at[order], self.next_states[order]
-            self.next_at = self.next_states = np.zeros(0, np.int64)
+            self.next_at = self.next_states = np.zeros(0, np.int32)
             self.reached += 1
         else:
             at, slots = trie.step(self.at, self.states, self.words[self.reached :])
             self.next_at = np.concatenate([self.next_at, at])
-            self.next_states = np.concatenate([self.next_states, slots + trie.offset])
+            self.next_states = np.concatenate([self.next_states, (slots + trie.offset).astype(np.int32)])
 
     def saved(self, words: bytes) -> tuple:
-        return (words, self.reached, *(x.astype(np.int64).tobytes() for x in (self.at, self.states, self.next_at, self.next_states)))
+        return (words, self.reached, *(x.tobytes() for x in (self.at, self.states, self.next_at, self.next_states)))
 
 
 class Walk:
@@ -203,24 +221,54 @@ class Walk:
                 trie.unpersist()
         self.tries, self.held = [], 0
 
-    def candidates(self, least: int, total: int) -> DataFrame:
+    def candidates(self, least: int, unit: int, most: int) -> DataFrame:
         """parent, word: the phrases one word longer that may be frequent."""
-        places = self.places()
-
-        def run(batches):
+        places, context = self.places(), self.shards.sparkSession.sparkContext
+
+        def found(place: Place) -> np.ndarray:
+            """Keys of the shard's phrases one word longer whose parts are frequent."""
+            followed = np.zeros(len(place.words) + 1, bool)
+            followed[place.at] = True
+            able = followed[place.at + 1]
+            return place.states[able].astype(np.int64) << 32 | place.words[place.at[able] + place.reached]
+
+        def sums(parts: list[tuple]) -> pa.RecordBatch:
+            buckets, group = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            n = np.bincount(group, np.concatenate([p[1] for p in parts]), len(buckets)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(n)], names=["bucket", "n"])
+
+        def count(batches):
+            parts, words = [], 0
             for batch in batches:
-                for words, place in places(batch):
-                    if not len(place.at):
-                        continue
-                    followed = np.zeros(len(place.words) + 1, bool)
-                    followed[place.at] = True
-                    able = followed[place.at + 1]
-                    keys = place.states[able] << 32 | place.words[place.at[able] + place.reached]
-                    found, counts = np.unique(keys, return_counts=True)
-                    found = found[counts * total >= least * (len(words) // 4)]
-                    yield pa.RecordBatch.from_arrays([pa.array(found >> 32), pa.array(found & 0xFFFFFFFF)], names=["parent", "word"])
-
-        return self.shards.mapInArrow(run, "parent long, word long").distinct()
+                for _, place in places(batch):
+                    parts.append(np.unique(bucket_of(found(place)), return_counts=True))
+                    words += place.size
+                    if words >= unit:
+                        yield sums(parts)
+                        parts, words = [], 0
+            if parts:
+                yield sums(parts)
+
+        counted = self.shards.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        frequent = checkpoint(counted.where(F.col("n") >= least).select("bucket"))
+        parts = max(1, -(-frequent.count() // most))
+        out = []
+        for part in range(parts):
+            mine = frequent.where(F.pmod("bucket", F.lit(parts)) == part).toArrow().column("bucket").to_numpy()
+            shared = context.broadcast(np.sort(mine))
+
+            def name(batches, shared=shared):
+                buckets = shared.value
+                for batch in batches:
+                    for _, place in places(batch):
+                        keys = np.unique(found(place))
+                        of = bucket_of(keys)
+                        if len(buckets):
+                            keys = keys[buckets[np.minimum(np.searchsorted(buckets, of), len(buckets) - 1)] == of]
+                            yield pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF)], names=["parent", "word"])
+
+            out.append(self.shards.mapInArrow(name, "parent long, word long").distinct())
+        return union_all(out)
 
     def counts(self, trie: Trie) -> DataFrame:
         """state, parent, word, f of the trie's transitions, summed over the shards."""
@@ -236,7 +284,7 @@ class Walk:
             reached = np.flatnonzero(total)
             parents = tail.check[reached]
             words = reached - tail.base[parents - tail.low]
-            yield pa.RecordBatch.from_arrays([pa.array(reached + tail.offset), pa.array(parents), pa.array(words), pa.array(total[reached])], names=["state", "parent", "word", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array(reached + tail.offset), pa.array(parents.astype(np.int64)), pa.array(words.astype(np.int64)), pa.array(total[reached])], names=["state", "parent", "word", "f"])
 
         rows = self.shards.mapInArrow(run, "state long, parent long, word long, f long")
         return rows.groupBy("state", "parent", "word").agg(F.sum("f").alias("f"))
@@ -352,7 +400,7 @@ def parts_of(candidates: DataFrame, n: int, size: int) -> list[DataFrame]:
     return [candidates.where((key > a) & (key <= b)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard: int = SHARD, vocabulary: int = VOCABULARY, transitions: int = TRANSITIONS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard: int = SHARD, unit: int = UNIT, vocabulary: int = VOCABULARY, transitions: int = TRANSITIONS, slots: int = SLOTS, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
     """(lang, n) and (lang, size, word_ids, phrase, f): all phrases of up to ``longest`` words met ``least`` times.
 
     ``docs`` has lang and text.
@@ -368,16 +416,13 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard:
         table, by_lang = numbered(words, part, parts)
         known.append(by_lang)
         tables.append(checkpoint(spark.createDataFrame(table.select(["lang", "word", "f", "word_id"])) if table.num_rows else spark.createDataFrame([], "lang string, word string, f long, word_id long")))
-    singles = tables[0]
-    for table in tables[1:]:
-        singles = singles.unionByName(table)
+    singles = union_all(tables)
     shards = write_shards(docs, known, shard)
     del known
-    total = shards.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 4
     reached = singles.select("lang", F.col("word_id").alias("state"), F.array("word_id").alias("word_ids"), F.col("word").alias("phrase"), "f")
     out, walk = [reached], Walk(shards, slots)
     for size in range(2, longest + 1):
-        candidates = checkpoint(walk.candidates(least, max(1, total)))
+        candidates = checkpoint(walk.candidates(least, unit, buckets))
         n = candidates.count()
         if not n:
             break
@@ -397,9 +442,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard:
         for trie in tries:
             walk.add(trie)
         walk.on()
-        longer = found[0]
-        for more in found[1:]:
-            longer = longer.unionByName(more)
+        longer = union_all(found)
         before = reached.select(F.col("state").alias("parent"), "lang", "word_ids", "phrase")
         last = singles.select(F.col("word_id").alias("word"), F.col("word").alias("text"))
         longer = longer.join(before, "parent").join(last, "word")
@@ -407,9 +450,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard:
         out.append(reached)
         if not tries or size == longest:
             break
-    phrases = out[0]
-    for more in out[1:]:
-        phrases = phrases.unionByName(more)
+    phrases = union_all(out)
     return totals, phrases.select("lang", F.size("word_ids").alias("size"), "word_ids", "phrase", "f")
 
 

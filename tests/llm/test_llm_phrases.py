@@ -9,7 +9,7 @@ import pytest
 
 from creditloom.llm import phrases
 
-TINY = {"shard": 300, "vocabulary": 7, "transitions": 25, "slots": 400}
+TINY = {"shard": 300, "unit": 700, "vocabulary": 7, "transitions": 25, "slots": 400, "buckets": 40}
 
 
 def plain(rows, least, top=2000, longest=5):
@@ -70,7 +70,7 @@ def found(df):
     return sorted(tuple(r) for r in df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
 
 
-@pytest.mark.parametrize(("least", "sizes"), [(9, {}), (9, TINY), (3, {"shard": 50, "slots": 1})])
+@pytest.mark.parametrize(("least", "sizes"), [(9, {}), (9, TINY), (3, {"shard": 50, "unit": 60, "slots": 1})])
 def test_equals_plain_counting(spark, prose, least, sizes):
     got = found(phrases.collocations(frame(spark, prose), least=least, **sizes))
     assert got and got == plain(prose, least)
