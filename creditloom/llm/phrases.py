@@ -36,6 +36,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,9 @@ VOCABULARY = 1 << 18
 TRANSITIONS = 1 << 18
 SLOTS = 1 << 22
 BUCKETS = 1 << 22
+#: Counts are summed in slices of so many states, each first in so many lanes of tasks.
+SLICE = 1 << 12
+LANES = 16
 #: Distinct words a task counts before it sends what it has.
 HELD = 1 << 19
 #: Bits of the hash that sorts candidates into buckets.
@@ -270,26 +274,57 @@ class Walk:
             out.append(self.shards.mapInArrow(name, "parent long, word long").distinct())
         return union_all(out)
 
-    def counts(self, trie: Trie) -> DataFrame:
-        """state, parent, word, f of the trie's transitions, summed over the shards."""
+    def counts(self, trie: Trie, least: int) -> DataFrame:
+        """state, parent, word, f of the trie's transitions met ``least`` times, summed over the shards.
+
+        A task sends its bincount in slices, of which only what is not zero is packed. A slice
+        is summed by lanes of tasks and then whole, so a sum takes in few rows of bounded size.
+        """
         places, shared = self.places(), self.shards.sparkSession.sparkContext.broadcast(trie)
 
         def run(batches):
             tail = shared.value
-            total = np.zeros(tail.size, np.int64)
+            total = np.zeros(-(-tail.size // SLICE) * SLICE, np.int64)
             for batch in batches:
                 for _, place in places(batch):
                     _, slots = tail.step(place.at, place.states, place.words[place.reached :])
-                    total += np.bincount(slots, minlength=tail.size)
-            reached = np.flatnonzero(total)
-            parents = tail.check[reached]
+                    total += np.bincount(slots, minlength=len(total))
+            lane = TaskContext.get().partitionId() % LANES
+            rows = [(k, lane, *packed(total[k * SLICE : (k + 1) * SLICE])) for k in range(len(total) // SLICE) if total[k * SLICE : (k + 1) * SLICE].any()]
+            yield pa.RecordBatch.from_pylist([dict(zip(_SLICED.names, row, strict=True)) for row in rows], _SLICED)
+
+        def add(table: pa.Table) -> pa.Table:
+            row = (table.column("slice")[0].as_py(), table.column("lane")[0].as_py(), *packed(unpacked(table)))
+            return pa.Table.from_pylist([dict(zip(_SLICED.names, row, strict=True))], _SLICED)
+
+        def finish(table: pa.Table) -> pa.Table:
+            tail, sums = shared.value, unpacked(table)
+            frequent = np.flatnonzero(sums >= least)
+            reached = frequent + table.column("slice")[0].as_py() * SLICE
+            parents = tail.check[reached].astype(np.int64)
             words = reached - tail.base[parents - tail.low]
-            yield pa.RecordBatch.from_arrays([pa.array(reached + tail.offset), pa.array(parents.astype(np.int64)), pa.array(words.astype(np.int64)), pa.array(total[reached])], names=["state", "parent", "word", "f"])
+            return pa.table({"state": pa.array(reached + tail.offset), "parent": pa.array(parents), "word": pa.array(words), "f": pa.array(sums[frequent])})
+
+        sliced = self.shards.mapInArrow(run, "slice long, lane int, at binary, sums binary")
+        sliced = sliced.groupBy("slice", "lane").applyInArrow(add, "slice long, lane int, at binary, sums binary")
+        return sliced.groupBy("slice").applyInArrow(finish, "state long, parent long, word long, f long")
+
 
-        rows = self.shards.mapInArrow(run, "state long, parent long, word long, f long")
-        return rows.groupBy("state", "parent", "word").agg(F.sum("f").alias("f"))
+def packed(sums: np.ndarray) -> tuple[bytes, bytes]:
+    """A slice's places that are not zero, and their sums."""
+    at = np.flatnonzero(sums)
+    return at.astype("<u2").tobytes(), sums[at].astype("<i8").tobytes()
+
+
+def unpacked(table: pa.Table) -> np.ndarray:
+    """The sum of packed slices."""
+    out = np.zeros(SLICE, np.int64)
+    for at, sums in zip(table.column("at").to_pylist(), table.column("sums").to_pylist(), strict=True):
+        out[np.frombuffer(at, "<u2")] += np.frombuffer(sums, "<i8")
+    return out
 
 
+_SLICED = pa.schema([("slice", pa.int64()), ("lane", pa.int32()), ("at", pa.binary()), ("sums", pa.binary())])
 _SCHEMA = pa.schema([("words", pa.binary()), ("reached", pa.int32()), ("at", pa.binary()), ("state", pa.binary()), ("next_at", pa.binary()), ("next_state", pa.binary())])
 
 
@@ -432,7 +467,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard:
             if not table.num_rows:
                 continue
             trie = Trie(table.column("parent").to_numpy(), table.column("word").to_numpy(), offset)
-            counts = checkpoint(walk.counts(trie).where(F.col("f") >= least))
+            counts = checkpoint(walk.counts(trie, least))
             kept = counts.select("state").toArrow().column("state").to_numpy()
             found.append(counts)
             if len(kept):
