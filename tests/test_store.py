@@ -119,6 +119,14 @@ def test_bitmaps_add_up(spark):
     assert co.distinct_counts(frames[0].limit(0).drop("k"), []).first()[0] == 0
 
 
+def test_sparse_bitmaps_cost_a_short_row_a_number(spark):
+    """Numbers far apart: one key, a thousand numbers, no more than a bigint each."""
+    bits = co.distinct_bitmaps(spark.range(1000).select(F.lit("a").alias("k"), (F.col("id") * 100_000).alias("n")), ["k"], F.col("n"))
+    assert dict(bits.dtypes)["bits"] == "bigint" and bits.count() == 1000
+    assert co.distinct_counts(bits, ["k"]).first().distinct == 1000
+    assert co.distinct_bitmaps(spark.range(640).select(F.lit("a").alias("k"), "id"), ["k"], F.col("id")).count() == 10
+
+
 def test_json_rows(spark, rows):
     body = {"a": 1, "b": {"c": [True, None, {"d": "x"}], "e": {}}, "f": "t"}
     given = [(1, json.dumps(body)), (2, "[1, [2]]"), (3, "no json"), (4, "5"), (5, None)]
