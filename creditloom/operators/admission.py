@@ -3,15 +3,21 @@
 A request names targets. It is taken whole or refused whole: its fresh units (targets neither
 queued nor brought by a request taken before it) must fit both the backlog and the budget of
 its day, and a day answers no more than ``daily_calls`` requests. Each decision depends on all
-decisions before it. They are found in rounds over tables: a round decides every request from
-the last round's decisions, by one grouping (the first taken request of each target) and
-prefix sums by day and over the days. Only decisions before a request matter to it, so a
-round settles at least one more request for good, and each day settles beside the others; a
-round that changes nothing has the one true answer. The driver sees one count a round.
+decisions before it, but only a request that brings fresh units changes anything, and all of
+these together fit the backlog: what is brought anew is a table of ``max_pending_units`` rows
+at most. Days on which nothing fresh fits are passed over by one grouping. From the first day
+on which something does, a stretch of whole days is walked in order, then the next such day is
+looked for. Where the backlog is full the rest needs no walk, however many days it has. All
+answers then follow from that table by one join and prefix sums. The driver sees two days and
+a sum a stretch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import groupby
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, Policy
@@ -19,6 +25,9 @@ from ..functions import canonical_mbid, day_key, seconds_until_tomorrow
 from ..session import cut_lineage
 from .hydration import units
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 TARGET = ["kind", "target_mbid"]
 
 #: Answers of a refused request, and after how many seconds it may ask again (null: next day).
@@ -38,13 +47,14 @@ def _before(value: str, within: list[str], *by: str) -> Column:
     return F.coalesce(F.sum(value).over(rows), F.lit(0))
 
 
-def decide(requests: DataFrame, jobs: DataFrame, policy: Policy = DEFAULT, strict: bool = True, max_rounds: int = 10_000) -> DataFrame:
+def decide(requests: DataFrame, jobs: DataFrame, policy: Policy = DEFAULT, strict: bool = True, stretch_rows: int = 100_000) -> DataFrame:
     """One row a request: request_id, ts, day, admitted, code, retry_after, accepted, fresh_units, backlog_units, used_units.
 
     ``requests`` holds (request_id, ts, kind, target_mbid), a row a target; a request's time
     is its first row's, ties go by id. ``jobs`` is the job table: what is queued is free, and
     counts towards the backlog and the usage of the day it was made on. One malformed target
-    refuses its request. ``backlog_units`` and ``used_units`` are those met on arrival.
+    refuses its request. ``backlog_units`` and ``used_units`` are those met on arrival. A
+    stretch has ``stretch_rows`` rows, or one day.
     """
     checked = valid_targets(requests, strict)
     asked = checked.groupBy("request_id").agg(F.min("ts").alias("ts"), F.bool_and("ok").alias("ok"))
@@ -66,15 +76,7 @@ def decide(requests: DataFrame, jobs: DataFrame, policy: Policy = DEFAULT, stric
     days = called.select("day").distinct().join(used, "day", "left").select("day", F.coalesce("_used", F.lit(0)).alias("_used"))
     days = cut_lineage(days.select("day", "_used", backlog.scalar().alias("_backlog")))
 
-    decided = called.withColumn("admitted", F.lit(True))
-    for _ in range(max_rounds):
-        after = cut_lineage(_round(decided, brought, days, policy))
-        changed = after.where("admitted <> was").count()
-        decided = after.drop("was")
-        if not changed:
-            break
-    else:
-        raise RuntimeError("admission did not settle")
+    decided = _answers(called, brought, days, _taken(brought, days, policy, stretch_rows), policy)
 
     targets = checked.where("ok").select("request_id", *TARGET).distinct().groupBy("request_id").agg(F.count(F.lit(1)).alias("accepted"))
     told = decided.drop("call").join(targets, "request_id")
@@ -92,15 +94,60 @@ def decide(requests: DataFrame, jobs: DataFrame, policy: Policy = DEFAULT, stric
     )
 
 
-def _round(decided: DataFrame, brought: DataFrame, days: DataFrame, policy: Policy) -> DataFrame:
-    """Every request decided anew, as if the last decisions of those before it were right."""
-    taken = decided.select(F.struct("day", "call").alias("place"), "admitted")
-    firsts = brought.join(taken.where("admitted"), "place").groupBy(*TARGET).agg(F.min("place").alias("_first"))
+def _taken(brought: DataFrame, days: DataFrame, policy: Policy, stretch_rows: int) -> DataFrame:
+    """The targets that requests bring into the queue, with the place of the request that does."""
+    taken, after = brought.limit(0), None
+    while True:
+        backlog = days.agg(F.coalesce(F.max("_backlog"), F.lit(0))).first()[0] + taken.agg(F.coalesce(F.sum("units"), F.lit(0))).first()[0]
+        left = brought if after is None else brought.where(F.col("place.day") > after).join(taken, TARGET, "left_anti")
+        asked = left.groupBy("place").agg(F.sum("units").alias("fresh"), F.count(F.lit(1)).alias("rows")).withColumn("day", F.col("place.day"))
+        # With all that may be queued before it, a request of more units than the backlog has room for stays too large.
+        asked = asked.where(F.col("fresh") <= policy.max_pending_units - backlog)
+        by_day = asked.join(days, "day").groupBy("day").agg(
+            F.sum("rows").alias("rows"), F.bool_or(F.col("_used") + F.col("fresh") <= policy.daily_new_units).alias("opens")
+        )
+        # One row a day.
+        until = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+        opened = by_day.withColumn("_open", F.bool_or("opens").over(until)).where("_open").withColumn("_rows", F.sum("rows").over(until))
+        first, last = opened.agg(F.min("day"), F.coalesce(F.max(F.when(F.col("_rows") <= stretch_rows, F.col("day"))), F.min("day"))).first()
+        if first is None:
+            return taken
+        stretch = left.join(asked.where(F.col("day").between(first, last)).select("place", "day"), "place").join(days.select("day", "_used"), "day")
+        stretch = stretch.select(*TARGET, "day", "place.call", "units", "_used", F.lit(backlog).alias("_backlog"))
+        new = stretch.groupBy().applyInPandas(_walk(policy.daily_new_units, policy.max_pending_units), "kind string, target_mbid string, day string, call int, units int")
+        new = new.select(*TARGET, F.struct("day", "call").alias("place"), "units")
+        taken, after = cut_lineage(taken.unionByName(new).coalesce(1)), last
+
+
+def _walk(daily_new_units: int, max_pending_units: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Decides the requests of some days in order; the rows are the targets that were not queued before these days."""
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        asked = rows.sort_values(["day", "call"])
+        backlog, today, now, seen, kept = int(rows["_backlog"].iloc[0]), 0, None, set(), []
+        columns = zip(asked["day"], asked["call"], asked["kind"], asked["target_mbid"], asked["units"], asked["_used"], range(len(asked)))
+        for (day, _), request in groupby(columns, lambda r: r[:2]):
+            fresh = [r for r in request if r[2:4] not in seen]
+            size = int(sum(r[4] for r in fresh))
+            if fresh and day != now:
+                now, today = day, int(fresh[0][5])
+            if fresh and today + size <= daily_new_units and backlog + size <= max_pending_units:
+                backlog, today = backlog + size, today + size
+                seen.update(r[2:4] for r in fresh)
+                kept.extend(r[6] for r in fresh)
+        return asked.iloc[kept][[*TARGET, "day", "call", "units"]]
+
+    return walk
+
+
+def _answers(called: DataFrame, brought: DataFrame, days: DataFrame, taken: DataFrame, policy: Policy) -> DataFrame:
+    """Every numbered request with what it met and whether it is admitted, from the targets that were taken."""
+    firsts = taken.select(*TARGET, F.col("place").alias("_first"))
     fresh = brought.join(firsts, TARGET, "left").where(F.col("_first").isNull() | (F.col("_first") >= F.col("place")))
     sizes = fresh.groupBy("place").agg(F.sum("units").alias("fresh_units"))
-    rows = decided.select("request_id", "ts", "day", "call", "admitted", F.struct("day", "call").alias("place")).join(sizes, "place", "left")
-    rows = rows.withColumns({"fresh_units": F.coalesce("fresh_units", F.lit(0)), "was": F.col("admitted")})
-    rows = rows.withColumn("_charged", F.when(F.col("was"), F.col("fresh_units")).otherwise(0))
+    charges = taken.groupBy("place").agg(F.sum("units").alias("_charged"))
+    rows = called.withColumn("place", F.struct("day", "call")).join(sizes, "place", "left").join(charges, "place", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fresh_units", "_charged")})
     by_day = rows.groupBy("day").agg(F.sum("_charged").alias("_day"))
     # One row a day: the only sum that runs over all of them.
     by_day = by_day.withColumn("_earlier", F.coalesce(F.sum("_day").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -111,7 +158,7 @@ def _round(decided: DataFrame, brought: DataFrame, days: DataFrame, policy: Poli
     })
     fits = (F.col("used_units") + F.col("fresh_units") <= policy.daily_new_units) & (F.col("backlog_units") + F.col("fresh_units") <= policy.max_pending_units)
     rows = rows.withColumn("admitted", (F.col("fresh_units") == 0) | fits)
-    return rows.select("request_id", "ts", "day", "call", "admitted", "was", "fresh_units", "backlog_units", "used_units")
+    return rows.select("request_id", "ts", "day", "call", "admitted", "fresh_units", "backlog_units", "used_units")
 
 
 def new_jobs(requests: DataFrame, decisions: DataFrame, jobs: DataFrame, snapshot_version: str) -> DataFrame:

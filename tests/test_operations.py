@@ -15,6 +15,7 @@ from creditloom.operators import snapshots as sn
 from creditloom.operators import studies as st
 from creditloom.operators import tables as tb
 from creditloom.schemas import JOB, SNAPSHOT
+from creditloom.session import cut_lineage
 from creditloom.sources.taxonomy import load_taxonomy
 from creditloom.streaming import admission as st_admission
 from creditloom.streaming import usage as us
@@ -142,6 +143,19 @@ def test_admission_against_brute_force(spark, seed, limits):
         assert (row.retry_after is None) == (row.code in (None, "invalid_request")) and (row.code != "hydration_busy" or row.retry_after == 120)
 
 
+@pytest.mark.parametrize("stretch", [1, 100_000])
+def test_admission_walks_only_days_that_bring_something(spark, monkeypatch, stretch):
+    """Sixty days of which the backlog is filled on the first ones: few checkpoints, however many days."""
+    cuts = []
+    monkeypatch.setattr(ad, "cut_lineage", lambda df: cuts.append(1) or cut_lineage(df))
+    rng = random.Random(5)
+    requests = [(f"r{n:03d}", NOW + timedelta(hours=n * 8), rng.choice(["track", "recording"]), ident(rng.randrange(60))) for n in range(180)]
+    policy = Policy(max_pending_units=12, daily_new_units=3, daily_calls=3)
+    got = ad.decide(spark.createDataFrame(requests, REQUESTS), jobs(spark, job(1)), policy, stretch_rows=stretch)
+    assert answers(got) == brute_admission(requests, {("recording", ident(1))}, 1, {"2024-01-10": 1}, policy)
+    assert len(cuts) <= (5 if stretch > 1 else 15)
+
+
 def test_admission_of_nothing(spark):
     assert ad.decide(spark.createDataFrame([], REQUESTS), jobs(spark, job(1))).count() == 0
     assert answers(ad.decide(spark.createDataFrame([("a", NOW, "track", None), ("b", NOW, None, ident(1))], REQUESTS), jobs(spark, job(9)).limit(0))) == {"a": (False, "invalid_request", 0, None, None, None), "b": (False, "invalid_request", 0, None, None, None)}
