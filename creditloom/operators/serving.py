@@ -219,6 +219,7 @@ def serve(
 ) -> Serving:
     judged = judge_evidence(union_evidence(direct, release), snapshot_version)
     evidence = prefer_direct(accepted(judged))
+    # What release evidence gives way to is of the same recording: accepted rows name the recordings served.
     credits = dedupe_credits(evidence)
     claims = aggregate_claims(credits)
     judged_aliases = judge_aliases(aliases)
@@ -229,7 +230,7 @@ def serve(
         credits=credits,
         claims=claims,
         judged_aliases=judged_aliases,
-        aliases=unique_aliases(servable_aliases(accepted(judged_aliases), evidence)),
+        aliases=unique_aliases(servable_aliases(accepted(judged_aliases), accepted(judged))),
         judged_vocabulary=judged_vocabulary,
         vocabulary=dedupe_vocabulary(accepted(judged_vocabulary)),
     )

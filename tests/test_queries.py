@@ -47,3 +47,14 @@ def test_scans_read_only_needed_columns(spark):
     read = set(re.findall(r"ReadSchema: struct<([^>]*)>", plan))
     assert read and all("l_extendedprice" not in columns and "l_shipdate" not in columns for columns in read)
     assert "PushedFilters: [IsNotNull(l_linestatus)" in plan or "EqualTo(l_linestatus,F)" in plan
+
+
+def test_documents_start_from_stored_evidence(spark):
+    """Sizing, counting and gathering read stored rows; none evaluates the evidence again."""
+    plan = queries()["b12_serving_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan and "l_partkey" not in plan
+
+
+def test_served_aliases_evaluate_direct_evidence_once(spark):
+    plan = queries()["c10_servable_aliases"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
