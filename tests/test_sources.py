@@ -220,3 +220,15 @@ def test_json_rows(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text('{"recording_mbid": "r"}\n')
     row = dp.read_typed_json(spark, str(tmp_path / "e.jsonl"), "recording_mbid string, scope string, relation_type string, production_method string", dp.EVIDENCE_DEFAULTS).first()
     assert tuple(row) == ("r", "recording", "instrument", "performed")
+
+
+def test_page_kinds_are_told_without_walking_the_page(spark):
+    from creditloom.sources import history as hi
+
+    track = '{"name": "t", "artist": "a", "playcount": 1}'
+    tops = ["[]", '"x"', "null", "{}", '{"track": %s}' % track, '{"track": [%s, 5]}' % track, '{"track": "x"}']
+    pages = spark.createDataFrame([(str(i), "p", 1, '{"toptracks": %s}' % top) for i, top in enumerate(tops)], "listener string, period string, page bigint, payload string")
+    checked = hi.check_pages(pages)
+    assert "$.toptracks, variant" not in checked._jdf.queryExecution().analyzed().toString().replace("VariantType", "variant")
+    got = {(r.listener, r.reject_reason) for r in checked.collect()}
+    assert got == {("0", "not_a_history_page"), ("1", "not_a_history_page"), ("2", "not_a_history_page"), ("4", None), ("5", None), ("5", "missing_title"), ("6", "missing_title")}
