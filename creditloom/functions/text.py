@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 __all__ = [
+    "once",
     "strip",
     "bounded_text",
     "fold_name",
@@ -36,6 +38,11 @@ _SPACES = [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 _SPACE_CHARS = "".join(map(chr, _SPACES))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it; also inside lambdas."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_SPACE_CHARS))
 
@@ -63,11 +70,13 @@ def fold_name(c: Column) -> Column:
 
 def http_url(c: Column, limit: int = 2048) -> Column:
     """The URL when it is http(s), has a host and carries no credentials."""
-    text = bounded_text(c, limit)
-    scheme = F.lower(F.try_parse_url(text, F.lit("PROTOCOL")))
-    host = F.try_parse_url(text, F.lit("HOST"))
-    user = F.try_parse_url(text, F.lit("USERINFO"))
-    return F.when(scheme.isin("http", "https") & host.isNotNull() & user.isNull(), text)
+    def judged(text: Column) -> Column:
+        scheme = F.lower(F.try_parse_url(text, F.lit("PROTOCOL")))
+        host = F.try_parse_url(text, F.lit("HOST"))
+        user = F.try_parse_url(text, F.lit("USERINFO"))
+        return F.when(scheme.isin("http", "https") & host.isNotNull() & user.isNull(), text)
+
+    return once(bounded_text(c, limit), judged)
 
 
 def on_hosts(url: Column, hosts: tuple[str, ...]) -> Column:
@@ -80,31 +89,34 @@ def hex_color(c: Column) -> Column:
 
 def media_url(c: Column) -> Column:
     """An avatar URL: https, an accepted host, the image path."""
-    url = http_url(c)
-    https = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))) == "https"
-    path = F.try_parse_url(url, F.lit("PATH"))
-    return F.when(https & on_hosts(url, AVATAR_HOSTS) & path.startswith("/i/u/"), url)
+    def judged(url: Column) -> Column:
+        https = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))) == "https"
+        path = F.try_parse_url(url, F.lit("PATH"))
+        return F.when(https & on_hosts(url, AVATAR_HOSTS) & path.startswith("/i/u/"), url)
+
+    return once(http_url(c), judged)
 
 
 def profile_url(c: Column, username: Column) -> Column:
     """The given profile URL when it is the user's own, else the canonical one."""
-    name = bounded_text(username, 64)
-    url = http_url(c)
-    parts = F.filter(
-        F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"),
-        lambda x: x != "",
-    )
-    own = (
-        (F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))) == "https")
-        & on_hosts(url, PROFILE_HOSTS)
-        & (F.lower(F.get(parts, 0)) == "user")
-        & (F.lower(F.try_url_decode(F.get(parts, 1))) == F.lower(name))
-    )
-    # url_encode writes forms ('+'); a path needs '%20'.
-    made = F.concat(
-        F.lit("https://www.last.fm/user/"), F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))
-    )
-    return F.when(name.isNotNull(), F.when(F.coalesce(own, F.lit(False)), url).otherwise(made))
+    def own(url: Column, name: Column) -> Column:
+        path = F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/")
+        return (
+            (F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))) == "https")
+            & on_hosts(url, PROFILE_HOSTS)
+            & once(
+                F.filter(path, lambda x: x != ""),
+                lambda parts: (F.lower(F.get(parts, 0)) == "user") & (F.lower(F.try_url_decode(F.get(parts, 1))) == F.lower(name)),
+            )
+        )
+
+    def chosen(name: Column) -> Column:
+        # url_encode writes forms ('+'); a path needs '%20'.
+        made = F.concat(F.lit("https://www.last.fm/user/"), F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")))
+        given = once(http_url(c), lambda url: F.when(F.coalesce(own(url, name), F.lit(False)), url))
+        return F.when(name.isNotNull(), F.coalesce(given, made))
+
+    return once(bounded_text(username, 64), chosen)
 
 
 def ascii_alias(c: Column) -> Column:

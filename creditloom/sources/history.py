@@ -101,34 +101,42 @@ def page_rejects(pages: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 
 def parse_profiles(profiles: DataFrame) -> DataFrame:
-    """Profile payloads (listener, payload) to one row per listener."""
+    """Profile payloads (listener, payload) to one row per listener.
+
+    Every value is a column before it is judged, so it is taken from its payload once.
+    """
     v = F.col("_v")
     user = "$.profile"
-    image = F.try_variant_get(v, f"{user}.image", "variant")
-    images = F.when(
-        _is_type(image, "ARRAY"), F.try_variant_get(v, f"{user}.image", "array<variant>")
-    ).otherwise(F.array(image))
-    urls = F.transform(
+
+    def string_of(value: Column) -> Column:
+        return F.when(_is_type(value, "STRING"), F.try_variant_get(value, "$", "string"))
+
+    image = F.col("_image")
+    images = F.when(_is_type(image, "ARRAY"), F.try_variant_get(image, "$", "array<variant>")).otherwise(F.array(image))
+    links = F.transform(
         images,
-        lambda i: media_url(
-            F.coalesce(
-                F.when(_is_type(i, "STRING"), F.try_variant_get(i, "$", "string")),
-                F.try_variant_get(i, "$['#text']", "string"),
-                F.try_variant_get(i, "$.url", "string"),
-            )
-        ),
+        lambda i: F.coalesce(string_of(i), F.try_variant_get(i, "$['#text']", "string"), F.try_variant_get(i, "$.url", "string")),
     )
-    accepted = F.filter(urls, lambda u: u.isNotNull())
-    name = F.coalesce(_text(v, "$.username", 64), F.col("listener"))
-    text = F.coalesce(
-        F.try_variant_get(v, f"{user}.registered['#text']", "string"),
-        F.try_variant_get(v, f"{user}.registered.text", "string"),
+    values = profiles.withColumn("_v", F.try_parse_json("payload")).select(
+        "listener",
+        F.try_variant_get(v, f"{user}.image", "variant").alias("_image"),
+        F.try_variant_get(v, "$.username", "variant").alias("_username"),
+        F.try_variant_get(v, f"{user}.realname", "variant").alias("_realname"),
+        F.try_variant_get(v, f"{user}.url", "string").alias("_url"),
+        F.try_variant_get(v, f"{user}.registered.unixtime", "string").alias("_unixtime"),
+        F.coalesce(
+            F.try_variant_get(v, f"{user}.registered['#text']", "string"),
+            F.try_variant_get(v, f"{user}.registered.text", "string"),
+        ).alias("_registered"),
     )
-    return profiles.withColumn("_v", F.try_parse_json("payload")).select(
+    texts = values.withColumns({"_links": links, "_username": string_of(F.col("_username")), "_realname": string_of(F.col("_realname"))})
+    named = texts.withColumn("username", F.coalesce(bounded_text(F.col("_username"), 64), F.col("listener")))
+    accepted = F.filter(F.transform("_links", media_url), lambda u: u.isNotNull())
+    return named.select(
         "listener",
-        name.alias("username"),
-        profile_url(F.try_variant_get(v, f"{user}.url", "string"), name).alias("profile_url"),
-        F.get(accepted, F.size(accepted) - 1).alias("avatar_url"),
-        _text(v, f"{user}.realname", 256).alias("realname"),
-        registered_iso(F.try_variant_get(v, f"{user}.registered.unixtime", "string"), text).alias("registered"),
+        "username",
+        profile_url(F.col("_url"), F.col("username")).alias("profile_url"),
+        F.try_element_at(accepted, F.lit(-1)).alias("avatar_url"),
+        bounded_text(F.col("_realname"), 256).alias("realname"),
+        registered_iso(F.col("_unixtime"), F.col("_registered")).alias("registered"),
     )

@@ -213,6 +213,13 @@ def test_profile_metadata(spark):
     assert got["v"]["username"] == "v" and got["v"]["avatar_url"] is None and got["v"]["profile_url"] == "https://www.last.fm/user/v"
 
 
+def test_profile_values_are_computed_once(spark):
+    df = spark.createDataFrame([("u", "{}")], "listener string, payload string")
+    plan = hi.parse_profiles(df)._jdf.queryExecution().optimizedPlan().toString()
+    # Nested rules used to copy each value into every place that names it, 5 to 64 times over.
+    assert plan.count("ParseUrl") <= 16 and plan.count("try_variant_get") <= 20
+
+
 def test_json_rows(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('["1", null, "x"]\n\n["2", "a", "y"]\n')
     got = [tuple(r) for r in dp.read_json_rows(spark, str(tmp_path / "l.jsonl"), DUMP_TABLES["l_artist_recording"]).collect()]
