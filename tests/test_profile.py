@@ -260,3 +260,13 @@ def test_two_spellings_of_a_name_are_one_family(spark):
     tracks = ls.with_keys(spark.createDataFrame(h, HISTORY)).withColumn("recording_mbid", F.col("mbid"))
     got = fa.family_presence(fa.profile_tracks(tracks, fa.recording_profiles(layers)), fa.Names.of(layers)).collect()
     assert [(r["family_slug"], r["family_name"], r["evidence_count"], r["share"]) for r in got] == [("keys", "Clavier", 4, 1.0)]
+
+
+def test_family_scores_shuffle_no_exploded_rows(spark):
+    rows = spark.createDataFrame([("m", "piano", "Piano", "keys", "Keys", 9, 9, 1.0, 1.0, "recording")], "artist_mbid string, instrument_slug string, instrument_name string, family_slug string, family_name string, distinct_recordings bigint, documented_recordings bigint, prevalence double, evidence_quality double, source_scope string")
+    plays = vo.artist_plays(spark.createDataFrame([("u", "overall", "M", "m", 3)], "listener string, period string, artist string, artist_mbid string, play_count bigint"))
+    scores = vo.family_scores(vo.contributions(plays, rows), rows)
+    assert [(r["family_slug"], r["share"], [i["instrument_slug"] for i in r["instruments"]]) for r in scores.collect()] == [("keys", 1.0, ["piano"])]
+    plan = scores._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+    assert dealt and not any("instrument_slug" in x or "artist_id" in x for x in dealt)
