@@ -49,7 +49,7 @@ VOCABULARY = 1 << 18
 TRANSITIONS = 1 << 18
 SLOTS = 1 << 22
 BUCKETS = 1 << 22
-#: Counts are summed in slices of so many states, each first in so many lanes of tasks.
+#: Counts and names go in slices of so many states or buckets, each first in so many lanes of tasks.
 SLICE = 1 << 12
 LANES = 16
 #: Distinct words a task counts before it sends what it has.
@@ -259,21 +259,46 @@ class Walk:
         out = []
         for part in range(parts):
             mine = frequent.where(F.pmod("bucket", F.lit(parts)) == part).toArrow().column("bucket").to_numpy()
-            shared = context.broadcast(np.sort(mine))
-
-            def name(batches, shared=shared):
-                buckets = shared.value
-                for batch in batches:
-                    for _, place in places(batch):
-                        keys = np.unique(found(place))
-                        of = bucket_of(keys)
-                        if len(buckets):
-                            keys = keys[buckets[np.minimum(np.searchsorted(buckets, of), len(buckets) - 1)] == of]
-                            yield pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF)], names=["parent", "word"])
-
-            out.append(self.shards.mapInArrow(name, "parent long, word long").distinct())
+            out.append(self.named(found, np.sort(mine), unit).groupBy("slice").applyInArrow(spread, "parent long, word long"))
         return union_all(out)
 
+    def named(self, found: Callable[[Place], np.ndarray], frequent: np.ndarray, unit: int) -> DataFrame:
+        """slice, lane, keys: the different keys found in ``frequent`` buckets, packed.
+
+        A task names a key once per ``unit`` words, however many shards hold it. A slice holds
+        the keys of a run of buckets; it is united by lanes of tasks here, and then whole.
+        """
+        places, shared = self.places(), self.shards.sparkSession.sparkContext.broadcast(frequent)
+
+        def packed_keys(parts: list[np.ndarray], buckets: np.ndarray) -> pa.RecordBatch:
+            keys = np.unique(np.concatenate(parts))
+            slices = np.searchsorted(buckets, bucket_of(keys)) // SLICE
+            order = np.argsort(slices, kind="stable")
+            keys, (numbers, first) = keys[order], np.unique(slices[order], return_index=True)
+            lane = TaskContext.get().partitionId() % LANES
+            rows = [{"slice": k, "lane": lane, "keys": held.tobytes()} for k, held in zip(numbers.tolist(), np.split(keys, first[1:]), strict=False)]
+            return pa.RecordBatch.from_pylist(rows, _NAMED)
+
+        def name(batches):
+            buckets, parts, words = shared.value, [], 0
+            for batch in batches:
+                for _, place in places(batch) if len(buckets) else ():
+                    keys = np.unique(found(place))
+                    of = bucket_of(keys)
+                    parts.append(keys[buckets[np.minimum(np.searchsorted(buckets, of), len(buckets) - 1)] == of])
+                    words += place.size
+                    if words >= unit:
+                        yield packed_keys(parts, buckets)
+                        parts, words = [], 0
+            if parts:
+                yield packed_keys(parts, buckets)
+
+        def unite(table: pa.Table) -> pa.Table:
+            row = {"slice": table.column("slice")[0].as_py(), "lane": table.column("lane")[0].as_py(), "keys": united(table).tobytes()}
+            return pa.Table.from_pylist([row], _NAMED)
+
+        return self.shards.mapInArrow(name, "slice long, lane int, keys binary").groupBy("slice", "lane").applyInArrow(unite, "slice long, lane int, keys binary")
+
     def counts(self, trie: Trie, least: int) -> DataFrame:
         """state, parent, word, f of the trie's transitions met ``least`` times, summed over the shards.
 
@@ -310,6 +335,17 @@ class Walk:
         return sliced.groupBy("slice").applyInArrow(finish, "state long, parent long, word long, f long")
 
 
+def united(table: pa.Table) -> np.ndarray:
+    """The different keys of packed ones."""
+    return np.unique(np.concatenate([np.frombuffer(keys, np.int64) for keys in table.column("keys").to_pylist()]))
+
+
+def spread(table: pa.Table) -> pa.Table:
+    """parent, word: the different keys of a slice."""
+    keys = united(table)
+    return pa.table({"parent": pa.array(keys >> 32), "word": pa.array(keys & 0xFFFFFFFF)})
+
+
 def packed(sums: np.ndarray) -> tuple[bytes, bytes]:
     """A slice's places that are not zero, and their sums."""
     at = np.flatnonzero(sums)
@@ -325,6 +361,7 @@ def unpacked(table: pa.Table) -> np.ndarray:
 
 
 _SLICED = pa.schema([("slice", pa.int64()), ("lane", pa.int32()), ("at", pa.binary()), ("sums", pa.binary())])
+_NAMED = pa.schema([("slice", pa.int64()), ("lane", pa.int32()), ("keys", pa.binary())])
 _SCHEMA = pa.schema([("words", pa.binary()), ("reached", pa.int32()), ("at", pa.binary()), ("state", pa.binary()), ("next_at", pa.binary()), ("next_state", pa.binary())])
 
 

@@ -87,6 +87,23 @@ def test_nothing_frequent(spark):
     assert found(phrases.collocations(frame(spark, [("a. b! " * 200, "en")]))) == []
 
 
+def test_names_are_sent_once_a_task(spark, prose, monkeypatch):
+    """A phrase that every shard holds is named once per task and slice of buckets, not once per shard."""
+    sent = []
+    named = phrases.Walk.named
+
+    def counted(walk, *args):
+        df = named(walk, *args)
+        sent.append((walk.shards.count(), df.count()))
+        return df
+
+    monkeypatch.setattr(phrases.Walk, "named", counted)
+    rows = [("one two three four five six. " * 20, "en")] * 60
+    got = found(phrases.collocations(frame(spark, rows), least=9, shard=50))
+    assert got == plain(rows, 9)
+    assert sent and all(shards > 60 and named <= phrases.LANES for shards, named in sent)
+
+
 def test_scores_past_64_bits(spark):
     """The expression that scores a cut is exact where products need more than 64 bits."""
     rng = random.Random(4)
