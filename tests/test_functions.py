@@ -131,3 +131,29 @@ def test_content_digest_ignores_column_order(spark):
     import hashlib
 
     assert got["x"] == got["y"] == hashlib.sha256(b'{"a":"x","b":1}').hexdigest()
+
+
+def test_view_ids_are_computed_once(spark):
+    """Spark's texts of the views give the ids of the SQL, from one digest each, and made distinct before."""
+    from creditloom.functions import canonical_mbid
+    from creditloom.plans import bridge
+
+    rows = spark.sql(f"SELECT {bridge._uuid('k')} AS a, {bridge._laid_out('k')} AS b FROM VALUES ('x'), ('track:1:2'), (''), (NULL) AS v(k)").collect()
+    assert all(r.a == r.b for r in rows) and sum(r.a is None for r in rows) == 1
+    t = bridge.tables(spark, "/root/testdata/sf0.001")
+    track = t.view("d_track")
+    wanted = spark.sql(bridge.BRIDGE["d_track"], lineitem=t.table("lineitem"))
+    assert wanted.exceptAll(track).isEmpty() and track.exceptAll(wanted).isEmpty()
+    plan = track.where(canonical_mbid(track["gid"]).isNotNull())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 2
+    whole = track._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" not in whole[whole.index("Aggregate") :]
+
+
+def test_id_with_a_line_separator_after_it_is_none(spark):
+    from creditloom.functions import canonical_mbid
+
+    good = "125ec42a-7229-4250-afc5-e057484327fe"
+    rows = spark.createDataFrame([(good.upper() + " ",), (good + "\x85",), (good + "x",), (None,)], "id string")
+    assert [r[0] for r in rows.select(canonical_mbid(F.col("id"))).collect()] == [good, None, None, None]
+    assert [r[0] for r in rows.select(canonical_mbid(F.col("id"), True)).collect()] == [good, None, None, None]
