@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -215,9 +216,11 @@ class Serving:
 
 
 def serve(
-    direct: DataFrame, release: DataFrame | None, aliases: DataFrame, vocabulary: DataFrame, snapshot_version: str
+    direct: DataFrame, release: DataFrame | None, aliases: DataFrame, vocabulary: DataFrame, snapshot_version: str,
+    keep: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> Serving:
-    judged = judge_evidence(union_evidence(direct, release), snapshot_version)
+    """Everything that is served. ``keep`` may write the judged evidence, which several results start from."""
+    judged = keep(judge_evidence(union_evidence(direct, release), snapshot_version))
     evidence = prefer_direct(accepted(judged))
     # What release evidence gives way to is of the same recording: accepted rows name the recordings served.
     credits = dedupe_credits(evidence)
@@ -244,8 +247,9 @@ def stage_counters(s: Serving) -> DataFrame:
     """One row with every count of the serving stage.
 
     Claims and aliases become one row a recording each, stacked and grouped once: which
-    aliases are served, and which are orphans, follows from a recording's row. So claims, and
-    the evidence behind them, are evaluated once, and the evidence once more for its rejects.
+    aliases are served, and which are orphans, follows from a recording's row, and rejected
+    aliases are counted on the way. So claims, and the evidence behind them, are evaluated
+    once, the evidence once more for its rejects, and aliases once.
     """
     evidence = s.judged.agg(
         F.count(F.lit(1)).alias("input_evidence_rows"), *_reasons(s.judged, "unresolved_instrument", "invalid_evidence")
@@ -253,10 +257,14 @@ def stage_counters(s: Serving) -> DataFrame:
     claimed = s.claims.groupBy("recording_mbid").agg(
         F.sum("credit_count").alias("credits"), F.count(F.lit(1)).alias("claims"), F.bool_or(F.col("scope") == "release").alias("fallback")
     )
-    named = accepted(s.judged_aliases).groupBy("recording_mbid", "track_mbid").agg(F.count(F.lit(1)).alias("rows"))
-    named = named.groupBy("recording_mbid").agg(F.count(F.lit(1)).alias("tracks"), F.sum("rows").alias("rows"))
+    bad = F.col("reject_reason").isNotNull()
+    named = s.judged_aliases.groupBy("recording_mbid", F.when(~bad, F.col("track_mbid")).alias("track_mbid"), bad.alias("_bad"))
+    named = named.agg(F.count(F.lit(1)).alias("rows")).groupBy("recording_mbid").agg(
+        F.count_if(~F.col("_bad")).alias("tracks"), F.sum(F.when(~F.col("_bad"), F.col("rows"))).alias("rows"),
+        F.sum(F.when(F.col("_bad"), F.col("rows"))).alias("bad"),
+    )
     both = claimed.unionByName(named, allowMissingColumns=True).groupBy("recording_mbid").agg(
-        *[F.sum(c).alias(c) for c in ("credits", "claims", "tracks", "rows")], F.bool_or("fallback").alias("fallback")
+        *[F.sum(c).alias(c) for c in ("credits", "claims", "tracks", "rows", "bad")], F.bool_or("fallback").alias("fallback")
     )
     served = F.col("claims").isNotNull()
     recordings = both.agg(
@@ -266,8 +274,8 @@ def stage_counters(s: Serving) -> DataFrame:
         F.count_if("fallback").alias("release_fallback_recordings"),
         F.coalesce(F.sum(F.when(served, F.col("tracks"))), F.lit(0)).alias("alias_count"),
         F.coalesce(F.sum(F.when(~served, F.col("rows"))), F.lit(0)).alias("orphan_alias_count"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("discarded_invalid_alias_rows"),
     )
-    bad_aliases = s.judged_aliases.agg(*_reasons(s.judged_aliases, "invalid_alias"))
     kept = F.col("reject_reason").isNull()
     vocabulary = s.judged_vocabulary.agg(
         F.count_if(kept).alias("vocabulary_entries"),
@@ -275,5 +283,5 @@ def stage_counters(s: Serving) -> DataFrame:
         *_reasons(s.judged_vocabulary, "invalid_vocabulary", "special_artist"),
     )
     # One row per part, stacked; each count has its one value.
-    stacked = union_all([evidence, recordings, bad_aliases, vocabulary])
+    stacked = union_all([evidence, recordings, vocabulary])
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
