@@ -58,3 +58,10 @@ def test_documents_start_from_stored_evidence(spark):
 def test_served_aliases_evaluate_direct_evidence_once(spark):
     plan = queries()["c10_servable_aliases"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan
+
+
+@pytest.mark.parametrize("name", ["d03_credit_sources", "d07_stage_counters"])
+def test_evidence_is_written_once(spark, name):
+    """What is read twice or more, kept direct rows and rejects, comes from stored rows; relations are not gathered again."""
+    plan = queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
