@@ -65,3 +65,9 @@ def test_evidence_is_written_once(spark, name):
     """What is read twice or more, kept direct rows and rejects, comes from stored rows; relations are not gathered again."""
     plan = queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan
+
+
+def test_lookup_counts_tracks_with_their_recordings(spark):
+    """Tracks are counted on the rows that meet the recordings: aliases are joined for these and for the ids only."""
+    plan = queries()["c12_evidence_lookup"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS _hit#") == 1
