@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import DEFAULT, PLACEHOLDER_ARTIST_MBIDS, PLACEHOLDER_ARTIST_NAMES, Policy
 from ..functions import canonical_mbid, content_digest, or_default, performer_identity, source_url, strip
 from ..sources.dump import union_all
+from . import evidence as ev
 
 CREDIT_IDENTITY = [
     "artist_mbid", "instrument_mbid", "instrument_name", "attributes", "scope", "relation_type",
@@ -32,33 +33,52 @@ def union_evidence(direct: DataFrame, release: DataFrame | None) -> DataFrame:
     return direct if release is None else union_all([direct, release])
 
 
+def _normal_credit() -> dict[str, Column]:
+    """Normalized columns of evidence that follow from its link alone."""
+    name = strip(F.col("instrument_name"))
+    trimmed = F.filter(F.transform("attributes", lambda a: strip(a)), lambda a: a != "")
+    attributes = F.array_union(F.coalesce(trimmed, F.array().cast("array<string>")), F.array(name))
+    return {
+        "instrument_mbid": canonical_mbid(F.col("instrument_mbid")),
+        "instrument_name": name,
+        "attributes": F.array_sort(attributes),
+        "relation_type": F.lower(or_default(F.col("relation_type"), "instrument")),
+        "production_method": or_default(F.col("production_method"), "performed"),
+        "original_credit": _filled(F.col("original_credit")),
+    }
+
+
+def _unresolved() -> Column:
+    return (F.col("relation_type") == "instrument") & F.col("instrument_mbid").isNull()
+
+
+def _nameless() -> Column:
+    return F.coalesce(F.col("instrument_name"), F.lit("")) == ""
+
+
 def judge_evidence(evidence: DataFrame, snapshot_version: str) -> DataFrame:
     """Normalized evidence with a ``reject_reason``; a row of another snapshot fails the job."""
     foreign = F.coalesce(F.col("snapshot_version"), F.lit("")) != ""
     foreign = foreign & (F.col("snapshot_version") != snapshot_version)
-    relation = F.lower(or_default(F.col("relation_type"), "instrument"))
-    name = strip(F.col("instrument_name"))
-    scope = or_default(F.col("scope"), "recording")
-    trimmed = F.filter(F.transform("attributes", lambda a: strip(a)), lambda a: a != "")
-    attributes = F.array_union(F.coalesce(trimmed, F.array().cast("array<string>")), F.array(name))
+    credit = _normal_credit()
     normalized = evidence.select(
         F.when(foreign, F.raise_error(F.concat(F.lit("snapshot mismatch: found "), F.col("snapshot_version"))).cast("string"))
         .otherwise(canonical_mbid(F.col("recording_mbid"))).alias("recording_mbid"),
         canonical_mbid(F.col("artist_mbid")).alias("artist_mbid"),
-        canonical_mbid(F.col("instrument_mbid")).alias("instrument_mbid"),
-        name.alias("instrument_name"),
-        F.array_sort(attributes).alias("attributes"),
-        scope.alias("scope"),
-        relation.alias("relation_type"),
-        or_default(F.col("production_method"), "performed").alias("production_method"),
+        credit["instrument_mbid"].alias("instrument_mbid"),
+        credit["instrument_name"].alias("instrument_name"),
+        credit["attributes"].alias("attributes"),
+        or_default(F.col("scope"), "recording").alias("scope"),
+        credit["relation_type"].alias("relation_type"),
+        credit["production_method"].alias("production_method"),
         _filled(F.col("performer")).alias("performer"),
-        _filled(F.col("original_credit")).alias("original_credit"),
+        credit["original_credit"].alias("original_credit"),
         _filled(F.col("source_url")).alias("source_url"),
     )
     reason = (
         F.when(F.col("recording_mbid").isNull(), "invalid_evidence")
-        .when((F.col("relation_type") == "instrument") & F.col("instrument_mbid").isNull(), "unresolved_instrument")
-        .when(F.coalesce(F.col("instrument_name"), F.lit("")) == "", "invalid_evidence")
+        .when(_unresolved(), "unresolved_instrument")
+        .when(_nameless(), "invalid_evidence")
         .when(~F.col("scope").isin("recording", "release"), "invalid_evidence")
     )
     return normalized.withColumn("reject_reason", reason)
@@ -75,6 +95,36 @@ def prefer_direct(evidence: DataFrame) -> DataFrame:
     return direct.unionByName(release.join(direct.select("recording_mbid").distinct(), "recording_mbid", "left_anti"))
 
 
+def dump_evidence(tables: dict[str, DataFrame], relations: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Accepted evidence of a dump, release evidence only for recordings without direct: the rows
+    that ``prefer_direct`` leaves of the accepted rows of ``direct_evidence`` and ``release_context``.
+
+    Texts are judged on the links, recordings and artists, before joins repeat them. Recordings
+    with direct evidence leave before releases fan out. ``keep`` may write the links' credits,
+    which are read three times.
+    """
+    credits = ev.link_credits(relations)
+    credits = keep(credits.select("link", *[c.alias(name) for name, c in _normal_credit().items()]).where(~_unresolved() & ~_nameless()))
+    recordings = tables["recording"].select(F.col("id").alias("recording"), canonical_mbid(F.col("gid")).alias("recording_mbid"), "gid")
+    recordings = recordings.where("recording_mbid is not null")
+    artists = tables["artist"].select(
+        F.col("id").alias("artist"), canonical_mbid(F.col("gid")).alias("artist_mbid"), _filled(F.col("name")).alias("performer")
+    )
+    credited = ev.supported_credits(tables, "l_artist_recording", credits).select("recording").distinct()
+    direct = recordings.join(credited, "recording", "left_semi").select("recording_mbid")
+    rest = recordings.drop("gid").join(direct, "recording_mbid", "left_anti")
+
+    def shaped(rows: DataFrame, scope: str, page: Column) -> DataFrame:
+        return rows.select(
+            "recording_mbid", "artist_mbid", "instrument_mbid", "instrument_name", "attributes", F.lit(scope).alias("scope"),
+            "relation_type", "production_method", "performer", "original_credit", page.alias("source_url"),
+        )
+
+    own = shaped(ev.direct_rows(tables, credits, recordings, artists), "recording", source_url("recording", F.col("gid")))
+    context = shaped(ev.release_rows(tables, credits, rest, artists), "release", source_url("release", F.col("release_mbid")))
+    return own.unionByName(context)
+
+
 def dedupe_credits(evidence: DataFrame) -> DataFrame:
     """One credit per identity (nulls are equal), with its first source.
 

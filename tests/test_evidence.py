@@ -196,3 +196,40 @@ def test_taxonomy_is_consistent(spark):
     names = mp.alias_dimension(t)
     assert names.count() == names.select("normalized_alias").distinct().count()
     assert names.where("normalized_alias = 'bass'").count() == 0
+
+
+def test_dump_evidence_equals_judged_rows_with_direct_preferred(spark, rows):
+    t = with_release(spark)
+    frame = spark.createDataFrame
+    t["recording"] = frame(
+        [(1, "\t" + ident(21).upper() + " ", "R1"), (2, ident(22), "R2"), (3, ident(23), "R3"), (4, "no-id", "R4"), (5, ident(21), "R1 again"), (6, None, "R6")],
+        "id bigint, gid string, title string",
+    )
+    t["artist"] = frame([(1, ident(1), "Ana"), (2, "no-id", " ")], "id bigint, gid string, name string")
+    t["instrument"] = frame([(1, ident(10), " Piano "), (2, ident(11), "\t"), (3, "loose", "Oboe")], "id bigint, gid string, name string")
+    t["link_attribute_type"] = frame(
+        [(1, ident(10), " piano "), (2, ident(11), "cello"), (3, None, " "), (4, "loose", "oboe")], "id bigint, gid string, name string"
+    )
+    t["link_attribute"] = frame([(1, 1), (1, 2), (1, 3), (1, 4), (2, 3), (4, 4)], "link bigint, attribute_type bigint")
+    # Recordings 3 to 6 have none but release credits, except 4 and 6, which have no id; 5 shares the id of 1.
+    t["l_artist_recording"] = frame([(1, 1, 1), (2, 1, 2), (4, 9, 1), (1, 2, 4), (1, 1, 6)], "link bigint, artist bigint, recording bigint")
+    t["l_artist_release"] = frame([(1, 2, 50), (2, 1, 50), (4, 1, 51), (3, 2, 51)], "link bigint, artist bigint, release bigint")
+    t["track"] = frame([(ident(30 + n), n, m) for n in range(1, 7) for m in (5, 8)], "gid string, recording bigint, medium bigint")
+    relations = ev.link_relations(t)
+    both = sv.union_evidence(ev.direct_evidence(t, relations, "v").drop("recording", "artist"), ev.release_context(t, relations, "v"))
+    expected = sv.prefer_direct(sv.accepted(sv.judge_evidence(both, "v")))
+    got = sv.dump_evidence(t, relations)
+    assert rows(got, *expected.columns) == rows(expected)
+    assert {r["recording_mbid"] for r in got.where("scope = 'release'").collect()} == {ident(23)}
+
+
+def test_claims_meet_order_lines_of_supported_relations_only(spark):
+    from creditloom.plans import q_evidence
+    from creditloom.plans.bridge import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    lines = q_evidence._supported(t).view("line")
+    assert lines.count() == t.view("line").where("type_id < 5").count()
+    plan = q_evidence._claims(t)._jdf.queryExecution().optimizedPlan().toString()
+    # Only the tracks of releases are read from the order lines themselves.
+    assert plan.count("l_extendedprice") == 1
