@@ -11,18 +11,19 @@ from ..config import DEFAULT, RETRY_DELAYS, SERVING_SCHEMA, Policy
 from ..operators import admission as ad
 from ..operators import catalog as ca
 from ..operators import counts as co
+from ..operators import evidence as ev
 from ..operators import hydration as hy
 from ..operators import listening as ls
 from ..operators import quality as qu
 from ..operators import snapshots as sn
 from ..operators import studies as st
 from ..operators import tables as tb
-from ..session import cut_lineage, shared_folder
+from ..session import cut_lineage, shared_folder, stored
 from ..sources import store
 from ..sources.dump import union_all
 from .bridge import NOW, SNAPSHOT, Tables
 from .oracle import half_up
-from .q_evidence import _claims, _served_aliases, _served_vocabulary
+from .q_evidence import _claims_over, _relations, _served_aliases, _served_vocabulary, _supported
 from .registry import query
 
 
@@ -374,7 +375,11 @@ def materialized(t: Tables) -> DataFrame:
         return t.view(view).select(F.lit(SNAPSHOT).alias("snapshot_version"), F.lit(kind).alias("target_kind"), F.col("gid").alias("target_mbid"))
 
     jobs = targets("d_recording", "recording").unionByName(targets("d_artist", "artist"))
-    new = hy.materialize(jobs, hy.Servings(_served_aliases(t), _claims(t), _served_vocabulary(t)), t.taxonomy, _now())
+    # Relations serve claims and vocabulary, direct rows all three counts of the vocabulary: each is written once.
+    supported = _supported(t)
+    supported.built("relations", lambda s: stored(ev.link_relations(s.dump()), "relations"))
+    supported.built("direct", lambda s: stored(ev.direct_evidence(s.dump(), _relations(s), SNAPSHOT), "direct"))
+    new = hy.materialize(jobs, hy.Servings(_served_aliases(supported), _claims_over(supported), _served_vocabulary(supported)), t.taxonomy, _now())
     recordings = new.recordings.select(F.lit("recording").alias("kind"), F.col("recording_mbid").alias("id"), "status", F.col("credit_count").alias("total"), F.col("mapped_credit_count").alias("mapped"))
     artists = new.artists.select(F.lit("artist").alias("kind"), F.col("artist_mbid").alias("id"), "status", F.col("entry_count").alias("total"), F.col("mapped_entry_count").alias("mapped"))
     return recordings.unionByName(artists)
