@@ -12,6 +12,7 @@ __all__ = [
     "once",
     "strip",
     "bounded_text",
+    "within_bounds",
     "fold_name",
     "http_url",
     "on_hosts",
@@ -49,7 +50,11 @@ def strip(c: Column) -> Column:
 
 def bounded_text(c: Column, limit: int = 512) -> Column:
     """Trimmed text, or null when empty, over-long or holding a NUL."""
-    text = strip(c)
+    return within_bounds(strip(c), limit)
+
+
+def within_bounds(text: Column, limit: int = 512) -> Column:
+    """Text that is trimmed already, or null as ``bounded_text`` has it."""
     # Two bytes per UTF-16 unit: characters outside the basic plane count twice.
     units = F.octet_length(F.encode(text, "UTF-16BE"))
     return F.when((units > 0) & (units <= 2 * limit) & ~text.contains("\x00"), text)

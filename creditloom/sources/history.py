@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULT, Policy
-from ..functions import bounded_text, canonical_mbid, http_url, media_url, profile_url, registered_iso
+from ..functions import bounded_text, canonical_mbid, http_url, media_url, once, profile_url, registered_iso, strip, within_bounds
 from ..functions.numbers import MAX_SAFE_INTEGER
 
 
@@ -15,22 +15,56 @@ def _is_type(value: Column, name: str) -> Column:
 
 def _as_text(value: Column, limit: int = 512) -> Column:
     """Bounded text of a variant; a number or an object is not text."""
-    return F.when(_is_type(value, "STRING"), bounded_text(F.try_variant_get(value, "$", "string"), limit))
-
-
-def _text(value: Column, path: str, limit: int = 512) -> Column:
-    return _as_text(F.try_variant_get(value, path, "variant"), limit)
+    return F.when(_is_type(value, "STRING"), once(strip(F.try_variant_get(value, "$", "string")), lambda text: within_bounds(text, limit)))
 
 
 def _play_count(value: Column) -> Column:
     """A whole number given as a number or as text; blank text counts as zero."""
+    def whole(number: Column) -> Column:
+        return F.when((number >= 0) & (number <= MAX_SAFE_INTEGER) & (number == F.floor(number)), number.cast("bigint"))
+
     text = F.trim(F.try_variant_get(value, "$", "string"))
-    number = F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
-    whole = (number >= 0) & (number <= MAX_SAFE_INTEGER) & (number == F.floor(number))
-    return F.when(whole, number.cast("bigint"))
+    return once(text, lambda t: once(F.when(t == "", F.lit(0.0)).otherwise(t.try_cast("double")), whole))
 
 
 _TRACK = "struct<name: variant, playcount: variant, mbid: variant, artist: variant, album: variant, url: variant>"
+_ARTIST = "struct<name: variant, mbid: variant>"
+
+
+def _lost(value: Column, name: str) -> Column:
+    """Why a text is missing: longer than its bound, or not there."""
+    given = _is_type(value, "STRING") & (F.trim(F.try_variant_get(value, "$", "string")) != "")
+    return F.when(given, f"{name}_too_long").otherwise(f"missing_{name}")
+
+
+def _checked_track(track: Column) -> Column:
+    """The columns of a track, and why it is rejected; every value is taken from its variant once."""
+    def judged(v: Column) -> Column:
+        t, person, name = v["t"], v["person"], v["name"]
+        values = F.struct(
+            _as_text(t["name"]).alias("title"),
+            _as_text(name, 256).alias("artist"),
+            _play_count(t["playcount"]).alias("play_count"),
+            canonical_mbid(_as_text(t["mbid"]), strict=True).alias("mbid"),
+            canonical_mbid(_as_text(person["mbid"]), strict=True).alias("artist_mbid"),
+            canonical_mbid(_as_text(F.try_variant_get(t["album"], "$.mbid", "variant")), strict=True).alias("release_mbid"),
+            http_url(_as_text(t["url"], 2048)).alias("url"),
+        )
+        return once(values, lambda c: F.struct(
+            *[c[n].alias(n) for n in ("title", "artist", "play_count", "mbid", "artist_mbid", "release_mbid", "url")],
+            F.when(c["title"].isNull(), _lost(t["name"], "title")).when(c["artist"].isNull(), _lost(name, "artist"))
+            .when(c["play_count"].isNull(), "invalid_play_count").alias("reason"),
+        ))
+
+    def with_artist(t: Column) -> Column:
+        # A cast tells an object from a text by its head.
+        person = F.try_variant_get(t["artist"], "$", _ARTIST)
+        named = once(person, lambda p: F.struct(
+            t.alias("t"), p.alias("person"), F.when(p.isNotNull(), p["name"]).otherwise(t["artist"]).alias("name"),
+        ))
+        return once(named, judged)
+
+    return once(F.try_variant_get(track, "$", _TRACK), with_artist)
 
 
 def check_pages(pages: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
@@ -39,55 +73,42 @@ def check_pages(pages: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     ``pages`` has listener, period, page (from 1) and payload (JSON text). A payload that is
     no history page, or holds more tracks than a page, is one row without a rank; so no page
     fails the job, and the array that is exploded is bounded.
+
+    A page is one expression, in which each value is named once; its tracks are judged before
+    they are exploded, so a filter on their reasons judges none again.
     """
-    parsed = pages.withColumn("_v", F.try_parse_json("payload"))
-    tracks = F.try_variant_get("_v", "$.toptracks.track", "variant")
-    many = F.try_variant_get("_v", "$.toptracks.track", "array<variant>")
-    # Casts tell lists and objects apart by their head; naming a type would walk every track of the page.
-    items = F.when(many.isNotNull(), many).when(tracks.isNotNull(), F.array(tracks)).otherwise(
-        F.array().cast("array<variant>")
-    )
-    fault = F.when(F.try_variant_get("_v", "$.toptracks", "struct<track: variant>").isNull(), "not_a_history_page").when(
-        F.size(items) > policy.page_size, "page_too_large"
-    )
+    def of(v: Column) -> Column:
+        tracks = F.try_variant_get(v, "$.toptracks.track", "variant")
+        many = F.try_variant_get(v, "$.toptracks.track", "array<variant>")
+        # Casts tell lists and objects apart by their head; naming a type would walk every track of the page.
+        single = once(tracks, lambda t: F.when(t.isNotNull(), F.array(t)).otherwise(F.array().cast("array<variant>")))
+        user = F.try_variant_get(v, "$.toptracks['@attr'].user", "variant")
+
+        def checked(items: Column) -> Column:
+            fault = F.when(F.try_variant_get(v, "$.toptracks", "struct<track: variant>").isNull(), "not_a_history_page").when(
+                F.size(items) > policy.page_size, "page_too_large"
+            )
+            # A page with a fault goes on as one empty track.
+            return once(fault, lambda f: F.struct(
+                _as_text(user, 64).alias("user"), f.alias("fault"),
+                F.transform(F.when(f.isNull(), items).otherwise(F.array(F.lit(None).cast("variant"))), _checked_track).alias("tracks"),
+            ))
+
+        return once(F.coalesce(many, single), checked)
+
+    parsed = pages.withColumn("_p", once(F.try_parse_json("payload"), of))
+    # The outer form takes no filter on the size of its list, which would make the list a second time.
     rows = parsed.select(
-        F.coalesce(_text(F.col("_v"), "$.toptracks['@attr'].user", 64), F.col("listener")).alias("listener"),
-        "period",
-        "page",
-        fault.alias("_fault"),
-        # A page with a fault goes on as one empty track.
-        F.posexplode(F.when(fault.isNull(), items).otherwise(F.array(F.lit(None).cast("variant")))).alias("_i", "_t"),
-    )
-    rows = rows.withColumn("_t", F.try_variant_get("_t", "$", _TRACK))
-    artist = F.col("_t.artist")
-    artist_is_object = _is_type(artist, "OBJECT")
-    artist_text = F.when(artist_is_object, F.try_variant_get(artist, "$.name", "variant")).otherwise(artist)
-
-    def lost(value: Column, name: str) -> Column:
-        """Why a text is missing: longer than its bound, or not there."""
-        given = _is_type(value, "STRING") & (F.trim(F.try_variant_get(value, "$", "string")) != "")
-        return F.when(given, f"{name}_too_long").otherwise(f"missing_{name}")
-
-    shaped = rows.select(
+        F.coalesce("_p.user", "listener").alias("listener"), "period", "page", F.col("_p.fault").alias("_fault"), F.posexplode_outer("_p.tracks").alias("_i", "_t")
+    ).where("_i is not null")
+    return rows.select(
         "listener",
         "period",
         "page",
         F.when(F.col("_fault").isNull(), (F.col("page") - 1) * policy.page_size + F.col("_i") + 1).cast("bigint").alias("rank"),
-        _as_text(F.col("_t.name")).alias("title"),
-        _as_text(artist_text, 256).alias("artist"),
-        _play_count(F.col("_t.playcount")).alias("play_count"),
-        canonical_mbid(_as_text(F.col("_t.mbid")), strict=True).alias("mbid"),
-        F.when(artist_is_object, canonical_mbid(_text(artist, "$.mbid"), strict=True)).alias("artist_mbid"),
-        canonical_mbid(_text(F.col("_t.album"), "$.mbid"), strict=True).alias("release_mbid"),
-        http_url(_as_text(F.col("_t.url"), 2048)).alias("url"),
-        "_fault",
-        lost(F.col("_t.name"), "title").alias("_title"),
-        lost(artist_text, "artist").alias("_artist"),
-    )
-    reason = F.coalesce(
-        "_fault", F.when(F.col("title").isNull(), F.col("_title")), F.when(F.col("artist").isNull(), F.col("_artist")), F.when(F.col("play_count").isNull(), "invalid_play_count")
+        *[F.col(f"_t.{n}").alias(n) for n in ("title", "artist", "play_count", "mbid", "artist_mbid", "release_mbid", "url")],
+        F.coalesce("_fault", "_t.reason").alias("reject_reason"),
     )
-    return shaped.withColumn("reject_reason", reason).drop("_fault", "_title", "_artist")
 
 
 def parse_pages(pages: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
