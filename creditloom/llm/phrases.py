@@ -7,7 +7,7 @@ words are frequent as well, so frequent phrases are found length by length:
    numbers, 0 for a border or a rare word, kept in shards of about ``SHARD`` words.
 2. Candidates of length k + 1 stand at places where a frequent phrase of length k starts, and
    another one word later. Their occurrences are counted by hash first: tasks send sums by
-   bucket, and only phrases in a bucket that reaches the least count are named. A phrase can't
+   bucket, packed in slices of buckets and cut at the least count, and only phrases in a bucket that reaches the least count are named. A phrase can't
    be more frequent than its bucket, so none is missed, and few others are left.
 3. The candidates become a double-array trie, which is broadcast. From the places of the
    phrases of length k, numpy takes all places' states one word on at once; a bincount of the
@@ -31,6 +31,7 @@ once by one task as bytes; its numbers are cut at borders into shards.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
@@ -54,8 +55,11 @@ SLICE = 1 << 12
 LANES = 16
 #: Distinct words a task counts before it sends what it has.
 HELD = 1 << 19
-#: Bits of the hash that sorts candidates into buckets.
+#: Bits of the hash that sorts candidates into buckets, and of a bucket's place in its slice.
 BUCKET_BITS = 30
+PLACE_BITS = 16
+#: Slices of words that are counted together.
+WORD_SLICES = 512
 
 #: Marks the border of a piece among words; never a byte of UTF-8.
 BORDER = b"\xff"
@@ -67,6 +71,21 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().translate(_BYTES).replace(BORDER, b" \xff ").split()
 
 
+def squeezed(numbers: np.ndarray, steps: bool = False) -> bytes:
+    """Numbers of 32 bits in few bytes, for what is written or sent; with ``steps`` their differences."""
+    numbers = np.ascontiguousarray(numbers, np.int32)
+    numbers = (np.diff(numbers, prepend=np.int32(0)) if steps else numbers).astype("<i4")
+    # All lowest bytes come first, then the next ones: the high ones are mostly alike.
+    raw = numbers.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(held: bytes, steps: bool = False) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(held[8:], int.from_bytes(held[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    numbers = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").reshape(-1)
+    return np.cumsum(numbers, dtype=np.int32) if steps else numbers
+
+
 class Trie:
     """A double array: from state s, word w leads to slot base[s] + w if check there is s."""
 
@@ -132,7 +151,7 @@ class Trie:
 
 # ---- passes over the shards
 
-#: words: numbers of the shard. at, state: places found and their states, at the length that
+#: All are squeezed. words: numbers of the shard. at, state: places found and their states, at the length that
 #: was reached when the rows were written; next_at, next_state: those found so far one further.
 STATE = "words binary, reached int, at binary, state binary, next_at binary, next_state binary"
 
@@ -152,12 +171,12 @@ class Place:
     """The places of a shard while a pass leads them through the tries."""
 
     def __init__(self, words: bytes, reached: int | None = None, *saved: bytes) -> None:
-        numbers = np.frombuffer(words, np.int32)
+        numbers = unsqueezed(words)
         self.size = len(numbers)
         self.words = np.concatenate([numbers, np.zeros(8, np.int32)])
         self.reached = reached or 1
         if saved and saved[0] is not None:
-            self.at, self.states, self.next_at, self.next_states = (np.frombuffer(x, np.int32) for x in saved)
+            self.at, self.states, self.next_at, self.next_states = (unsqueezed(x, k % 2 == 0) for k, x in enumerate(saved))
         else:
             self.at = np.flatnonzero(self.words).astype(np.int32)
             self.states = self.words[self.at]
@@ -176,7 +195,7 @@ class Place:
             self.next_states = np.concatenate([self.next_states, (slots + trie.offset).astype(np.int32)])
 
     def saved(self, words: bytes) -> tuple:
-        return (words, self.reached, *(x.tobytes() for x in (self.at, self.states, self.next_at, self.next_states)))
+        return (words, self.reached, *(squeezed(x, k % 2 == 0) for k, x in enumerate((self.at, self.states, self.next_at, self.next_states))))
 
 
 class Walk:
@@ -237,9 +256,13 @@ class Walk:
             return place.states[able].astype(np.int64) << 32 | place.words[place.at[able] + place.reached]
 
         def sums(parts: list[tuple]) -> pa.RecordBatch:
+            """A row per slice of buckets. A sum is cut at ``least``, which is all that is asked of it."""
             buckets, group = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            n = np.bincount(group, np.concatenate([p[1] for p in parts]), len(buckets)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(n)], names=["bucket", "n"])
+            n = np.minimum(np.bincount(group, np.concatenate([p[1] for p in parts]), len(buckets)), least).astype(kind)
+            slices, first = np.unique(buckets >> PLACE_BITS, return_index=True)
+            at = (buckets & (1 << PLACE_BITS) - 1).astype("<u2")
+            rows = zip(slices.tolist(), np.split(at, first[1:]), np.split(n, first[1:]), strict=False)
+            return pa.RecordBatch.from_pylist([{"slice": k, "at": x.tobytes(), "sums": y.tobytes()} for k, x, y in rows], _BUCKETS)
 
         def count(batches):
             parts, words = [], 0
@@ -253,8 +276,16 @@ class Walk:
             if parts:
                 yield sums(parts)
 
-        counted = self.shards.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-        frequent = checkpoint(counted.where(F.col("n") >= least).select("bucket"))
+        def reaching(table: pa.Table) -> pa.Table:
+            total = np.zeros(1 << PLACE_BITS, np.int64)
+            for at, n in zip(table.column("at").to_pylist(), table.column("sums").to_pylist(), strict=True):
+                total[np.frombuffer(at, "<u2")] += np.frombuffer(n, kind)
+            reached = np.flatnonzero(total >= least) + (table.column("slice")[0].as_py() << PLACE_BITS)
+            return pa.table({"bucket": pa.array(reached.astype(np.int32))})
+
+        kind = np.dtype(np.min_scalar_type(max(1, least))).newbyteorder("<")
+        counted = self.shards.mapInArrow(count, "slice int, at binary, sums binary").groupBy("slice")
+        frequent = checkpoint(counted.applyInArrow(reaching, "bucket int"))
         parts = max(1, -(-frequent.count() // most))
         out = []
         for part in range(parts):
@@ -361,6 +392,8 @@ def unpacked(table: pa.Table) -> np.ndarray:
 
 
 _SLICED = pa.schema([("slice", pa.int64()), ("lane", pa.int32()), ("at", pa.binary()), ("sums", pa.binary())])
+_WORDS = pa.schema([("lang", pa.string()), ("slice", pa.int32()), ("words", pa.binary()), ("sums", pa.binary())])
+_BUCKETS = pa.schema([("slice", pa.int32()), ("at", pa.binary()), ("sums", pa.binary())])
 _NAMED = pa.schema([("slice", pa.int64()), ("lane", pa.int32()), ("keys", pa.binary())])
 _SCHEMA = pa.schema([("words", pa.binary()), ("reached", pa.int32()), ("at", pa.binary()), ("state", pa.binary()), ("next_at", pa.binary()), ("next_state", pa.binary())])
 
@@ -369,16 +402,27 @@ _SCHEMA = pa.schema([("words", pa.binary()), ("reached", pa.int32()), ("at", pa.
 
 
 def count_words(docs: DataFrame, held: int = HELD) -> DataFrame:
-    """lang, word, f; the row without a word counts all of a language."""
+    """lang, word, f; the row without a word counts all of a language.
+
+    A task sends the words of a slice as one row: a hash deals words to slices, in which their
+    sorted texts take few bytes.
+    """
 
     def rows(counts: dict[str, Counter]) -> pa.RecordBatch:
-        langs, words, numbers = [], [], []
+        out = []
         for lang, found in counts.items():
             found.pop(BORDER, 0)
-            langs += [lang] * (len(found) + 1)
-            words += [*found, None]
-            numbers += [*found.values(), found.total()]
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64())], names=["lang", "word", "f"])
+            slices: list[list[bytes]] = [[] for _ in range(WORD_SLICES)]
+            for word in found:
+                slices[zlib.crc32(word) % WORD_SLICES].append(word)
+            out.append({"lang": lang, "slice": -1, "words": None, "sums": np.array([found.total()], "<i8").tobytes()})
+            for k, words in enumerate(slices):
+                if words:
+                    words.sort()
+                    raw = b" ".join(words)
+                    sums = np.array([found[w] for w in words], "<i8").tobytes()
+                    out.append({"lang": lang, "slice": k, "words": len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True), "sums": pa.compress(sums, codec="zstd", asbytes=True)})
+        return pa.RecordBatch.from_pylist(out, _WORDS)
 
     def run(batches):
         counts: dict[str, Counter] = defaultdict(Counter)
@@ -390,7 +434,20 @@ def count_words(docs: DataFrame, held: int = HELD) -> DataFrame:
                     counts = defaultdict(Counter)
         yield rows(counts)
 
-    return docs.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    def add(table: pa.Table) -> pa.Table:
+        total: Counter = Counter()
+        for words, sums in zip(table.column("words").to_pylist(), table.column("sums").to_pylist(), strict=True):
+            if words is None:
+                total[None] += int.from_bytes(sums, "little")
+            else:
+                listed = pa.decompress(words[8:], int.from_bytes(words[:8], "little"), codec="zstd", asbytes=True).split(b" ")
+                for word, n in zip(listed, np.frombuffer(pa.decompress(sums, 8 * len(listed), codec="zstd", asbytes=True), "<i8").tolist(), strict=True):
+                    total[word] += n
+        names = pa.array([*total], pa.binary()).cast(pa.string())
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(total), pa.string()), "word": names, "f": pa.array([*total.values()], pa.int64())})
+
+    sliced = docs.mapInArrow(run, "lang string, slice int, words binary, sums binary")
+    return sliced.groupBy("lang", "slice").applyInArrow(add, "lang string, word string, f long")
 
 
 def numbered(words: DataFrame, part: int, parts: int) -> tuple[pa.Table, dict[str, dict[bytes, int]]]:
@@ -428,7 +485,7 @@ def write_shards(docs: DataFrame, vocabulary: list, size: int) -> DataFrame:
             known, waiting, held = shared.value, [], 0
 
             def row(shard):
-                return pa.RecordBatch.from_arrays([pa.array([shard.tobytes()], pa.binary())], names=["words"])
+                return pa.RecordBatch.from_arrays([pa.array([squeezed(shard)], pa.binary())], names=["words"])
 
             for batch in batches:
                 langs, texts, before = (batch.column(c).to_pylist() for c in ("lang", "tokens", "words"))
@@ -438,10 +495,10 @@ def write_shards(docs: DataFrame, vocabulary: list, size: int) -> DataFrame:
                     of = known.get(lang, {})
                     numbers = np.fromiter((of.get(w, 0) for w in words), np.int32, len(words))
                     if earlier is not None:
-                        numbers = np.maximum(numbers, np.frombuffer(earlier, np.int32))
+                        numbers = np.maximum(numbers, unsqueezed(earlier))
                     found.append(numbers)
                 if not last:
-                    packed = [x.tobytes() for x in found]
+                    packed = [squeezed(x) for x in found]
                     yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("tokens"), pa.array(packed, pa.binary())], names=["lang", "tokens", "words"])
                     continue
                 for numbers in found:

@@ -129,3 +129,21 @@ def test_trie_equals_a_dictionary():
             assert named.setdefault(slot, (asked_state[i], asked_word[i])) == (asked_state[i], asked_word[i])
         at, all_slots = trie.step(np.arange(len(pairs)), pairs[:, 0], pairs[:, 1])
         assert len(np.unique(all_slots)) == len(pairs) and 0 < all_slots.min() and all_slots.max() < trie.size - 1
+
+
+def test_shards_and_sums_are_squeezed(spark):
+    """Shards took four bytes a word, places eight, and each bucket of a task a row of its own."""
+    rng = np.random.default_rng(5)
+    numbers = np.sort(rng.integers(0, 1 << 31, 1000)).astype(np.int32)
+    for steps in (False, True):
+        assert phrases.unsqueezed(phrases.squeezed(numbers, steps), steps).tolist() == numbers.tolist()
+        assert phrases.unsqueezed(phrases.squeezed(numbers[:0], steps), steps).tolist() == []
+    place = phrases.Place(phrases.squeezed(np.arange(1, 3000)))
+    again = phrases.Place(*place.saved(phrases.squeezed(np.arange(1, 3000))))
+    assert again.at.tolist() == place.at.tolist() and again.states.tolist() == place.states.tolist()
+    docs = spark.createDataFrame([("one two three four five six. " * 500, "en")], "text string, lang string").selectExpr("lang", "cast(text as binary) AS text").coalesce(1)
+    known = [{"en": {w: k + 1 for k, w in enumerate(b"one two three four five six".split())}}]
+    shards = [r.words for r in phrases.write_shards(docs, known, 100000).collect()]
+    assert sum(len(phrases.unsqueezed(w)) for w in shards) == 3500 and sum(map(len, shards)) < 3500
+    counted = {(r.lang, r.word): r.f for r in phrases.count_words(docs).collect()}
+    assert counted == {("en", None): 3000} | {("en", w): 500 for w in "one two three four five six".split()}
