@@ -158,3 +158,11 @@ def test_id_with_a_line_separator_after_it_is_none(spark):
     rows = spark.createDataFrame([(good.upper() + " ",), (good + "\x85",), (good + "x",), (None,)], "id string")
     assert [r[0] for r in rows.select(canonical_mbid(F.col("id"))).collect()] == [good, None, None, None]
     assert [r[0] for r in rows.select(canonical_mbid(F.col("id"), True)).collect()] == [good, None, None, None]
+
+
+def test_packed_ids_come_back_whole(spark):
+    texts = ["0F000000-0000-4000-8000-00000000000a", "ff000000-0000-4000-8000-00000000000a", "", "x", "name:é", "q" * 15, "q" * 16, "ff" * 16, "ÿ" * 8, None]
+    df = spark.createDataFrame([(t,) for t in texts], "v string").select("v", fn.packed_id(F.col("v")).alias("p"))
+    got = df.select("v", "p", fn.unpacked_id(F.col("p")).alias("back")).collect()
+    assert all(r["back"] == r["v"] for r in got) and len({bytes(r["p"]) for r in got if r["p"] is not None}) == len(texts) - 1
+    assert {r["v"]: len(r["p"]) for r in got if r["v"]}["ff000000-0000-4000-8000-00000000000a"] == 16
