@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULT, PLACEHOLDER_ARTIST_MBIDS, PLACEHOLDER_ARTIST_NAMES, Policy
-from ..functions import canonical_mbid, content_digest, or_default, performer_identity, source_url, strip
+from ..functions import canonical_mbid, content_digest, or_default, packed_id, performer_identity, source_url, strip, unpacked_id
 from ..sources.dump import union_all
 from . import evidence as ev
 
@@ -178,14 +178,18 @@ def servable_aliases(aliases: DataFrame, servable: DataFrame) -> DataFrame:
     return aliases.join(servable.select("recording_mbid").distinct(), "recording_mbid", "left_semi")
 
 
-def unique_aliases(aliases: DataFrame) -> DataFrame:
-    """One recording per track; a track with two fails the build."""
-    clash = F.raise_error(F.concat(F.lit("more than one recording claims track "), F.col("track_mbid"))).cast("string")
-    return (
-        aliases.groupBy("track_mbid")
-        .agg(F.min("recording_mbid").alias("_low"), F.max("recording_mbid").alias("_high"))
-        .select("track_mbid", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(clash).alias("recording_mbid"))
+def unique_aliases(aliases: DataFrame, packed: bool = False) -> DataFrame:
+    """One recording per track; a track with two fails the build. With ``packed`` the ids stay packed.
+
+    A track has few aliases: they are dealt by track first, as a partial minimum and maximum
+    would send each recording twice.
+    """
+    rows = aliases.select(packed_id(F.col("track_mbid")).alias("track_mbid"), packed_id(F.col("recording_mbid")).alias("_r")).repartition("track_mbid")
+    clash = F.raise_error(F.concat(F.lit("more than one recording claims track "), unpacked_id(F.col("track_mbid")))).cast("binary")
+    unique = rows.groupBy("track_mbid").agg(F.min("_r").alias("_low"), F.max("_r").alias("_high")).select(
+        "track_mbid", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(clash).alias("recording_mbid")
     )
+    return unique if packed else unique.select(*[unpacked_id(F.col(c)).alias(c) for c in unique.columns])
 
 
 def alias_conflicts(aliases: DataFrame) -> DataFrame:

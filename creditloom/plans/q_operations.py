@@ -23,7 +23,7 @@ from ..sources import store
 from ..sources.dump import union_all
 from .bridge import NOW, SNAPSHOT, Tables
 from .oracle import half_up
-from .q_evidence import _claims_over, _relations, _served_aliases, _served_vocabulary, _supported
+from .q_evidence import _claims_over, _relations, _served_over, _served_vocabulary, _supported
 from .registry import query
 
 
@@ -222,12 +222,15 @@ def _take_sql(name: str, pool: str, before: str, room: str) -> str:
     FROM stage_c""")
 def sample(t: Tables) -> DataFrame:
     segments = t.table("customer").select(F.col("c_custkey").alias("listener"), F.col("c_mktsegment").alias("sample_id"))
-    played = t.view("history").where("mbid is not null and artist_mbid is not null").join(segments, "listener")
+    played = t.view("history").where("mbid is not null and artist_mbid is not null").select(
+        "listener", fn.packed_id(F.col("mbid")).alias("recording_mbid"), fn.packed_id(F.col("artist_mbid")).alias("artist_id")
+    ).join(segments, "listener")
     direct = t.view("layer").select("recording_mbid").distinct().withColumn("d", F.lit(True))
-    rows = played.select("sample_id", F.col("mbid").alias("recording_mbid"), F.col("artist_mbid").alias("artist_id")).distinct()
-    rows = rows.join(direct, "recording_mbid", "left").withColumn("direct", F.coalesce("d", F.lit(False))).drop("d")
+    # Of a recording's artists the sample takes the least; so only its one row of a sample goes on.
+    rows = played.withColumn("artist_id", fn.unpacked_id(F.col("artist_id"))).groupBy("sample_id", "recording_mbid").agg(F.min("artist_id").alias("artist_id"))
+    rows = rows.withColumn("recording_mbid", fn.unpacked_id(F.col("recording_mbid"))).join(direct, "recording_mbid", "left").withColumn("direct", F.coalesce("d", F.lit(False))).drop("d")
     priority = t.view("vocabulary_row").where("distinct_recordings >= 8").select(F.col("artist_mbid").alias("artist_id"))
-    return st.example_sample(rows, priority, "seed")
+    return st.example_sample(stored(rows, "drawn"), priority, "seed")
 
 
 # ---- jobs
@@ -379,7 +382,7 @@ def materialized(t: Tables) -> DataFrame:
     supported = _supported(t)
     supported.built("relations", lambda s: stored(ev.link_relations(s.dump()), "relations"))
     supported.built("direct", lambda s: stored(ev.direct_evidence(s.dump(), _relations(s), SNAPSHOT), "direct"))
-    new = hy.materialize(jobs, hy.Servings(_served_aliases(supported), _claims_over(supported), _served_vocabulary(supported)), t.taxonomy, _now())
+    new = hy.materialize(jobs, hy.Servings(_served_over(supported), _claims_over(supported), _served_vocabulary(supported)), t.taxonomy, _now())
     recordings = new.recordings.select(F.lit("recording").alias("kind"), F.col("recording_mbid").alias("id"), "status", F.col("credit_count").alias("total"), F.col("mapped_credit_count").alias("mapped"))
     artists = new.artists.select(F.lit("artist").alias("kind"), F.col("artist_mbid").alias("id"), "status", F.col("entry_count").alias("total"), F.col("mapped_entry_count").alias("mapped"))
     return recordings.unionByName(artists)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..config import DEFAULT, SERVING_SCHEMA, Policy
-from ..functions import content_digest, shard_key
+from ..functions import content_digest, packed_id, shard_key, unpacked_id
 from ..schemas import MANIFEST, SHARDS
 
 _LANES = 8
@@ -172,7 +172,7 @@ def shard_documents(rows: DataFrame, kind: str, snapshot_version: str, width: in
 
     A document is a unit readers load whole. The flat rows are sized first; a shard above
     the size of one part is dealt out to as many parts as it needs, by key, before any row
-    is gathered. No shard is too large.
+    is gathered. No shard is too large. Aliases, whose keys and values both are ids, are gathered packed.
     """
     sized = rows.select(
         shard_key(F.col("key"), width).alias("shard"), "key", "value",
@@ -180,7 +180,12 @@ def shard_documents(rows: DataFrame, kind: str, snapshot_version: str, width: in
     )
     totals = sized.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum("_bytes") / F.lit(policy.shard_part_bytes))).cast("bigint").alias("parts"))
     placed = sized.drop("_bytes").join(totals, "shard").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
-    entries = F.array_sort(F.collect_list(F.struct("key", "value")))
+    if kind == "track":
+        placed = placed.select("shard", "part", "parts", packed_id(F.col("key")).alias("key"), packed_id(F.col("value")).alias("value"))
+        gathered = F.transform(F.collect_list(F.struct("key", "value")), lambda e: F.struct(unpacked_id(e["key"]).alias("key"), unpacked_id(e["value"]).alias("value")))
+    else:
+        gathered = F.collect_list(F.struct("key", "value"))
+    entries = F.array_sort(gathered)
     return placed.groupBy("shard", "part", "parts").agg(F.map_from_entries(entries).alias(_MAPS[kind])).select(
         F.lit(SERVING_SCHEMA).alias("schema_version"), F.lit(snapshot_version).alias("snapshot_version"), "shard", "part", "parts", _MAPS[kind]
     )

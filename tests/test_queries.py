@@ -71,3 +71,16 @@ def test_lookup_counts_tracks_with_their_recordings(spark):
     """Tracks are counted on the rows that meet the recordings: aliases are joined for these and for the ids only."""
     plan = queries()["c12_evidence_lookup"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("AS _hit#") == 1
+
+
+@pytest.mark.parametrize(("name", "scans"), [("c11_identity_resolution", 4), ("d23_featured_artists", 9), ("e12_example_sample", 6)])
+def test_order_lines_are_not_read_again_for_each_step(spark, name, scans):
+    """Evidence starts from stored lines, scores and rows of a sample are evaluated once: 32, 12 and 14 scans before."""
+    plan = queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") <= scans
+
+
+@pytest.mark.parametrize("name", ["a08_shard_documents", "c11_identity_resolution", "c12_evidence_lookup"])
+def test_aliases_are_dealt_packed(spark, name):
+    plan = queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex" in plan
